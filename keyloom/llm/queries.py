@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from keyloom.llm import simhash
+from keyloom.llm import packing, quality, simhash
 
 QUERIES = {
+    "op1_best_fit_packing": packing.query,
     "op7_simhash_near_dedup": simhash.query,
+    "op9_quality_rules": quality.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
