@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from keyloom.llm import packing, quality, simhash
+from keyloom.llm import langid, licenses, packing, quality, simhash, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
+    "op5_license_scan": licenses.query,
+    "op6_toxicity": toxicity.query,
     "op7_simhash_near_dedup": simhash.query,
+    "op8_language_id": langid.query,
     "op9_quality_rules": quality.query,
 }
 
