@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from keyloom.llm import langid, licenses, packing, quality, simhash, toxicity
+from keyloom.llm import langid, licenses, lines, packing, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
+    "op3_warc_zstd": warc.query,
     "op5_license_scan": licenses.query,
     "op6_toxicity": toxicity.query,
     "op7_simhash_near_dedup": simhash.query,
     "op8_language_id": langid.query,
     "op9_quality_rules": quality.query,
+    "op10_fuzzy_line_dedup": lines.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
