@@ -18,6 +18,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,12 @@ CAPACITY = 2048
 BUCKETS = 20_000  #: of ranks in all, besides one for each length
 BUCKET_ROWS = 500  #: least rows of a full bucket
 VOCABULARY = "word_bpe_49k.json"
-_CACHED = 300_000
-_CHUNK = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#$%&|()\"-]*)")
+_CACHED = 1_000_000
+_LETTERS = re.compile("[a-zß-öø-ÿ]+")
 _ODD = re.compile("<\\||[\x1c-\x1f]")
+#: Latin-1 characters that are neither letter, number, white space nor apostrophe; and a whole run of them away from apostrophes.
+_MARK = r"\x00-\x08\x0e-\x1b!-&(-/:-@\[-`{-\x84\x86-\x9f\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf\xd7\xf7"
+_RUN = re.compile(rf"[{_MARK}](?<![{_MARK}'].)[{_MARK}]*+(?!')", re.S)
 
 
 class Encoder:
@@ -53,30 +57,50 @@ class Encoder:
         found = self.model.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of lower-case words of letters, many to a call."""
+        out: list[bytes] = []
+        groups = [words[i : i + 256] for i in range(0, len(words), 256)]
+        found = self.model.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
+        for group, x in zip(groups, found, strict=True):
+            data, word = np.array(x.ids, "<u4").tobytes(), np.array(x.word_ids)
+            cut = [0, *(4 * (np.flatnonzero(word[1:] != word[:-1]) + 1)).tolist(), len(data)]
+            if len(cut) == len(group) + 1:
+                out.extend([data[a:b] for a, b in zip(cut, cut[1:], strict=False)])
+            else:
+                out.extend(self._ids(group))
+        return out
+
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
         if _ODD.search(text):
             return self._ids([text])[0]
+        try:
+            text.encode("latin-1")
+            text = _RUN.sub(r" \g<0> ", text.lower())
+        except UnicodeEncodeError:
+            pass
         words, known = text.split(), self.known
         new = set(words).difference(known)
         if new:
             if len(known) > _CACHED:
                 known.clear()
                 new = set(words)
-            parts = {w: m.groups() for w in new if (m := _CHUNK.fullmatch(w))}
-            ask = {w for w in new if w not in parts}
-            for letters, marks in parts.values():
-                ask.update((letters.lower(), marks))
-            asked = [w for w in ask if w and w not in known]
-            known.update(zip(asked, self._ids(asked), strict=True))
-            known[""] = b""
-            for w, (letters, marks) in parts.items():
-                known[w] = known[letters.lower()] + known[marks]
+            plain = list(filter(_LETTERS.fullmatch, new))
+            known.update(zip(plain, self._words(plain), strict=True))
+            other = list(new.difference(plain))
+            known.update(zip(other, self._ids(other), strict=True))
         return b"".join([known[w] for w in words])
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """The Encoder of a Python worker; it stays for the worker's next task."""
+    return Encoder(path)
+
+
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
@@ -97,11 +121,11 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
     step = 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary or vocabulary_path())
+        encode = encoder(vocabulary or vocabulary_path()).encode
         for batch in batches:
             at, piece, start, length, crc, ids = [], [], [], [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
-                data = encoder.encode(text) + b"\0\0\0\0"
+                data = encode(text) + b"\0\0\0\0"
                 for k, i in enumerate(range(0, len(data), step)):
                     part = data[i : i + step]
                     at.append(row)
