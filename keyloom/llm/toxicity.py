@@ -19,11 +19,12 @@ from dataclasses import dataclass, field
 from itertools import product
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from keyloom.llm.langid import held_out
 
-SAMPLE = 30_000  #: labelled rows learned from, at most: those of least hash of doc_id
+SAMPLE = 20_000  #: labelled rows learned from, at most: those of least hash of doc_id
 LEXICON = 20_000  #: learned patterns, at most
 CHANCE = 1e-7  #: a pattern is taken if chance gives its labels less often
 PURITY = 0.9  #: least toxic share of the labelled texts that hold a pattern
@@ -179,6 +180,16 @@ def _scale(rows: list[tuple[float, int]]) -> tuple[float, float]:
     return a, b
 
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Label, hash of the longest word, and distinct words of each text."""
+    for b in batches:
+        found = [sorted(set(_WORD.findall(t.lower()))) for t in b.column(1).to_pylist()]
+        like = [xxhash.xxh64_intdigest(max(w, key=lambda x: (len(x), x), default="")) >> 1 for w in found]
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0).cast(pa.int32()), pa.array(like, pa.int64()), pa.array(found, pa.list_(pa.string()))], ["toxic", "like", "words"]
+        )
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """The model of ``docs`` by ``labels`` (doc_id, toxic), from at most ``sample`` rows outside the held-out fold.
 
@@ -194,16 +205,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         .limit(sample)
     )
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null")
-    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}']+"))
-    starts = [F.transform(F.filter(F.col("w"), lambda x, n=n: F.length(x) >= n), lambda x, n=n: F.concat(F.left(x, F.lit(n)), F.lit("*"))) for n in PREFIXES]
-    longest = F.array_max(F.transform("w", lambda x: F.struct(F.length(x), x)))
+    starts = [F.when(F.length("word") >= n, F.concat(F.left("word", F.lit(n)), F.lit("*"))) for n in PREFIXES]
     seen = (
-        rows.select("toxic", words.alias("w"))
-        .select("toxic", F.xxhash64(longest).alias("like"), F.explode(F.array_distinct(F.concat("w", *starts))).alias("pattern"))
+        rows.select("toxic", F.col("text").cast("string"))
+        .mapInArrow(_words, "toxic int, like long, words array<string>")
+        .select("toxic", "like", F.explode("words").alias("word"))
+        .select("toxic", "like", F.explode(F.array("word", *starts)).alias("pattern"))
+        .where("pattern is not null")
         .distinct()
         .groupBy("pattern")
         .agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
-        .where("pos >= 3 and pos > 2 * neg")
+        .where(f"pos >= 3 and pos >= {PURITY} * (pos + neg)")
         .orderBy(F.desc("pos"), "pattern")
         .limit(LEXICON)
         .collect()
