@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from keyloom.llm import decontaminate, langid, licenses, lines, packing, quality, simhash, toxicity, warc
+from keyloom.llm import decontaminate, langid, licenses, lines, packing, pii, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
     "op2_benchmark_decontamination": decontaminate.query,
     "op3_warc_zstd": warc.query,
+    "op4_pii_surrogates": pii.query,
     "op5_license_scan": licenses.query,
     "op6_toxicity": toxicity.query,
     "op7_simhash_near_dedup": simhash.query,
