@@ -1,10 +1,441 @@
-"""Registered queries of the keyed-record engine and their SQL."""
+"""Registered queries of the keyed-record engine and their SQL.
+
+Driver tables stand for dictionaries: PARTS (part: name -> type), DOCS
+(documents: source/lang -> text), PAGES (pages: url -> html, resource paths)
+and CUST (customer: name -> segment). Ids from 0 are the ordinals.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from keyloom.functions import keys as K
+from keyloom.operators import audit, locate, spans
+from keyloom.operators.prefix import div
+from keyloom.plans import catalogue
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def register(sql: str | None):
+    def add(fn: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE_SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def parts(spark: SparkSession, d: str) -> DataFrame:
+    """PARTS with a third of its keys in capitals and a third capitalised, so that exact and normalized matches differ."""
+    p = _table(spark, d, "part")
+    key = F.when(F.col("p_partkey") % 3 == 0, F.upper("p_name")).when(F.col("p_partkey") % 3 == 1, F.initcap("p_name")).otherwise(F.col("p_name"))
+    return p.select(F.col("p_partkey").alias("ordinal"), key.alias("key"), F.col("p_type").alias("text"))
+
+
+_PARTS = "select p_partkey as ordinal, case p_partkey % 3 when 0 then upper(p_name) when 1 then array_to_string(list_transform(string_split(lower(p_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') else p_name end as key, p_type as text from part"
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    t = _table(spark, d, "documents")
+    return t.select(F.col("doc_id").alias("ordinal"), F.concat_ws("/", "source", "lang").alias("key"), "text")
+
+
+_DOCS = "select doc_id as ordinal, source || '/' || lang as key, text from documents"
+
+
+def pages(spark: SparkSession, d: str) -> DataFrame:
+    t = _table(spark, d, "pages")
+    return t.select(F.col("page_id").alias("ordinal"), F.concat(F.lit("\\"), F.replace(F.regexp_replace("url", "^https?://", ""), F.lit("/"), F.lit("\\"))).alias("key"), F.col("html").alias("bytes"))
+
+
+_PAGES = r"select page_id as ordinal, '\' || replace(regexp_replace(url, '^https?://', ''), '/', '\') as key, html as bytes from pages"
+
+
+def customers(spark: SparkSession, d: str) -> DataFrame:
+    t = _table(spark, d, "customer")
+    return t.select(F.col("c_custkey").alias("ordinal"), F.col("c_name").alias("key"), F.col("c_mktsegment").alias("text"))
+
+
+_CUST = "select c_custkey as ordinal, c_name as key, c_mktsegment as text from customer"
+
+
+def _part_queries(spark: SparkSession, d: str) -> DataFrame:
+    """A query for each part name: as it is written for even part keys, in capitals for odd ones, and one that isn't there."""
+    p = _table(spark, d, "part").where("p_partkey % 7 = 0")
+    text = F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).when(F.col("p_partkey") % 5 == 0, F.concat("p_name", F.lit(" missing"))).otherwise(F.upper("p_name"))
+    return locate.batch(p.select(F.col("p_partkey").alias("query_id"), text.alias("query")))
+
+
+_Q = "select p_partkey as query_id, case when p_partkey % 2 = 0 then p_name when p_partkey % 5 = 0 then p_name || ' missing' else upper(p_name) end as query from part where p_partkey % 7 = 0"
+_LOCATE = f"with keys as ({_PARTS}), q as ({_Q}), m as (select query_id, query, ordinal, key = query as raw, text from q join keys on lower(query) = lower(key)), f as (select *, bool_or(raw) over (partition by query_id) as any_raw from m), hits as (select * from f where raw or not any_raw)"
+
+
+# scans ---------------------------------------------------------------------
+
+
+@register(f"select ordinal, key from ({_PARTS})")
+def key_scan(spark, d):
+    return parts(spark, d).select("ordinal", "key")
+
+
+@register(f"select ordinal, key, text from ({_DOCS})")
+def entry_scan(spark, d):
+    return docs(spark, d)
+
+
+@register(f"select ordinal, key, bytes, strlen(bytes)::bigint as len from ({_PAGES})")
+def resource_scan(spark, d):
+    return pages(spark, d).withColumn("len", F.octet_length("bytes").cast("long"))
+
+
+@register("select 'part' as dict_id, count(*)::bigint as entries, count(*) = 0 as is_empty from part union all select 'documents', count(*)::bigint, count(*) = 0 from documents")
+def entry_count(spark, d):
+    def one(name):
+        return _table(spark, d, name).agg(F.lit(name).alias("dict_id"), F.count("*").alias("entries"), (F.count("*") == 0).alias("is_empty")).select("dict_id", "entries", "is_empty")
+
+    return one("part").union(one("documents"))
+
+
+@register(f"select ordinal, lower(regexp_replace(key, '[\\x00-/:-@\\[-`{{-\\x7f]', '', 'g')) as norm_key, strlen(lower(regexp_replace(key, '[\\x00-/:-@\\[-`{{-\\x7f]', '', 'g')))::bigint as norm_len from ({_DOCS})")
+def scan_normalized_keys(spark, d):
+    keys = locate.with_norm(docs(spark, d), strip=True)
+    return keys.select("ordinal", "norm_key", F.octet_length("norm_key").cast("long").alias("norm_len"))
+
+
+@register("select doc_id as ordinal, lower(regexp_replace(text, '[\\x00-/:-@\\[-`{-\\x7f]', '', 'g')) as norm_text from documents")
+def normalize_texts(spark, d):
+    return docs(spark, d).select("ordinal", K.norm_key(F.col("text"), strip=True).alias("norm_text"))
+
+
+# projections and point access ------------------------------------------------
+
+
+@register(f"select ordinal, key from ({_CUST}) where ordinal = 7")
+def key_at(spark, d):
+    return locate.at(customers(spark, d), 7).select("ordinal", "key")
+
+
+@register(f"select ordinal, key, text from ({_DOCS}) where ordinal = 3")
+def entry_at(spark, d):
+    return locate.at(docs(spark, d), 3)
+
+
+@register(f"with p(pos, ordinal) as (values (0::bigint, 5::bigint), (1, 1), (2, 1), (3, 999999999), (4, 0), (5, -1)) select pos, p.ordinal, key from p left join ({_CUST}) k on k.ordinal = p.ordinal")
+def keys_at(spark, d):
+    probes = spark.createDataFrame([(0, 5), (1, 1), (2, 1), (3, 999999999), (4, 0), (5, -1)], "pos long, ordinal long")
+    return locate.keys_at(probes, customers(spark, d))
+
+
+@register(f"with k as ({_CUST}), p as (select o_orderkey as pos, o_custkey * 2 as ordinal from orders) select pos, p.ordinal, key from p left join k on k.ordinal = p.ordinal")
+def keys_at_batch(spark, d):
+    probes = _table(spark, d, "orders").select(F.col("o_orderkey").alias("pos"), (F.col("o_custkey") * 2).alias("ordinal"))
+    return locate.keys_at(probes, customers(spark, d))
+
+
+@register(f"with k as ({_CUST}), n as (select count(*) as n from k) select ordinal, key from k, n where ordinal in (0, n // 2, n - 1)")
+def sample_ordinals(spark, d):
+    keys = customers(spark, d)
+    n = keys.agg(F.count("*").alias("n"))
+    return keys.join(n, F.col("ordinal").isin(F.lit(0), div("n", 2), F.col("n") - 1)).select("ordinal", "key")
+
+
+# lookups ---------------------------------------------------------------------
+
+
+@register(f"{_LOCATE} select q.query_id, q.query, max(case when any_raw then 'RawExact' else 'HeaderNormalized' end) filter (h.ordinal is not null) as basis, count(h.ordinal)::bigint as match_count, min(h.ordinal) as first_ordinal from q left join hits h on h.query_id = q.query_id group by q.query_id, q.query")
+def locate_matches(spark, d):
+    return locate.matches(_part_queries(spark, d), locate.with_norm(parts(spark, d)))
+
+
+@register(f"{_LOCATE} select query_id, query, case when any_raw then 'RawExact' else 'HeaderNormalized' end as basis, ordinal from hits")
+def locate_rows(spark, d):
+    return locate.locate(_part_queries(spark, d), locate.with_norm(parts(spark, d)))
+
+
+@register(f"{_LOCATE}, l as (select query_id, list(ordinal order by ordinal) as o from hits group by query_id) select query_id, o[3] as ordinal from l")
+def nth_match(spark, d):
+    return locate.nth_match(locate.match_lists(_part_queries(spark, d), locate.with_norm(parts(spark, d))), 2)
+
+
+@register(f"{_LOCATE} select query_id, min(ordinal) as ordinal, arg_min(text, ordinal) as text from hits group by query_id")
+def lookup_first(spark, d):
+    keys = locate.with_norm(parts(spark, d))
+    return locate.lookup(_part_queries(spark, d), keys, keys.select("ordinal", "text")).select("query_id", "ordinal", "text")
+
+
+@register(rf"with k as ({_PAGES}), q as (select page_id as query_id, '/' || regexp_replace(url, '^https?://', '') as query from pages where page_id % 3 = 0) select query_id, query, 'HeaderNormalized' as basis, ordinal from q join k on replace(ltrim(query, '/\'), '/', '\') = replace(ltrim(key, '/\'), '/', '\')")
+def lookup_resource_path(spark, d):
+    flags = {"case_sensitive": True, "resource_path": True}
+    p = _table(spark, d, "pages").where("page_id % 3 = 0")
+    queries = p.select(F.col("page_id").alias("query_id"), F.concat(F.lit("/"), F.regexp_replace("url", "^https?://", "")).alias("query"))
+    return locate.locate(locate.batch(queries, **flags), locate.with_norm(pages(spark, d), **flags))
+
+
+@register(f"with k as ({_PAGES}), s as (select *, sum(strlen(bytes)) over (order by ordinal) - strlen(bytes) as st from k) select page_id as query_id, ordinal, st::bigint as record_start, (st + strlen(bytes))::bigint as record_end from pages join s on s.ordinal = page_id where page_id % 4 = 0")
+def lookup_span(spark, d):
+    flags = {"case_sensitive": True, "resource_path": True}
+    keys = locate.with_norm(pages(spark, d), **flags)
+    queries = locate.batch(keys.where("ordinal % 4 = 0").select(F.col("ordinal").alias("query_id"), F.col("key").alias("query")), **flags)
+    return locate.lookup(queries, keys, spans.record_spans(pages(spark, d), "bytes").select("ordinal", "record_start", "record_end")).select("query_id", "ordinal", "record_start", "record_end")
+
+
+@register(f"with k as (select *, row_number() over (order by lower(key), ordinal) - 1 as pos from ({_CUST}) where starts_with(lower(key), 'customer#0000000')) select pos, ordinal, key from k where pos < 25")
+def prefix_keys(spark, d):
+    from pyspark.sql import Window as W
+
+    found = locate.prefix_keys(locate.with_norm(customers(spark, d)), "CUSTOMER#0000000", 25)
+    return found.withColumn("pos", F.row_number().over(W.orderBy("norm_key", "ordinal")).cast("long") - 1).select("pos", "ordinal", "key")
+
+
+# spans and blocks --------------------------------------------------------------
+
+_SPANS = f"s as (select ordinal, key, (sum(strlen(text)) over (order by ordinal) - strlen(text))::bigint as record_start, (sum(strlen(text)) over (order by ordinal))::bigint as record_end, strlen(text)::bigint as len from ({_DOCS}))"
+
+
+@register(f"with {_SPANS} select * from s")
+def record_spans(spark, d):
+    return spans.record_spans(docs(spark, d), "text")
+
+
+@register(f"with {_SPANS} select ordinal, record_start, lead(record_start, 1, (select max(record_end) from s)) over (order by ordinal) as record_end from s")
+def record_ends(spark, d):
+    found = spans.record_spans(docs(spark, d), "text")
+    total = found.agg(F.max("record_end").alias("total"))
+    ends = spans.neighbour(found.select("ordinal", "record_start"), "record_start", "_next")
+    return ends.crossJoin(F.broadcast(total)).select("ordinal", "record_start", F.coalesce("_next", "total").alias("record_end"))
+
+
+@register(f"with {_SPANS}, c as (select ordinal, record_start, record_end, unnest(range(record_start // 4096, (record_end - 1) // 4096 + 1)) as block from s where record_end > record_start) select ordinal, (block - record_start // 4096)::bigint as chunk, block, (greatest(record_start, block * 4096) - block * 4096)::bigint as block_from, (least(record_end, (block + 1) * 4096) - block * 4096)::bigint as block_to from c")
+def span_chunks(spark, d):
+    return spans.chunks(spans.record_spans(docs(spark, d), "text"), 4096)
+
+
+@register(f"with {_SPANS} select record_start // 65536 as block, count(*)::bigint as entries, min(ordinal) as first_ordinal, max(ordinal) as last_ordinal, sum(len)::bigint as decomp_size from s group by 1")
+def record_block_index(spark, d):
+    return spans.record_blocks(spans.record_spans(docs(spark, d), "text"), 65536)
+
+
+@register(f"select ordinal // 100 as block, min(ordinal) as entry_start, count(*)::bigint as entry_count, arg_min(key, ordinal) as first_key, arg_max(key, ordinal) as last_key from ({_PARTS}) group by 1")
+def key_block_index(spark, d):
+    return spans.key_blocks(parts(spark, d), 100)
+
+
+_BLOCKS = f"b as (select ordinal // 50 as block, min(record_start) as decomp_offset, sum(len)::bigint as decomp_size from s group by 1)"
+
+
+@register(f"with {_SPANS}, {_BLOCKS} select ordinal, block, (greatest(record_start, decomp_offset) - decomp_offset)::bigint as block_from, (least(record_end, decomp_offset + decomp_size) - decomp_offset)::bigint as block_to from s join b on record_start < decomp_offset + decomp_size and record_end > decomp_offset where record_end > record_start")
+def span_block_overlap(spark, d):
+    found = spans.record_spans(docs(spark, d), "text")
+    blocks = found.groupBy(div("ordinal", 50).alias("block")).agg(F.min("record_start").alias("decomp_offset"), F.sum("len").alias("decomp_size"))
+    return spans.chunks_of(found, blocks)
+
+
+@register(f"with {_SPANS}, {_BLOCKS} select s.ordinal, block from s join b on record_start >= decomp_offset and record_start < decomp_offset + decomp_size")
+def block_for_offset(spark, d):
+    found = spans.record_spans(docs(spark, d), "text")
+    blocks = found.groupBy(div("ordinal", 50).alias("block")).agg(F.min("record_start").alias("decomp_offset"), F.sum("len").alias("decomp_size"))
+    return spans.block_of(found.select("ordinal", "record_start"), blocks, "record_start", "decomp_offset", "decomp_size").select("ordinal", "block")
+
+
+@register("select doc_id as ordinal, text as payload from documents where strlen(text) > 0")
+def assemble_chunks(spark, d):
+    text = docs(spark, d).where("octet_length(text) > 0")
+    n = F.length("text")
+    pieces = text.select("ordinal", "text", F.posexplode(F.sequence(F.lit(0), div(n.cast("long") - 1, 1000))).alias("chunk", "_i"))
+    return spans.assemble(pieces.select("ordinal", "chunk", F.substr("text", (F.col("_i") * 1000 + 1).cast("int"), F.lit(1000)).alias("data")))
+
+
+# audits ------------------------------------------------------------------------
+
+
+@register(f"with k as ({_PARTS}), g as (select key, count(*) as n from k group by key) select sum(n)::bigint as entries, count(*)::bigint as distinct_keys, count_if(n > 1)::bigint as duplicate_groups, coalesce(sum(n) filter (n > 1), 0)::bigint as duplicate_rows from g")
+def duplicate_groups(spark, d):
+    return audit.duplicate_groups(parts(spark, d))
+
+
+@register(f"select key, string_agg(ordinal::varchar, ',' order by ordinal) as ordinals from ({_PARTS}) group by key")
+def ordinals_by_key(spark, d):
+    return audit.ordinals_by_key(parts(spark, d))
+
+
+@register(f"select key, min(ordinal) as ordinal, count(*)::bigint as group_size from ({_DOCS}) group by key")
+def first_of_group(spark, d):
+    return audit.first_of_group(docs(spark, d))
+
+
+@register(f"select count_if(ordinal <> p + 1)::bigint as violations from (select ordinal, lag(ordinal, 1, -1) over (order by ordinal) as p from ({_PARTS}) where ordinal % 10 <> 4)")
+def contiguity_violations(spark, d):
+    return audit.contiguity_violations(parts(spark, d).where("ordinal % 10 <> 4"))
+
+
+@register("select count_if(v < p)::bigint as violations from (select value as v, lag(value) over (order by event_id) as p from events)")
+def monotonic_violations(spark, d):
+    rows = _table(spark, d, "events").select(F.col("event_id").alias("ordinal"), F.col("value").alias("record_start"))
+    return audit.monotonic_violations(rows)
+
+
+@register(f"select sum(strlen(text))::bigint as payload_bytes, count(*)::bigint as entries from ({_DOCS})")
+def payload_bytes(spark, d):
+    return audit.payload_bytes(docs(spark, d), "text")
+
+
+@register("select sha256(string_agg(l, chr(10) order by l) || chr(10)) as digest from (select c_custkey || chr(9) || c_name as l from customer)")
+def row_set_digest(spark, d):
+    return audit.set_digest(_table(spark, d, "customer"), F.concat_ws("\t", F.col("c_custkey").cast("string"), "c_name"))
+
+
+@register("with a as (select row_number() over (order by doc_id) - 1 as i, doc_id || chr(9) || sha256(text) as l from documents), b as (select i // 4096 as leaf, sha256(string_agg(l, chr(10) order by i)) as s from a group by 1) select sha256(string_agg(s, '' order by leaf)) as digest from b")
+def entry_tree_digest(spark, d):
+    rows = docs(spark, d)
+    return audit.digest_tree(rows, [F.col("ordinal")], F.concat_ws("\t", F.col("ordinal").cast("string"), F.sha2("text", 256)))
+
+
+@register("select doc_id as ordinal, sha256(text) || chr(9) || replace(replace(replace(replace(source || '/' || lang || chr(9) || left(text, 40), '\\', '\\\\'), chr(9), '\\t'), chr(10), '\\n'), chr(13), '\\r') as line from documents")
+def entry_digests(spark, d):
+    rows = docs(spark, d)
+    key = F.concat("key", F.lit("\t"), F.left("text", F.lit(40)))
+    return rows.select("ordinal", F.concat_ws("\t", F.sha2("text", 256), K.escape(key)).alias("line"))
+
+
+@register("with v as (select event_type, list(value order by value) as l, count(*) as n from events where value is not null group by 1) select event_type, n::bigint as n, l[(n - 1) * 50 // 100 + 1] as p50, l[(n - 1) * 95 // 100 + 1] as p95, l[(n - 1) * 99 // 100 + 1] as p99 from v")
+def latency_percentiles(spark, d):
+    return audit.percentiles(_table(spark, d, "events"), "value", ("event_type",))
+
+
+@register("select source as value, count(*)::bigint as count from documents group by 1")
+def tally(spark, d):
+    return audit.tally(_table(spark, d, "documents"), "source")
+
+
+@register("select count_if(quality = 1 and toxic = 1)::bigint as both, count_if(quality = 1 and toxic <> 1)::bigint as first_only, count_if(quality <> 1 and toxic = 1)::bigint as second_only, count_if(quality <> 1 and toxic <> 1)::bigint as neither from labels")
+def agreement_matrix(spark, d):
+    return audit.agreement(_table(spark, d, "labels"), F.col("quality") == 1, F.col("toxic") == 1)
+
+
+@register(f"with k as (select lower(key) as n from ({_PARTS})) select count(*)::bigint as entries, sum(strlen(n))::bigint as text_bytes, (4 * (count(*) + 1))::bigint as bounds_bytes, (4 * count(*))::bigint as order_bytes, (4 * count(*))::bigint as digest_bytes, (sum(strlen(n)) + 12 * count(*) + 4)::bigint as locator_bytes from k")
+def memory_estimate(spark, d):
+    return audit.memory_estimate(locate.with_norm(parts(spark, d)))
+
+
+@register("select doc_id as ordinal, strlen(text)::bigint as bytes from documents where strlen(text) > 8192")
+def limit_violations(spark, d):
+    size = F.octet_length("text").cast("long")
+    return docs(spark, d).where(size > 8192).select("ordinal", size.alias("bytes"))
+
+
+# catalogue -----------------------------------------------------------------------
+
+_FILES = "f as (select url as u, regexp_replace(url, '[?#].*$', '') as url, strlen(html)::bigint as bytes, page_id from pages)"
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    p = _table(spark, d, "pages")
+    url = F.regexp_replace("url", r"[?#].*$", "")
+    path = F.regexp_replace(url, "^https?://[^/]*/", "")
+    return p.select(path.alias("path"), F.when(F.col("page_id") % 2 == 0, "mdx").otherwise("mdd").alias("type"), F.octet_length("html").cast("long").alias("bytes"), url.alias("url"), F.regexp_replace(url, "[^/]*$", "").alias("parent"), "page_id")
+
+
+@register(f"with {_FILES} select page_id, case when regexp_extract(regexp_extract(url, '([^/]*)$', 1), '^.+\\.([^.]+)$', 1) = '' then 'other' else lower(regexp_extract(regexp_extract(url, '([^/]*)$', 1), '^.+\\.([^.]+)$', 1)) end as type from f")
+def file_type_of_url(spark, d):
+    return _files(spark, d).select("page_id", K.file_type(F.col("url")).alias("type"))
+
+
+_VARIANT = "url || case page_id % 6 when 0 then '.mdx' when 1 then '.MDD#x' when 2 then '/a.css?v=1' when 3 then '.js' when 4 then '.zip' else '' end"
+
+
+@register(f"with v as (select page_id, regexp_replace(url, '[?#].*$', '') as url from pages), w as (select page_id, lower(regexp_replace({_VARIANT}, '[?#].*$', '')) as p from v) select page_id, case when p like '%.mdx' then 'mdx' when p like '%.mdd' then 'mdd' when p like '%.css' then 'css' when p like '%.js' then 'javascript' when p like '%.zip' then 'archive' else 'other' end as class from w")
+def url_classification(spark, d):
+    ends = [".mdx", ".MDD#x", "/a.css?v=1", ".js", ".zip"]
+    end = F.lit("")
+    for i, e in reversed(list(enumerate(ends))):
+        end = F.when(F.col("page_id") % 6 == i, e).otherwise(end)
+    return _files(spark, d).select("page_id", K.classify_url(F.concat("url", end)).alias("class"))
+
+
+@register("select page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as href from pages")
+def page_links(spark, d):
+    return _table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("href=\"([^\"]*)\""), F.lit(1))).alias("href"))
+
+
+@register(f"with {_FILES} select left(sha256(url), 24) as id, regexp_replace(url, '^https?://[^/]*/', '') as source_path, bytes as advertised_bytes, 'mdx' as kind, url, 'mdict-org/mdx/' || left(sha256(url), 32) || '.mdx' as local_path from f where page_id % 2 = 0")
+def select_by_type_with_ids(spark, d):
+    return catalogue.select(_files(spark, d), "mdx").select("id", "source_path", "advertised_bytes", "kind", "url", "local_path")
+
+
+@register(f"with {_FILES} select count(*)::bigint as file_count, sum(bytes)::bigint as advertised_bytes, sum(bytes) <= 9007199254740991 as safe from f")
+def inventory_totals(spark, d):
+    return catalogue.inventory_totals(_files(spark, d))
+
+
+@register("select doc_id, source, lang from documents d where doc_id % 3 = 1 and exists (select 1 from documents e where e.doc_id % 3 = 0 and e.doc_id < 40 and e.source = d.source and e.lang = d.lang)")
+def companion_semi_join(spark, d):
+    t = _table(spark, d, "documents")
+    texts = t.where("doc_id % 3 = 0 and doc_id < 40").select(F.concat_ws("/", "source", F.concat("lang", F.lit(".mdx"))).alias("path"))
+    resources = t.where("doc_id % 3 = 1").select("doc_id", "source", "lang", F.concat_ws("/", "source", F.concat("lang", F.lit(".mdd"))).alias("path"), F.col("n_chars").alias("bytes"))
+    return catalogue.companions(resources, texts).select("doc_id", "source", "lang")
+
+
+@register("select lower(p_brand) as basename, count(*)::bigint as files from part group by 1 having count(*) > 1")
+def basename_collisions(spark, d):
+    return catalogue.basename_groups(_table(spark, d, "part").select(F.concat(F.lit("x/"), "p_brand").alias("path")))
+
+
+@register("select d.doc_id from documents d anti join labels l on l.doc_id = d.doc_id")
+def unmatched_documents(spark, d):
+    return _table(spark, d, "documents").join(_table(spark, d, "labels"), "doc_id", "left_anti").select("doc_id")
+
+
+@register("select d.doc_id::varchar as path, case when l.doc_id is null then 'missing' when toxic = 1 then 'acquisition-error' when quality = 1 then 'promoted' else 'excluded' end as status from documents d left join labels l on l.doc_id = d.doc_id")
+def promote_outcomes(spark, d):
+    draft = _table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"))
+    outcomes = _table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("path"), (F.col("quality") == 1).alias("ok"), (F.col("toxic") != 1).alias("acquired"), F.lit(None).cast("string").alias("error"))
+    return catalogue.promote(draft, outcomes).select("path", "status")
+
+
+@register("with a as (select doc_id::varchar as path, source, lang from documents where doc_id % 5 <> 0), b as (select doc_id::varchar as path, source, case when doc_id % 7 = 0 then 'xx' else lang end as lang from documents where doc_id % 3 <> 0) select coalesce(a.path, b.path) as path, case when a.path is null then 'outcomes only' when b.path is null then 'lock only' else 'differs' end as side from a full join b on a.path = b.path where a.path is null or b.path is null or a.source is distinct from b.source or a.lang is distinct from b.lang")
+def promotion_pair_check(spark, d):
+    t = _table(spark, d, "documents").withColumn("path", F.col("doc_id").cast("string"))
+    other = t.where("doc_id % 3 <> 0").withColumn("lang", F.when(F.col("doc_id") % 7 == 0, "xx").otherwise(F.col("lang")))
+    return catalogue.pair_violations(t.where("doc_id % 5 <> 0"), other, ["source", "lang"])
+
+
+@register("with a as (select doc_id::varchar as path from documents where doc_id % 5 <> 0), b as (select doc_id::varchar as path from labels) select path, 'lock' as side from a where path not in (select path from b) union all select path, 'audit' from b where path not in (select path from a)")
+def baseline_differences(spark, d):
+    lock = _table(spark, d, "documents").where("doc_id % 5 <> 0").select(F.col("doc_id").cast("string").alias("path"), F.lit("").alias("keySha256"), F.lit("").alias("payloadSha256"))
+    found = _table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("path"), F.lit("").alias("key_sha256"), F.lit("").alias("payload_sha256"), F.lit(0).alias("entries"))
+    return catalogue.baseline_merge(lock, found)[1]
+
+
+@register("select count_if(quality = 1)::bigint as passed, count_if(quality <> 1)::bigint as failed, coalesce(sum(doc_id) filter (quality = 1), 0)::bigint as entries, bool_and(quality = 1) as complete_success from labels")
+def audit_summary(spark, d):
+    rows = _table(spark, d, "labels").select(F.when(F.col("quality") == 1, "passed").otherwise("failed").alias("status"), F.col("doc_id").alias("entries"))
+    return catalogue.audit_summary(rows)
+
+
+@register("with s as (select l_orderkey, string_agg(distinct l_returnflag, ',' order by l_returnflag) as tags from lineitem group by 1) select tags, count(*)::bigint as artifacts from s group by 1")
+def compression_strata(spark, d):
+    return catalogue.compression_strata(_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_returnflag").alias("tag")))
+
+
+@register("with p as (select p_partkey, p_size::bigint as bytes, lpad(p_partkey::varchar, 9, '0') as path from part), r as (select *, sum(bytes) over (order by bytes, path rows unbounded preceding) - bytes as before from p) select path, bytes, before::bigint as before, before + bytes <= 20000 as fits from r")
+def acquisition_budget(spark, d):
+    rows = _table(spark, d, "part").select(F.col("p_size").cast("long").alias("bytes"), F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("path"))
+    return catalogue.within_budget(rows, 20000).select("path", "bytes", "before", "fits")
+
+
+@register("with e as (select p_name as title, 'https://x.example/' || (p_partkey % 40) as info, 'https://d.example/' || (p_partkey % 25) || '.mdx' as down from part), b as (select info as url, 'info' as role, title, info as i, down as w from e union all select down, 'download', title, info, down from e) select url, string_agg(distinct role, ',' order by role) as roles, case when url like '%.mdx' then 'mdx' else 'other' end as classification, left(sha256(url), 16) as id, count(distinct title || i || w)::bigint as candidates from b group by url")
+def url_references(spark, d):
+    p = _table(spark, d, "part")
+    down = F.concat(F.lit("https://D.example/"), (F.col("p_partkey") % 25).cast("string"), F.lit(".mdx#part"))
+    rows = p.select(F.col("p_name").alias("title"), F.lit("MDX").alias("type"), F.concat(F.lit("https://x.example/"), (F.col("p_partkey") % 40).cast("string"), F.lit("#top")).alias("url"), F.lit(True).alias("downloadable"), F.array(down).alias("downloadUrls"))
+    urls = catalogue.import_candidates(rows)[1]
+    return urls.select("url", F.array_join("roles", ",").alias("roles"), "classification", "id", F.size("references").cast("long").alias("candidates"))
