@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from keyloom.functions.plain import normalize  # noqa: F401
+
+
 
 def norm_key(key: Column, case_sensitive: bool = False, strip: bool = False, resource_path: bool = False) -> Column:
     """The normal form under which keys are looked up.
@@ -24,17 +27,6 @@ def norm_key(key: Column, case_sensitive: bool = False, strip: bool = False, res
     return F.when(key.contains("Σ"), each).otherwise(F.lower(key))
 
 
-def normalize(raw: str, case_sensitive: bool = False, strip: bool = False, resource_path: bool = False) -> str:
-    """:func:`norm_key` of one string."""
-    if resource_path:
-        raw = raw.lstrip("/\\")
-    if strip:
-        raw = "".join(c for c in raw if not c.isascii() or c.isalnum())
-    if resource_path:
-        raw = raw.replace("/", "\\")
-    return raw if case_sensitive else "".join(c.lower() for c in raw)
-
-
 def trim_nuls(text: Column) -> Column:
     """Text without its trailing NULs."""
     return F.regexp_replace(text, "\\x00+$", "")

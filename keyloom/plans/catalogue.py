@@ -78,7 +78,8 @@ def crawl(pages: DataFrame, root: str, most_pages: int = 100_000) -> tuple[DataF
     seen before; files are (path, type, bytes, url, parent).
     """
     spark = pages.sparkSession
-    rows = page_rows(pages).withColumn("child", F.concat("url", "href")).persist()
+    inside = ~F.col("href").rlike(r"^(\.|/|[A-Za-z][A-Za-z0-9+.-]*:)|/\.\.?(/|$)")
+    rows = page_rows(pages).where(inside).withColumn("child", F.concat("url", "href")).persist()
     seen = spark.createDataFrame([(root,)], "url string")
     frontier, count = seen, 1
     while True:
