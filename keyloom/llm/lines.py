@@ -5,6 +5,10 @@ cut into bands, and lines that share a band are verified by exact Jaccard
 similarity; distributed union-find makes components of the links, and of every
 component the first line (smallest doc_id, then line number) stays.
 
+Texts stay where they are: what is shuffled are ids, places and signatures.
+Lines that share a band are first held against each other by one bit of each
+of their minima; only lines with a partner by that are read again and verified.
+
 A band that very many lines share is dealt out as pairs of blocks, so no task
 gets more than two blocks, and each task returns a forest, never its pairs.
 """
@@ -15,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from keyloom.llm.common import materialize
 from keyloom.llm.graph import EDGES, Forest, components
@@ -25,6 +29,10 @@ SIMILARITY = 0.8
 ROWS, BANDS = 5, 12  #: a pair at 0.8 shares a band with probability 0.991, at 0.85 with 0.999
 MIN_CHARS = 20  #: shorter lines always stay
 BLOCK = 4096
+BITS_APART = 15  #: of the 60 bits of two sketches, at most; a pair at 0.8 is further apart with probability 0.0001
+BLOOM_WORDS = 1 << 20  #: longs of the filters sent to tasks, whatever the corpus holds; a full one only filters less
+SEEN = 200_000  #: lines that a task remembers to have signed
+SKETCHES = "_sketch long, " + ", ".join(f"_b{i} long" for i in range(BANDS // 2))
 _LAST = (1 << 63) - 1
 _rng = np.random.default_rng(20)
 _XOR = _rng.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32)
@@ -52,9 +60,10 @@ def _shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return short[use], np.concatenate(([0], np.cumsum(sizes - SHINGLE + 1)[:-1]))
 
 
-def band_keys(lines: list[str]) -> np.ndarray:
-    """BANDS keys of every line: the band's number above 32 bits of its minima's hash."""
-    out = np.empty((len(lines), BANDS), np.int64)
+def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of every line: a sketch (one bit of each minimum) and the BANDS 32-bit hashes of its bands."""
+    bands = np.empty((len(lines), BANDS), np.uint32)
+    sketches = np.zeros(len(lines), np.int64)
     at = 0
     while at < len(lines):
         end, size = at, 0
@@ -68,22 +77,49 @@ def band_keys(lines: list[str]) -> np.ndarray:
             np.bitwise_xor(h, _XOR[k], out=scratch)
             np.multiply(scratch, _MUL[k], out=scratch)
             minima[k] = np.minimum.reduceat(scratch, starts)
+            bit = (minima[k] * np.uint32(0x9E3779B1)) >> np.uint32(31)
+            sketches[at:end] |= bit.astype(np.int64) << k
         for band in range(BANDS):
             key = np.zeros(end - at, np.uint64)
             for m in minima[band * ROWS : (band + 1) * ROWS]:
                 key = (key ^ m) * np.uint64(0x9E3779B97F4A7C15)
                 key ^= key >> np.uint64(32)
-            out[at:end, band] = (band << 32) | (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            bands[at:end, band] = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         at = end
-    return out
+    return sketches, bands
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, norm, doc, th, no) with the sketch for the norm, and the bands where the task meets the line first."""
+    seen: set[int] = set()
+    names = ["_id", "_doc", "_th", "_no", "_sketch", *(f"_b{i}" for i in range(BANDS // 2))]
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ids = b.column(0).to_pylist()
+        if len(seen) > SEEN:
+            seen.clear()
+        new, rows = [], []
+        for row, ident in enumerate(ids):
+            if ident not in seen:
+                seen.add(ident)
+                new.append(row)
+            rows.append(len(new) - 1 if new and new[-1] == row else -1)
+        index = pa.array([r if r >= 0 else None for r in rows], pa.int64())
+        sketches, bands = signatures(b.column(1).take(pa.array(new, pa.int64())).to_pylist())
+        packed = np.ascontiguousarray(bands).view(np.int64).reshape(len(new), BANDS // 2)
+        given = [pa.array(x).take(index) for x in (sketches, *(np.ascontiguousarray(c) for c in packed.T))]
+        yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], *given], names)
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, id) of every band: the band's number above its 32 bits."""
+    number = np.arange(BANDS, dtype=np.int64) << 32
     for b in batches:
         if b.num_rows:
-            keys = band_keys(b.column(1).to_pylist())
-            ids = np.repeat(b.column(0).to_numpy(zero_copy_only=False), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], ["key", "id"])
+            packed = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[1:]], axis=1)
+            keys = np.ascontiguousarray(packed).view(np.uint32).reshape(b.num_rows, BANDS).astype(np.int64) | number
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), BANDS))], ["key", "id"])
 
 
 def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,53 +195,114 @@ def link_lines(rows: list[tuple[int, str]], links: Forest, least: float = SIMILA
             every.update(others)
 
 
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, low, high, id, sketch) sorted by the first three: those with a partner by sketch, as (part, id).
+
+    A part holds what may be linked within one bucket; its number is a hash of
+    the bucket and its smallest id, and equal numbers only mean more to verify.
+    """
+    held, rows = None, []
+
+    def close() -> Iterator[pa.RecordBatch]:
+        if len(rows) < 2:
+            return
+        ids, sketches = (np.array(c, np.int64) for c in zip(*rows, strict=True))
+        ids, at = np.unique(ids, return_index=True)
+        own, forest = sketches[at], Forest()
+        for i in range(0, len(ids), 512):
+            apart = np.bitwise_count(own[i : i + 512, None] ^ own[None, :]) <= BITS_APART
+            for x, y in np.argwhere(apart).tolist():
+                if i + x < y:
+                    forest.union(int(ids[i + x]), int(ids[y]))
+        members = sorted({*forest.up, *map(forest.find, forest.up)})
+        if members:
+            seed = hash(held) & 0xFFFFFFFF
+            part = [(forest.find(x) * 0x9E3779B97F4A7C15 ^ seed * 0xBF58476D1CE4E5B9) & _LAST for x in members]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(members, pa.int64())], ["part", "id"])
+
+    for b in batches:
+        for key, low, high, ident, sketch in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if held != (key, low, high):
+                yield from close()
+                held, rows = (key, low, high), []
+            rows.append((ident, sketch))
+    yield from close()
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of one task's buckets; rows (key, low, high, id, line) sorted by the first three."""
-    links, bucket, rows = Forest(), None, []
+    """Links of one task's parts; rows (part, id, line) sorted by part."""
+    links, held, rows = Forest(), None, []
     for b in batches:
-        for key, low, high, ident, line in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if bucket != (key, low, high):
+        for part, ident, line in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if held != part:
                 link_lines(rows, links)
-                bucket, rows = (key, low, high), []
+                held, rows = part, []
             rows.append((ident, line))
     link_lines(rows, links)
     yield from links.batches()
 
 
+def bloom(df: DataFrame, column: str) -> np.ndarray:
+    """A bit set of BLOOM_WORDS longs that holds the column's hashes (64-bit numbers)."""
+    word = F.col(column).bitwiseAND(F.lit(BLOOM_WORDS - 1))
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, 40) & 63 as int))")
+    rows = df.select(word.cast("int").alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
+    out = np.zeros(BLOOM_WORDS, np.int64)
+    for r in rows:
+        out[r["w"]] = r["b"]
+    return out
+
+
+def _filtered(df: DataFrame, column: str, bits: np.ndarray, within: bool) -> DataFrame:
+    """Rows of ``df`` whose hash the bit set may hold, or those whose hash it doesn't hold."""
+    given, place = df.sparkSession.sparkContext.broadcast(bits), df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = b.column(place).to_numpy(zero_copy_only=False)
+            at = (h.view(np.uint64) >> np.uint64(40)) & np.uint64(63)
+            hit = (given.value[h & (BLOOM_WORDS - 1)].view(np.uint64) >> at) & np.uint64(1) != 0
+            yield b.filter(pa.array(hit == within))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``_id, _norm, _doc, _th, _no``: lines that take part; the id is a 64-bit hash of the trimmed, lower-cased line."""
     text = F.col("text").cast("string")
     norm = F.lower(F.trim("_line"))
     return (
-        docs.select(F.coalesce(F.col("doc_id"), F.lit(_LAST)).alias("_doc"), F.xxhash64(text).alias("_th"), F.posexplode(F.split(text, "\n")).alias("_no", "_line"))
+        docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("_doc"), F.xxhash64(text).alias("_th"), F.posexplode(F.split(text, "\n")).alias("_no", "_line"))
         .where(F.length("_line") >= min_chars)
         .select(F.xxhash64(norm).alias("_id"), norm.alias("_norm"), "_doc", "_th", "_no")
         .where(F.length("_norm") >= min_chars)
     )
 
 
-def _before(a: Column, b: Column) -> Column:
-    return ~a.eqNullSafe(b)
-
-
-def line_classes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_classes(docs: DataFrame, met: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``_id, _keep_doc, _keep_th, _keep_no`` of every line met twice or similar to another: the place that stays."""
     place = F.struct("_doc", "_th", "_no")
     distinct = materialize(
-        occurrences(docs, min_chars).groupBy("_id").agg(F.first("_norm").alias("_norm"), F.min(place).alias("_at"), F.count("*").alias("_n")),
-        "lines",
+        met.groupBy("_id").agg(F.min(place).alias("_at"), F.max("_sketch").alias("_sketch"), F.count("*").alias("_n")), "lines"
     )
+    signed = met.where("_b0 is not null").select("_id", *[f"_b{i}" for i in range(BANDS // 2)])
     crowded = materialize(
-        distinct.select("_id", "_norm").mapInArrow(_sign, "key long, id long").repartition("key").sortWithinPartitions("key")
+        signed.mapInArrow(_unpack, "key long, id long").repartition("key").sortWithinPartitions("key")
         .mapInArrow(_crowded, "key long, id long, block int, blocks int"),
         "bands",
     )
     dealt = crowded.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "key", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"), "id"
     )
-    pairs = dealt.join(distinct.select(F.col("_id").alias("id"), "_norm"), "id").select("key", "low", "high", "id", "_norm")
-    edges = pairs.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(_verify, EDGES)
-    roots = components(edges, "lines")
+    sketched = dealt.join(distinct.select(F.col("_id").alias("id"), "_sketch"), "id").select("key", "low", "high", "id", "_sketch")
+    near = materialize(
+        sketched.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(_near, "part long, id long").distinct(),
+        "near",
+    )
+    lines = _filtered(occurrences(docs, min_chars).select("_id", "_norm"), "_id", bloom(near, "id"), True)
+    lines = materialize(lines.groupBy(F.col("_id").alias("id")).agg(F.first("_norm").alias("_norm")), "texts")
+    pairs = near.join(lines, "id").select("part", "id", "_norm")
+    roots = components(pairs.repartition("part").sortWithinPartitions("part").mapInArrow(_verify, EDGES), "lines")
     roots = roots.union(roots.select("root", "root").distinct())
     rooted = materialize(
         distinct.select("_id", "_at", "_n").join(roots, distinct["_id"] == roots["node"], "left")
@@ -226,25 +323,31 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     doc_id come last in the order that decides which line stays. A null text
     stays null with no lines. Other columns are passed on.
     """
-    classes = line_classes(docs, min_chars)
-    met = occurrences(docs, min_chars).drop("_norm")
+    met = occurrences(docs, min_chars).mapInArrow(_sign, f"_id long, _doc long, _th long, _no int, {SKETCHES}")
+    met = materialize(met, "met")
+    classes = line_classes(docs, met, min_chars)
     gone = (
-        met.join(classes, "_id")
-        .where(_before(F.col("_doc"), F.col("_keep_doc")) | _before(F.col("_th"), F.col("_keep_th")) | _before(F.col("_no"), F.col("_keep_no")))
+        met.select("_id", "_doc", "_th", "_no")
+        .join(classes, "_id")
+        .where((F.col("_doc") != F.col("_keep_doc")) | (F.col("_th") != F.col("_keep_th")) | (F.col("_no") != F.col("_keep_no")))
         .groupBy(F.col("_doc").alias("_gone_doc"), F.col("_th").alias("_gone_th"))
         .agg(F.collect_set("_no").alias("_gone"))
     )
-    gone = materialize(gone, "gone")
+    gone = materialize(gone.withColumn("_key", F.xxhash64("_gone_doc", "_gone_th")), "gone")
     text = F.col("text").cast("string")
-    keyed = docs.withColumns({"_doc": F.coalesce(F.col("doc_id"), F.lit(_LAST)), "_th": F.xxhash64(text)})
-    joined = keyed.join(gone, (keyed["_doc"] == gone["_gone_doc"]) & (keyed["_th"] == gone["_gone_th"]), "left")
+    keyed = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "_th": F.xxhash64(text)})
+    keyed = keyed.withColumn("_key", F.xxhash64("_doc", "_th"))
+    bits = bloom(gone, "_key")
     lines = F.split(text, "\n")
+    total = F.coalesce(F.size(lines), F.lit(0)).cast("long")
+    whole = _filtered(keyed, "_key", bits, False).withColumns({"text": text, "_lines": total, "_removed": F.lit(0).cast("long")})
+    cut = _filtered(keyed, "_key", bits, True).drop("_key").join(gone.drop("_key"), (F.col("_doc") == F.col("_gone_doc")) & (F.col("_th") == F.col("_gone_th")), "left")
     kept = F.when(F.col("_gone").isNull(), text).otherwise(
         F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
     )
-    return joined.withColumns(
-        {"text": kept, "_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}
-    ).select(*docs.columns, "_lines", "_removed")
+    cut = cut.withColumns({"text": kept, "_lines": total, "_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")})
+    columns = [*docs.columns, "_lines", "_removed"]
+    return whole.select(*columns).union(cut.select(*columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
