@@ -195,38 +195,72 @@ def link_lines(rows: list[tuple[int, str]], links: Forest, least: float = SIMILA
             every.update(others)
 
 
+def _part(members: np.ndarray) -> np.ndarray:
+    """A number for each row of ascending ids, the same wherever the same ids meet; equal numbers only mean more to verify."""
+    h = np.full(len(members), members.shape[1], np.uint64)
+    for column in members.T:
+        h = (h ^ column.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    return (h >> np.uint64(1)).view(np.int64)
+
+
+def _components(ids: np.ndarray, sketches: np.ndarray) -> list[np.ndarray]:
+    """Ascending ids of what the sketches connect, two or more each."""
+    forest = Forest()
+    for i in range(0, len(ids), 512):
+        apart = np.bitwise_count(sketches[i : i + 512, None] ^ sketches[None, :]) <= BITS_APART
+        for x, y in np.argwhere(apart).tolist():
+            if i + x < y:
+                forest.union(int(ids[i + x]), int(ids[y]))
+    parts: dict[int, list[int]] = {}
+    for x in forest.up:
+        parts.setdefault(forest.find(x), []).append(x)
+    return [np.array(sorted({root, *own}), np.int64) for root, own in parts.items()]
+
+
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, low, high, id, sketch) sorted by the first three: those with a partner by sketch, as (part, id).
+    """Rows (key, low, high, id, sketch) sorted by the first four: those with a partner by sketch, as (part, id).
 
-    A part holds what may be linked within one bucket; its number is a hash of
-    the bucket and its smallest id, and equal numbers only mean more to verify.
+    A part is what may be linked within one bucket. Its number depends on its
+    ids alone, so lines that share many bands are verified once.
     """
-    held, rows = None, []
-
-    def close() -> Iterator[pa.RecordBatch]:
-        if len(rows) < 2:
-            return
-        ids, sketches = (np.array(c, np.int64) for c in zip(*rows, strict=True))
-        ids, at = np.unique(ids, return_index=True)
-        own, forest = sketches[at], Forest()
-        for i in range(0, len(ids), 512):
-            apart = np.bitwise_count(own[i : i + 512, None] ^ own[None, :]) <= BITS_APART
-            for x, y in np.argwhere(apart).tolist():
-                if i + x < y:
-                    forest.union(int(ids[i + x]), int(ids[y]))
-        members = sorted({*forest.up, *map(forest.find, forest.up)})
-        if members:
-            seed = hash(held) & 0xFFFFFFFF
-            part = [(forest.find(x) * 0x9E3779B97F4A7C15 ^ seed * 0xBF58476D1CE4E5B9) & _LAST for x in members]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(members, pa.int64())], ["part", "id"])
+    held: list[np.ndarray] | None = None
+
+    def rows(columns: list[np.ndarray], closed: bool) -> tuple[list[pa.RecordBatch], list[np.ndarray] | None]:
+        bucket = columns[:3]
+        cut = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in bucket])) + 1
+        first, last = np.concatenate(([0], cut)), np.concatenate((cut, [len(columns[0])]))
+        rest = None
+        if not closed:
+            rest = [c[first[-1] :].copy() for c in columns]
+            first, last = first[:-1], last[:-1]
+        ids, sketches = columns[3], columns[4]
+        parts, members = [], []
+        two = first[last - first == 2]
+        two = two[(np.bitwise_count(sketches[two] ^ sketches[two + 1]) <= BITS_APART) & (ids[two] != ids[two + 1])]
+        if len(two):
+            pairs = np.sort(np.stack([ids[two], ids[two + 1]], axis=1), axis=1)
+            parts.append(np.repeat(_part(pairs), 2))
+            members.append(pairs.ravel())
+        for a, b in zip(*(x[last - first > 2].tolist() for x in (first, last)), strict=True):
+            own, at = np.unique(ids[a:b], return_index=True)
+            for found in _components(own, sketches[a:b][at]):
+                parts.append(np.repeat(_part(found[None, :]), len(found)))
+                members.append(found)
+        if not parts:
+            return [], rest
+        return [pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.concatenate(members))], ["part", "id"])], rest
 
     for b in batches:
-        for key, low, high, ident, sketch in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if held != (key, low, high):
-                yield from close()
-                held, rows = (key, low, high), []
-            rows.append((ident, sketch))
-    yield from close()
+        if not b.num_rows:
+            continue
+        columns = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        if held is not None:
+            columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
+        made, held = rows(columns, False)
+        yield from made
+    if held is not None:
+        yield from rows(held, True)[0]
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
