@@ -52,7 +52,7 @@ PATTERNS: dict[str, re.Pattern[str]] = {
     "ssn": re.compile(r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])"),
     "phone": re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3}[ .-]?\d{3,4}(?![\w-])"),
 }
-_TITLED = re.compile(rf"\b({'|'.join(TITLES)})\b\.? ({_NAME})(?: ({_NAME}))?", re.I)
+_TITLED = re.compile(rf"\b((?i:{'|'.join(TITLES)}))\b\.? ({_NAME})(?: ({_NAME}))?")
 _FULL = re.compile(rf"\b({_NAME}) ({_NAME})\b")
 
 

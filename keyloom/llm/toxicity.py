@@ -181,10 +181,10 @@ def _scale(rows: list[tuple[float, int]]) -> tuple[float, float]:
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Label, hash of the longest word, and distinct words of each text."""
+    """Label, hash of the three longest words, and distinct words of each text."""
     for b in batches:
         found = [sorted(set(_WORD.findall(t.lower()))) for t in b.column(1).to_pylist()]
-        like = [xxhash.xxh64_intdigest(max(w, key=lambda x: (len(x), x), default="")) >> 1 for w in found]
+        like = [xxhash.xxh64_intdigest(" ".join(sorted(w, key=lambda x: (-len(x), x))[:3])) >> 1 for w in found]
         yield pa.RecordBatch.from_arrays(
             [b.column(0).cast(pa.int32()), pa.array(like, pa.int64()), pa.array(found, pa.list_(pa.string()))], ["toxic", "like", "words"]
         )
@@ -193,7 +193,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """The model of ``docs`` by ``labels`` (doc_id, toxic), from at most ``sample`` rows outside the held-out fold.
 
-    Texts with the same longest word count once for a pattern, so that copies
+    Texts with the same three longest words count once for a pattern, so that copies
     of one text don't make its words look toxic.
     """
     chosen = (
