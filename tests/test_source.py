@@ -85,3 +85,33 @@ def test_sinks(spark, files, tmp_path):
     assert key == want and len(body) == 64
     assert sinks.stable_json({"b": 1, "a": "é"}) == '{\n  "a": "é",\n  "b": 1\n}\n'
     assert sinks.facts_lines([("k", "a\tb", 1, 2, "s")]).endswith("k\ta b\t1\t2\ts\n")
+
+
+def test_artifact_audit(spark, files):
+    from keyloom.plans import artifacts, catalogue
+
+    rows = spark.createDataFrame([(f"{files}/{n}", n[-3:]) for n in ("a.mdx", "b.mdx", "c.mdd", "bad.mdx")], "path string, kind string")
+    found = {r.path.rsplit("/", 1)[1]: r for r in artifacts.audit(rows).collect()}
+    assert {k: r.status for k, r in found.items()} == {"a.mdx": "passed", "b.mdx": "passed", "c.mdd": "passed", "bad.mdx": "failed"}
+    assert found["bad.mdx"].error_class == "ChecksumMismatch" and found["a.mdx"].tags == "lzo,zlib"
+    entries = spark.read.format("mdx").load(f"{files}/a.mdx").orderBy("ordinal")
+    key, body = audit.ordered_digest(((r.ordinal, r.key, r.text) for r in entries.toLocalIterator()), True)
+    assert (found["a.mdx"].key_sha256, found["a.mdx"].payload_sha256, found["a.mdx"].payload_bytes) == (key, body, 12)
+    s = catalogue.audit_summary(artifacts.audit(rows)).first()
+    assert (s.passed, s.failed, s.entries, s.complete_success) == (3, 1, 14, False)
+    lines_ = {r.path[-5:]: r.key_sha256 for r in artifacts.audit(rows, protocol="lines").collect()}
+    assert lines_["a.mdx"] == audit.line_digest([(k, v) for k, v in G15], "mdx")[0]
+    g = artifacts.group_facts(spark.read.format("mdx").option("columns", "keys").load(f"{files}/a.mdx")).first()
+    assert (g.entries, g.distinct_keys, g.duplicate_groups) == (6, 5, 1)
+    assert [r.text for r in artifacts.preview(entries, 2, 1).collect()] == ["A", "1"]
+    low = catalogue.error_category(F.lit("Unsupported"), F.lit("required engine version"))
+    assert spark.range(1).select(low.alias("x")).first().x == "version"
+
+
+def test_arriving_files(spark, files, tmp_path):
+    from keyloom.streaming.ingest import arriving_keys
+
+    query = arriving_keys(spark, str(files), "mdx").writeStream.format("memory").queryName("arrived").option("checkpointLocation", str(tmp_path)).trigger(availableNow=True).start()
+    query.awaitTermination(60)
+    got = spark.table("arrived").groupBy("dict_id").count().collect()
+    assert sorted(r["count"] for r in got) == [2, 5, 6]
