@@ -144,8 +144,7 @@ def keys_at_batch(spark, d):
 @register(f"with k as ({_CUST}), n as (select count(*) as n from k) select ordinal, key from k, n where ordinal in (0, n // 2, n - 1)")
 def sample_ordinals(spark, d):
     keys = customers(spark, d)
-    n = keys.agg(F.count("*").alias("n"))
-    return keys.join(n, F.col("ordinal").isin(F.lit(0), div("n", 2), F.col("n") - 1)).select("ordinal", "key")
+    return locate.sample(keys, keys.count()).select("ordinal", "key")
 
 
 # lookups ---------------------------------------------------------------------
@@ -209,9 +208,8 @@ def record_spans(spark, d):
 @register(f"with {_SPANS} select ordinal, record_start, lead(record_start, 1, (select max(record_end) from s)) over (order by ordinal) as record_end from s")
 def record_ends(spark, d):
     found = spans.record_spans(docs(spark, d), "text")
-    total = found.agg(F.max("record_end").alias("total"))
-    ends = spans.neighbour(found.select("ordinal", "record_start"), "record_start", "_next")
-    return ends.crossJoin(F.broadcast(total)).select("ordinal", "record_start", F.coalesce("_next", "total").alias("record_end"))
+    total = found.agg(F.max("record_end")).first()[0] or 0
+    return spans.record_ends(found.select("ordinal", "record_start"), total)
 
 
 @register(f"with {_SPANS}, c as (select ordinal, record_start, record_end, unnest(range(record_start // 4096, (record_end - 1) // 4096 + 1)) as block from s where record_end > record_start) select ordinal, (block - record_start // 4096)::bigint as chunk, block, (greatest(record_start, block * 4096) - block * 4096)::bigint as block_from, (least(record_end, (block + 1) * 4096) - block * 4096)::bigint as block_to from c")
