@@ -51,12 +51,13 @@ def row_digest(parts: list[Column]) -> Column:
     return F.concat_ws("\t", *parts)
 
 
-def set_digest(rows: DataFrame, line: Column) -> DataFrame:
-    """One row ``digest``: SHA-256 of the sorted lines, each ended by a line break.
+def set_digest(rows: DataFrame, line: Column, order: Column | None = None) -> DataFrame:
+    """One row ``digest``: SHA-256 of the lines by ``order`` (their own, if not given), each ended by a line break.
 
     For catalogues, whose lines fit a row; :func:`ordered_digest` streams.
     """
-    lines = rows.select(line.alias("line")).agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    own = rows.select(F.struct((line if order is None else order).alias("order"), line.alias("line")).alias("x"))
+    lines = own.agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["line"]).alias("lines"))
     return lines.select(F.sha2(F.concat(F.array_join("lines", "\n"), F.when(F.size("lines") > 0, "\n").otherwise("")), 256).alias("digest"))
 
 

@@ -10,6 +10,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from keyloom.functions.keys import canonical_url, classify_url, decoded_path, directory, file_type, public_https, relative_path_ok, stem, url_id
+from keyloom.operators import audit
 
 INVENTORY = "path string, type string, bytes long, url string, parent string"
 REVIEW = "struct<status:string,testingAllowed:boolean,redistributionAllowed:boolean,license:string,licenseUrl:string,reviewedBy:string,reviewedAt:string,notes:string>"
@@ -101,9 +102,14 @@ def inventory_totals(files: DataFrame) -> DataFrame:
     return files.agg(F.count("*").alias("file_count"), F.sum("bytes").alias("advertised_bytes"), (F.coalesce(F.sum("bytes"), F.lit(0)) <= SAFE_INTEGER).alias("safe"))
 
 
-def listing_lines(files: DataFrame) -> DataFrame:
-    """Lines of the listing fingerprint: bytes, tab, URL, by URL."""
-    return files.select(F.concat_ws("\t", F.col("bytes").cast("string"), "url").alias("line"), "url")
+def listing_fingerprint(files: DataFrame) -> DataFrame:
+    """One row ``digest`` of a listing: bytes, tab, URL, in the order of URLs."""
+    return audit.set_digest(files, F.concat_ws("\t", F.col("bytes").cast("string"), "url"), F.col("url"))
+
+
+def denominator_digest(artifacts: DataFrame) -> DataFrame:
+    """One row ``digest`` of what was audited: SHA-256, bytes, source path, in the order of paths."""
+    return audit.set_digest(artifacts, F.concat_ws("\t", "sha256", F.col("bytes").cast("string"), "sourcePath"), F.col("sourcePath"))
 
 
 # selection -----------------------------------------------------------------
@@ -247,11 +253,11 @@ def major_version_exclusions(results: DataFrame) -> DataFrame:
 # baselines and audits --------------------------------------------------------
 
 
-def baseline_merge(lock: DataFrame, audit: DataFrame) -> tuple[DataFrame, DataFrame]:
+def baseline_merge(lock: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lock artifacts with the audit's digests, and the paths that only one side has."""
-    a, b = lock.select("path"), audit.select("path")
+    a, b = lock.select("path"), found.select("path")
     lonely = a.join(b, "path", "left_anti").withColumn("side", F.lit("lock")).union(b.join(a, "path", "left_anti").withColumn("side", F.lit("audit")))
-    return lock.drop("keySha256", "payloadSha256").join(audit.select("path", F.col("key_sha256").alias("keySha256"), F.col("payload_sha256").alias("payloadSha256"), F.col("entries").alias("observedEntries")), "path"), lonely
+    return lock.drop("keySha256", "payloadSha256").join(found.select("path", F.col("key_sha256").alias("keySha256"), F.col("payload_sha256").alias("payloadSha256"), F.col("entries").alias("observedEntries")), "path"), lonely
 
 
 def zip_violations(denominator: DataFrame, outcomes: DataFrame, fields: list[str]) -> DataFrame:

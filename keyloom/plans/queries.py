@@ -374,6 +374,18 @@ def inventory_totals(spark, d):
     return catalogue.inventory_totals(_files(spark, d))
 
 
+@register(f"with {_FILES}, g as (select distinct url, max(bytes) as bytes from f group by url) select sha256(string_agg(bytes || chr(9) || url, chr(10) order by url) || chr(10)) as digest from g")
+def listing_fingerprint(spark, d):
+    return catalogue.listing_fingerprint(_files(spark, d).groupBy("url").agg(F.max("bytes").alias("bytes")))
+
+
+@register("select sha256(string_agg(sha256(text) || chr(9) || n_chars || chr(9) || source || '/' || doc_id, chr(10) order by source || '/' || doc_id) || chr(10)) as digest from documents where doc_id < 500")
+def denominator_digest(spark, d):
+    t = _table(spark, d, "documents").where("doc_id < 500")
+    rows = t.select(F.sha2("text", 256).alias("sha256"), F.col("n_chars").alias("bytes"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("sourcePath"))
+    return catalogue.denominator_digest(rows)
+
+
 @register("select doc_id, source, lang from documents d where doc_id % 3 = 1 and exists (select 1 from documents e where e.doc_id % 3 = 0 and e.doc_id < 40 and e.source = d.source and e.lang = d.lang)")
 def companion_semi_join(spark, d):
     t = _table(spark, d, "documents")
