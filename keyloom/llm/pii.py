@@ -320,14 +320,15 @@ def collisions(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 SPANS = "array<struct<start:int,end:int,kind:string,surrogate:string>>"
 
 
-def pseudonymize(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: bytes = KEY, draws: DataFrame | None = None) -> DataFrame:
     """``docs`` with surrogates in ``text``, and ``_entities``: where they stand in the original.
 
     Null and empty texts stay as they are. Repeated rows and repeated entities
     get equal surrogates. Other columns are passed on. The key decides all
-    surrogates; without it they cannot be told from fresh values.
+    surrogates; without it they cannot be told from fresh values. ``draws``: the
+    result of :func:`collisions` over a larger corpus that the texts are of.
     """
-    again = materialize(collisions(docs, key), "again")
+    again = materialize(collisions(docs, key) if draws is None else draws, "again")
     texts = docs.withColumn("_original", F.col("text").cast("string"))
     if again.limit(1).count():  # the few with another draw come to each text by a join
         held = texts.select("_original").distinct().mapInArrow(_held, "_h string, kind string, value string")
