@@ -29,13 +29,14 @@ SIMILARITY = 0.8
 ROWS, BANDS = 5, 12  #: a pair at 0.8 shares a band with probability 0.991, at 0.85 with 0.999
 MIN_CHARS = 20  #: shorter lines always stay
 BLOCK = 4096
+FEW = 5  #: lines of a part that are compared pair by pair
+WIDE = 1 << 22  #: characters of a part, its lines made equally long, that are compared as a matrix
 BITS_APART = 15  #: of the 60 bits of two sketches, at most; a pair at 0.8 is further apart with probability 0.0001
 BLOOM_WORDS = 1 << 20  #: longs of the filters sent to tasks, whatever the corpus holds; a full one only filters less
 SEEN = 200_000  #: lines that a task remembers to have signed
 SKETCHES = "_sketch long, " + ", ".join(f"_b{i} long" for i in range(BANDS // 2))
 _LAST = (1 << 63) - 1
 _rng = np.random.default_rng(20)
-_XOR = _rng.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32)
 _MUL = _rng.integers(0, 1 << 31, ROWS * BANDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
@@ -74,8 +75,7 @@ def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         minima = np.empty((ROWS * BANDS, end - at), np.uint32)
         scratch = np.empty_like(h)
         for k in range(ROWS * BANDS):
-            np.bitwise_xor(h, _XOR[k], out=scratch)
-            np.multiply(scratch, _MUL[k], out=scratch)
+            np.multiply(h, _MUL[k], out=scratch)
             minima[k] = np.minimum.reduceat(scratch, starts)
             bit = (minima[k] * np.uint32(0x9E3779B1)) >> np.uint32(31)
             sketches[at:end] |= bit.astype(np.int64) << k
@@ -122,7 +122,7 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), BANDS))], ["key", "id"])
 
 
-def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _crowded(batches: Iterator[pa.RecordBatch], size: int = BLOCK) -> Iterator[pa.RecordBatch]:
     """Of rows (key, id) sorted by key: those whose key has two or more ids, with the block of each and the number of blocks."""
     held_key, held = None, []
 
@@ -131,7 +131,7 @@ def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(ids) > 1:
             n = len(ids)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, held_key)), pa.array(ids), pa.array((np.arange(n) // BLOCK).astype(np.int32)), pa.array(np.full(n, -(-n // BLOCK), np.int32))],
+                [pa.array(np.full(n, held_key)), pa.array(ids), pa.array((np.arange(n) // size).astype(np.int32)), pa.array(np.full(n, -(-n // size), np.int32))],
                 ["key", "id", "block", "blocks"],
             )
 
@@ -151,9 +151,9 @@ def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             inner = np.flatnonzero(n > 1)
             if len(inner):
                 take = np.concatenate([np.arange(first[i + 1], last[i + 1]) for i in inner])
-                sizes, index = n[inner], np.concatenate([np.arange(n[i]) for i in inner])
+                counts, index = n[inner], np.concatenate([np.arange(n[i]) for i in inner])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[take]), pa.array(ids[take]), pa.array((index // BLOCK).astype(np.int32)), pa.array(np.repeat(-(-sizes // BLOCK), sizes).astype(np.int32))],
+                    [pa.array(keys[take]), pa.array(ids[take]), pa.array((index // size).astype(np.int32)), pa.array(np.repeat(-(-counts // size), counts).astype(np.int32))],
                     ["key", "id", "block", "blocks"],
                 )
             held_key, held = int(keys[first[-1]]), [ids[first[-1] :].copy()]
@@ -206,16 +206,18 @@ def _part(members: np.ndarray) -> np.ndarray:
 
 def _components(ids: np.ndarray, sketches: np.ndarray) -> list[np.ndarray]:
     """Ascending ids of what the sketches connect, two or more each."""
-    forest = Forest()
-    for i in range(0, len(ids), 512):
-        apart = np.bitwise_count(sketches[i : i + 512, None] ^ sketches[None, :]) <= BITS_APART
-        for x, y in np.argwhere(apart).tolist():
-            if i + x < y:
-                forest.union(int(ids[i + x]), int(ids[y]))
-    parts: dict[int, list[int]] = {}
-    for x in forest.up:
-        parts.setdefault(forest.find(x), []).append(x)
-    return [np.array(sorted({root, *own}), np.int64) for root, own in parts.items()]
+    out, left = [], np.arange(len(ids))
+    while len(left) > 1:
+        members, left = [int(left[0])], left[1:]
+        at = 0
+        while at < len(members) and len(left):
+            hit = np.bitwise_count(sketches[left] ^ sketches[members[at]]) <= BITS_APART
+            members.extend(left[hit].tolist())
+            left = left[~hit]
+            at += 1
+        if len(members) > 1:
+            out.append(np.sort(ids[members]))
+    return out
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,16 +265,113 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from rows(held, True)[0]
 
 
+def _sets(lines: list[str], side: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every line's shingles as a sorted row of 60-bit numbers, and how many there are.
+
+    What is no shingle, or one again, is a number that no row of the other side has.
+    """
+    length = np.fromiter(map(len, lines), np.int64, len(lines))
+    width = int(length.max())
+    codes = np.zeros((len(lines), width), np.int64)
+    codes[np.arange(width) < length[:, None]] = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")
+    n = width - SHINGLE + 1
+    sets = np.zeros((len(lines), n), np.int64)
+    for i in range(SHINGLE):
+        sets = (sets << 12) | codes[:, i : i + n]
+    unlike = (1 << 61) + (side << 40) + np.arange(n)
+    sets = np.where(np.arange(n) < (length - SHINGLE + 1)[:, None], sets, unlike)
+    sets.sort(axis=1)
+    again = np.zeros_like(sets, bool)
+    again[:, 1:] = sets[:, 1:] == sets[:, :-1]
+    return np.where(again, unlike + (1 << 30), sets), length - SHINGLE + 1 - again.sum(axis=1)
+
+
+def _alike(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, least: float) -> np.ndarray:
+    """Whether rows of a and b, sets of n and m shingles, are similar."""
+    both = np.concatenate((a, b), axis=1)
+    both.sort(axis=1)
+    common = (both[:, 1:] == both[:, :-1]).sum(axis=1)
+    return common >= least * (n + m - common) - 1e-9
+
+
+def similar_pairs(pairs: list[tuple[str, str]], least: float = SIMILARITY) -> np.ndarray:
+    """Whether each pair's exact Jaccard similarity is ``least`` or more, many at a time.
+
+    For lines of SHINGLE characters or more, all below U+1000: a shingle is then
+    a number of 60 bits, and sets are sorted rows of a matrix.
+    """
+    out = np.zeros(len(pairs), bool)
+    order = sorted(range(len(pairs)), key=lambda i: max(map(len, pairs[i])))
+    at = 0
+    while at < len(order):
+        end = at
+        while end < len(order) and (end == at or (end + 1 - at) * max(map(len, pairs[order[end]])) <= 1 << 15):
+            end += 1
+        (a, n), (b, m) = (_sets([pairs[i][side] for i in order[at:end]], side) for side in (0, 1))
+        out[order[at:end]] = _alike(a, b, n, m, least)
+        at = end
+    return out
+
+
+def link_wide(rows: list[tuple[int, str]], links: Forest, least: float = SIMILARITY) -> None:
+    """:func:`link_lines` for lines as :func:`similar_pairs` takes them: a search from line to line over those not reached yet."""
+    ids = [i for i, _ in rows]
+    width = max(len(x) for _, x in rows) - SHINGLE + 1
+    step = max(1, (1 << 15) // width)
+    a, n = np.empty((len(rows), width), np.int64), np.empty(len(rows), np.int64)
+    a[:] = (1 << 61) + (1 << 31) + np.arange(width)
+    for i in range(0, len(rows), step):
+        part, n[i : i + step] = _sets([x for _, x in rows[i : i + step]], 0)
+        a[i : i + step, : part.shape[1]] = part
+    left = np.arange(len(rows))
+    while len(left) > 1:
+        reached, left = [int(left[0])], left[1:]
+        while reached and len(left):
+            x = reached.pop()
+            near = left[np.minimum(n[left], n[x]) >= least * np.maximum(n[left], n[x]) - 1e-9]
+            own = a[x] + ((a[x] >= 1 << 61).astype(np.int64) << 40)
+            hits = []
+            for i in range(0, len(near), step):
+                part = near[i : i + step]
+                hits.append(part[_alike(np.broadcast_to(own, (len(part), width)), a[part], n[x], n[part], least)])
+            if hits and len(found := np.concatenate(hits)):
+                for y in found.tolist():
+                    links.union(ids[x], ids[y])
+                reached.extend(found.tolist())
+                left = np.setdiff1d(left, found, assume_unique=True)
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of one task's parts; rows (part, id, line) sorted by part."""
     links, held, rows = Forest(), None, []
+    pairs: list[tuple[int, int, str, str]] = []
+
+    def close() -> None:
+        own = list(dict(rows).items())
+        if not all(len(x) >= SHINGLE and (x.isascii() or max(x) < "\u1000") for _, x in own):
+            link_lines(own, links)
+        elif len(own) <= FEW:
+            pairs.extend((a[0], b[0], a[1], b[1]) for i, a in enumerate(own) for b in own[:i])
+        elif len(own) * max(len(x) for _, x in own) <= WIDE:
+            link_wide(own, links)
+        else:
+            link_lines(own, links)
+
+    def settle() -> None:
+        for (a, b, _, _), yes in zip(pairs, similar_pairs([p[2:] for p in pairs]).tolist(), strict=True):
+            if yes:
+                links.union(a, b)
+        pairs.clear()
+
     for b in batches:
         for part, ident, line in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if held != part:
-                link_lines(rows, links)
+                close()
                 held, rows = part, []
             rows.append((ident, line))
-    link_lines(rows, links)
+        settle()
+    close()
+    settle()
     yield from links.batches()
 
 
@@ -280,10 +379,9 @@ def bloom(df: DataFrame, column: str) -> np.ndarray:
     """A bit set of BLOOM_WORDS longs that holds the column's hashes (64-bit numbers)."""
     word = F.col(column).bitwiseAND(F.lit(BLOOM_WORDS - 1))
     bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, 40) & 63 as int))")
-    rows = df.select(word.cast("int").alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
+    rows = df.select(word.cast("int").alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(BLOOM_WORDS, np.int64)
-    for r in rows:
-        out[r["w"]] = r["b"]
+    out[rows["w"].to_numpy()] = rows["b"].to_numpy()
     return out
 
 
@@ -302,18 +400,17 @@ def _filtered(df: DataFrame, column: str, bits: np.ndarray, within: bool) -> Dat
 
 
 def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``_id, _norm, _doc, _th, _no``: lines that take part; the id is a 64-bit hash of the trimmed, lower-cased line."""
+    """``_id, _norm, _doc, _th, _no``: lines of ``min_chars`` or more without outer spaces; the id is a 64-bit hash of the trimmed, lower-cased line."""
     text = F.col("text").cast("string")
     norm = F.lower(F.trim("_line"))
     return (
         docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("_doc"), F.xxhash64(text).alias("_th"), F.posexplode(F.split(text, "\n")).alias("_no", "_line"))
-        .where(F.length("_line") >= min_chars)
+        .where(F.length(F.trim("_line")) >= min_chars)
         .select(F.xxhash64(norm).alias("_id"), norm.alias("_norm"), "_doc", "_th", "_no")
-        .where(F.length("_norm") >= min_chars)
     )
 
 
-def line_classes(docs: DataFrame, met: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_classes(docs: DataFrame, met: DataFrame, min_chars: int = MIN_CHARS, block: int = BLOCK) -> DataFrame:
     """``_id, _keep_doc, _keep_th, _keep_no`` of every line met twice or similar to another: the place that stays."""
     place = F.struct("_doc", "_th", "_no")
     distinct = materialize(
@@ -322,7 +419,7 @@ def line_classes(docs: DataFrame, met: DataFrame, min_chars: int = MIN_CHARS) ->
     signed = met.where("_b0 is not null").select("_id", *[f"_b{i}" for i in range(BANDS // 2)])
     crowded = materialize(
         signed.mapInArrow(_unpack, "key long, id long").repartition("key").sortWithinPartitions("key")
-        .mapInArrow(_crowded, "key long, id long, block int, blocks int"),
+        .mapInArrow(lambda b: _crowded(b, block), "key long, id long, block int, blocks int"),
         "bands",
     )
     dealt = crowded.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
@@ -349,7 +446,7 @@ def line_classes(docs: DataFrame, met: DataFrame, min_chars: int = MIN_CHARS) ->
     return materialize(found, "classes")
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, block: int = BLOCK) -> DataFrame:
     """``docs`` with ``text`` without repeated lines, and ``_lines``, ``_removed`` (long).
 
     Lines shorter than ``min_chars`` stay, blank ones too. Rows that repeat a
@@ -359,7 +456,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """
     met = occurrences(docs, min_chars).mapInArrow(_sign, f"_id long, _doc long, _th long, _no int, {SKETCHES}")
     met = materialize(met, "met")
-    classes = line_classes(docs, met, min_chars)
+    classes = line_classes(docs, met, min_chars, block)
     gone = (
         met.select("_id", "_doc", "_th", "_no")
         .join(classes, "_id")

@@ -246,11 +246,15 @@ def test_pseudonyms(spark, hard):
     assert rows(pii.pseudonymize(hard.limit(0))) == [] and len(rows(pii.pseudonymize(hard))) == len(HARD)
 
 
-def test_collision_draws(spark, monkeypatch):
+def test_collision_draws(spark):
     df = spark.createDataFrame([(i, f"mail u{i}@mail.example.com now") for i in range(40)], "doc_id long, text string")
     assert pii.collisions(df).count() == 0
     found = pii.replace("mail u1@mail.example.com", pii.KEY, {("email", "u1@mail.example.com"): 1})[0]
     assert found != pii.replace("mail u1@mail.example.com", pii.KEY, {})[0]
+    draws = spark.createDataFrame([("email", "u1@mail.example.com", 1)], "kind string, value string, draw int")
+    new = {r["doc_id"]: r["text"] for r in rows(pii.pseudonymize(df, draws=draws))}
+    want = {i: pii.replace(f"mail u{i}@mail.example.com now", pii.KEY, {("email", "u1@mail.example.com"): 1})[0] for i in range(40)}
+    assert new == want and len(set(new.values())) == 40
 
 
 # op5 -------------------------------------------------------------------------
@@ -489,13 +493,12 @@ def test_line_dedup(spark, hard, docs):
     assert lines.dedup_lines(hard.limit(0)).count() == 0
 
 
-def test_line_blocks(spark, docs, monkeypatch):
+def test_line_blocks(spark):
     """Crowded bands dealt out as pairs of blocks give the same links."""
     base = "the quick brown fox jumps over the lazy dog and runs away from the {} in the evening light"
     df = spark.createDataFrame([(i, base.format(x)) for i, x in enumerate("cat dog hen cow pig fox elk owl bee ant".split())], "doc_id long, text string")
     whole = {r["doc_id"]: r["text"] for r in rows(lines.dedup_lines(df))}
-    monkeypatch.setattr(lines, "BLOCK", 3)
-    assert {r["doc_id"]: r["text"] for r in rows(lines.dedup_lines(df))} == whole == brute_lines(df)
+    assert {r["doc_id"]: r["text"] for r in rows(lines.dedup_lines(df, block=3))} == whole == brute_lines(df)
 
 
 def test_band_recall():
@@ -548,3 +551,21 @@ def test_stages_take_hard_rows(spark, sf, hard, which):
         out = stage(spark, df, sf)
         out.count()
         assert which == 4 or out.columns == df.columns
+
+
+def test_similar_pairs_are_exact():
+    random.seed(6)
+    words = ["the", "tion", "ée", "an", "x", "  ", "ouch", "Ω", "aaaa"]
+    pairs = []
+    for _ in range(800):
+        a = [random.choice(words) for _ in range(random.randint(5, 80))]
+        b = [random.choice(words) if random.random() < 0.06 else w for w in a]
+        pairs.append(("".join(a) + "-----", "".join(b) + "-----"))
+    for size in (7, 60, 400):
+        some = list(dict(enumerate({x for p in pairs[:size] for x in p})).items())
+        one, two = graph.Forest(), graph.Forest()
+        lines.link_wide(some, one)
+        lines.link_lines(some, two)
+        assert [one.find(i) for i, _ in some] == [two.find(i) for i, _ in some]
+    got = lines.similar_pairs(pairs)
+    assert got.tolist() == [lines.similar(lines.shingles(a), lines.shingles(b)) for a, b in pairs] and 100 < got.sum() < 700
