@@ -113,51 +113,14 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, id) of every band: the band's number above its 32 bits."""
+    """(key, id, sketch) of every band; the key has the band's number above its 32 bits. Rows: (id, sketch, bands)."""
     number = np.arange(BANDS, dtype=np.int64) << 32
     for b in batches:
         if b.num_rows:
-            packed = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[1:]], axis=1)
+            packed = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[2:]], axis=1)
             keys = np.ascontiguousarray(packed).view(np.uint32).reshape(b.num_rows, BANDS).astype(np.int64) | number
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), BANDS))], ["key", "id"])
-
-
-def _crowded(batches: Iterator[pa.RecordBatch], size: int = BLOCK) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, id) sorted by key: those whose key has two or more ids, with the block of each and the number of blocks."""
-    held_key, held = None, []
-
-    def close() -> Iterator[pa.RecordBatch]:
-        ids = np.unique(np.concatenate(held)) if held else np.empty(0, np.int64)
-        if len(ids) > 1:
-            n = len(ids)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, held_key)), pa.array(ids), pa.array((np.arange(n) // size).astype(np.int32)), pa.array(np.full(n, -(-n // size), np.int32))],
-                ["key", "id", "block", "blocks"],
-            )
-
-    for b in batches:
-        if not b.num_rows:
-            continue
-        keys, ids = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-        cut = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-        first, last = np.concatenate(([0], cut)), np.concatenate((cut, [len(keys)]))
-        if held_key != keys[0]:
-            yield from close()
-            held_key, held = int(keys[0]), []
-        held.append(ids[: last[0]].copy())
-        if len(first) > 1:
-            yield from close()
-            n = last[1:-1] - first[1:-1]
-            inner = np.flatnonzero(n > 1)
-            if len(inner):
-                take = np.concatenate([np.arange(first[i + 1], last[i + 1]) for i in inner])
-                counts, index = n[inner], np.concatenate([np.arange(n[i]) for i in inner])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[take]), pa.array(ids[take]), pa.array((index // size).astype(np.int32)), pa.array(np.repeat(-(-counts // size), counts).astype(np.int32))],
-                    ["key", "id", "block", "blocks"],
-                )
-            held_key, held = int(keys[first[-1]]), [ids[first[-1] :].copy()]
-    yield from close()
+            ids, sketches = (np.repeat(c.to_numpy(zero_copy_only=False), BANDS) for c in b.columns[:2])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids), pa.array(sketches)], ["key", "id", "sketch"])
 
 
 def shingles(line: str) -> frozenset[str]:
@@ -220,49 +183,77 @@ def _components(ids: np.ndarray, sketches: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, low, high, id, sketch) sorted by the first four: those with a partner by sketch, as (part, id).
-
-    A part is what may be linked within one bucket. Its number depends on its
-    ids alone, so lines that share many bands are verified once.
-    """
+def _closed(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Columns with the bounds of whole groups of equal first ``keys`` columns, by which the rows are sorted."""
     held: list[np.ndarray] | None = None
-
-    def rows(columns: list[np.ndarray], closed: bool) -> tuple[list[pa.RecordBatch], list[np.ndarray] | None]:
-        bucket = columns[:3]
-        cut = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in bucket])) + 1
-        first, last = np.concatenate(([0], cut)), np.concatenate((cut, [len(columns[0])]))
-        rest = None
-        if not closed:
-            rest = [c[first[-1] :].copy() for c in columns]
-            first, last = first[:-1], last[:-1]
-        ids, sketches = columns[3], columns[4]
-        parts, members = [], []
-        two = first[last - first == 2]
-        two = two[(np.bitwise_count(sketches[two] ^ sketches[two + 1]) <= BITS_APART) & (ids[two] != ids[two + 1])]
-        if len(two):
-            pairs = np.sort(np.stack([ids[two], ids[two + 1]], axis=1), axis=1)
-            parts.append(np.repeat(_part(pairs), 2))
-            members.append(pairs.ravel())
-        for a, b in zip(*(x[last - first > 2].tolist() for x in (first, last)), strict=True):
-            own, at = np.unique(ids[a:b], return_index=True)
-            for found in _components(own, sketches[a:b][at]):
-                parts.append(np.repeat(_part(found[None, :]), len(found)))
-                members.append(found)
-        if not parts:
-            return [], rest
-        return [pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.concatenate(members))], ["part", "id"])], rest
-
     for b in batches:
         if not b.num_rows:
             continue
         columns = [c.to_numpy(zero_copy_only=False) for c in b.columns]
         if held is not None:
             columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
-        made, held = rows(columns, False)
-        yield from made
+        cut = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns[:keys]])) + 1
+        if len(cut):
+            yield columns, np.concatenate(([0], cut[:-1])), cut
+            columns = [c[cut[-1] :].copy() for c in columns]
+        held = columns
     if held is not None:
-        yield from rows(held, True)[0]
+        yield held, np.array([0]), np.array([len(held[0])])
+
+
+def _parts(ids: np.ndarray, sketches: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(part, id) of the rows that have a partner by sketch within their group.
+
+    A part is what may be linked within one bucket. Its number depends on its
+    ids alone, so lines that share many bands are verified once.
+    """
+    parts, members = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    two = first[last - first == 2]
+    two = two[(np.bitwise_count(sketches[two] ^ sketches[two + 1]) <= BITS_APART) & (ids[two] != ids[two + 1])]
+    if len(two):
+        pairs = np.sort(np.stack([ids[two], ids[two + 1]], axis=1), axis=1)
+        parts.append(np.repeat(_part(pairs), 2))
+        members.append(pairs.ravel())
+    for a, b in zip(*(x[last - first > 2].tolist() for x in (first, last)), strict=True):
+        own, at = np.unique(ids[a:b], return_index=True)
+        for found in _components(own, sketches[a:b][at]):
+            parts.append(np.repeat(_part(found[None, :]), len(found)))
+            members.append(found)
+    return np.concatenate(parts), np.concatenate(members)
+
+
+CROWDED = "part long, id long, key long, sketch long, block int, blocks int"
+
+
+def _crowded(batches: Iterator[pa.RecordBatch], size: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """Rows (key, id, sketch) sorted by key, as CROWDED.
+
+    A key of ``size`` ids or fewer gives its (part, id); one of more gives its
+    rows with the block of each and the number of blocks.
+    """
+    names = [x.split()[0] for x in CROWDED.split(", ")]
+
+    def made(n: int, **given: np.ndarray) -> pa.RecordBatch:
+        kinds = [pa.int64()] * 4 + [pa.int32()] * 2
+        return pa.RecordBatch.from_arrays([pa.array(given[k], t) if k in given else pa.nulls(n, t) for k, t in zip(names, kinds, strict=True)], names)
+
+    for (keys, ids, sketches), first, last in _closed(batches, 1):
+        few = last - first <= size
+        parts, members = _parts(ids, sketches, first[few], last[few])
+        if len(parts):
+            yield made(len(parts), part=parts, id=members)
+        for a, b in zip(first[~few].tolist(), last[~few].tolist(), strict=True):
+            own, at = np.unique(ids[a:b], return_index=True)
+            n = len(own)
+            yield made(n, id=own, key=np.full(n, keys[a]), sketch=sketches[a:b][at], block=(np.arange(n) // size).astype(np.int32), blocks=np.full(n, -(-n // size), np.int32))
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, low, high, id, sketch) sorted by the first three: those with a partner by sketch, as (part, id)."""
+    for columns, first, last in _closed(batches, 3):
+        parts, members = _parts(columns[3], columns[4], first, last)
+        if len(parts):
+            yield pa.RecordBatch.from_arrays([pa.array(parts), pa.array(members)], ["part", "id"])
 
 
 def _sets(lines: list[str], side: int) -> tuple[np.ndarray, np.ndarray]:
@@ -414,22 +405,23 @@ def line_classes(docs: DataFrame, met: DataFrame, min_chars: int = MIN_CHARS, bl
     """``_id, _keep_doc, _keep_th, _keep_no`` of every line met twice or similar to another: the place that stays."""
     place = F.struct("_doc", "_th", "_no")
     distinct = materialize(
-        met.groupBy("_id").agg(F.min(place).alias("_at"), F.max("_sketch").alias("_sketch"), F.count("*").alias("_n")), "lines"
+        met.groupBy("_id").agg(F.min(place).alias("_at"), F.count("*").alias("_n")), "lines"
     )
-    signed = met.where("_b0 is not null").select("_id", *[f"_b{i}" for i in range(BANDS // 2)])
+    signed = met.where("_b0 is not null").select("_id", "_sketch", *[f"_b{i}" for i in range(BANDS // 2)])
     crowded = materialize(
-        signed.mapInArrow(_unpack, "key long, id long").repartition("key").sortWithinPartitions("key")
-        .mapInArrow(lambda b: _crowded(b, block), "key long, id long, block int, blocks int"),
+        signed.mapInArrow(_unpack, "key long, id long, sketch long").repartition("key").sortWithinPartitions("key")
+        .mapInArrow(lambda b: _crowded(b, block), CROWDED),
         "bands",
     )
-    dealt = crowded.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"), "id"
-    )
-    sketched = dealt.join(distinct.select(F.col("_id").alias("id"), "_sketch"), "id").select("key", "low", "high", "id", "_sketch")
-    near = materialize(
-        sketched.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(_near, "part long, id long").distinct(),
-        "near",
+    dealt = (
+        crowded.where("part is null")
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("key", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"), "id", "sketch")
+        .repartition("key", "low", "high")
+        .sortWithinPartitions("key", "low", "high")
+        .mapInArrow(_near, "part long, id long")
     )
+    near = materialize(crowded.where("part is not null").select("part", "id").union(dealt).distinct(), "near")
     lines = _filtered(occurrences(docs, min_chars).select("_id", "_norm"), "_id", bloom(near, "id"), True)
     lines = materialize(lines.groupBy(F.col("_id").alias("id")).agg(F.first("_norm").alias("_norm")), "texts")
     pairs = near.join(lines, "id").select("part", "id", "_norm")
