@@ -115,11 +115,11 @@ def denominator_digest(artifacts: DataFrame) -> DataFrame:
 # selection -----------------------------------------------------------------
 
 
-def select(files: DataFrame, kind: str) -> DataFrame:
-    """Inventory files of one type as selected artifacts with ids and local paths."""
+def select(files: DataFrame, kind: str, folder: str = "selected") -> DataFrame:
+    """Inventory files of one type as selected artifacts with ids and local paths below ``folder``."""
     return files.where(F.col("type") == kind).select(
         url_id(F.col("url"), 24).alias("id"), stem(F.col("path")).alias("title"), F.col("parent").alias("info_url"), F.col("path").alias("source_path"),
-        F.col("bytes").alias("advertised_bytes"), F.lit(kind).alias("kind"), "url", F.concat(F.lit(f"mdict-org/{kind}/"), url_id(F.col("url"), 32), F.lit(f".{kind}")).alias("local_path"),
+        F.col("bytes").alias("advertised_bytes"), F.lit(kind).alias("kind"), "url", F.concat(F.lit(f"{folder}/{kind}/"), url_id(F.col("url"), 32), F.lit(f".{kind}")).alias("local_path"),
     )
 
 

@@ -364,7 +364,7 @@ def page_links(spark, d):
     return _table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("href=\"([^\"]*)\""), F.lit(1))).alias("href"))
 
 
-@register(f"with {_FILES} select left(sha256(url), 24) as id, regexp_replace(url, '^https?://[^/]*/', '') as source_path, bytes as advertised_bytes, 'mdx' as kind, url, 'mdict-org/mdx/' || left(sha256(url), 32) || '.mdx' as local_path from f where page_id % 2 = 0")
+@register(f"with {_FILES} select left(sha256(url), 24) as id, regexp_replace(url, '^https?://[^/]*/', '') as source_path, bytes as advertised_bytes, 'mdx' as kind, url, 'selected/mdx/' || left(sha256(url), 32) || '.mdx' as local_path from f where page_id % 2 = 0")
 def select_by_type_with_ids(spark, d):
     return catalogue.select(_files(spark, d), "mdx").select("id", "source_path", "advertised_bytes", "kind", "url", "local_path")
 
