@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from keyloom.llm import decontaminate, graph, langid, licenses, lines, packing, pii, quality, simhash, toxicity, warc
+from keyloom.llm import decontaminate, graph, langid, licenses, lines, neardocs, packing, pii, quality, simhash, toxicity, warc
 from keyloom.llm.common import bound_batches
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _id string, fp string, key string, part string"
@@ -569,3 +569,30 @@ def test_similar_pairs_are_exact():
         assert [one.find(i) for i, _ in some] == [two.find(i) for i, _ in some]
     got = lines.similar_pairs(pairs)
     assert got.tolist() == [lines.similar(lines.shingles(a), lines.shingles(b)) for a, b in pairs] and 100 < got.sum() < 700
+
+
+def jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def test_near_dedup_is_jaccard(spark, sf):
+    """Edited copies against brute-force Jaccard at 0.8, in one block and in many."""
+    import corpus_pipeline
+
+    random.seed(12)
+    texts = []
+    for _ in range(25):
+        base = [f"w{random.randrange(3000)}" for _ in range(random.randint(60, 400))]
+        texts.append(base)
+        for share in (0.004, 0.01, 0.02, 0.03, 0.05):
+            texts.append([f"v{random.randrange(3000)}" if random.random() < share else w for w in base])
+    common = [f"c{i}" for i in range(100)]
+    texts += [[*common[:i], "x", *common[i:]] for i in range(0, 100, 5)] + [common, common, [], ["one", "two"], ["one", "two"]]
+    texts = dict(enumerate(" ".join(x) for x in texts))
+    linked = [(a, b) for a in texts for b in range(a) if jaccard(texts[a], texts[b]) >= 0.8]
+    far = [(a, b) for a, b in linked if (simhash.fingerprint(texts[a], 5) ^ simhash.fingerprint(texts[b], 5)).bit_count() > 3]
+    want = set(brute_components(texts, linked).values())
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert len(far) > 20 and {r["doc_id"] for r in rows(corpus_pipeline.near_dedup(spark, df, sf))} == want
+    assert {r["doc_id"] for r in rows(neardocs.keep_one(df, block=4))} == want
