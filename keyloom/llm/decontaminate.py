@@ -1,11 +1,12 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words are lower-cased; numbers, units after a number, and names (capitalised
-within a sentence) become typed placeholders, so a question asked again with
-other values has the same template. Windows of template words are hash-joined
-with those of the benchmark; a document is contaminated by an item when enough
-of the item's windows stand in it in the item's order, and the placeholders
-are filled consistently: equal slots of the item by equal words.
+Words are lower-cased; numbers, units after a number, and names (capitalised,
+and no common word where a sentence begins) become typed placeholders, a run of
+one type a single one, so a question asked again with other values has the same
+template. Windows of template words are hash-joined with those of the
+benchmark; a document is contaminated by an item when enough of the item's
+windows stand in it in the item's order, and the placeholders are filled
+consistently: equal slots of the item by equal words.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,7 @@ from keyloom.llm.common import materialize
 WINDOW = 8  #: template words of a window; a shorter item is one window
 LEAST = 0.5  #: share of an item's windows that a document must hold
 CONSISTENT = 0.7  #: share of an item's slots in matched windows that must be filled consistently
+DRIFT = 4  #: words by which the distance of places may change from one hit of a chain to the next
 BROADCAST_WINDOWS = 2_000_000  #: the benchmark's window table is sent to the tasks up to this size, and joined by shuffle beyond
 NUMBER, UNIT, NAME = "<number>", "<unit>", "<name>"
 UNITS = frozenset(
@@ -33,6 +36,13 @@ UNITS = frozenset(
 NUMBERS = frozenset(
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
 )
+#: Words that are no name where a sentence begins.
+COMMON = frozenset(
+    "a about after all also although an and another any are as at because before both but by can could did do does each either every few find first for from give given had has have he her here his how however i if in into is it its let many may more most much must my no not now of on once one only or other our over she should show since so some such suppose than that the their them then there these they this those though through to under until up was we were what when where whether which while who whom whose why will with without would write yes you your "
+    "aber alle als am auch auf aus bei bis da damit dann das dass dem den denn der des die dies diese dieser dieses doch du ein eine einem einen einer er es für hat ihr im ist man mit nach nicht noch nur ob oder ohne sie sind so und von vor wann war warum was wenn wer wie wir wird wo zu zum zur "
+    "au aux avec ce ces cette comme dans de depuis des donc du elle elles en est et il ils je la le les leur lors mais ne nos notre nous on ont ou où par pas pour quand que quel quelle qui sans selon ses si son sont sous sur un une vous "
+    "al como con cuando cuál de del desde donde dónde el ella en entre era es esta este esto hay la las lo los más no nos o para pero por porque qué que se según ser si sin sobre su sus también un una y ya".split()
+)
 _TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[%$€£]|[.!?\n]+")
 _CACHED = 200_000
 
@@ -46,31 +56,35 @@ class Template:
     codes: np.ndarray
 
 
-def template(text: str | None, cache: dict[str, int] | None = None) -> Template:
-    """The template of a whole text. A word in capitals throughout is no name."""
+def template(text: str | None, cache: dict[str, int] | None = None, plain: bool = False) -> Template:
+    """The template of a whole text. A word in capitals throughout is no name; with ``plain``, neither is one that begins a sentence."""
     cache = {} if cache is None else cache
     if len(cache) > _CACHED:
         cache.clear()
     kinds: list[str] = []
     words: list[str] = []
-    begins, after_number = True, False
+    begins, breaks, after_number = True, True, False
     for token in _TOKEN.findall(text or ""):
         c = token[0]
         if c in ".!?\n":
             begins, after_number = True, False
+            breaks = breaks or token.strip("\n") != ""
             continue
         low = token.lower()
         if c.isdigit() or low in NUMBERS:
             kind = NUMBER
         elif after_number and low in UNITS or c in "%$€£":
             kind = UNIT
-        elif not begins and c.isupper() and token[1:].islower():
+        elif c.isupper() and token[1:].islower() and not (begins and (plain or low in COMMON)):
             kind = NAME
         else:
             kind = low
-        kinds.append(kind)
-        words.append(low)
-        begins, after_number = False, kind is NUMBER
+        if kind[0] == "<" and not breaks and kinds[-1] is kind:
+            words[-1] += f" {low}"
+        else:
+            kinds.append(kind)
+            words.append(low)
+        begins, breaks, after_number = False, False, kind is NUMBER
     codes = np.empty(len(kinds), np.uint64)
     for i, kind in enumerate(kinds):
         code = cache.get(kind)
@@ -94,44 +108,86 @@ def windows(codes: np.ndarray, size: int) -> np.ndarray:
 
 @dataclass
 class Item:
-    """A benchmark item: its window hashes by place, window length and slots."""
+    """A benchmark item: its window hashes by place, window length and slots; and the same of its plain template, where that differs."""
 
     item_id: int
     kinds: list[str]
     words: list[str]
     hashes: np.ndarray
     size: int
+    plain: Item | None = None
 
 
 def item_of(item_id: int, text: str | None, window: int = WINDOW) -> Item | None:
-    t = template(text)
-    size = min(window, len(t.kinds))
-    if not size or not any(k[0] != "<" for k in t.kinds):
-        return None
-    return Item(item_id, t.kinds, t.words, windows(t.codes, size), size)
+    found: list[Item] = []
+    for plain in (False, True):
+        t = template(text, plain=plain)
+        size = min(window, len(t.kinds))
+        if size and any(k[0] != "<" for k in t.kinds) and not (found and found[0].kinds == t.kinds):
+            found.append(Item(item_id, t.kinds, t.words, windows(t.codes, size), size))
+    if len(found) == 2:
+        found[0].plain = found[1]
+    return found[0] if found else None
+
+
+def chains(hits: list[tuple[int, int]], least: float) -> Iterator[list[tuple[int, int]]]:
+    """Chains of ``least`` or more hits, without a hit in common: both places ascend, and their distance drifts by DRIFT at most from hit to hit."""
+    left = np.array(sorted(set(hits), key=lambda x: (x[1], x[0])), np.int64).reshape(-1, 2)
+    while len(set(left[:, 0].tolist())) >= least:
+        p, q = left[:, 0], left[:, 1]
+        low = np.searchsorted(q, q - (p - p.min() + DRIFT))  # further back no distance is near enough
+        length, back = np.ones(len(left), np.int64), np.full(len(left), -1)
+        for j in range(1, len(left)):
+            i = int(low[j])
+            drift = np.abs((q[j] - p[j]) - (q[i:j] - p[i:j]))
+            worth = np.where((p[i:j] < p[j]) & (q[i:j] < q[j]) & (drift <= DRIFT), length[i:j] * (DRIFT + 1) - drift, 0)
+            if len(worth) and (k := len(worth) - 1 - int(worth[::-1].argmax())) >= 0 and worth[k] > 0:
+                back[j], length[j] = i + k, length[i + k] + 1
+        free = np.ones(len(left), bool)
+        for j in np.argsort(-length, kind="stable").tolist():
+            if length[j] < least:
+                break
+            links = []
+            while j >= 0 and free[j]:
+                links.append(j)
+                j = int(back[j])
+            if j < 0:
+                free[links] = False
+                yield [(int(p[i]), int(q[i])) for i in reversed(links)]
+        if free.all():
+            return
+        left = left[free]
 
 
 def judge(item: Item, words: list[str], hits: list[tuple[int, int]], least: float = LEAST) -> tuple[float, float] | None:
     """Coverage and slot consistency of an item by ``hits`` (place in item, place in document), or None.
 
-    Hits of one alignment (equal distance of the places) are judged together.
+    Hits of one chain are judged together; those at one distance are a chain of their own too.
     """
-    runs: dict[int, set[int]] = defaultdict(set)
+    need = least * len(item.hashes)
+    if len({p for p, _ in hits}) < need:
+        return None
+    runs: dict[int, set[tuple[int, int]]] = defaultdict(set)
     for p, q in hits:
-        runs[q - p].add(p)
+        runs[q - p].add((p, q))
     best = None
-    for shift, places in runs.items():
-        share = len(places) / len(item.hashes)
+    for found in chain(map(sorted, runs.values()), chains(hits, need) if len(runs) > 1 else ()):
+        if best and best[0] == 1:
+            break
+        share = len(found) / len(item.hashes)
         if share < least or (best and share <= best[0]):
             continue
-        covered = sorted({p + i for p in places for i in range(item.size)})
+        at: dict[int, int] = {}
+        for p, q in found:
+            for i in range(item.size):
+                at.setdefault(p + i, q + i)
         there: dict[str, set[str]] = defaultdict(set)
         back: dict[str, set[str]] = defaultdict(set)
-        slots = [i for i in covered if item.kinds[i][0] == "<"]
+        slots = [i for i in at if item.kinds[i][0] == "<"]
         for i in slots:
-            there[item.kinds[i] + item.words[i]].add(words[i + shift])
-            back[item.kinds[i] + words[i + shift]].add(item.words[i])
-        good = sum(len(there[item.kinds[i] + item.words[i]]) == 1 and len(back[item.kinds[i] + words[i + shift]]) == 1 for i in slots)
+            there[item.kinds[i] + item.words[i]].add(words[at[i]])
+            back[item.kinds[i] + words[at[i]]].add(item.words[i])
+        good = sum(len(there[item.kinds[i] + item.words[i]]) == 1 and len(back[item.kinds[i] + words[at[i]]]) == 1 for i in slots)
         fit = good / len(slots) if slots else 1.0
         if fit >= CONSISTENT:
             best = (share, fit)
@@ -139,17 +195,17 @@ def judge(item: Item, words: list[str], hits: list[tuple[int, int]], least: floa
 
 
 class Index:
-    """Windows of the benchmark: hash -> (item, place), and a bit set that turns most windows away."""
+    """Windows of the benchmark: hash -> (number of the template, place), and a bit set that turns most windows away."""
 
     BITS = 22
 
     def __init__(self, items: list[Item]) -> None:
-        self.items = {x.item_id: x for x in items}
-        self.sizes = sorted({x.size for x in items})
+        self.items = [x for item in items for x in (item, item.plain) if x]
+        self.sizes = sorted({x.size for x in self.items})
         self.at: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for x in items:
+        for k, x in enumerate(self.items):
             for p, h in enumerate(x.hashes.tolist()):
-                self.at[h].append((x.item_id, p))
+                self.at[h].append((k, p))
         self.seen = np.zeros(1 << self.BITS, bool)
         keys = np.array(list(self.at), np.int64).view(np.uint64)
         self.seen[(keys >> np.uint64(64 - self.BITS)).astype(np.int64)] = True
@@ -160,14 +216,15 @@ class Index:
         for size in self.sizes:
             h = windows(t.codes, size)
             for q in np.flatnonzero(self.seen[(h.view(np.uint64) >> np.uint64(64 - self.BITS)).astype(np.int64)]).tolist():
-                for item_id, p in self.at.get(int(h[q]), ()):
-                    if self.items[item_id].size == size:
-                        hits[item_id].append((p, q))
-        out = []
-        for item_id, found in hits.items():
-            if verdict := judge(self.items[item_id], t.words, found):
-                out.append((item_id, *verdict))
-        return sorted(out)
+                for k, p in self.at.get(int(h[q]), ()):
+                    if self.items[k].size == size:
+                        hits[k].append((p, q))
+        out: dict[int, tuple[float, float]] = {}
+        for k, found in hits.items():
+            if verdict := judge(self.items[k], t.words, found):
+                item_id = self.items[k].item_id
+                out[item_id] = max(verdict, out.get(item_id, verdict))
+        return sorted((item_id, *verdict) for item_id, verdict in out.items())
 
 
 MATCHES = "item_id long, coverage double, consistency double"
@@ -213,10 +270,13 @@ def _by_shuffle(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...]) ->
     def exploded(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row, text in enumerate(b.column(b.num_columns - 1).to_pylist()):
-                t = template(text)
-                sizes = [min(WINDOW, len(t.kinds))] if whole else range(1, WINDOW + 1)
-                for size in sizes:
-                    h = windows(t.codes, size)
+                if whole:
+                    x = item_of(0, text)
+                    found = [y.hashes for y in (x, x and x.plain) if y]
+                else:
+                    t = template(text)
+                    found = [windows(t.codes, size) for size in range(1, WINDOW + 1)]
+                for h in found:
                     if len(h):
                         keys = [c.take(pa.array(np.full(len(h), row))) for c in b.columns[:-1]]
                         yield pa.RecordBatch.from_arrays([*keys, pa.array(h), pa.array(np.arange(len(h), dtype=np.int32))], [*b.schema.names[:-1], "h", "place"])

@@ -177,6 +177,19 @@ def test_slot_consistency():
     assert not index.match(decontaminate.template("we met Carol and then Dave and then Erin and Frank again near the old bridge"))
 
 
+def test_other_values_of_another_length():
+    def holds(item, text):
+        return decontaminate.Index([decontaminate.item_of(1, item)]).match(decontaminate.template(text))
+
+    train = "A train leaves Boston at 9 o'clock and travels 120 km to reach the city where Alice waits for 3 hours."
+    assert holds(train, "A train leaves New York at 9 o'clock and travels three hundred km to reach the city where Mary Ann waits for 3 hours.")
+    assert holds(train, "A train leaves Boston at 9 o'clock and travels one hundred and twenty km to reach the city where Alice waits for 3 hours.")
+    apples = "Alice has 3 apples. Bob gives her 2 apples. How many apples does Alice have?"
+    assert holds(apples, "Tom has 5 apples. Mary Ann gives her 4 apples. How many apples does Tom have?")
+    assert holds("Photosynthesis turns light into sugar", "we know that photosynthesis turns light into sugar")
+    assert not holds(apples, "Tom has 5 apples. Sue has 4 pears. How many trees does the garden have?")
+
+
 # op3 -------------------------------------------------------------------------
 
 
