@@ -1,7 +1,7 @@
-"""License scans: ordered signature rules behind a keyword prefilter.
+"""License scans: ordered signature rules behind literal gates.
 
-A text is reduced to lower-cased words. Rules whose keywords the text holds are
-tried in order; a match inside one that was taken with the same or a higher
+A text is reduced to lower-cased words. Rules of whose literal strings the text holds one
+are tried in order; a match inside one that was taken with the same or a higher
 priority is suppressed, so "apache license version 2" is not also a bare name.
 """
 
@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from re import _constants as _c, _parser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -21,10 +22,6 @@ from keyloom.llm.license_rules import LEADS, LICENSES
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 #: Kinds of rule: priority and what a match is worth.
 KINDS = {"identifier": (4, 1.0), "sentence": (3, 0.95), "lead": (2, 0.9), "name": (1, 0.6)}
-#: A text with none of these can match no rule.
-ANCHORS = tuple(
-    x.encode() for x in "licen copyright spdx permission redistribut cc0 cc domain unencumbered beer terms creativecommons opendatacommons openrail lgpl gpl subject proprietary prohibited evil software covered work program package wtfpl gfdl cecill odbl pddl odc lppl commons attribution opensource boost eclipse apache".split()
-)
 _TABLE = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256)
 )
@@ -39,7 +36,6 @@ DETECTION = T.ArrayType(
 class Rule:
     label: str
     kind: str
-    keywords: tuple[str, ...]
     pattern: re.Pattern[str]
 
 
@@ -48,39 +44,53 @@ def rules() -> tuple[Rule, ...]:
     """All signatures in order."""
     out = []
     for line in LICENSES.strip().splitlines():
-        label, keywords, names, spdx, sentences = (x.strip() for x in line.split(" | "))
-        words = tuple(keywords.split())
+        label, _, names, spdx, sentences = (x.strip() for x in line.split(" | "))
         for x in spdx.split(" ;; "):
-            out.append(Rule(label, "identifier", ("spdx",), re.compile(rf" spdx licen[cs]e identifier {x}(?= )")))
+            out.append(Rule(label, "identifier", re.compile(rf" spdx licen[cs]e identifier {x}(?= )")))
         for x in sentences.split(" ;; "):
-            out.append(Rule(label, "sentence", (), re.compile(rf" {x}(?= )")))
+            out.append(Rule(label, "sentence", re.compile(rf" {x}(?= )")))
         for x in names.split(" ;; "):
-            out.append(Rule(label, "lead", words, re.compile(rf" {LEADS} (?:{x})(?= )")))
-            out.append(Rule(label, "name", words, re.compile(rf" (?:{x})(?= )")))
+            out.append(Rule(label, "lead", re.compile(rf" {LEADS} (?:{x})(?= )")))
+            out.append(Rule(label, "name", re.compile(rf" (?:{x})(?= )")))
     return tuple(out)
 
 
+def needed(pattern) -> tuple[str, ...]:
+    """Literal strings of which every match of a parsed pattern holds one; () if there are none."""
+    runs, found, run = [], [], ""
+    for op, arg in pattern:
+        if op is _c.LITERAL:
+            run += chr(arg)
+            continue
+        runs, run = [*runs, run], ""
+        if op is _c.SUBPATTERN:
+            found.append(needed(arg[3]))
+        elif op is _c.BRANCH:
+            every = [needed(x) for x in arg[1]]
+            found.append(tuple(dict.fromkeys(x for one in every for x in one)) if all(every) else ())
+        elif op is _c.MAX_REPEAT and arg[0]:
+            found.append(needed(arg[2]))
+    found += [(x,) for x in [*runs, run] if x]
+    # few strings of some length turn most texts away
+    return max(found, key=lambda x: (min(map(len, x), default=0) > 2, -len(x), min(map(len, x), default=0)), default=())
+
+
 @lru_cache(maxsize=1)
 def _gates() -> tuple[tuple[Rule, tuple[str, ...]], ...]:
     """Each rule with literal strings of which a matching text holds one."""
-    out = []
-    for rule in rules():
-        gate = rule.keywords
-        if rule.kind == "sentence":
-            plain = re.split(r"\(|\[|\.\{|\?|\{", rule.pattern.pattern)[0].strip()
-            gate = (plain.rsplit(" ", 1)[0] if plain.count(" ") > 1 else plain,)
-        out.append((rule, gate))
-    return tuple(out)
+    return tuple((rule, needed(_parser.parse(rule.pattern.pattern))) for rule in rules())
+
+
+@lru_cache(maxsize=1)
+def _literals() -> tuple[str, ...]:
+    return tuple(sorted({x for _, gate in _gates() for x in gate}))
 
 
 def reduce(text: str | None) -> tuple[int, bytes]:
-    """Number of words, and the words with a space before, between and after; the latter empty if no rule can match."""
+    """Number of words, and the words with a space before, between and after."""
     if not text:
         return 0, b""
-    line = text.encode("utf-8", "surrogatepass").translate(_TABLE)
-    words = line.split()
-    if not any(a in line for a in ANCHORS):
-        return len(words), b""
+    words = text.encode("utf-8", "surrogatepass").translate(_TABLE).split()
     return len(words), b" " + b" ".join(words) + b" "
 
 
@@ -96,8 +106,9 @@ def detect(line: bytes) -> list[tuple[str, str, int, int, int, float]]:
     """(label, kind, rule, first word, last word, score) of what stands after suppression, in text order."""
     text = line.decode("utf-8", "replace")
     found = []
+    held = {x for x in _literals() if x in text}
     for number, (rule, gate) in enumerate(_gates()):
-        if any(g in text for g in gate):
+        if not held.isdisjoint(gate):
             for m in rule.pattern.finditer(text):
                 priority, worth = KINDS[rule.kind]
                 found.append((-priority, m.start() - m.end(), number, m.start(), m.end(), rule, worth))
