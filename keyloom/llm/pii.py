@@ -53,7 +53,7 @@ PATTERNS: dict[str, re.Pattern[str]] = {
     "phone": re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3}[ .-]?\d{3,4}(?![\w-])"),
 }
 _TITLED = re.compile(rf"\b((?i:{'|'.join(TITLES)}))\b\.? ({_NAME})(?: ({_NAME}))?")
-_FULL = re.compile(rf"\b({_NAME}) ({_NAME})\b")
+_FULL = re.compile(rf"\b(?=({_NAME}) ({_NAME})\b)")  #: every pair, those that share a word too
 
 
 @lru_cache(maxsize=65536)

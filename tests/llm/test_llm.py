@@ -270,6 +270,15 @@ def test_collision_draws(spark):
     assert new == want and len(set(new.values())) == 40
 
 
+def test_given_names_after_a_capital():
+    for text in ("Contact Maria Schmidt today", "Yesterday John Smith came", "Nachricht Von Maria Schmidt"):
+        new = pii.replace(text, pii.KEY, {})[0]
+        assert len(pii.detect(text)) == 2 and not any(n in new for n in ("Maria", "Schmidt", "John", "Smith")), new
+        assert new.split()[0] == text.split()[0]
+    kinds = [(a, b, k.split("-")[0]) for a, b, k in pii.detect("Maria Anna Schmidt")]
+    assert kinds == [(0, 5, "given"), (6, 10, "surname"), (11, 18, "surname")]
+
+
 # op5 -------------------------------------------------------------------------
 
 
