@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from keyloom.llm.common import materialize
 
 KEY = b"keyloom surrogate key"  #: of the registered query; callers pass their own
+LONG = 512  #: characters that are permuted as one number
 DRAWS = 8  #: attempts at a surrogate without collision
 
 #: Given names by script and gender; a surrogate comes from the same list.
@@ -44,8 +45,8 @@ _GIVEN = {n.lower(): (k, n) for k, names in NAMES.items() for n in names.split()
 _NAME = r"[^\W\d_a-zа-яα-ω][^\W\d_]+(?:-[^\W\d_]+)?"
 PATTERNS: dict[str, re.Pattern[str]] = {
     "email": re.compile(r"(?<![\w.%+-])[A-Za-z0-9_][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w@])"),
-    "secret": re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?([^\s\"'<>]{6,256})"),
-    "key": re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|xox[abp]-[A-Za-z0-9-]{10,64}|AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9])"),
+    "secret": re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?([^\s\"'<>]{6,})"),
+    "key": re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xox[abp]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9])"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "ip": re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d.]*\d)"),
     "card": re.compile(r"(?<![\d.-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?![\d-])"),
@@ -61,6 +62,14 @@ def _stream(key: bytes, label: str, data: str) -> int:
     return int.from_bytes(hmac.new(key, f"{label}\0{data}".encode(), hashlib.sha256).digest(), "big")
 
 
+def _draw(key: bytes, label: str, data: int, size: int) -> int:
+    """A keyed number of as many bits as ``size`` has, or more."""
+    if size.bit_length() <= 256:
+        return _stream(key, label, str(data))
+    # not held, and hex as long numbers have no decimal form
+    return sum(_stream.__wrapped__(key, f"{label}|{i}", f"{data:x}") << 256 * i for i in range(size.bit_length() // 256 + 1))
+
+
 def permute(key: bytes, label: str, digits: list[int], radices: list[int]) -> list[int]:
     """Keyed permutation of all values with these radices."""
     size = 1
@@ -81,7 +90,7 @@ def permute(key: bytes, label: str, digits: list[int], radices: list[int]) -> li
     else:
         for turn in range(8):
             to = turn % 2
-            value[to] = (value[to] + _stream(key, f"{tag}|{turn}", str(value[1 - to]))) % sizes[to]
+            value[to] = (value[to] + _draw(key, f"{tag}|{turn}", value[1 - to], sizes[to])) % sizes[to]
     out = []
     for i in range(len(radices) - 1, -1, -1):
         out.append(value[i >= half] % radices[i])
@@ -106,7 +115,15 @@ def encipher(key: bytes, label: str, text: str, alphabets: tuple[str, ...]) -> s
     places, own = _classes(text, alphabets)
     at = set(places)
     fixed = [(i, c) for i, c in enumerate(text) if i not in at]
-    new = permute(key, f"{label}|{len(text)}|{fixed}", [a.index(text[i]) for i, a in zip(places, own, strict=True)], [len(a) for a in own])
+    digits, radices = [a.index(text[i]) for i, a in zip(places, own, strict=True)], [len(a) for a in own]
+    if len(places) <= LONG:
+        new = permute(key, f"{label}|{len(text)}|{fixed}", digits, radices)
+    else:  # piece by piece, each by what stands before it, so it stays a permutation
+        new, before = [], hashlib.sha256(f"{len(text)}|{fixed}".encode())
+        for i in range(0, len(places), LONG):
+            part = digits[i : i + LONG]
+            new += permute(key, f"{label}|{i}|{before.hexdigest()}", part, radices[i : i + LONG])
+            before.update(bytes(part))
     out = list(text)
     for i, a, d in zip(places, own, new, strict=True):
         out[i] = a[d]

@@ -279,6 +279,20 @@ def test_given_names_after_a_capital():
     assert kinds == [(0, 5, "given"), (6, 10, "surname"), (11, 18, "surname")]
 
 
+def test_long_secrets():
+    random.seed(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for n in (90, 256, 600, 20_000):
+        secret = "".join(random.choice(letters) for _ in range(n))
+        for head in ("token=", "sk-", "xoxb-"):
+            new = pii.replace(f"x {head}{secret} y", pii.KEY, {})[0]
+            assert new.startswith(f"x {head}") and new.endswith(" y") and len(new) == n + len(head) + 4
+            same = sum(a == b for a, b in zip(new[2 + len(head) : -2], secret, strict=True))
+            assert same < n / 4 and not any(secret[i : i + 8] in new for i in range(0, n - 8, 8))
+            other = pii.replace(f"x {head}{secret[:-1]}{'a' if secret[-1] != 'a' else 'b'} y", pii.KEY, {})[0]
+            assert other != new
+
+
 # op5 -------------------------------------------------------------------------
 
 
