@@ -20,13 +20,14 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from keyloom.llm.common import materialize
 
 KEY = b"keyloom surrogate key"  #: of the registered query; callers pass their own
 LONG = 512  #: characters that are permuted as one number
-DRAWS = 8  #: attempts at a surrogate without collision
+DENSE = 0.9  #: share of collisions left from which a redraw counts as no help
+STALLED = 5  #: redraws in a row without help, after which the formats left count as too full
 
 #: Given names by script and gender; a surrogate comes from the same list.
 NAMES = {
@@ -269,7 +270,7 @@ def detect(text: str | None) -> list[tuple[int, int, str]]:
     return sorted(found)
 
 
-Draws = dict[tuple[str, str], int]
+Draws = dict[tuple[str, str], int | str]  #: the attempt, or the surrogate itself
 
 
 def replace(text: str | None, key: bytes, draws: Draws) -> tuple[str | None, list[tuple[int, int, str, str]]]:
@@ -281,7 +282,8 @@ def replace(text: str | None, key: bytes, draws: Draws) -> tuple[str | None, lis
     for a, b, kind in spans:
         mention = text[a:b]
         value = canonical(kind, mention)
-        new = spell(kind, mention, value, surrogate(key, kind, value, draws.get((kind, value), 0)))
+        draw = draws.get((kind, value), 0)
+        new = spell(kind, mention, value, draw if isinstance(draw, str) else surrogate(key, kind, value, draw))
         out += [text[at:a], new]
         log.append((a, b, kind, new))
         at = b
@@ -309,8 +311,52 @@ def _drawn(key: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     return run
 
 
+def shape(kind: str, value: str) -> str:
+    """What values must have in common to be each other's surrogates."""
+    if kind == "ip":
+        octets = value.split(".")
+        return ".".join(octets[: 1 if octets[0] in ("10", "127") else 2 if octets[0] in ("192", "172") else 0])
+    if kind in ("phone", "card", "ssn"):
+        return f"{len(value)} {value[: 1 if kind == 'card' else max(0, len(value) - 10)]}"
+    if kind == "surname":
+        return "".join(next((a[0] for a in LETTERS if c in a), c) for c in value)
+    head = value[:2] if kind == "iban" else value.rpartition(".")[2] if kind == "email" else ""
+    return f"{head} {re.sub('[a-z]', 'a', re.sub('[A-Z]', 'A', re.sub('[0-9]', '0', value)))}"
+
+
+def _shaped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        shapes = [shape(k, v) for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shapes, pa.string())], [*b.schema.names, "shape"])
+
+
+def _rotated(settled: DataFrame, bad: DataFrame, key: bytes) -> DataFrame:
+    """``settled`` where each format of a ``bad`` value passes its own values round in a keyed order.
+
+    The values of a format are distinct, and no surrogate of another format is
+    one of them, so no two entities share a surrogate. A value alone in its
+    format takes part with those of its kind.
+    """
+    shaped = materialize(settled.join(bad, ["kind", "value"], "left").select("kind", "value", "draw", "new", "bad").mapInArrow(_shaped, "kind string, value string, draw int, new string, bad int, shape string"), "shaped")
+    sizes = shaped.groupBy("kind", "shape").agg(F.count("*").alias("n"), F.max("bad").alias("full")).where("full = 1")
+    lone = sizes.where("n = 1").select("kind").distinct().withColumn("lone", F.lit(1))
+    held = shaped.join(sizes.select("kind", "shape", "full"), ["kind", "shape"], "left").join(lone, "kind", "left")
+    turn = F.sha2(F.concat(F.lit(key.hex()), F.lit("|"), "value"), 256)
+    ring = Window.partitionBy("kind", "ring").orderBy(turn, "value")
+    whole = Window.partitionBy("kind", "ring").orderBy(turn, "value").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    named = held.where("lone = 1 or full = 1").withColumn("ring", F.when(F.col("lone").isNull(), F.col("shape")))
+    moved = named.withColumn("new", F.coalesce(F.lead("value").over(ring), F.first("value").over(whole))).withColumn("draw", F.lit(-1))
+    columns = ["kind", "value", "draw", "new"]
+    return materialize(held.where("lone is null and full is null").select(columns).union(moved.select(columns)), "rotated")
+
+
 def collisions(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """``kind, value, draw`` of the entities whose first surrogate another entity has or is; draw: the attempt without collision."""
+    """``kind, value, draw, new`` of the entities whose first surrogate another entity has or is.
+
+    draw: the attempt without collision, where new is null. Redraws go on until
+    no collision is left; what they leave in a format too full for them passes
+    its own values round (draw -1, and new the surrogate).
+    """
     entities = materialize(
         docs.select(F.col("text").cast("string")).mapInArrow(_entities(key), "kind string, value string").distinct().withColumn("draw", F.lit(0)),
         "entities",
@@ -318,20 +364,27 @@ def collisions(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     schema = "kind string, value string, draw int, new string"
     settled = materialize(entities.mapInArrow(_drawn(key), schema), "drawn")
     group = F.when(F.col("kind").startswith("given"), "given").otherwise(F.col("kind"))
-    for _ in range(DRAWS):
+    before, stalled = 0, 0
+    while True:
         shared = settled.groupBy(group.alias("g"), "new").agg(F.min("value").alias("stays"), F.count("*").alias("n")).where("n > 1")
         again = settled.join(shared.withColumnRenamed("new", "n2"), (group == F.col("g")) & (F.col("new") == F.col("n2"))).where("value != stays").select("kind", "value")
         # names come from closed lists, where a surrogate is some original always
         known = settled.where(~F.col("kind").startswith("given")).select(F.col("kind").alias("k2"), F.col("value").alias("v2"))
         taken = settled.join(known, (F.col("kind") == F.col("k2")) & (F.col("new") == F.col("v2")), "left_semi").select("kind", "value")
-        bad = materialize(again.union(taken).distinct().withColumn("bad", F.lit(1)), "collisions")
-        if not bad.limit(1).count():
+        # what has no letter or digit has nothing to replace
+        bad = materialize(again.union(taken).where(r"value rlike '[\\p{L}\\p{N}]'").distinct().withColumn("bad", F.lit(1)), "collisions")
+        n = bad.count()
+        stalled = stalled + 1 if before and n > DENSE * before else 0
+        if stalled == STALLED:
+            settled = _rotated(settled, bad, key)
+        if not n or stalled == STALLED:
             break
+        before = n
         settled = materialize(
             settled.drop("new").join(bad, ["kind", "value"], "left").select("kind", "value", (F.col("draw") + F.coalesce("bad", F.lit(0))).alias("draw")).mapInArrow(_drawn(key), schema),
             "drawn",
         )
-    return settled.where("draw > 0").select("kind", "value", "draw")
+    return settled.where("draw != 0").select("kind", "value", "draw", F.when(F.col("draw") < 0, F.col("new")).alias("new"))
 
 
 SPANS = "array<struct<start:int,end:int,kind:string,surrogate:string>>"
@@ -345,14 +398,15 @@ def pseudonymize(docs: DataFrame, key: bytes = KEY, draws: DataFrame | None = No
     surrogates; without it they cannot be told from fresh values. ``draws``: the
     result of :func:`collisions` over a larger corpus that the texts are of.
     """
-    again = materialize(collisions(docs, key) if draws is None else draws, "again")
+    again = collisions(docs, key) if draws is None else draws
+    again = materialize(again if "new" in again.columns else again.withColumn("new", F.lit(None).cast("string")), "again")
     texts = docs.withColumn("_original", F.col("text").cast("string"))
     if again.limit(1).count():  # the few with another draw come to each text by a join
         held = texts.select("_original").distinct().mapInArrow(_held, "_h string, kind string, value string")
-        drawn = held.join(again, ["kind", "value"]).groupBy("_h").agg(F.collect_list(F.struct("kind", "value", "draw")).alias("_draws"))
+        drawn = held.join(again, ["kind", "value"]).groupBy("_h").agg(F.collect_list(F.struct("kind", "value", "draw", "new")).alias("_draws"))
         texts = texts.join(materialize(drawn, "draws"), F.sha2("_original", 256) == F.col("_h"), "left").drop("_h")
     else:
-        texts = texts.withColumn("_draws", F.lit(None).cast("array<struct<kind:string,value:string,draw:int>>"))
+        texts = texts.withColumn("_draws", F.lit(None).cast("array<struct<kind:string,value:string,draw:int,new:string>>"))
     others = [c for c in docs.columns if c != "text"]
     columns = [*others, "_original", "_draws"]
     out = docs.select(*others).schema.add("text", "string")
@@ -361,7 +415,7 @@ def pseudonymize(docs: DataFrame, key: bytes = KEY, draws: DataFrame | None = No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [replace(t, key, {(x["kind"], x["value"]): x["draw"] for x in d or ()}) for t, d in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)]
+            rows = [replace(t, key, {(x["kind"], x["value"]): x["draw"] if x["new"] is None else x["new"] for x in d or ()}) for t, d in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)]
             log = [[dict(zip(("start", "end", "kind", "surrogate"), x, strict=True)) for x in r[1]] for r in rows]
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array([r[0] for r in rows], pa.string()), pa.array(log, spans)], names)
 
