@@ -1,20 +1,23 @@
-"""Shared plumbing: the job's shared folder, written tables, bounded Arrow batches."""
+"""Shared plumbing: the job's shared folder, written tables, bounded Arrow batches, unused column names."""
 
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Arrow batches handed to Python hold at most this many bytes and rows, so a
 #: batch of very long texts stays small whatever the row count.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 BATCH_ROWS = 4096
 
 _shipped: set[str] = set()
@@ -36,7 +39,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session by bytes and rows, and ship the package."""
+    """Bound the Arrow batches of this session by bytes and rows, and ship the package.
+
+    Registered queries and pipeline stages call it; the operators leave a
+    caller's settings alone.
+    """
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
@@ -71,14 +78,15 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _clean(spark: SparkSession) -> None:
-    try:
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    with contextlib.suppress(Exception):  # the context may have ended already
         for path in _written.pop(spark.sparkContext.applicationId, []):
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
-    except Exception:  # the context may have ended already
-        return
+            _delete(spark, path)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -90,19 +98,87 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._written_to = path
+    return found
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialize` that nothing reads any more."""
+    for t in tables:
+        path, own = t._written_to, _written.get(t.sparkSession.sparkContext.applicationId, [])
+        if path in own:
+            own.remove(path)
+            _delete(t.sparkSession, path)
+
+
+def free(columns: Iterable[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as none of ``columns`` clashes with (Spark's names have no case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(columns: Iterable[str]) -> list[str]:
+    """Names as Spark takes them whatever they hold, dots and backticks too."""
+    return ["`" + c.replace("`", "``") + "`" for c in columns]
+
+
+Batches = Iterator[pa.RecordBatch]
 
 
-def by_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch]):
-    """``mapInArrow`` body applying ``fn`` to every batch."""
+def slim(fn: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``fn`` as the body of ``mapInArrow``; when its task ends, the worker, which Spark keeps, gives free memory back."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
+    def run(batches: Batches) -> Batches:
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
 
     return run
 
 
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def binary_rows(column: pa.Array, kind: str, width: int) -> np.ndarray:
+    """A binary column without nulls, of ``width`` numbers in each row, as a matrix that shares its memory."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]].view(kind).reshape(len(column), width)
+
+
+def binary_column(rows: np.ndarray) -> pa.Array:
+    """A matrix as a binary column, a row in each; see :func:`binary_rows`."""
+    data = np.ascontiguousarray(rows)
+    width = data.dtype.itemsize * data.shape[1]
+    offsets = (np.arange(len(data) + 1) * width).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def text_hash():
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def without(docs: DataFrame, gone: DataFrame, once: bool = False) -> DataFrame:
+    """Rows of ``docs`` but those of a document in ``gone`` (doc: a doc_id, th: :func:`text_hash`); ``once``: one row of each doc_id and text.
+
+    One shuffle serves both, and none is needed where ``gone`` turns out small.
+    """
+    key, th, gone_key, gone_th = free(docs.columns, "_key", "_th", "_gone_key", "_gone_th")
+    hashed = docs.withColumns({key: F.xxhash64("doc_id"), th: text_hash()})
+    out = gone.select(F.xxhash64("doc").alias(gone_key), F.col("th").alias(gone_th)).distinct()
+    kept = hashed.join(out, (F.col(key) == F.col(gone_key)) & (F.col(th) == F.col(gone_th)), "left_anti")
+    return (kept.dropDuplicates([key, th]) if once else kept).select(*quoted(docs.columns))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

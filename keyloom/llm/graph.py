@@ -13,7 +13,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from keyloom.llm.common import materialize
+from keyloom.llm.common import materialize, release, slim
 
 EDGES = "a long, b long"
 
@@ -71,7 +71,7 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     e = materialize(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct()
-        .mapInArrow(contract, EDGES)
+        .mapInArrow(slim(contract), EDGES)
         .distinct(),
         f"{tag}-edges",
     )
@@ -79,19 +79,24 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
         low = materialize(e.groupBy("a").agg(F.min("b").alias("low")), f"{tag}-low")
         n, heads = e.count(), low.count()
         if n == heads and not e.join(low.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count():
+            release(low)
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
         if n != heads:  # small star: smaller neighbours meet at the smallest
-            e = materialize(
+            small = materialize(
                 e.join(low, "a")
                 .select(F.when(F.col("b") == F.col("low"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("low").alias("b"))
                 .distinct(),
                 f"{tag}-small",
             )
+            release(e, low)
+            e = small
             low = materialize(e.groupBy("a").agg(F.min("b").alias("low")), f"{tag}-low")
         # large star: a neighbour that isn't a root hands its members on
-        e = materialize(
+        large = materialize(
             e.join(low.select(F.col("a").alias("b"), "low"), "b", "left")
             .select("a", F.coalesce("low", "b").alias("b"))
             .distinct(),
             f"{tag}-large",
         )
+        release(e, low)
+        e = large

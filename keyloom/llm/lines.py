@@ -7,34 +7,31 @@ component the first line (smallest doc_id, then line number) stays.
 
 Texts stay where they are: what is shuffled are ids, places and signatures.
 Lines that share a band are first held against each other by one bit of each
-of their minima; only lines with a partner by that are read again and verified.
-
-A band that very many lines share is dealt out as pairs of blocks, so no task
-gets more than two blocks, and each task returns a forest, never its pairs.
+of their minima (:mod:`keyloom.llm.buckets`, which also deals out crowded
+bands); only lines with a partner by that are read again and verified, and each
+task returns a forest, never its pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import xxhash
+from pyspark.sql import Column, DataFrame, functions as F
 
-from keyloom.llm.common import materialize
+from keyloom.llm import buckets
+from keyloom.llm.common import Batches, binary_column, free, materialize, quoted, release, slim
 from keyloom.llm.graph import EDGES, Forest, components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 ROWS, BANDS = 5, 12  #: a pair at 0.8 shares a band with probability 0.991, at 0.85 with 0.999
-MIN_CHARS = 20  #: shorter lines always stay
-BLOCK = 4096
+MIN_CHARS = 1  #: shorter lines always stay; blank ones do so whatever this says
 FEW = 5  #: lines of a part that are compared pair by pair
-WIDE = 1 << 22  #: characters of a part, its lines made equally long, that are compared as a matrix
-BITS_APART = 15  #: of the 60 bits of two sketches, at most; a pair at 0.8 is further apart with probability 0.0001
-BLOOM_WORDS = 1 << 20  #: longs of the filters sent to tasks, whatever the corpus holds; a full one only filters less
 SEEN = 200_000  #: lines that a task remembers to have signed
-SKETCHES = "_sketch long, " + ", ".join(f"_b{i} long" for i in range(BANDS // 2))
+SLICE = 8192  #: lines that are handed on at once
 _LAST = (1 << 63) - 1
 _rng = np.random.default_rng(20)
 _MUL = _rng.integers(0, 1 << 31, ROWS * BANDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -89,38 +86,71 @@ def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return sketches, bands
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, norm, doc, th, no) with the sketch for the norm, and the bands where the task meets the line first."""
-    seen: set[int] = set()
-    names = ["_id", "_doc", "_th", "_no", "_sketch", *(f"_b{i}" for i in range(BANDS // 2))]
-    for b in batches:
-        if not b.num_rows:
-            continue
-        ids = b.column(0).to_pylist()
-        if len(seen) > SEEN:
-            seen.clear()
-        new, rows = [], []
-        for row, ident in enumerate(ids):
-            if ident not in seen:
-                seen.add(ident)
-                new.append(row)
-            rows.append(len(new) - 1 if new and new[-1] == row else -1)
-        index = pa.array([r if r >= 0 else None for r in rows], pa.int64())
-        sketches, bands = signatures(b.column(1).take(pa.array(new, pa.int64())).to_pylist())
-        packed = np.ascontiguousarray(bands).view(np.int64).reshape(len(new), BANDS // 2)
-        given = [pa.array(x).take(index) for x in (sketches, *(np.ascontiguousarray(c) for c in packed.T))]
-        yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], *given], names)
-
-
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, id, sketch) of every band; the key has the band's number above its 32 bits. Rows: (id, sketch, bands)."""
-    number = np.arange(BANDS, dtype=np.int64) << 32
-    for b in batches:
-        if b.num_rows:
-            packed = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[2:]], axis=1)
-            keys = np.ascontiguousarray(packed).view(np.uint32).reshape(b.num_rows, BANDS).astype(np.int64) | number
-            ids, sketches = (np.repeat(c.to_numpy(zero_copy_only=False), BANDS) for c in b.columns[:2])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids), pa.array(sketches)], ["key", "id", "sketch"])
+def comparable(text: str | None, least: int = MIN_CHARS) -> Iterator[tuple[int, str]]:
+    """(number, line) of a text's lines that are compared: without outer spaces, in lower case, ``least`` characters or more, not blank."""
+    for no, line in enumerate(text.split("\n") if text else ()):
+        line = line.strip(" ").lower()
+        if len(line) >= least and line and not line.isspace():
+            yield no, line
+
+
+def line_id(line: str) -> int:
+    """A line's id, a signed 64-bit hash of it."""
+    h = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _sign(least: int) -> Callable[[Batches], Batches]:
+    """Rows (doc, th, text) as a row for each line: its id and place, and sketch and bands where the task meets the line first."""
+    names = ["_id", "_doc", "_th", "_no", "_sketch", "_bands"]
+
+    def run(batches: Batches) -> Batches:
+        seen: set[int] = set()
+
+        def made(b: pa.RecordBatch, rows: list[int], nos: list[int], own: list[str]) -> pa.RecordBatch:
+            ids = list(map(line_id, own))
+            if len(seen) > SEEN:
+                seen.clear()
+            new, place = [], []
+            for i, ident in enumerate(ids):
+                if ident in seen:
+                    place.append(None)
+                else:
+                    seen.add(ident)
+                    place.append(len(new))
+                    new.append(own[i])
+            sketches, bands = signatures(new)
+            at, index = pa.array(rows, pa.int64()), pa.array(place, pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), b.column(0).take(at), b.column(1).take(at), pa.array(nos, pa.int32()), pa.array(sketches).take(index), binary_column(bands).take(index)], names)
+
+        for b in batches:
+            rows, nos, own = [], [], []
+            for row, text in enumerate(b.column(2).to_pylist()):
+                for no, line in comparable(text, least):
+                    rows.append(row)
+                    nos.append(no)
+                    own.append(line)
+                    if len(own) == SLICE:
+                        yield made(b, rows, nos, own)
+                        rows, nos, own = [], [], []
+            if own:
+                yield made(b, rows, nos, own)
+
+    return slim(run)
+
+
+def _wanted(least: int, bits: np.ndarray) -> Callable[[Batches], Batches]:
+    """Rows (text) as (id, line) of the lines whose id the bit set may hold."""
+
+    def run(batches: Batches) -> Batches:
+        for b in batches:
+            own = {line_id(line): line for text in b.column(0).to_pylist() for _, line in comparable(text, least)}
+            ids = np.fromiter(own, np.int64, len(own))
+            hit = buckets.holds(bits, ids)
+            if hit.any():
+                yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array([x for x, y in zip(own.values(), hit.tolist(), strict=True) if y], pa.string())], ["id", "line"])
+
+    return run
 
 
 def shingles(line: str) -> frozenset[str]:
@@ -158,104 +188,6 @@ def link_lines(rows: list[tuple[int, str]], links: Forest, least: float = SIMILA
             every.update(others)
 
 
-def _part(members: np.ndarray) -> np.ndarray:
-    """A number for each row of ascending ids, the same wherever the same ids meet; equal numbers only mean more to verify."""
-    h = np.full(len(members), members.shape[1], np.uint64)
-    for column in members.T:
-        h = (h ^ column.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(32)
-    return (h >> np.uint64(1)).view(np.int64)
-
-
-def _components(ids: np.ndarray, sketches: np.ndarray) -> list[np.ndarray]:
-    """Ascending ids of what the sketches connect, two or more each."""
-    out, left = [], np.arange(len(ids))
-    while len(left) > 1:
-        members, left = [int(left[0])], left[1:]
-        at = 0
-        while at < len(members) and len(left):
-            hit = np.bitwise_count(sketches[left] ^ sketches[members[at]]) <= BITS_APART
-            members.extend(left[hit].tolist())
-            left = left[~hit]
-            at += 1
-        if len(members) > 1:
-            out.append(np.sort(ids[members]))
-    return out
-
-
-def _closed(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
-    """Columns with the bounds of whole groups of equal first ``keys`` columns, by which the rows are sorted."""
-    held: list[np.ndarray] | None = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        columns = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-        if held is not None:
-            columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
-        cut = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns[:keys]])) + 1
-        if len(cut):
-            yield columns, np.concatenate(([0], cut[:-1])), cut
-            columns = [c[cut[-1] :].copy() for c in columns]
-        held = columns
-    if held is not None:
-        yield held, np.array([0]), np.array([len(held[0])])
-
-
-def _parts(ids: np.ndarray, sketches: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(part, id) of the rows that have a partner by sketch within their group.
-
-    A part is what may be linked within one bucket. Its number depends on its
-    ids alone, so lines that share many bands are verified once.
-    """
-    parts, members = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    two = first[last - first == 2]
-    two = two[(np.bitwise_count(sketches[two] ^ sketches[two + 1]) <= BITS_APART) & (ids[two] != ids[two + 1])]
-    if len(two):
-        pairs = np.sort(np.stack([ids[two], ids[two + 1]], axis=1), axis=1)
-        parts.append(np.repeat(_part(pairs), 2))
-        members.append(pairs.ravel())
-    for a, b in zip(*(x[last - first > 2].tolist() for x in (first, last)), strict=True):
-        own, at = np.unique(ids[a:b], return_index=True)
-        for found in _components(own, sketches[a:b][at]):
-            parts.append(np.repeat(_part(found[None, :]), len(found)))
-            members.append(found)
-    return np.concatenate(parts), np.concatenate(members)
-
-
-CROWDED = "part long, id long, key long, sketch long, block int, blocks int"
-
-
-def _crowded(batches: Iterator[pa.RecordBatch], size: int = BLOCK) -> Iterator[pa.RecordBatch]:
-    """Rows (key, id, sketch) sorted by key, as CROWDED.
-
-    A key of ``size`` ids or fewer gives its (part, id); one of more gives its
-    rows with the block of each and the number of blocks.
-    """
-    names = [x.split()[0] for x in CROWDED.split(", ")]
-
-    def made(n: int, **given: np.ndarray) -> pa.RecordBatch:
-        kinds = [pa.int64()] * 4 + [pa.int32()] * 2
-        return pa.RecordBatch.from_arrays([pa.array(given[k], t) if k in given else pa.nulls(n, t) for k, t in zip(names, kinds, strict=True)], names)
-
-    for (keys, ids, sketches), first, last in _closed(batches, 1):
-        few = last - first <= size
-        parts, members = _parts(ids, sketches, first[few], last[few])
-        if len(parts):
-            yield made(len(parts), part=parts, id=members)
-        for a, b in zip(first[~few].tolist(), last[~few].tolist(), strict=True):
-            own, at = np.unique(ids[a:b], return_index=True)
-            n = len(own)
-            yield made(n, id=own, key=np.full(n, keys[a]), sketch=sketches[a:b][at], block=(np.arange(n) // size).astype(np.int32), blocks=np.full(n, -(-n // size), np.int32))
-
-
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, low, high, id, sketch) sorted by the first three: those with a partner by sketch, as (part, id)."""
-    for columns, first, last in _closed(batches, 3):
-        parts, members = _parts(columns[3], columns[4], first, last)
-        if len(parts):
-            yield pa.RecordBatch.from_arrays([pa.array(parts), pa.array(members)], ["part", "id"])
-
-
 def _sets(lines: list[str], side: int) -> tuple[np.ndarray, np.ndarray]:
     """Every line's shingles as a sorted row of 60-bit numbers, and how many there are.
 
@@ -304,49 +236,52 @@ def similar_pairs(pairs: list[tuple[str, str]], least: float = SIMILARITY) -> np
     return out
 
 
-def link_wide(rows: list[tuple[int, str]], links: Forest, least: float = SIMILARITY) -> None:
-    """:func:`link_lines` for lines as :func:`similar_pairs` takes them: a search from line to line over those not reached yet."""
-    ids = [i for i, _ in rows]
-    width = max(len(x) for _, x in rows) - SHINGLE + 1
-    step = max(1, (1 << 15) // width)
-    a, n = np.empty((len(rows), width), np.int64), np.empty(len(rows), np.int64)
-    a[:] = (1 << 61) + (1 << 31) + np.arange(width)
-    for i in range(0, len(rows), step):
-        part, n[i : i + step] = _sets([x for _, x in rows[i : i + step]], 0)
-        a[i : i + step, : part.shape[1]] = part
+def _numbers(line: str) -> np.ndarray:
+    """A line's shingles as ascending 60-bit numbers; for lines as :func:`similar_pairs` takes them."""
+    codes = np.frombuffer(line.encode("utf-32-le"), "<u4").astype(np.int64)
+    out = codes[: len(codes) - SHINGLE + 1].copy()
+    for i in range(1, SHINGLE):
+        out = (out << 12) | codes[i : len(codes) - SHINGLE + 1 + i]
+    out.sort()
+    return out[np.concatenate(([True], out[1:] != out[:-1]))]
+
+
+def link_sets(rows: list[tuple[int, np.ndarray]], links: Forest, least: float = SIMILARITY) -> None:
+    """Link the sets (ascending, not empty) of exact Jaccard similarity ``least`` or more: a search from set to set over those not reached yet."""
+    size = np.array([len(x) for _, x in rows])
     left = np.arange(len(rows))
     while len(left) > 1:
         reached, left = [int(left[0])], left[1:]
         while reached and len(left):
             x = reached.pop()
-            near = left[np.minimum(n[left], n[x]) >= least * np.maximum(n[left], n[x]) - 1e-9]
-            own = a[x] + ((a[x] >= 1 << 61).astype(np.int64) << 40)
-            hits = []
-            for i in range(0, len(near), step):
-                part = near[i : i + step]
-                hits.append(part[_alike(np.broadcast_to(own, (len(part), width)), a[part], n[x], n[part], least)])
-            if hits and len(found := np.concatenate(hits)):
-                for y in found.tolist():
-                    links.union(ids[x], ids[y])
-                reached.extend(found.tolist())
-                left = np.setdiff1d(left, found, assume_unique=True)
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = rows[x][1]
+            near = left[np.minimum(size[left], size[x]) >= least * np.maximum(size[left], size[x]) - 1e-9]
+            if not len(near):
+                continue
+            flat = np.concatenate([rows[i][1] for i in near])
+            at = np.searchsorted(own, flat)
+            same = own[np.minimum(at, len(own) - 1)] == flat
+            both = np.add.reduceat(same, np.concatenate(([0], np.cumsum(size[near])[:-1])), dtype=np.int64)
+            found = near[both >= least * (size[x] + size[near] - both) - 1e-9]
+            for y in found.tolist():
+                links.union(rows[x][0], rows[y][0])
+            reached.extend(found.tolist())
+            left = np.setdiff1d(left, found, assume_unique=True)
+
+
+def verify(batches: Batches) -> Batches:
     """Links of one task's parts; rows (part, id, line) sorted by part."""
-    links, held, rows = Forest(), None, []
+    links, held, rows = Forest(), None, {}
     pairs: list[tuple[int, int, str, str]] = []
 
     def close() -> None:
-        own = list(dict(rows).items())
+        own = list(rows.items())
         if not all(len(x) >= SHINGLE and (x.isascii() or max(x) < "\u1000") for _, x in own):
             link_lines(own, links)
         elif len(own) <= FEW:
             pairs.extend((a[0], b[0], a[1], b[1]) for i, a in enumerate(own) for b in own[:i])
-        elif len(own) * max(len(x) for _, x in own) <= WIDE:
-            link_wide(own, links)
         else:
-            link_lines(own, links)
+            link_sets([(i, _numbers(x)) for i, x in own], links)
 
     def settle() -> None:
         for (a, b, _, _), yes in zip(pairs, similar_pairs([p[2:] for p in pairs]).tolist(), strict=True):
@@ -358,119 +293,86 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, ident, line in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if held != part:
                 close()
-                held, rows = part, []
-            rows.append((ident, line))
+                held, rows = part, {}
+            rows[ident] = line
         settle()
     close()
     settle()
     yield from links.batches()
 
 
-def bloom(df: DataFrame, column: str) -> np.ndarray:
-    """A bit set of BLOOM_WORDS longs that holds the column's hashes (64-bit numbers)."""
-    word = F.col(column).bitwiseAND(F.lit(BLOOM_WORDS - 1))
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, 40) & 63 as int))")
-    rows = df.select(word.cast("int").alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(BLOOM_WORDS, np.int64)
-    out[rows["w"].to_numpy()] = rows["b"].to_numpy()
-    return out
+def _place(text: Column) -> list[Column]:
+    """What a document is known by: doc_id (the last of all where there is none) and a hash of its text."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), F.xxhash64(text)]
 
 
-def _filtered(df: DataFrame, column: str, bits: np.ndarray, within: bool) -> DataFrame:
-    """Rows of ``df`` whose hash the bit set may hold, or those whose hash it doesn't hold."""
-    given, place = df.sparkSession.sparkContext.broadcast(bits), df.columns.index(column)
+def line_roots(docs: DataFrame, met: DataFrame, min_chars: int = MIN_CHARS, block: int = buckets.BLOCK, often: int = buckets.OFTEN, most: int = buckets.PART) -> DataFrame:
+    """``_id, _root`` of every line met twice or similar to another; lines of one component have one root."""
+    twice = materialize(met.groupBy("_id").count().where("count > 1").select("_id"), "twice")
+    signed = met.where("_bands is not null").select("_id", "_sketch", "_bands")
+    near = buckets.candidates(signed, BANDS, "line", block, often, most)
+    sent = docs.sparkSession.sparkContext.broadcast(buckets.as_array(buckets.bloom(near, "id")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h = b.column(place).to_numpy(zero_copy_only=False)
-            at = (h.view(np.uint64) >> np.uint64(40)) & np.uint64(63)
-            hit = (given.value[h & (BLOOM_WORDS - 1)].view(np.uint64) >> at) & np.uint64(1) != 0
-            yield b.filter(pa.array(hit == within))
+    def wanted(batches: Batches) -> Batches:
+        yield from slim(_wanted(min_chars, sent.value))(batches)
 
-    return df.mapInArrow(run, df.schema)
+    lines = materialize(docs.select(F.col("text").cast("string")).mapInArrow(wanted, "id long, line string").groupBy("id").agg(F.min("line").alias("line")), "texts")
+    pairs = near.join(lines, "id").select("part", "id", "line")
+    roots = components(pairs.repartition("part").sortWithinPartitions("part").mapInArrow(slim(verify), EDGES), "lines")
+    roots = roots.select(F.col("node").alias("_id"), F.col("root").alias("_root")).union(roots.select("root", "root").distinct())
+    found = materialize(roots.union(twice.join(roots, "_id", "left_anti").select("_id", F.col("_id").alias("_root"))), "roots")
+    release(near, lines, twice)
+    return found
 
 
-def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``_id, _norm, _doc, _th, _no``: lines of ``min_chars`` or more without outer spaces; the id is a 64-bit hash of the trimmed, lower-cased line."""
-    text = F.col("text").cast("string")
-    norm = F.lower(F.trim("_line"))
-    return (
-        docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("_doc"), F.xxhash64(text).alias("_th"), F.posexplode(F.split(text, "\n")).alias("_no", "_line"))
-        .where(F.length(F.trim("_line")) >= min_chars)
-        .select(F.xxhash64(norm).alias("_id"), norm.alias("_norm"), "_doc", "_th", "_no")
-    )
+def added(columns: list[str]) -> list[str]:
+    """Names of the two columns that :func:`dedup_lines` adds to those: ``_lines`` and ``_removed`` where they are unused."""
+    return free(columns, "_lines", "_removed")
 
 
-def line_classes(docs: DataFrame, met: DataFrame, min_chars: int = MIN_CHARS, block: int = BLOCK) -> DataFrame:
-    """``_id, _keep_doc, _keep_th, _keep_no`` of every line met twice or similar to another: the place that stays."""
-    place = F.struct("_doc", "_th", "_no")
-    distinct = materialize(
-        met.groupBy("_id").agg(F.min(place).alias("_at"), F.count("*").alias("_n")), "lines"
-    )
-    signed = met.where("_b0 is not null").select("_id", "_sketch", *[f"_b{i}" for i in range(BANDS // 2)])
-    crowded = materialize(
-        signed.mapInArrow(_unpack, "key long, id long, sketch long").repartition("key").sortWithinPartitions("key")
-        .mapInArrow(lambda b: _crowded(b, block), CROWDED),
-        "bands",
-    )
-    dealt = (
-        crowded.where("part is null")
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"), "id", "sketch")
-        .repartition("key", "low", "high")
-        .sortWithinPartitions("key", "low", "high")
-        .mapInArrow(_near, "part long, id long")
-    )
-    near = materialize(crowded.where("part is not null").select("part", "id").union(dealt).distinct(), "near")
-    lines = _filtered(occurrences(docs, min_chars).select("_id", "_norm"), "_id", bloom(near, "id"), True)
-    lines = materialize(lines.groupBy(F.col("_id").alias("id")).agg(F.first("_norm").alias("_norm")), "texts")
-    pairs = near.join(lines, "id").select("part", "id", "_norm")
-    roots = components(pairs.repartition("part").sortWithinPartitions("part").mapInArrow(_verify, EDGES), "lines")
-    roots = roots.union(roots.select("root", "root").distinct())
-    rooted = materialize(
-        distinct.select("_id", "_at", "_n").join(roots, distinct["_id"] == roots["node"], "left")
-        .where("root is not null or _n > 1")
-        .select("_id", "_at", F.coalesce("root", "_id").alias("_root")),
-        "rooted",
-    )
-    first = materialize(rooted.groupBy("_root").agg(F.min("_at").alias("_keep")), "keep")
-    found = rooted.join(first, "_root").select("_id", F.col("_keep._doc").alias("_keep_doc"), F.col("_keep._th").alias("_keep_th"), F.col("_keep._no").alias("_keep_no"))
-    return materialize(found, "classes")
-
-
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, block: int = BLOCK) -> DataFrame:
-    """``docs`` with ``text`` without repeated lines, and ``_lines``, ``_removed`` (long).
-
-    Lines shorter than ``min_chars`` stay, blank ones too. Rows that repeat a
-    doc_id and text are one document and lose the same lines; rows without
-    doc_id come last in the order that decides which line stays. A null text
-    stays null with no lines. Other columns are passed on.
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, block: int = buckets.BLOCK, often: int = buckets.OFTEN, most: int = buckets.PART) -> DataFrame:
+    """``docs`` with ``text`` without repeated lines, and the number of its lines and of those removed (long; see :func:`added`).
+
+    Blank lines always stay, and lines shorter than ``min_chars``. Rows that
+    repeat a doc_id and text are one document and lose the same lines; rows
+    without doc_id come last in the order that decides which line stays. A null
+    text stays null with no lines. Other columns are passed on, whatever their
+    names. An empty table gives no rows.
     """
-    met = occurrences(docs, min_chars).mapInArrow(_sign, f"_id long, _doc long, _th long, _no int, {SKETCHES}")
-    met = materialize(met, "met")
-    classes = line_classes(docs, met, min_chars, block)
-    gone = (
-        met.select("_id", "_doc", "_th", "_no")
-        .join(classes, "_id")
-        .where((F.col("_doc") != F.col("_keep_doc")) | (F.col("_th") != F.col("_keep_th")) | (F.col("_no") != F.col("_keep_no")))
-        .groupBy(F.col("_doc").alias("_gone_doc"), F.col("_th").alias("_gone_th"))
-        .agg(F.collect_set("_no").alias("_gone"))
-    )
-    gone = materialize(gone.withColumn("_key", F.xxhash64("_gone_doc", "_gone_th")), "gone")
     text = F.col("text").cast("string")
-    keyed = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "_th": F.xxhash64(text)})
-    keyed = keyed.withColumn("_key", F.xxhash64("_doc", "_th"))
-    bits = bloom(gone, "_key")
-    lines = F.split(text, "\n")
-    total = F.coalesce(F.size(lines), F.lit(0)).cast("long")
-    whole = _filtered(keyed, "_key", bits, False).withColumns({"text": text, "_lines": total, "_removed": F.lit(0).cast("long")})
-    cut = _filtered(keyed, "_key", bits, True).drop("_key").join(gone.drop("_key"), (F.col("_doc") == F.col("_gone_doc")) & (F.col("_th") == F.col("_gone_th")), "left")
-    kept = F.when(F.col("_gone").isNull(), text).otherwise(
-        F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
+    met = materialize(
+        docs.select(*_place(text), text).mapInArrow(_sign(min_chars), "_id long, _doc long, _th long, _no int, _sketch long, _bands binary"), "met"
     )
-    cut = cut.withColumns({"text": kept, "_lines": total, "_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")})
-    columns = [*docs.columns, "_lines", "_removed"]
-    return whole.select(*columns).union(cut.select(*columns))
+    place = F.struct("_doc", "_th", "_no")
+    again = materialize(met.select("_id", "_doc", "_th", "_no").join(line_roots(docs, met, min_chars, block, often, most), "_id").select("_root", "_doc", "_th", "_no"), "again")
+    first = materialize(again.groupBy("_root").agg(F.min(place).alias("_keep")), "keep")
+    gone = again.join(first, "_root").where(place != F.col("_keep")).groupBy("_doc", "_th").agg(F.collect_set("_no").alias("_nos"))
+    names = added(docs.columns)
+    doc, th, key, nos, doc2, th2 = free([*docs.columns, *names], "_doc", "_th", "_key", "_nos", "_doc2", "_th2")
+    gone = materialize(gone.select(F.col("_doc").alias(doc2), F.col("_th").alias(th2), F.xxhash64("_doc", "_th").alias(key), F.col("_nos").alias(nos)), "gone")
+    bits = buckets.bloom(gone, key)
+    keyed = docs.withColumns(dict(zip((doc, th), _place(text), strict=True))).withColumn("text", text)
+    keyed = keyed.withColumn(key, F.xxhash64(doc, th))
+    total = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    columns = [*docs.columns, *names]
+    # texts without a line to lose are not shuffled
+    whole = buckets.filtered(keyed, key, bits, False).withColumns({names[0]: total, names[1]: F.lit(0).cast("long")}).select(*quoted(columns))
+    some = buckets.filtered(keyed, key, bits, True).drop(key)
+    joined = some.join(gone.drop(key), (F.col(doc) == F.col(doc2)) & (F.col(th) == F.col(th2)), "left").select(*quoted(docs.columns), nos)
+    at = docs.columns.index("text")
+
+    def cut(batches: Batches) -> Batches:
+        for b in batches:
+            texts, counts, lost = [], [], []
+            for t, n in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+                parts, out = t.split("\n") if t is not None else [], set(n or ())
+                texts.append(t if not out else "\n".join(x for i, x in enumerate(parts) if i not in out))
+                counts.append(len(parts))
+                lost.append(len(out))
+            own = [*b.columns[:at], pa.array(texts, pa.string()), *b.columns[at + 1 : -1]]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(counts, pa.int64()), pa.array(lost, pa.int64())], columns)
+
+    return whole.union(joined.mapInArrow(slim(cut), whole.schema))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
