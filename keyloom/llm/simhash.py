@@ -8,7 +8,8 @@ halves, the index is joined by equality, and candidates are verified.
 
 Copies are collapsed to distinct fingerprints first. A bucket emits only the
 links of its own forest, never its pairs; a bucket too large to compare
-directly is cut again by halves of its free bits, which finds the same links.
+directly is cut again by halves of its free bits, which finds the same links,
+and one too large for a task is cut by its free bits before the shuffle.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from keyloom.llm.common import materialize
+from keyloom.llm.common import materialize, release, slim, text_hash, without
+from keyloom.llm.buckets import groups
 from keyloom.llm.graph import EDGES, Forest, components
 
 HALF = 32
 DIRECT = 2048  #: buckets up to this size are compared directly
+CROWDED = 65_536  #: fingerprints of a bucket from which it is cut by its free bits before the shuffle
 _CHUNK = 1 << 16
 
 
@@ -61,7 +64,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, keep: tuple[str, ...] = ())
             fp = np.array([fingerprint(t, shingle) for t in b.column(b.num_columns - 1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp.view(np.int64))], names)
 
-    return docs.select("doc_id", *keep, F.col("text").cast("string")).mapInArrow(run, out)
+    return docs.select("doc_id", *keep, F.col("text").cast("string")).mapInArrow(slim(run), out)
 
 
 def _pairs(x: np.ndarray, y: np.ndarray, limit: int, links: Forest) -> None:
@@ -92,15 +95,15 @@ def _link(fps: np.ndarray, free: list[int], limit: int, links: Forest) -> None:
             for group in _groups(fps, fps & (mask ^ one)):
                 on = group[(group & one) != 0]
                 off = group[(group & one) == 0]
-                _cross(on, off, rest, limit - 1, one, links)
+                _cross(on, off, rest, limit - 1, limit, links)
 
 
-def _cross(on: np.ndarray, off: np.ndarray, free: list[int], limit: int, one: np.uint64, links: Forest) -> None:
-    """Link ``on`` with ``off``, which differ in the bit ``one`` and else in ``free`` bits, at ``limit`` of those."""
+def _cross(on: np.ndarray, off: np.ndarray, free: list[int], limit: int, total: int, links: Forest) -> None:
+    """Link ``on`` with ``off`` at ``total`` or fewer bits, of which ``limit`` may be ``free`` ones; they differ in the others."""
     if not len(on) or not len(off):
         return
     if min(len(on), len(off)) * max(len(on), len(off)) <= DIRECT * DIRECT or len(free) < 8:
-        return _pairs(on, off, limit + 1, links)
+        return _pairs(on, off, total, links)
     for half in (free[: len(free) // 2], free[len(free) // 2 :]):
         rest = [b for b in free if b not in half]
         mask = np.uint64(sum(1 << b for b in half))
@@ -113,9 +116,12 @@ def _cross(on: np.ndarray, off: np.ndarray, free: list[int], limit: int, one: np
                 left = on[order_a[np.searchsorted(sa, key) : np.searchsorted(sa, key, "right")]]
                 right = off[order_b[np.searchsorted(sb, key) : np.searchsorted(sb, key, "right")]]
                 if bit is None:
-                    _cross(left, right, rest, limit, one, links)
-                else:
-                    _pairs(left, right, limit + 1, links)
+                    _cross(left, right, rest, limit, total, links)
+                    continue
+                # where both sides agree in the bit, they have met without the wildcard
+                flag = np.uint64(1 << bit)
+                for x, y in ((left[(left & flag) != 0], right[(right & flag) == 0]), (left[(left & flag) == 0], right[(right & flag) != 0])):
+                    _cross(x, y, rest, limit - 1, total, links)
 
 
 def _groups(fps: np.ndarray, key: np.ndarray) -> Iterator[np.ndarray]:
@@ -135,7 +141,7 @@ def _bucket(code: int, fps: np.ndarray, links: Forest) -> None:
         return
     bit = (HALF + code - 2) if code < 2 + HALF else (code - 2 - HALF)
     one = np.uint64(1 << bit)
-    _cross(fps[(fps & one) != 0], fps[(fps & one) == 0], low if code < 2 + HALF else high, 2, one, links)
+    _cross(fps[(fps & one) != 0], fps[(fps & one) == 0], low if code < 2 + HALF else high, 2, 3, links)
 
 
 class _Links(Forest):
@@ -150,32 +156,12 @@ class _Links(Forest):
 
 
 def link_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of one task's buckets. Rows: (key, fp), sorted by key, distinct."""
+    """Links of one task's buckets. Rows: (key, part, fp), sorted by key and part, distinct."""
     links = _Links()
-    tail_key, tail = None, [np.empty(0, np.uint64)]
-
-    def close() -> None:
-        if tail_key is not None and sum(map(len, tail)) > 1:
-            _bucket(tail_key >> HALF, np.concatenate(tail), links)
-
-    for batch in batches:
-        keys = batch.column(0).to_numpy(zero_copy_only=False)
-        fps = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-        if not len(keys):
-            continue
-        cut = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-        first, last = np.concatenate(([0], cut)), np.concatenate((cut, [len(keys)]))
-        if tail_key != keys[0]:
-            close()
-            tail_key, tail = int(keys[0]), []
-        tail.append(fps[: last[0]].copy())
-        if len(first) > 1:
-            close()
-            inner = np.flatnonzero(last[1:-1] - first[1:-1] > 1) + 1
-            for i in inner.tolist():
-                _bucket(int(keys[first[i]]) >> HALF, fps[first[i] : last[i]], links)
-            tail_key, tail = int(keys[first[-1]]), [fps[first[-1] :].copy()]
-    close()
+    for (keys, _, fps), first, last, _ in groups(batches, 2, 1 << 62):
+        many = np.flatnonzero(last - first > 1)
+        for i in many.tolist():
+            _bucket(int(keys[first[i]]) >> HALF, fps[first[i] : last[i]].view(np.uint64), links)
     yield from links.batches()
 
 
@@ -194,9 +180,36 @@ def index(distinct: DataFrame) -> DataFrame:
     return rows.select(key.alias("key"), "fp")
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Edges that connect distinct fingerprints exactly as all links at 3 or fewer bits do."""
-    return index(distinct).repartition("key").sortWithinPartitions("key", "fp").mapInArrow(link_buckets, EDGES)
+def cut_by_free_bits(rows: DataFrame) -> DataFrame:
+    """``(key, part, fp)``: the rows of crowded buckets, a row for each eighth of the other half's 32 bits.
+
+    Fingerprints of one bucket differ in that half in three bits at most, so
+    they agree in one of its four eighths of the fingerprint: no link is lost,
+    and a bucket of any size becomes buckets of a 256th of it or so.
+    """
+    v = F.shiftright("key", HALF)
+    upper = (v == 0) | v.between(2, 1 + HALF)
+    free = F.when(upper, F.col("fp").bitwiseAND(F.lit((1 << HALF) - 1))).otherwise(F.shiftrightunsigned("fp", HALF))
+    cut = rows.withColumn("_free", free).withColumn("_s", F.explode(F.array(*[F.lit(i) for i in range(4)])))
+    value = F.expr("shiftright(_free, 8 * _s) & 255L")
+    return cut.select("key", (F.col("_s") * 256 + value + 1).cast("int").alias("part"), "fp")
+
+
+def links(distinct: DataFrame, crowded: int = CROWDED) -> DataFrame:
+    """Edges that connect distinct fingerprints exactly as all links at 3 or fewer bits do.
+
+    Buckets are counted first; those of more than ``crowded`` fingerprints are
+    cut by their free bits, so no bucket meets in one task whole.
+    """
+    rows = index(distinct)
+    hot = materialize(rows.groupBy("key").count().where(F.col("count") > crowded).select("key"), "crowded")
+    if hot.isEmpty():
+        release(hot)
+        dealt = rows.select("key", F.lit(0).alias("part"), "fp")
+    else:
+        calm = rows.join(hot, "key", "left_anti").select("key", F.lit(0).alias("part"), "fp")
+        dealt = calm.union(cut_by_free_bits(rows.join(hot, "key", "left_semi")))
+    return dealt.repartition("key", "part").sortWithinPartitions("key", "part", "fp").select("key", "part", "fp").mapInArrow(slim(link_buckets), EDGES)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -224,15 +237,12 @@ def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that of the smallest doc_id.
 
     Rows whose group has no doc_id at all keep one row per distinct text.
-    Repeats of the same doc_id and text count as one document.
+    Repeats of the same doc_id and text count as one document. Other columns
+    stay, whatever their names.
     """
-    hashed = docs.withColumn("_th", F.xxhash64("text"))
-    found = near_duplicates(hashed, shingle, keep=("_th",))
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_gone"), F.col("_th").alias("_gone_th")
-    ).distinct()
-    kept = hashed.join(gone, (F.col("doc_id").eqNullSafe(F.col("_gone"))) & (F.col("_th") == F.col("_gone_th")), "left_anti")
-    return kept.dropDuplicates(["doc_id", "_th"]).select(*docs.columns)
+    found = near_duplicates(docs.select("doc_id", "text", text_hash().alias("th")), shingle, keep=("th",))
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("doc"), "th")
+    return without(docs, materialize(gone, "gone"), once=True)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
