@@ -4,9 +4,13 @@ Words are lower-cased; numbers, units after a number, and names (capitalised,
 and no common word where a sentence begins) become typed placeholders, a run of
 one type a single one, so a question asked again with other values has the same
 template. Windows of template words are hash-joined with those of the
-benchmark; a document is contaminated by an item when enough of the item's
-windows stand in it in the item's order, and the placeholders are filled
-consistently: equal slots of the item by equal words.
+benchmark; a document is contaminated by an item when windows that stand in it
+in the item's order hold enough of the item's words, and the placeholders are
+filled consistently: equal slots of the item by equal words.
+
+Both sides of the join are tables. Of a document's windows only those are
+shuffled whose hash a bit set of the benchmark's may hold; they carry the words
+of their slots, so no text is read again.
 """
 
 from __future__ import annotations
@@ -15,20 +19,21 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from keyloom.llm.common import materialize
+from keyloom.llm import buckets
+from keyloom.llm.common import Batches, free, materialize, slim, text_hash, without
 
 WINDOW = 8  #: template words of a window; a shorter item is one window
-LEAST = 0.5  #: share of an item's windows that a document must hold
+LEAST = 0.6  #: share of an item's template words that must stand in matched windows
 CONSISTENT = 0.7  #: share of an item's slots in matched windows that must be filled consistently
 DRIFT = 4  #: words by which the distance of places may change from one hit of a chain to the next
-BROADCAST_WINDOWS = 2_000_000  #: the benchmark's window table is sent to the tasks up to this size, and joined by shuffle beyond
 NUMBER, UNIT, NAME = "<number>", "<unit>", "<name>"
 UNITS = frozenset(
     "mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg gram grams kilogram kilograms lb lbs pound pounds oz ounce ounces ton tons ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years hz khz mhz ghz w kw mw j kj cal kcal v a ohm k c f celsius fahrenheit degree degrees percent % $ € £ usd eur dollar dollars euro euros cent cents mph kmh".split()
@@ -44,54 +49,83 @@ COMMON = frozenset(
     "al como con cuando cuál de del desde donde dónde el ella en entre era es esta este esto hay la las lo los más no nos o para pero por porque qué que se según ser si sin sobre su sus también un una y ya".split()
 )
 _TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[%$€£]|[.!?\n]+")
-_CACHED = 200_000
+_CACHED = 100_000  #: tokens of which a task remembers what they are
+#: What a token is, whatever stands around it; in the lowest bits of its code.
+BREAK, ENDS, IS_NUMBER, IS_SIGN, UNIT_WORD, CAPITAL, IS_COMMON = (1 << i for i in range(7))
+_FLAGS = np.uint64(0xFF)
+_KINDS = ("", NUMBER, UNIT, NAME)
+_KIND_CODES = np.array([0, *(xxhash.xxh64_intdigest(k) & ~0xFF for k in _KINDS[1:])], np.uint64)
+
+
+class _Tokens(dict):
+    """Token -> hash of its lower-case form, and its flags in place of the lowest 8 bits."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > _CACHED:
+            self.clear()
+        c, low = token[0], token.lower()
+        if c in ".!?\n":
+            flags = BREAK | (ENDS if token.strip("\n") else 0)
+        else:
+            flags = IS_NUMBER if c.isdigit() or low in NUMBERS else 0
+            flags |= IS_SIGN if c in "%$€£" else 0
+            flags |= UNIT_WORD if low in UNITS else 0
+            flags |= CAPITAL if c.isupper() and token[1:].islower() else 0
+            flags |= IS_COMMON if low in COMMON else 0
+        self[token] = found = xxhash.xxh64_intdigest(low) & ~0xFF | flags
+        return found
 
 
 @dataclass
 class Template:
-    """Template words with their hashes, and for every word its own text."""
+    """A text as template words: their codes, and what stands there."""
 
-    kinds: list[str]
-    words: list[str]
     codes: np.ndarray
+    kind: np.ndarray  #: 0 for a literal word, else a place in _KINDS
+    tokens: list[str]
+    first: np.ndarray  #: tokens at which the template words begin
+    last: np.ndarray  #: and end
+
+    @cached_property
+    def words(self) -> list[str]:
+        """The text of every template word, lower-cased; those of a run are joined."""
+        return [self.word(i) for i in range(len(self.codes))]
+
+    @cached_property
+    def kinds(self) -> list[str]:
+        return [_KINDS[k] or w for k, w in zip(self.kind.tolist(), self.words, strict=True)]
 
+    def word(self, i: int) -> str:
+        part = self.tokens[self.first[i] : self.last[i] + 1]
+        return " ".join(t.lower() for t in part if t[0] not in ".!?\n")
 
-def template(text: str | None, cache: dict[str, int] | None = None, plain: bool = False) -> Template:
+    def slots(self, i: int, size: int) -> list[str]:
+        """Words of a window's placeholders, and nothing for its literal words."""
+        return [self.word(j) if self.kind[j] else "" for j in range(i, i + size)]
+
+
+def template(text: str | None, cache: _Tokens | None = None, plain: bool = False) -> Template:
     """The template of a whole text. A word in capitals throughout is no name; with ``plain``, neither is one that begins a sentence."""
-    cache = {} if cache is None else cache
-    if len(cache) > _CACHED:
-        cache.clear()
-    kinds: list[str] = []
-    words: list[str] = []
-    begins, breaks, after_number = True, True, False
-    for token in _TOKEN.findall(text or ""):
-        c = token[0]
-        if c in ".!?\n":
-            begins, after_number = True, False
-            breaks = breaks or token.strip("\n") != ""
-            continue
-        low = token.lower()
-        if c.isdigit() or low in NUMBERS:
-            kind = NUMBER
-        elif after_number and low in UNITS or c in "%$€£":
-            kind = UNIT
-        elif c.isupper() and token[1:].islower() and not (begins and (plain or low in COMMON)):
-            kind = NAME
-        else:
-            kind = low
-        if kind[0] == "<" and not breaks and kinds[-1] is kind:
-            words[-1] += f" {low}"
-        else:
-            kinds.append(kind)
-            words.append(low)
-        begins, breaks, after_number = False, False, kind is NUMBER
-    codes = np.empty(len(kinds), np.uint64)
-    for i, kind in enumerate(kinds):
-        code = cache.get(kind)
-        if code is None:
-            code = cache[kind] = xxhash.xxh64_intdigest(kind)
-        codes[i] = code
-    return Template(kinds, words, codes)
+    tokens = _TOKEN.findall(text or "")
+    known = _Tokens() if cache is None else cache
+    value = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
+    flags = (value & _FLAGS).astype(np.uint8)
+    at = np.flatnonzero((flags & BREAK) == 0)
+    own = flags[at]
+    if not len(at):
+        return Template(np.empty(0, np.uint64), np.empty(0, np.uint8), tokens, at, at)
+    before = np.where(at > 0, flags[at - 1], BREAK)
+    begins = (before & BREAK) != 0
+    number = (own & IS_NUMBER) != 0
+    unit = ~number & (((own & IS_SIGN) != 0) | (~begins & ((before & IS_NUMBER) != 0) & ((own & UNIT_WORD) != 0)))
+    name = ~number & ~unit & ((own & CAPITAL) != 0) & ~(begins & (True if plain else (own & IS_COMMON) != 0))
+    kind = (number + 2 * unit + 3 * name).astype(np.uint8)
+    ended = np.cumsum((flags & ENDS) != 0)[at]
+    alone = np.ones(len(at), bool)  # not one with the word before
+    alone[1:] = (kind[1:] == 0) | (kind[1:] != kind[:-1]) | (ended[1:] != ended[:-1])
+    keep = np.flatnonzero(alone)
+    codes = np.where(kind == 0, value[at] & ~_FLAGS, _KIND_CODES[kind])
+    return Template(codes[keep], kind[keep], tokens, at[keep], at[np.append(keep[1:] - 1, len(at) - 1)])
 
 
 def windows(codes: np.ndarray, size: int) -> np.ndarray:
@@ -159,180 +193,166 @@ def chains(hits: list[tuple[int, int]], least: float) -> Iterator[list[tuple[int
         left = left[free]
 
 
-def judge(item: Item, words: list[str], hits: list[tuple[int, int]], least: float = LEAST) -> tuple[float, float] | None:
-    """Coverage and slot consistency of an item by ``hits`` (place in item, place in document), or None.
+def judge(item: Item, hits: dict[tuple[int, int], list[str]], least: float = LEAST) -> tuple[float, float] | None:
+    """Coverage and slot consistency of an item, or None; ``hits``: (place in item, place in document) -> words of the window's slots.
 
-    Hits of one chain are judged together; those at one distance are a chain of their own too.
+    Coverage is the share of the item's template words that lie in matched
+    windows. Hits of one chain are judged together; those at one distance are a
+    chain of their own too.
     """
-    need = least * len(item.hashes)
-    if len({p for p, _ in hits}) < need:
+    total = len(item.kinds)
+
+    def share(places: list[int]) -> float:
+        return len({p + i for p in set(places) for i in range(item.size)}) / total
+
+    if share([p for p, _ in hits]) < least:
         return None
-    runs: dict[int, set[tuple[int, int]]] = defaultdict(set)
-    for p, q in hits:
-        runs[q - p].add((p, q))
+    runs: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for p, q in sorted(hits):
+        runs[q - p].append((p, q))
+    # a window covers its size at most, which bounds the hits of a chain from below
+    need = max(1, -(-(least * total) // item.size))
     best = None
-    for found in chain(map(sorted, runs.values()), chains(hits, need) if len(runs) > 1 else ()):
+    for found in chain(runs.values(), chains(list(hits), need) if len(runs) > 1 else ()):
         if best and best[0] == 1:
             break
-        share = len(found) / len(item.hashes)
-        if share < least or (best and share <= best[0]):
+        covered = share([p for p, _ in found])
+        if covered < least or (best and covered <= best[0]):
             continue
-        at: dict[int, int] = {}
+        own: dict[int, str] = {}
         for p, q in found:
-            for i in range(item.size):
-                at.setdefault(p + i, q + i)
+            for i, word in enumerate(hits[p, q]):
+                if item.kinds[p + i][0] == "<":
+                    own.setdefault(p + i, word)
         there: dict[str, set[str]] = defaultdict(set)
         back: dict[str, set[str]] = defaultdict(set)
-        slots = [i for i in at if item.kinds[i][0] == "<"]
-        for i in slots:
-            there[item.kinds[i] + item.words[i]].add(words[at[i]])
-            back[item.kinds[i] + words[at[i]]].add(item.words[i])
-        good = sum(len(there[item.kinds[i] + item.words[i]]) == 1 and len(back[item.kinds[i] + words[at[i]]]) == 1 for i in slots)
-        fit = good / len(slots) if slots else 1.0
+        for i, word in own.items():
+            there[item.kinds[i] + item.words[i]].add(word)
+            back[item.kinds[i] + word].add(item.words[i])
+        good = sum(len(there[item.kinds[i] + item.words[i]]) == 1 and len(back[item.kinds[i] + w]) == 1 for i, w in own.items())
+        fit = good / len(own) if own else 1.0
         if fit >= CONSISTENT:
-            best = (share, fit)
+            best = (covered, fit)
     return best
 
 
-class Index:
-    """Windows of the benchmark: hash -> (number of the template, place), and a bit set that turns most windows away."""
+def places(t: Template, size: int, at: np.ndarray) -> Iterator[tuple[int, list[str]]]:
+    """(place, words of the slots) of windows; of equal windows that are shorter than WINDOW, which are whole items, one for each filling."""
+    seen: set[tuple[int, ...]] = set()
+    h = windows(t.codes, size) if size < WINDOW else None
+    for q in at.tolist():
+        slots = t.slots(q, size)
+        if h is not None:
+            like = (int(h[q]), *map(hash, slots))
+            if like in seen:
+                continue
+            seen.add(like)
+        yield q, slots
 
-    BITS = 22
+
+class Index:
+    """Items held against single texts; tables are joined by :func:`contamination`, which finds the same."""
 
     def __init__(self, items: list[Item]) -> None:
         self.items = [x for item in items for x in (item, item.plain) if x]
-        self.sizes = sorted({x.size for x in self.items})
-        self.at: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, x in enumerate(self.items):
-            for p, h in enumerate(x.hashes.tolist()):
-                self.at[h].append((k, p))
-        self.seen = np.zeros(1 << self.BITS, bool)
-        keys = np.array(list(self.at), np.int64).view(np.uint64)
-        self.seen[(keys >> np.uint64(64 - self.BITS)).astype(np.int64)] = True
 
     def match(self, t: Template) -> list[tuple[int, float, float]]:
         """(item, coverage, consistency) of the items that the text holds."""
-        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for size in self.sizes:
-            h = windows(t.codes, size)
-            for q in np.flatnonzero(self.seen[(h.view(np.uint64) >> np.uint64(64 - self.BITS)).astype(np.int64)]).tolist():
-                for k, p in self.at.get(int(h[q]), ()):
-                    if self.items[k].size == size:
-                        hits[k].append((p, q))
         out: dict[int, tuple[float, float]] = {}
-        for k, found in hits.items():
-            if verdict := judge(self.items[k], t.words, found):
-                item_id = self.items[k].item_id
-                out[item_id] = max(verdict, out.get(item_id, verdict))
+        for item in self.items:
+            h = windows(t.codes, item.size)
+            hits = {(p, q): slots for p, own in enumerate(item.hashes.tolist()) for q, slots in places(t, item.size, np.flatnonzero(h == own))}
+            if hits and (verdict := judge(item, hits)):
+                out[item.item_id] = max(verdict, out.get(item.item_id, verdict))
         return sorted((item_id, *verdict) for item_id, verdict in out.items())
 
 
-MATCHES = "item_id long, coverage double, consistency double"
-
-
-def _small(benchmark: DataFrame) -> list[Item] | None:
-    """The benchmark's items, or None where their windows are too many to send to every task."""
-    words = benchmark.agg(F.sum(F.length(F.col("text").cast("string")))).first()[0] or 0
-    if words // 2 > BROADCAST_WINDOWS:  # a window begins at a word of one character and a space at least
-        return None
-    rows = benchmark.where("item_id is not null").select("item_id", F.col("text").cast("string")).distinct().collect()
-    return [x for r in rows if (x := item_of(r[0], r[1]))]
-
-
-def _by_index(docs: DataFrame, items: list[Item], keep: tuple[str, ...]) -> DataFrame:
-    given = docs.sparkSession.sparkContext.broadcast(Index(items))
-    out = docs.select("doc_id", *keep).schema.add("item_id", "long").add("coverage", "double").add("consistency", "double")
-    names = out.fieldNames()
+def _item_windows(batches: Batches) -> Batches:
+    """Rows (item, text) as (h, item, plain, place, size, words): every window of both templates; words: how many the template has."""
+    names = ["h", "item", "plain", "place", "size", "words"]
+    for b in batches:
+        for item, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            x = item_of(0, text)
+            for plain, y in enumerate((x, x and x.plain)):
+                if y:
+                    n = len(y.hashes)
+                    columns = [pa.array(y.hashes), pa.array(np.full(n, item)), pa.array(np.full(n, plain, np.int32)), pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, y.size, np.int32)), pa.array(np.full(n, len(y.kinds), np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, cache = given.value, {}
-        for b in batches:
-            at, found = [], []
-            for row, text in enumerate(b.column(b.num_columns - 1).to_pylist()):
-                for x in index.match(template(text, cache)):
-                    at.append(row)
-                    found.append(x)
-            if found:
-                columns = [c.take(pa.array(at, pa.int64())) for c in b.columns[:-1]]
-                values = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.float64(), pa.float64()), strict=True)]
-                yield pa.RecordBatch.from_arrays([*columns, *values], names)
 
-    return docs.select("doc_id", *keep, F.col("text").cast("string")).mapInArrow(run, out)
+HITS = T.ArrayType(T.StructType().add("p", "integer").add("q", "integer").add("slots", T.ArrayType(T.StringType())))
 
 
-def _by_shuffle(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """The same for a benchmark of any size: windows of both sides joined by hash.
+def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, *keep, item_id, coverage, consistency``: a row for each document and benchmark item that it holds.
 
-    Rows without doc_id, and rows that repeat a doc_id and text, are told apart
-    by nothing, so the match of one is the match of all.
+    Null and empty texts, and items without a literal word, match nothing; an
+    item_id with several texts is held by a document that holds one of them;
+    an item repeated in the benchmark counts once by its id; repeated documents
+    (equal in doc_id, text and ``keep``) give their matches once; an empty
+    benchmark gives no rows. Other columns are not read.
     """
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("item_text")).distinct()
+    items = materialize(items.withColumn("item", F.xxhash64("item_id", "item_text")), "items")
+    theirs = materialize(items.select("item", "item_text").mapInArrow(slim(_item_windows), "h long, item long, plain int, place int, size int, words int"), "windows")
+    sizes = sorted(r[0] for r in theirs.select("size").distinct().collect())  # WINDOW values at most
+    given = docs.sparkSession.sparkContext.broadcast((sizes, buckets.as_array(buckets.bloom(theirs, "h"))))
+    # columns by place: a caller's names may be anything
+    texts = docs.select("doc_id", *keep, F.col("text").cast("string"))
+    own = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(texts.schema[:-1])])
+    columns = own.fieldNames()
+    out = T.StructType([*own]).add("th", "long").add("h", "long").add("size", "integer").add("q", "integer").add("slots", T.ArrayType(T.StringType()))
 
-    def exploded(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+    def found(batches: Batches) -> Batches:
+        (sizes, bits), cache = given.value, _Tokens()
         for b in batches:
+            at, rows = [], []
             for row, text in enumerate(b.column(b.num_columns - 1).to_pylist()):
-                if whole:
-                    x = item_of(0, text)
-                    found = [y.hashes for y in (x, x and x.plain) if y]
-                else:
-                    t = template(text)
-                    found = [windows(t.codes, size) for size in range(1, WINDOW + 1)]
-                for h in found:
-                    if len(h):
-                        keys = [c.take(pa.array(np.full(len(h), row))) for c in b.columns[:-1]]
-                        yield pa.RecordBatch.from_arrays([*keys, pa.array(h), pa.array(np.arange(len(h), dtype=np.int32))], [*b.schema.names[:-1], "h", "place"])
-
-    items = materialize(benchmark.where("item_id is not null").select("item_id", F.col("text").cast("string").alias("item")).distinct(), "items")
-    texts = docs.select("doc_id", *keep, F.col("text").cast("string"))
-    theirs = items.mapInArrow(lambda x: exploded(x, True), "item_id long, h long, place int")
-    # windows of the index that no document could need are turned away before the shuffle of places
-    ours = texts.mapInArrow(lambda x: exploded(x, False), docs.select("doc_id", *keep).schema.add("h", "long").add("place", "integer"))
-    met = ours.join(materialize(theirs, "windows").select("item_id", "h"), "h").select("doc_id", *keep, "item_id").distinct()
-    keys = ["doc_id", *keep]
-    cond = None
-    left, right = texts.alias("d"), materialize(met, "met").alias("m")
-    for k in keys:
-        c = F.col(f"d.{k}").eqNullSafe(F.col(f"m.{k}"))
-        cond = c if cond is None else cond & c
-    pairs = left.join(right, cond).join(items, "item_id").select(*[f"d.{k}" for k in keys], "item_id", "item", "d.text")
-    out = docs.select(*keys).schema.add("item_id", "long").add("coverage", "double").add("consistency", "double")
-    names = out.fieldNames()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                t = template(text, cache)
+                th = None
+                for size in sizes:
+                    h = windows(t.codes, size)
+                    for q, slots in places(t, size, np.flatnonzero(buckets.holds(bits, h))):
+                        th = th or int(np.uint64(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))).view(np.int64))
+                        at.append(row)
+                        rows.append((th, int(h[q]), size, q, slots))
+            if rows:
+                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string())]
+                values = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int64())) for c in b.columns[:-1]), *values], out.fieldNames())
+
+    ours = materialize(texts.mapInArrow(slim(found), out), "hits").distinct()
+    met = ours.join(theirs, ["h", "size"])
+    by = [*columns, "th", "item", "plain"]  # th tells texts apart that share a doc_id
+    covering = F.size(F.collect_set("place")) * F.first("size") >= LEAST * F.first("words")
+    grouped = met.groupBy(*by).agg(F.collect_list(F.struct(F.col("place").alias("p"), "q", "slots")).alias("hits"), covering.alias("enough")).where("enough")
+    ready = grouped.join(items, "item").select(*columns, "th", "item_id", "item_text", "plain", "hits")
+    columns.append("th")
+    done = T.StructType([*own]).add("th", "long").add("item_id", "long").add("coverage", "double").add("consistency", "double")
+
+    def judged(batches: Batches) -> Batches:
         for b in batches:
-            at, found = [], []
-            ids, item_texts, own = (b.column(b.num_columns - i).to_pylist() for i in (3, 2, 1))
-            for row, (item_id, item, text) in enumerate(zip(ids, item_texts, own, strict=True)):
-                x = item_of(item_id, item)
-                for verdict in Index([x]).match(template(text)) if x else []:
+            at, rows = [], []
+            for row, (item_id, text, plain, hits) in enumerate(zip(*(c.to_pylist() for c in b.columns[len(columns) :]), strict=True)):
+                item = item_of(item_id, text)
+                if verdict := judge(item.plain if plain else item, {(x["p"], x["q"]): x["slots"] for x in hits}):
                     at.append(row)
-                    found.append(verdict)
-            if found:
-                columns = [c.take(pa.array(at, pa.int64())) for c in b.columns[:-3]]
-                values = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.float64(), pa.float64()), strict=True)]
-                yield pa.RecordBatch.from_arrays([*columns, *values], names)
-
-    return pairs.mapInArrow(run, out)
-
+                    rows.append((item_id, *verdict))
+            if rows:
+                values = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.float64(), pa.float64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int64())) for c in b.columns[: len(columns)]), *values], done.fieldNames())
 
-def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = (), broadcast: bool | None = None) -> DataFrame:
-    """``doc_id, *keep, item_id, coverage, consistency``: a row for each document and benchmark item that it holds.
-
-    Null and empty texts, and items without a literal word, match nothing; an
-    item repeated in the benchmark counts once by its id; repeated documents
-    give their matches again; an empty benchmark gives no rows. ``broadcast``
-    overrules the check of the benchmark's size.
-    """
-    items = _small(benchmark) if broadcast is not False else None
-    if items is None:
-        return _by_shuffle(docs, benchmark, keep)
-    return _by_index(docs, items, keep)
+    best = ready.mapInArrow(slim(judged), done).groupBy(*columns, "item_id").agg(F.max(F.struct("coverage", "consistency")).alias("best"))
+    names = ["doc_id", *keep, "item_id", "coverage", "consistency"]
+    return best.select(*columns[:-1], "item_id", "best.coverage", "best.consistency").toDF(*names)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
-    hashed = docs.withColumn("_th", F.xxhash64(F.col("text").cast("string")))
-    bad = contamination(hashed, benchmark, ("_th",)).select(F.col("doc_id").alias("_bad"), F.col("_th").alias("_bad_th")).distinct()
-    return hashed.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")) & (F.col("_th") == F.col("_bad_th")), "left_anti").select(*docs.columns)
+    """``docs`` without the documents that hold a benchmark item. Repeated rows and other columns stay, whatever their names."""
+    th = free(docs.columns, "_th")[0]
+    bad = contamination(docs.select("doc_id", "text", text_hash().alias(th)), benchmark, (th,))
+    gone = materialize(bad.select(F.col("doc_id").alias("doc"), F.col(th).alias("th")).distinct(), "contaminated")
+    return without(docs, gone)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
