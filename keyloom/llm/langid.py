@@ -2,6 +2,7 @@
 
 A known word scores by its log frequency in each language; a word not seen in
 training falls back to its character n-grams, the longest known ones first.
+Words are runs of letters, in training and in prediction alike.
 """
 
 from __future__ import annotations
@@ -9,82 +10,118 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from keyloom.llm.common import Batches, materialize, release, slim
 
 SAMPLE = 40_000  #: training documents, at most: those of least hash of doc_id
-WORDS = 120_000  #: (language, word) counts kept, at most: the most frequent
-GRAMS = 120_000  #: (language, n-gram) counts kept, at most
+WORDS = 50_000  #: words kept of each language, at most: its most frequent; others are scored by their n-grams
+GRAMS = 50_000  #: n-grams kept of each language, at most
 LONGEST = 5  #: characters of the longest n-gram
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHED = 200_000
+_CACHED = 100_000  #: words of which a task remembers the scores
+_CELLS = 4_000_000  #: numbers that these take at most, however many languages there are
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters, in lower case."""
+    found = _WORD.findall(text.lower())
+    if not found or "".join(found).isalpha():
+        return found
+    # numerals such as ½, ² and Ⅷ are no letters
+    return ["".join(part) for w in found for letters, part in groupby(w, str.isalpha) if letters]
 
 
 @dataclass
 class Model:
-    """Log frequencies per language of words and n-grams, in the order of ``langs``."""
+    """Log frequencies of words and n-grams: places of the keys, and a row for each with a number for each of ``langs``."""
 
     langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
+    words: dict[str, int]
+    word_logs: np.ndarray
+    grams: dict[str, int]
+    gram_logs: np.ndarray
 
     @staticmethod
     def of(words: list[tuple[str, str, int]], grams: list[tuple[str, str, int]]) -> Model:
+        """From counts (language, key, n)."""
         langs = sorted({w[0] for w in words})
         at = {x: i for i, x in enumerate(langs)}
 
-        def logs(rows: list[tuple[str, str, int]], group) -> dict[str, np.ndarray]:
-            counts: dict[str, np.ndarray] = {}
-            totals: dict[int, np.ndarray] = {}
+        def logs(rows: list[tuple[str, str, int]], group: Callable[[str], int]) -> tuple[dict[str, int], np.ndarray]:
+            place = {k: i for i, k in enumerate(sorted({r[1] for r in rows}))}
+            counts = np.zeros((len(place), len(langs)), np.float32)
             for lang, key, n in rows:
-                if lang in at:
-                    counts.setdefault(key, np.zeros(len(langs)))[at[lang]] += n
-                    totals.setdefault(group(key), np.zeros(len(langs)))[at[lang]] += n
-            return {k: np.log((v + 0.5) / (totals[group(k)] + 1.0)) for k, v in counts.items()}
+                counts[place[key], at[lang]] += n
+            kinds = np.fromiter(map(group, place), np.int64, len(place))
+            totals = np.zeros((kinds.max(initial=0) + 1, len(langs)))
+            np.add.at(totals, kinds, counts)
+            return place, np.log((counts + 0.5) / (totals[kinds] + 1.0)).astype(np.float32)
 
-        return Model(langs, logs(words, lambda k: 0), logs(grams, len))
+        return Model(langs, *logs(words, lambda k: 0), *logs([r for r in grams if r[0] in at], len))
 
     def vector(self, word: str) -> np.ndarray | None:
         """Log frequencies of a word; None where not even its letters are known."""
         if (known := self.words.get(word)) is not None:
-            return known
+            return self.word_logs[known]
         text = f"<{word}>"
-        total, parts, i = 0.0, 0, 0
+        rows, i = [], 0
         while i < len(text):
             for n in range(min(LONGEST, len(text) - i), 0, -1):
                 if (known := self.grams.get(text[i : i + n])) is not None:
-                    total, parts = total + known, parts + 1
+                    rows.append(known)
                     break
-            i += max(1, n - 1) if n > 1 else 1
-        return total / parts if parts else None
-
-    def predict(self, text: str | None, cache: dict[str, np.ndarray | None]) -> tuple[str, float]:
-        if not text or not self.langs:
+            i += max(1, n - 1)  # n is 1 where not even the letter is known
+        return self.gram_logs[rows].mean(axis=0) if rows else None
+
+
+class Scores(dict):
+    """Word -> a row of ``rows``: its log frequencies less their mean, or row 0, which is nothing, for an unknown word."""
+
+    def __init__(self, model: Model) -> None:
+        super().__init__()
+        self.model, self.most = model, max(1, min(_CACHED, _CELLS // max(1, len(model.langs))))
+        self.rows, self.n = np.zeros((1024, len(model.langs)), np.float32), 1
+
+    def __missing__(self, word: str) -> int:
+        v = self.model.vector(word)
+        if v is None:
+            self[word] = 0
+            return 0
+        if self.n == len(self.rows):
+            self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
+        self.rows[self.n] = v - v.mean()
+        self[word] = self.n
+        self.n += 1
+        return self.n - 1
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        langs = self.model.langs
+        if not text or not langs:
             return UNKNOWN, 0.0
-        counts = Counter(_WORD.findall(text.lower()))
+        counts = Counter(words_of(text))
         if not counts:
             return UNKNOWN, 0.0
-        if len(cache) > _CACHED:
-            cache.clear()
-        total, weight = np.zeros(len(self.langs)), 0.0
-        for word, n in counts.items():
-            if word not in cache:
-                v = self.vector(word)
-                cache[word] = None if v is None else v - v.mean()
-            if (v := cache[word]) is not None:
-                total += math.sqrt(n) * v
-                weight += math.sqrt(n)
+        if len(self) > self.most:
+            self.clear()
+            self.n = 1
+        at = np.fromiter(map(self.__getitem__, counts), np.int64, len(counts))
+        root = np.sqrt(np.fromiter(counts.values(), np.float64, len(counts)))
+        weight = float(root[at > 0].sum())
         if not weight:
-            return UNKNOWN if not any(map(str.isalpha, text)) else self.langs[0], 0.0
+            return langs[0], 0.0
+        total = root @ self.rows[at].astype(np.float64)
         mean = total / math.sqrt(weight)
         p = np.exp(mean - mean.max())
         k = int(total.argmax())
-        return self.langs[k], float(p[k] / p.sum())
+        return langs[k], float(p[k] / p.sum())
 
 
 def held_out(doc_id: str = "doc_id", fold: int = 4, remainder: int = 2) -> Column:
@@ -92,34 +129,62 @@ def held_out(doc_id: str = "doc_id", fold: int = 4, remainder: int = 2) -> Colum
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % fold == remainder, F.lit(False))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """The model of ``docs`` (doc_id, text, lang), from at most ``sample`` rows outside the held-out fold.
+COUNTS = "lang string, key string, n long"
+
+
+def _counted(keys_of: Callable[[list], Counter]) -> Callable[[Batches], Batches]:
+    """A batch's columns as counts of (language, key)."""
+
+    def run(batches: Batches) -> Batches:
+        for b in batches:
+            found = keys_of([c.to_pylist() for c in b.columns])
+            if found:
+                langs, keys = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array(keys), pa.array(found.values(), pa.int64())], ["lang", "key", "n"])
+
+    return slim(run)
+
+
+def count_words(columns: list[list]) -> Counter:
+    """(language, word) of languages and texts."""
+    out: Counter = Counter()
+    for lang, text in zip(*columns, strict=True):
+        for word, n in Counter(words_of(text)).items():
+            out[lang, word] += n
+    return out
+
+
+def count_grams(columns: list[list]) -> Counter:
+    """(language, n-gram) of languages, words and how often each is met."""
+    out: Counter = Counter()
+    for lang, word, times in zip(*columns, strict=True):
+        text = f"<{word}>"
+        for n in range(1, LONGEST + 1):
+            for i in range(len(text) - n + 1):
+                out[lang, text[i : i + n]] += times
+    return out
+
+
+def _most_frequent(counts: DataFrame, most: int) -> list[tuple[str, str, int]]:
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "key"))
+    return [tuple(r) for r in counts.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank").collect()]
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE, words: int = WORDS, grams: int = GRAMS) -> Model:
+    """The model of ``docs`` (doc_id, text, lang), from at most ``sample`` doc_ids outside the held-out fold.
 
-    Rows without text or lang teach nothing. Counting is distributed; the
-    driver gets the most frequent words and n-grams, bounded by WORDS and GRAMS.
+    Rows without doc_id, text or lang teach nothing; every text of a doc_id
+    does. Counting is distributed; the driver gets ``words`` words and ``grams``
+    n-grams of each language, so a language that few rows have is not lost.
     """
-    rows = docs.select("doc_id", "lang", "text").where("doc_id is not null and lang is not null and text is not null").where(~held_out())
+    rows = docs.select("doc_id", "lang", F.col("text").cast("string").alias("text")).where("doc_id is not null and lang is not null and text is not null").where(~held_out())
     chosen = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    words = (
-        rows.join(F.broadcast(chosen), "doc_id", "left_semi")
-        .select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word"))
-        .where("word != ''")
-        .groupBy("lang", "word")
-        .count()
-        .persist()
-    )
-    text = F.concat(F.lit("<"), F.col("word"), F.lit(">"))
-    n = F.explode(F.sequence(F.lit(1), F.lit(LONGEST))).alias("n")
-    grams = (
-        words.select("lang", "count", text.alias("w"), n)
-        .where(F.length("w") >= F.col("n"))
-        .select("lang", "count", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - F.col("n") + 1), lambda i: F.substring(F.col("w"), i, F.col("n")))).alias("gram"))
-        .groupBy("lang", "gram")
-        .agg(F.sum("count").alias("count"))
-    )
-    top = lambda df, key, most: [tuple(r) for r in df.orderBy(F.desc("count"), "lang", key).limit(most).select("lang", key, "count").collect()]
-    model = Model.of(top(words, "word", WORDS), top(grams, "gram", GRAMS))
-    words.unpersist()
+    taught = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select(F.col("lang").cast("string"), "text")
+    total = F.sum("n").alias("n")
+    met = materialize(taught.mapInArrow(_counted(count_words), COUNTS).groupBy("lang", "key").agg(total), "words")
+    parts = met.mapInArrow(_counted(count_grams), COUNTS).groupBy("lang", "key").agg(total)
+    model = Model.of(_most_frequent(met, words), _most_frequent(parts, grams))
+    release(met)
     return model
 
 
@@ -127,21 +192,22 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of every row's whole text.
 
     ``und`` with score 0 where the text is null or has no letter, or nothing
-    was learned. Repeated rows repeat; other columns are not read.
+    was learned. Repeated rows repeat; an empty table gives no rows; other
+    columns are not read.
     """
     given = docs.sparkSession.sparkContext.broadcast(model)
     out = docs.select("doc_id", held_out().alias("held_out")).schema.add("lang_pred", "string").add("score", "double")
     names = out.fieldNames()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, np.ndarray | None] = {}
+    def run(batches: Batches) -> Batches:
+        scores = Scores(given.value)
         for b in batches:
-            found = [given.value.predict(t, cache) for t in b.column(2).to_pylist()]
+            found = [scores.predict(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names
             )
 
-    return docs.select("doc_id", held_out().alias("held_out"), F.col("text").cast("string")).mapInArrow(run, out)
+    return docs.select("doc_id", held_out().alias("held_out"), F.col("text").cast("string")).mapInArrow(slim(run), out)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
