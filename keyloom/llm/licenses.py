@@ -1,14 +1,13 @@
 """License scans: ordered signature rules behind literal gates.
 
 A text is reduced to lower-cased words. Rules of whose literal strings the text holds one
-are tried in order; a match inside one that was taken with the same or a higher
-priority is suppressed, so "apache license version 2" is not also a bare name.
+are tried in order; a match inside one of the same or a higher priority is
+suppressed, so "apache license version 2" is not also a bare name.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from re import _constants as _c, _parser
@@ -16,6 +15,7 @@ from re import _constants as _c, _parser
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from keyloom.llm.common import Batches, slim
 from keyloom.llm.license_rules import LEADS, LICENSES
 
 #: Phrases whose every place is reported, and their labels.
@@ -44,7 +44,7 @@ def rules() -> tuple[Rule, ...]:
     """All signatures in order."""
     out = []
     for line in LICENSES.strip().splitlines():
-        label, _, names, spdx, sentences = (x.strip() for x in line.split(" | "))
+        label, names, spdx, sentences = (x.strip() for x in line.split(" | "))
         for x in spdx.split(" ;; "):
             out.append(Rule(label, "identifier", re.compile(rf" spdx licen[cs]e identifier {x}(?= )")))
         for x in sentences.split(" ;; "):
@@ -96,9 +96,28 @@ def reduce(text: str | None) -> tuple[int, bytes]:
 
 def places(line: bytes, phrase: str) -> list[int]:
     """Word numbers at which the phrase's words stand consecutively, overlapping ones too."""
-    want, out, at = f" {phrase} ".encode(), [], -1
+    want, out, at, seen, word = f" {phrase} ".encode(), [], -1, 0, 0
     while (at := line.find(want, at + 1)) >= 0:
-        out.append(line.count(b" ", 0, at))
+        word += line.count(b" ", seen, at)
+        seen = at
+        out.append(word)
+    return out
+
+
+def standing(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Matches (start, end, priority, rule) that are not within another of the same or a higher priority, in text order.
+
+    Of equal ones of one priority the first rule's stands. Whatever holds a
+    match comes before it here, and containment is transitive, so the furthest
+    end met so far of each priority and those above it decides.
+    """
+    out, furthest = [], [-1] * (max(x[0] for x in KINDS.values()) + 1)
+    for x in sorted(found, key=lambda x: (x[0], -x[1], -x[2], x[3])):
+        _, end, priority, _ = x
+        if furthest[priority] < end:
+            out.append(x)
+        for p in range(priority + 1):
+            furthest[p] = max(furthest[p], end)
     return out
 
 
@@ -109,29 +128,27 @@ def detect(line: bytes) -> list[tuple[str, str, int, int, int, float]]:
     held = {x for x in _literals() if x in text}
     for number, (rule, gate) in enumerate(_gates()):
         if not held.isdisjoint(gate):
-            for m in rule.pattern.finditer(text):
-                priority, worth = KINDS[rule.kind]
-                found.append((-priority, m.start() - m.end(), number, m.start(), m.end(), rule, worth))
-    found.sort(key=lambda x: x[:4])
-    taken: list[tuple] = []
-    for x in found:
-        if not any(y[3] <= x[3] and x[4] <= y[4] for y in taken):
-            taken.append(x)
-    taken.sort(key=lambda x: (x[3], x[4]))
-    return [(r.label, r.kind, n, text.count(" ", 0, a), text.count(" ", 0, b) - 1, w) for _, _, n, a, b, r, w in taken]
+            found += [(m.start(), m.end(), KINDS[rule.kind][0], number) for m in rule.pattern.finditer(text)]
+    out, at, word = [], 0, 0
+    for a, b, _, number in standing(found):
+        word += text.count(" ", at, a)
+        at, rule = a, rules()[number]
+        out.append((rule.label, rule.kind, number, word, word + text.count(" ", a, b) - 1, KINDS[rule.kind][1]))
+    return out
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections`` of every row.
 
     Null and empty texts have no words and no labels (empty strings), nulls for
-    the places and score 0. Repeated rows repeat; other columns are not read.
+    the places and score 0. Repeated rows repeat; an empty table gives no rows;
+    other columns are not read.
     """
     out = docs.select("doc_id").schema.add("n_words", "long").add("n_base", "long").add("first_word", "long").add("last_word", "long")
     out = out.add("base_labels", "string").add("labels", "string").add("score", "double").add("detections", DETECTION)
     names = out.fieldNames()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for b in batches:
             rows = []
             for text in b.column(1).to_pylist():
@@ -146,7 +163,7 @@ def scan(docs: DataFrame) -> DataFrame:
             columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], names)
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, out)
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(slim(run), out)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
