@@ -15,17 +15,21 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import secrets
 import unicodedata
-from collections.abc import Callable, Iterator
+from bisect import bisect_left
+from collections.abc import Callable
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from keyloom.llm.common import materialize
+from keyloom.llm.common import Batches, free, materialize, quoted, slim
 
-KEY = b"keyloom surrogate key"  #: of the registered query; callers pass their own
+KEY_SETTING = "spark.keyloom.pii.key"  #: the registered query's key, in hexadecimal
+LOCAL = 10  #: last digits of a phone number, by which it is known; those before, a country's code, stay
 LONG = 512  #: characters that are permuted as one number
+TURNS = 200  #: a format of two values keeps one itself as often with a probability of 2 ** -200
 DENSE = 0.9  #: share of collisions left from which a redraw counts as no help
 STALLED = 5  #: redraws in a row without help, after which the formats left count as too full
 
@@ -39,15 +43,15 @@ NAMES = {
     ("greek", "m"): "Αλέξανδρος Ανδρέας Βασίλης Γεώργιος Δημήτρης Ιωάννης Κωνσταντίνος Νικόλαος Παναγιώτης Χρήστος",
 }
 TITLES = {"mr": "m", "mrs": "f", "ms": "f", "miss": "f", "sir": "m", "herr": "m", "frau": "f", "monsieur": "m", "madame": "f", "mme": "f", "señor": "m", "señora": "f", "sr": "m", "sra": "f", "dr": "", "prof": ""}
-#: Letters that take each other's place in names, by class.
-LETTERS = ("aeiou", "bcdfghjklmnprstvwz", "áéíóúàèìòùâêîôûäöü", "аеиоуя", "бвгдзклмнпрстфх", "αειου", "βγδζκλμνπρστφχ")
+#: Letters that take each other's place in names, by class; others take the place of letters near them in Unicode.
+LETTERS = ("aeiou", "bcdfghjklmnprstvwzqxy", "áéíóúàèìòùâêîôûäöü", "ñçßšžčřńś", "аеиоуяэюёы", "бвгдзклмнпрстфхжцчшщйьъ", "αειουηω", "βγδζκλμνπρστφχθξψς")
 
 _GIVEN = {n.lower(): (k, n) for k, names in NAMES.items() for n in names.split()}
 _NAME = r"[^\W\d_a-zа-яα-ω][^\W\d_]+(?:-[^\W\d_]+)?"
 PATTERNS: dict[str, re.Pattern[str]] = {
-    "email": re.compile(r"(?<![\w.%+-])[A-Za-z0-9_][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w@])"),
+    "email": re.compile(r"(?<![\w.%+-])[A-Za-z0-9_][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}+(?![\w@])"),
     "secret": re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?([^\s\"'<>]{6,})"),
-    "key": re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xox[abp]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9])"),
+    "key": re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xox[abp]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})(?![A-Za-z0-9])"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "ip": re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d.]*\d)"),
     "card": re.compile(r"(?<![\d.-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?![\d-])"),
@@ -58,7 +62,7 @@ _TITLED = re.compile(rf"\b((?i:{'|'.join(TITLES)}))\b\.? ({_NAME})(?: ({_NAME}))
 _FULL = re.compile(rf"\b(?=({_NAME}) ({_NAME})\b)")  #: every pair, those that share a word too
 
 
-@lru_cache(maxsize=65536)
+@lru_cache(maxsize=16384)
 def _stream(key: bytes, label: str, data: str) -> int:
     return int.from_bytes(hmac.new(key, f"{label}\0{data}".encode(), hashlib.sha256).digest(), "big")
 
@@ -99,16 +103,28 @@ def permute(key: bytes, label: str, digits: list[int], radices: list[int]) -> li
     return out[::-1]
 
 
+@lru_cache(maxsize=4096)
+def alphabet(c: str, alphabets: tuple[str, ...]) -> str:
+    """The letters and digits that may take the place of ``c``; "" where it stays.
+
+    A letter of no listed alphabet, where letters are listed at all beyond those
+    of a format, is replaced by one of its own kind (in the same case) of the
+    same 256 code points, so its script stays.
+    """
+    for a in alphabets:
+        if c in a:
+            return a
+    if alphabets is not LETTERS or not c.isalpha():
+        return ""
+    kind, base = unicodedata.category(c), ord(c) & ~0xFF
+    near = (chr(base + i) for i in range(256))
+    return "".join(x for x in near if unicodedata.category(x) == kind and x.lower() == x and unicodedata.normalize("NFC", x) == x and not any(x in a for a in LETTERS))
+
+
 def _classes(text: str, alphabets: tuple[str, ...]) -> tuple[list[int], list[str]]:
     """Places of characters that are enciphered, and the alphabet of each."""
-    places, own = [], []
-    for i, c in enumerate(text):
-        for a in alphabets:
-            if c in a:
-                places.append(i)
-                own.append(a)
-                break
-    return places, own
+    found = [(i, a) for i, c in enumerate(text) if len(a := alphabet(c, alphabets)) > 1 and c in a]
+    return [i for i, _ in found], [a for _, a in found]
 
 
 def encipher(key: bytes, label: str, text: str, alphabets: tuple[str, ...]) -> str:
@@ -141,7 +157,8 @@ def luhn(digits: str) -> int:
 def canonical(kind: str, text: str) -> str:
     """What the mention refers to, whatever its spelling."""
     if kind in ("phone", "card", "ssn"):
-        return "".join(c for c in text if c.isdigit())
+        digits = "".join(c for c in text if c.isdigit())
+        return digits[-LOCAL:] if kind == "phone" else digits  # with its country's code or without, it is one number
     if kind in ("email", "surname") or kind.startswith("given"):
         return unicodedata.normalize("NFC", text).lower()
     return text.replace(" ", "") if kind == "iban" else text
@@ -150,11 +167,13 @@ def canonical(kind: str, text: str) -> str:
 def surrogate(key: bytes, kind: str, value: str, draw: int = 0) -> str:
     """The replacement of a canonical value."""
     label = f"{kind}|{draw}"
-    for turn in range(4):  # a value that stays itself is enciphered again
+    for turn in range(TURNS):  # a value that stays itself is enciphered again
         new = _surrogate(key, f"{label}|{turn}", kind, value)
         if new != value:
             return new
-    return new
+    if any(map(str.isalnum, value)):
+        raise ValueError(f"no surrogate differs from a value of kind {kind}")
+    return value  # without letter or digit there is nothing to replace
 
 
 def _surrogate(key: bytes, label: str, kind: str, value: str) -> str:
@@ -178,8 +197,7 @@ def _surrogate(key: bytes, label: str, kind: str, value: str) -> str:
         off = luhn(value)
         return next(body + str(d) for d in range(10) if luhn(body + str(d)) == off)
     if kind == "phone":
-        keep = max(0, len(value) - 10)
-        return value[:keep] + encipher(key, f"{label}|{value[:keep]}", value[keep:], (_DIGITS,))
+        return encipher(key, label, value, (_DIGITS,))
     if kind == "ssn":
         a, b, c = int(value[:3]), int(value[3:5]), int(value[5:])
         area = [x for x in range(1, 900) if x != 666]
@@ -190,7 +208,7 @@ def _surrogate(key: bytes, label: str, kind: str, value: str) -> str:
         number = int("".join(str(int(c, 36)) for c in f"{body}{value[:2]}00"))
         return f"{value[:2]}{98 - number % 97:02d}{body}"
     if kind == "key":
-        head = re.match(r"AKIA|ASIA|gh[pousr]_|sk-|xox[abp]-|AIza", value)
+        head = re.match(r"AKIA|ASIA|gh[pousr]_|sk-|xox[abp]-|AIza|eyJ", value)
         n = head.end() if head else 0
         return value[:n] + encipher(key, f"{label}|{value[:n]}", value[n:], (_DIGITS, _UPPER, _LOWER))
     if kind == "secret":
@@ -208,6 +226,8 @@ def _surrogate(key: bytes, label: str, kind: str, value: str) -> str:
 def spell(kind: str, mention: str, value: str, new: str) -> str:
     """The surrogate written as the mention was: separators and capitals."""
     if kind in ("phone", "card", "ssn") or kind == "iban":
+        if kind == "phone":
+            new = "".join(c for c in mention if c.isdigit())[: -len(value)] + new
         left = iter(new)
         return "".join(next(left) if (c.isdigit() or kind == "iban" and c != " ") else c for c in mention)
     if kind == "surname" or kind.startswith("given"):
@@ -219,15 +239,25 @@ def spell(kind: str, mention: str, value: str, new: str) -> str:
     return new
 
 
+def _capital(word: str) -> bool:
+    """Whether a word begins as a name does: with a capital, or with a letter of a script that has none."""
+    c = word[0]
+    return c.isupper() or c.isalpha() and c.lower() == c.upper()
+
+
 def detect(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the entities, in order and without overlap."""
     if not text:
         return []
-    found: list[tuple[int, int, str]] = []
+    starts: list[int] = []  # of what was found, ascending
+    found: dict[int, tuple[int, int, str]] = {}
 
     def take(a: int, b: int, kind: str) -> None:
-        if not any(a < y and x < b for x, y, _ in found):
-            found.append((a, b, kind))
+        k = bisect_left(starts, a)
+        if (k and found[starts[k - 1]][1] > a) or (k < len(starts) and starts[k] < b):
+            return
+        starts.insert(k, a)
+        found[a] = (a, b, kind)
 
     digits = any(d in text for d in _DIGITS)
     low = text.lower() if "=" in text or ":" in text else ""
@@ -252,10 +282,10 @@ def detect(text: str | None) -> list[tuple[int, int, str]]:
                 continue
             take(m.start(), m.end(), kind)
     for m in _TITLED.finditer(text):
-        if not m[2][0].isupper():
+        if not _capital(m[2]):
             continue
         gender = TITLES[m[1].lower()]
-        parts = [(g, m.span(g)) for g in (2, 3) if m[g] and m[g][0].isupper()]
+        parts = [(g, m.span(g)) for g in (2, 3) if m[g] and _capital(m[g])]
         for i, (g, (a, b)) in enumerate(parts):
             known = _GIVEN.get(m[g].lower())
             if i == 0 and known and len(parts) > 1 and (not gender or known[0][1] == gender):
@@ -264,10 +294,10 @@ def detect(text: str | None) -> list[tuple[int, int, str]]:
                 take(a, b, "surname")
     for m in _FULL.finditer(text):
         known = _GIVEN.get(m[1].lower())
-        if known and m[1][0].isupper() and m[2][0].isupper():
+        if known and _capital(m[1]) and _capital(m[2]):
             take(*m.span(1), f"given-{known[0][0]}-{known[0][1]}")
             take(*m.span(2), "surname")
-    return sorted(found)
+    return [found[a] for a in starts]
 
 
 Draws = dict[tuple[str, str], int | str]  #: the attempt, or the surrogate itself
@@ -290,25 +320,25 @@ def replace(text: str | None, key: bytes, draws: Draws) -> tuple[str | None, lis
     return "".join([*out, text[at:]]), log
 
 
-def _entities(key: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _entities(key: bytes) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
         for b in batches:
             rows = sorted({(kind, canonical(kind, t[x:y])) for t in b.column(0).to_pylist() for x, y, kind in detect(t)})
             if rows:
                 kinds, values = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(values)], ["kind", "value"])
 
-    return run
+    return slim(run)
 
 
-def _drawn(key: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _drawn(key: bytes) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
         for b in batches:
             kinds, values, draws = (c.to_pylist() for c in b.columns)
             new = [surrogate(key, *x) for x in zip(kinds, values, draws, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(new, pa.string())], ["kind", "value", "draw", "new"])
 
-    return run
+    return slim(run)
 
 
 def shape(kind: str, value: str) -> str:
@@ -317,14 +347,14 @@ def shape(kind: str, value: str) -> str:
         octets = value.split(".")
         return ".".join(octets[: 1 if octets[0] in ("10", "127") else 2 if octets[0] in ("192", "172") else 0])
     if kind in ("phone", "card", "ssn"):
-        return f"{len(value)} {value[: 1 if kind == 'card' else max(0, len(value) - 10)]}"
+        return f"{len(value)} {value[: 1 if kind == 'card' else 0]}"
     if kind == "surname":
-        return "".join(next((a[0] for a in LETTERS if c in a), c) for c in value)
+        return "".join((alphabet(c, LETTERS) or c)[0] for c in value)
     head = value[:2] if kind == "iban" else value.rpartition(".")[2] if kind == "email" else ""
     return f"{head} {re.sub('[a-z]', 'a', re.sub('[A-Z]', 'A', re.sub('[0-9]', '0', value)))}"
 
 
-def _shaped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shaped(batches: Batches) -> Batches:
     for b in batches:
         shapes = [shape(k, v) for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shapes, pa.string())], [*b.schema.names, "shape"])
@@ -337,7 +367,7 @@ def _rotated(settled: DataFrame, bad: DataFrame, key: bytes) -> DataFrame:
     one of them, so no two entities share a surrogate. A value alone in its
     format takes part with those of its kind.
     """
-    shaped = materialize(settled.join(bad, ["kind", "value"], "left").select("kind", "value", "draw", "new", "bad").mapInArrow(_shaped, "kind string, value string, draw int, new string, bad int, shape string"), "shaped")
+    shaped = materialize(settled.join(bad, ["kind", "value"], "left").select("kind", "value", "draw", "new", "bad").mapInArrow(slim(_shaped), "kind string, value string, draw int, new string, bad int, shape string"), "shaped")
     sizes = shaped.groupBy("kind", "shape").agg(F.count("*").alias("n"), F.max("bad").alias("full")).where("full = 1")
     lone = sizes.where("n = 1").select("kind").distinct().withColumn("lone", F.lit(1))
     held = shaped.join(sizes.select("kind", "shape", "full"), ["kind", "shape"], "left").join(lone, "kind", "left")
@@ -350,7 +380,7 @@ def _rotated(settled: DataFrame, bad: DataFrame, key: bytes) -> DataFrame:
     return materialize(held.where("lone is null and full is null").select(columns).union(moved.select(columns)), "rotated")
 
 
-def collisions(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def collisions(docs: DataFrame, key: bytes) -> DataFrame:
     """``kind, value, draw, new`` of the entities whose first surrogate another entity has or is.
 
     draw: the attempt without collision, where new is null. Redraws go on until
@@ -387,55 +417,68 @@ def collisions(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     return settled.where("draw != 0").select("kind", "value", "draw", F.when(F.col("draw") < 0, F.col("new")).alias("new"))
 
 
-SPANS = "array<struct<start:int,end:int,kind:string,surrogate:string>>"
+SPAN = T.StructType().add("start", "integer").add("end", "integer").add("kind", "string").add("surrogate", "string")
+DRAWN = T.StructType().add("kind", "string").add("value", "string").add("draw", "integer").add("new", "string")
 
 
-def pseudonymize(docs: DataFrame, key: bytes = KEY, draws: DataFrame | None = None) -> DataFrame:
-    """``docs`` with surrogates in ``text``, and ``_entities``: where they stand in the original.
+def added(columns: list[str]) -> str:
+    """Name of the column that :func:`pseudonymize` adds to those: ``_entities`` where it is unused."""
+    return free(columns, "_entities")[0]
+
+
+def pseudonymize(docs: DataFrame, key: bytes, draws: DataFrame | None = None) -> DataFrame:
+    """``docs`` with surrogates in ``text``, and where they stand in the original (see :func:`added`).
 
     Null and empty texts stay as they are. Repeated rows and repeated entities
-    get equal surrogates. Other columns are passed on. The key decides all
-    surrogates; without it they cannot be told from fresh values. ``draws``: the
-    result of :func:`collisions` over a larger corpus that the texts are of.
+    get equal surrogates. Other columns are passed on, whatever their names; an
+    empty table gives no rows. The key decides all surrogates; without it they
+    cannot be told from fresh values. ``draws``: the result of :func:`collisions`
+    over a larger corpus that the texts are of.
     """
     again = collisions(docs, key) if draws is None else draws
     again = materialize(again if "new" in again.columns else again.withColumn("new", F.lit(None).cast("string")), "again")
-    texts = docs.withColumn("_original", F.col("text").cast("string"))
-    if again.limit(1).count():  # the few with another draw come to each text by a join
-        held = texts.select("_original").distinct().mapInArrow(_held, "_h string, kind string, value string")
-        drawn = held.join(again, ["kind", "value"]).groupBy("_h").agg(F.collect_list(F.struct("kind", "value", "draw", "new")).alias("_draws"))
-        texts = texts.join(materialize(drawn, "draws"), F.sha2("_original", 256) == F.col("_h"), "left").drop("_h")
-    else:
-        texts = texts.withColumn("_draws", F.lit(None).cast("array<struct<kind:string,value:string,draw:int,new:string>>"))
+    entities = added(docs.columns)
+    held_by, own, original = free([*docs.columns, entities], "_h", "_draws", "_original")
+    texts = docs.withColumn(original, F.col("text").cast("string"))
+    if again.isEmpty():
+        texts = texts.withColumn(own, F.lit(None).cast(T.ArrayType(DRAWN)))
+    else:  # the few with another draw come to each text by a join
+        held = texts.select(original).distinct().mapInArrow(slim(_held), "_h string, kind string, value string")
+        drawn = held.join(again, ["kind", "value"]).groupBy(F.col("_h").alias(held_by)).agg(F.collect_list(F.struct("kind", "value", "draw", "new")).alias(own))
+        texts = texts.join(materialize(drawn, "draws"), F.sha2(F.col(original), 256) == F.col(held_by), "left").drop(held_by)
     others = [c for c in docs.columns if c != "text"]
-    columns = [*others, "_original", "_draws"]
-    out = docs.select(*others).schema.add("text", "string")
-    names = [*out.fieldNames(), "_entities"]
+    out = docs.select(*quoted(others)).schema.add("text", "string")
+    names = [*out.fieldNames(), entities]
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("surrogate", pa.string())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for b in batches:
             rows = [replace(t, key, {(x["kind"], x["value"]): x["draw"] if x["new"] is None else x["new"] for x in d or ()}) for t, d in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)]
             log = [[dict(zip(("start", "end", "kind", "surrogate"), x, strict=True)) for x in r[1]] for r in rows]
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array([r[0] for r in rows], pa.string()), pa.array(log, spans)], names)
 
-    from pyspark.sql.types import _parse_datatype_string
+    done = texts.select(*quoted([*others, original, own])).mapInArrow(slim(run), out.add(entities, T.ArrayType(SPAN)))
+    return done.select(*quoted([*docs.columns, entities]))
 
-    done = texts.select(*columns).mapInArrow(run, out.add("_entities", _parse_datatype_string(SPANS)))
-    return done.select(*docs.columns, "_entities")
 
-
-def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _held(batches: Batches) -> Batches:
     for b in batches:
         rows = sorted({(hashlib.sha256(t.encode()).hexdigest(), kind, canonical(kind, t[x:y])) for t in b.column(0).to_pylist() if t for x, y, kind in detect(t)})
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["_h", "kind", "value"])
 
 
+def session_key(spark: SparkSession) -> bytes:
+    """The key of KEY_SETTING; where it is unset, a random one that holds for the session."""
+    if not spark.conf.get(KEY_SETTING, None):
+        spark.conf.set(KEY_SETTING, secrets.token_hex(32))
+    return bytes.fromhex(spark.conf.get(KEY_SETTING))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     from keyloom.llm.common import bound_batches, table
 
     bound_batches(spark)
-    found = pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))
     kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("_entities", lambda x: x["kind"]))), ",")
     return found.select("doc_id", "text", F.size("_entities").cast("long").alias("n_entities"), kinds.alias("kinds"))
