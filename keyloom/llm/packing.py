@@ -17,20 +17,21 @@ import os
 import re
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from keyloom.llm.common import materialize
+from keyloom.llm.common import Batches, free, materialize, slim
 
 CAPACITY = 2048
 BUCKETS = 20_000  #: of ranks in all, besides one for each length
 BUCKET_ROWS = 500  #: least rows of a full bucket
 VOCABULARY = "word_bpe_49k.json"
-_CACHED = 1_000_000
+_CACHED = 56 << 20  #: bytes of words and ids that a worker remembers, in each of two generations
+_ENTRY = 150  #: bytes of an entry besides its characters and ids
+_STEP = 20_000  #: words of a text that are looked up at once
 _LETTERS = re.compile("[a-zß-öø-ÿ]+")
 _ODD = re.compile("<\\||[\x1c-\x1f]")
 #: Latin-1 characters that are neither letter, number, white space nor apostrophe; and a whole run of them away from apostrophes.
@@ -42,7 +43,7 @@ class Encoder:
     """Token ids of texts by a word-level BPE vocabulary that drops white space.
 
     No token spans white space, so the ids of a text are those of its words;
-    words met before come from a bounded table.
+    words met before come from a table of two generations, bounded in bytes.
     """
 
     def __init__(self, path: str) -> None:
@@ -52,6 +53,8 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.held = 0
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.model.encode_batch_fast(texts, add_special_tokens=False)
@@ -82,20 +85,30 @@ class Encoder:
             text = _RUN.sub(r" \g<0> ", text.lower())
         except UnicodeEncodeError:
             pass
-        words, known = text.split(), self.known
-        new = set(words).difference(known)
-        if new:
-            if len(known) > _CACHED:
-                known.clear()
-                new = set(words)
-            plain = list(filter(_LETTERS.fullmatch, new))
-            known.update(zip(plain, self._words(plain), strict=True))
-            other = list(new.difference(plain))
-            known.update(zip(other, self._ids(other), strict=True))
-        return b"".join([known[w] for w in words])
-
-
-@lru_cache(maxsize=2)
+        words, parts = text.split(), []
+        for i in range(0, len(words), _STEP):
+            part = words[i : i + _STEP]
+            self._learn(set(part))
+            parts.append(b"".join(map(self.known.__getitem__, part)))
+        return b"".join(parts)
+
+    def _learn(self, words: set[str]) -> None:
+        """Have the ids of all these words in the table."""
+        new = words.difference(self.known)
+        if not new:
+            return
+        if self.held > _CACHED:  # the older generation goes
+            self.before, self.known, self.held, new = self.known, {}, 0, words
+        met = {w: ids for w in new if (ids := self.before.get(w)) is not None}
+        plain = [w for w in new if w not in met and _LETTERS.fullmatch(w)]
+        other = list(new.difference(met, plain))
+        met.update(zip(plain, self._words(plain), strict=True))
+        met.update(zip(other, self._ids(other), strict=True))
+        self.known.update(met)
+        self.held += sum(map(len, met)) + sum(map(len, met.values())) + _ENTRY * len(met)
+
+
+@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     """The Encoder of a Python worker; it stays for the worker's next task."""
     return Encoder(path)
@@ -120,7 +133,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
     names = list(out.fieldNames())
     step = 4 * capacity
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         encode = encoder(vocabulary or vocabulary_path()).encode
         for batch in batches:
             at, piece, start, length, crc, ids = [], [], [], [], [], []
@@ -138,7 +151,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
             columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), names)
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, out)
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(slim(run), out)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int, int]]]]:
@@ -249,31 +262,31 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``cut`` (see :func:`pieces`) with ``sequence_id`` and ``offset`` (long).
 
     Pieces alike in every column are interchangeable; ties in doc_id are broken
-    by piece, start and checksum. An empty table gives no rows.
+    by piece, start and checksum. An empty table gives no rows; other columns of
+    ``cut`` are passed on.
     """
     spark = cut.sparkSession
-    cut = materialize(cut, "pieces")
+    salt, split, bucket, rank, size = free([*cut.columns, "sequence_id", "offset"], "_salt", "_split", "_bucket", "_rank", "_length")
+    columns = cut.columns
+    # pieces alike in every column are told apart by a number that is written down with them
+    cut = materialize(cut.withColumn(salt, (F.rand(7) * (1 << 30)).cast("int")), "pieces")
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
     places = Places(counts, capacity)
-    total = sum(counts.values())
-    rows = max(BUCKET_ROWS, -(-total // BUCKETS))
-    split = spark.createDataFrame([(n, -(-c // rows)) for n, c in counts.items()], "length long, _split long")
-    cut = cut.join(F.broadcast(split), "length").withColumn(
-        "_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("_split"))
-    )
+    rows = max(BUCKET_ROWS, -(-sum(counts.values()) // BUCKETS))
+    splits = spark.createDataFrame([(n, -(-c // rows)) for n, c in counts.items()], f"{size} long, {split} long")
+    cut = cut.join(F.broadcast(splits), F.col("length") == F.col(size)).withColumn(bucket, F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", salt), F.col(split)))
     ahead: dict[int, dict[int, int]] = {}
-    for r in cut.groupBy("length", "_bucket").count().orderBy("length", "_bucket").collect():
+    for r in cut.groupBy("length", bucket).count().orderBy("length", bucket).collect():
         own = ahead.setdefault(r["length"], {"next": 0})
-        own[r["_bucket"]] = own["next"]
+        own[r[bucket]] = own["next"]
         own["next"] += r["count"]
     given = spark.sparkContext.broadcast((places, ahead))
-    w = W.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = cut.withColumn("_rank", F.row_number().over(w).cast("long") - 1)
-    columns = [c for c in cut.columns if c not in ("_split", "_bucket")]
+    w = W.partitionBy("length", bucket).orderBy("doc_id", "piece", "start", "ids_crc32", salt)
+    ranked = cut.withColumn(rank, F.row_number().over(w).cast("long") - 1)
     out = cut.select(*columns).schema.add("sequence_id", "long").add("offset", "long")
     names = out.fieldNames()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         places, ahead = given.value
         for b in batches:
             length, bucket, rank = (b.column(b.num_columns - i).to_numpy(zero_copy_only=False) for i in (3, 2, 1))
@@ -281,7 +294,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             sequence, offset = places(length, base + rank)
             yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array(sequence), pa.array(offset)], names)
 
-    return ranked.select(*columns, F.col("length").alias("_length"), "_bucket", "_rank").mapInArrow(run, out)
+    return ranked.select(*columns, F.col(size), bucket, rank).mapInArrow(slim(run), out)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -292,6 +305,6 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
-    """Pieces of all documents with their places."""
+    """Pieces of all documents with their places. Null and empty texts are a closing 0 each; other columns are not read."""
     packed = pack(pieces(docs, capacity, vocabulary), capacity)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
