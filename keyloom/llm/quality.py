@@ -14,6 +14,8 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from keyloom.llm.common import free
+
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 8
 SAMPLE = 20_000  #: labelled rows that the list is learned from, at most
@@ -25,6 +27,16 @@ def bind(value: Column, then) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
+def once(value: Column) -> Column:
+    """``value``, computed once for each row.
+
+    The optimizer neither copies an expression that draws a number into every
+    place that uses it, nor moves a filter on it below it. The draw is always
+    from 0 to 1, so it changes no value.
+    """
+    return F.when(F.rand(0) >= 0, value)
+
+
 def _covered(words: Column) -> Column:
     """Words that lie in an 8-word window found twice or more in the row."""
 
@@ -71,11 +83,19 @@ def _covered(words: Column) -> Column:
     return bind(F.transform(words, lambda w: F.xxhash64(w)), count)
 
 
+def added(columns: list[str]) -> list[str]:
+    """Names of the columns that :func:`judge` adds to those, of which the first is that of :func:`statistics`: ``_q`` and ``_kept`` where they are unused."""
+    return free(columns, "_q", "_kept")
+
+
 def statistics(docs: DataFrame) -> DataFrame:
-    """``docs`` with the struct ``_q`` of its text's counts and shares.
+    """``docs`` with a struct (see :func:`added`) of its text's counts and shares.
 
-    A null or empty text has no words and all counts 0; shares over nothing are 0.
+    A null or empty text has no words and all counts 0; shares over nothing are
+    0. Repeated rows repeat; other columns are passed on; an empty table gives
+    no rows.
     """
+    name = added(docs.columns)[0]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
 
     def gone(pattern: str) -> Column:
@@ -84,8 +104,8 @@ def statistics(docs: DataFrame) -> DataFrame:
     words = F.filter(F.split(text, SPACE), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     first = docs.withColumn(
-        "_q",
-        bind(
+        name,
+        once(bind(
             words,
             lambda w: F.struct(
                 F.size(w).cast("long").alias("n_words"),
@@ -98,17 +118,17 @@ def statistics(docs: DataFrame) -> DataFrame:
                 gone("!").alias("n_bangs"),
                 (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
             ),
-        ),
-    )
-    q = F.col("_q")
+        )),
+    )
+    q = F.col(name)
 
     def share(a: str, b: str) -> Column:
         return F.when(q[b] > 0, q[a] / q[b]).otherwise(F.lit(0.0))
 
     return first.withColumn(
-        "_q",
+        name,
         F.struct(
-            "_q.*",
+            f"{name}.*",
             share("word_chars", "n_words").alias("mean_word"),
             share("n_symbols", "word_chars").alias("symbol_share"),
             share("n_upper", "word_chars").alias("upper_share"),
@@ -207,7 +227,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DecisionLis
     """The list for ``docs`` by ``labels`` (doc_id, quality: 0 is to be rejected).
 
     Learned from at most ``sample`` labelled rows, those of least hash of
-    doc_id, among texts that the base rules pass. Without both classes the list
+    doc_id, among texts that the base rules pass; of documents that repeat a
+    doc_id one counts, that of least statistics. Without both classes the list
     is empty and rejects nothing.
     """
     chosen = (
@@ -220,16 +241,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DecisionLis
     found = statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
     rows = (
         found.where(~F.col("_q.base_failed"))
-        .select(F.xxhash64("doc_id"), F.col("_quality") == 0, *[F.col(f"_q.{f}") for f in FEATURES])
+        .groupBy("doc_id")
+        .agg(F.min(F.struct(F.xxhash64("doc_id").alias("key"), (F.col("_quality") == 0).alias("bad"), *[F.col(f"_q.{f}").alias(f) for f in FEATURES])).alias("row"))
+        .select("row.*")
         .collect()
     )
     return learn([tuple(r) for r in rows])
 
 
 def judge(docs: DataFrame, rules: DecisionList) -> DataFrame:
-    """``docs`` with ``_q`` and ``_kept``: passed by the base rules and by the list."""
+    """``docs`` with the struct of :func:`statistics` and whether the base rules and the list pass the row (see :func:`added`).
+
+    Null and empty texts have no words, so the base rules reject them. Repeated
+    rows repeat; other columns are passed on, whatever their names; an empty
+    table gives no rows.
+    """
+    stats, kept = added(docs.columns)
     found = statistics(docs)
-    return found.withColumn("_kept", ~F.col("_q.base_failed") & ~rules.rejects(F.col("_q")))
+    return found.withColumn(kept, ~F.col(f"{stats}.base_failed") & ~rules.rejects(F.col(stats)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
