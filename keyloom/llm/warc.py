@@ -19,12 +19,13 @@ import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import datetime
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from keyloom.llm.common import fresh_path, materialize
+from keyloom.llm.common import Batches, fresh_path, materialize, slim
 
 SKIPPABLE = 0x184D2A5D
 FRAME = b"\x28\xb5\x2f\xfd"
@@ -36,6 +37,10 @@ REQUIRED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
 ARCHIVE_BYTES = 256 << 20  #: an archive is closed at this size
 SAMPLE_BYTES, DICTIONARY_BYTES = 1 << 20, 32 << 10
 RECORD_BYTES = 1 << 31  #: longest record that a reader decodes
+TYPES = frozenset("warcinfo response resource request metadata revisit conversion continuation".split())
+_NAMED = {n.lower(): n for n in (*REQUIRED, "WARC-Target-URI", "WARC-Payload-Digest", "WARC-Refers-To", "WARC-Profile", "Content-Type")}  #: names have no case
+_DATE = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]{1,9})?Z")
+_ID = re.compile(r"<[A-Za-z][A-Za-z0-9+.-]*:[^<>\s]*>")
 _HEADER = re.compile(rb"([!#$%&'*+.^_`|~0-9A-Za-z-]+):[ \t]*([^\r\n]*)")
 
 
@@ -77,8 +82,16 @@ def train(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
         return b""
 
 
+def _dated(value: str) -> bool:
+    """Whether it is a time in UTC."""
+    try:
+        return bool(_DATE.fullmatch(value) and datetime.fromisoformat(value[:19]))
+    except ValueError:
+        return False
+
+
 def parse(data: bytes, at: int = 0) -> Record:
-    """One record, validated: version, headers, length, and the closing blank lines."""
+    """One record, validated: version, headers (type, id, date), length, and the closing blank lines."""
     head, cut, rest = data.partition(b"\r\n\r\n")
     if not cut:
         raise ArchiveError("record header doesn't end", at)
@@ -90,13 +103,19 @@ def parse(data: bytes, at: int = 0) -> Record:
         m = _HEADER.fullmatch(line)
         if not m:
             raise ArchiveError("malformed header line", at)
-        name = m[1].decode()
+        name = _NAMED.get(m[1].decode().lower(), m[1].decode())
         if name in headers:
             raise ArchiveError(f"repeated header {name}", at)
         headers[name] = m[2].decode("utf-8", "replace").strip()
     for name in REQUIRED:
         if not headers.get(name):
             raise ArchiveError(f"no header {name}", at)
+    if headers["WARC-Type"] not in TYPES:
+        raise ArchiveError(f"unknown WARC-Type {headers['WARC-Type'][:40]!r}", at)
+    if not _dated(headers["WARC-Date"]):
+        raise ArchiveError("bad WARC-Date", at)
+    if not all(_ID.fullmatch(headers[n]) for n in ("WARC-Record-ID", "WARC-Refers-To") if n in headers):
+        raise ArchiveError("bad record id", at)
     if not re.fullmatch("[0-9]+", headers["Content-Length"]):
         raise ArchiveError("bad Content-Length", at)
     size = int(headers["Content-Length"])
@@ -228,10 +247,11 @@ def write_archives(pages: DataFrame, folder: str, date: str = DATE) -> DataFrame
     """Write ``pages`` (page_id, url, payload, digest: SHA-1 in hexadecimal, refers_to) as archives in ``folder``.
 
     Returns (archive, records, bytes), a row per archive. Lazy: whoever reads
-    the result twice writes twice, so write it down first.
+    the result twice writes twice, so write it down first. An empty table gives
+    no archive; null payloads are empty ones.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         files, base = _files(folder)
         files.create_dir(base, recursive=True)
         done: list[tuple[str, int, int]] = []
@@ -244,28 +264,34 @@ def write_archives(pages: DataFrame, folder: str, date: str = DATE) -> DataFrame
             files.move(temporary, name)
             done.append((f"{folder}/{name.rsplit('/', 1)[1]}", writer.records, writer.bytes))
 
-        for b in batches:
-            for page_id, url, text, sha, refers in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if writer is None:
-                    temporary = f"{base}/.{uuid.uuid4().hex}"
-                    sink = files.open_output_stream(temporary, compression=None)
-                    writer = ArchiveWriter(sink)
-                body = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b""
-                revisit = refers is not None
-                headers = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", _record_id(page_id)), ("WARC-Date", date), ("WARC-Target-URI", url or "urn:x-none:"), ("WARC-Payload-Digest", f"sha1:{base64.b32encode(bytes.fromhex(sha)).decode()}"), ("Content-Type", "application/http;msgtype=response")]
-                if revisit:
-                    headers += [("WARC-Refers-To", _record_id(refers)), ("WARC-Profile", PROFILE)]
-                block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(body)
-                writer.write(record(headers, block + (b"" if revisit else body)))
-                if writer.bytes >= ARCHIVE_BYTES:
-                    close()
-                    writer = None
-        if writer is not None:
-            close()
+        try:
+            for b in batches:
+                for page_id, url, text, sha, refers in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if writer is None:
+                        temporary = f"{base}/.{uuid.uuid4().hex}"
+                        sink = files.open_output_stream(temporary, compression=None)
+                        writer = ArchiveWriter(sink)
+                    body = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b""
+                    revisit = refers is not None
+                    headers = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", _record_id(page_id)), ("WARC-Date", date), ("WARC-Target-URI", url or "urn:x-none:"), ("WARC-Payload-Digest", f"sha1:{base64.b32encode(bytes.fromhex(sha)).decode()}"), ("Content-Type", "application/http;msgtype=response")]
+                    if revisit:
+                        headers += [("WARC-Refers-To", _record_id(refers)), ("WARC-Profile", PROFILE)]
+                    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(body)
+                    writer.write(record(headers, block + (b"" if revisit else body)))
+                    if writer.bytes >= ARCHIVE_BYTES:
+                        close()
+                        writer = None
+            if writer is not None:
+                close()
+        except BaseException:  # a failed attempt leaves nothing that is not done
+            if sink is not None and not sink.closed:
+                sink.close()
+                files.delete_file(temporary)
+            raise
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done, strict=True)], ["archive", "records", "bytes"])
 
-    return pages.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(run, "archive string, records long, bytes long")
+    return pages.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(slim(run), "archive string, records long, bytes long")
 
 
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, byte long, payload binary, error string"
@@ -275,7 +301,9 @@ def read_archives(archives: DataFrame, mode: str = "FAILFAST", with_payload: boo
     """Every record of the archives named in column ``archive``; see RECORDS.
 
     With ``mode="PERMISSIVE"`` a damaged archive gives its records up to the
-    damage and then one row with ``error``.
+    damage and then one row with ``error``. A task reads the archives of a
+    partition one after another; repartition them for more tasks. A record of
+    more than RECORD_BYTES is an error: no column holds more.
     """
 
     def number(value: str | None) -> int | None:
@@ -285,7 +313,7 @@ def read_archives(archives: DataFrame, mode: str = "FAILFAST", with_payload: boo
     names = [x.split()[0] for x in RECORDS.split(", ")]
     types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         rows, held = [], 0
 
         def batch() -> pa.RecordBatch:
@@ -311,7 +339,7 @@ def read_archives(archives: DataFrame, mode: str = "FAILFAST", with_payload: boo
         if rows:
             yield batch()
 
-    return archives.select("archive").mapInArrow(run, RECORDS)
+    return archives.select("archive").mapInArrow(slim(run), RECORDS)
 
 
 def assign(pages: DataFrame, least: int = 0) -> DataFrame:
@@ -344,5 +372,6 @@ def query(spark, sf_dir: str) -> DataFrame:
     bound_batches(spark)
     pages = assign(table(spark, sf_dir, "pages"))
     written = materialize(write_archives(pages, fresh_path(spark, "warc")), "archives")
-    found = read_archives(written, with_payload=False)
+    # the table of names is small: read by its files, few tasks would get all archives
+    found = read_archives(written.repartition(max(1, written.count())), with_payload=False)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
