@@ -49,7 +49,7 @@ COMMON = frozenset(
     "al como con cuando cuál de del desde donde dónde el ella en entre era es esta este esto hay la las lo los más no nos o para pero por porque qué que se según ser si sin sobre su sus también un una y ya".split()
 )
 _TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[%$€£]|[.!?\n]+")
-_CACHED = 100_000  #: tokens of which a task remembers what they are
+_CACHED = 200_000  #: tokens of which a task remembers what they are
 #: What a token is, whatever stands around it; in the lowest bits of its code.
 BREAK, ENDS, IS_NUMBER, IS_SIGN, UNIT_WORD, CAPITAL, IS_COMMON = (1 << i for i in range(7))
 _FLAGS = np.uint64(0xFF)

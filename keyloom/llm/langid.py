@@ -26,7 +26,7 @@ GRAMS = 50_000  #: n-grams kept of each language, at most
 LONGEST = 5  #: characters of the longest n-gram
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHED = 100_000  #: words of which a task remembers the scores
+_CACHED = 400_000  #: words of which a task remembers the scores
 _CELLS = 4_000_000  #: numbers that these take at most, however many languages there are
 
 

@@ -45,7 +45,7 @@ WORDS = {
 CLASSES = {w: sum(c for c, other in WORDS.items() if w in other.split()) for own in WORDS.values() for w in own.split()}
 _CLAUSE = re.compile(r"[.!?;\n]+")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-_CACHED = 100_000
+_CACHED = 200_000
 
 
 @dataclass(frozen=True)
