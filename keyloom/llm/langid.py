@@ -16,7 +16,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from keyloom.llm.common import Batches, materialize, release, slim
 
@@ -166,8 +166,23 @@ def count_grams(columns: list[list]) -> Counter:
 
 
 def _most_frequent(counts: DataFrame, most: int) -> list[tuple[str, str, int]]:
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "key"))
-    return [tuple(r) for r in counts.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank").collect()]
+    """Counts of the ``most`` or so most frequent keys of each language.
+
+    The cut is found from how many keys share a count, so no task ranks a
+    language's keys; of the keys that share the count at the cut, those of
+    least hash fill what is left.
+    """
+    shared = counts.groupBy("lang", "n").agg(F.count("*").alias("keys")).collect()
+    cuts, left = [], {}
+    for lang, n, keys in sorted((tuple(r) for r in shared), key=lambda r: (r[0], -r[1])):
+        room = left.get(lang, most)
+        if room > 0 and keys > room:
+            cuts.append((lang, n, room / keys))
+        left[lang] = room - keys
+    at = counts.sparkSession.createDataFrame(cuts, "cut_lang string, cut long, share double")
+    part = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / F.lit(1 << 30)
+    kept = F.col("cut").isNull() | (F.col("n") > F.col("cut")) | ((F.col("n") == F.col("cut")) & (part < F.col("share")))
+    return [tuple(r) for r in counts.join(at, F.col("lang") == F.col("cut_lang"), "left").where(kept).select("lang", "key", "n").collect()]
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, words: int = WORDS, grams: int = GRAMS) -> Model:
@@ -182,9 +197,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE, words: int = WORDS, grams: int =
     taught = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select(F.col("lang").cast("string"), "text")
     total = F.sum("n").alias("n")
     met = materialize(taught.mapInArrow(_counted(count_words), COUNTS).groupBy("lang", "key").agg(total), "words")
-    parts = met.mapInArrow(_counted(count_grams), COUNTS).groupBy("lang", "key").agg(total)
+    parts = materialize(met.mapInArrow(_counted(count_grams), COUNTS).groupBy("lang", "key").agg(total), "grams")
     model = Model.of(_most_frequent(met, words), _most_frequent(parts, grams))
-    release(met)
+    release(met, parts)
     return model
 
 
