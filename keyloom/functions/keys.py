@@ -6,6 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from keyloom.functions.plain import normalize  # noqa: F401
 
+SAFE_INTEGER = 2**53 - 1  #: the largest whole number that all readers of JSON keep
 
 
 def norm_key(key: Column, case_sensitive: bool = False, strip: bool = False, resource_path: bool = False) -> Column:
@@ -45,6 +46,19 @@ def sanitize(message: Column, most: int = 2048) -> Column:
     return F.when(F.length(flat) > most, F.concat(F.left(flat, F.lit(most)), F.lit("…"))).otherwise(flat)
 
 
+def redact(message: Column, roots: dict[str, str], most: int = 4096) -> Column:
+    """A diagnostic without the local paths ``roots`` (path: what stands for it), the longest first, and without control characters but tab and line breaks."""
+    out = F.regexp_replace(message, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "?")
+    for root in sorted((r for r in roots if r), key=len, reverse=True):
+        out = F.replace(out, F.lit(root.rstrip("/") or "/"), F.lit(roots[root]))
+    return F.left(out, F.lit(most))
+
+
+def field_text(value: Column) -> Column:
+    """A value for a tab-separated field: runs of tabs and line breaks are a space."""
+    return F.regexp_replace(value, r"[\t\r\n]+", " ")
+
+
 def file_type(path: Column) -> Column:
     """Lower-case extension of the basename; ``other`` where there is none."""
     name = F.regexp_extract(path, r"([^/]*)$", 1)
@@ -66,6 +80,37 @@ def canonical_url(url: Column) -> Column:
     return F.concat(F.lower(head), F.substr(bare, F.length(head) + 1))
 
 
+def origin(url: Column) -> Column:
+    """Scheme, host and port, in lower case and without the scheme's own port."""
+    found = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1))
+    return F.regexp_replace(F.regexp_replace(found, r"^(https://.*):443$", "$1"), r"^(http://.*):80$", "$1")
+
+
+def html_attribute(value: Column) -> Column:
+    """An attribute without its character references: numeric ones of any spelling, and amp, quot, apos, lt, gt; others stay.
+
+    The value is cut at ampersands, so nothing is decoded twice.
+    """
+    # fixed values: the named references that attributes may hold
+    named = {"amp": "&", "quot": '"', "apos": "'", "lt": "<", "gt": ">"}
+
+    def decoded(part: Column) -> Column:
+        name = F.lower(F.regexp_extract(part, "^([^;&]{1,10});", 1))
+        rest = F.substr(part, F.length(name) + 2)
+        digits = F.regexp_extract(name, "^#([0-9]{1,7})$", 1)
+        hexa = F.regexp_extract(name, "^#x([0-9a-f]{1,6})$", 1)
+        code = F.when(digits != "", F.try_to_number(digits, F.lit("9999999")).cast("int")).when(hexa != "", F.conv(hexa, 16, 10).cast("int"))
+        # characters by their code points, through UTF-32
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")  # without a mark it is big-endian
+        out = F.when(code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF), F.concat(char, rest))
+        for key, text in named.items():
+            out = out.when(name == key, F.concat(F.lit(text), rest))
+        return out.otherwise(F.concat(F.lit("&"), part))
+
+    parts = F.split(value, "&")
+    return F.array_join(F.transform(parts, lambda x, i: F.when(i == 0, x).otherwise(decoded(x))), "")
+
+
 def url_id(url: Column, digits: int = 24) -> Column:
     """First hexadecimal digits of the URL's SHA-256."""
     return F.left(F.sha2(url, 256), F.lit(digits))

@@ -11,4 +11,7 @@ def normalize(raw: str, case_sensitive: bool = False, strip: bool = False, resou
         raw = "".join(c for c in raw if not c.isascii() or c.isalnum())
     if resource_path:
         raw = raw.replace("/", "\\")
-    return raw if case_sensitive else "".join(c.lower() for c in raw)
+    if case_sensitive:
+        return raw
+    # only a final sigma is lowered by what stands around it
+    return raw.lower() if "Σ" not in raw else "".join(c.lower() for c in raw)

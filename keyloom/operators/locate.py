@@ -7,7 +7,7 @@ on the normal form, where adaptive execution splits hot groups.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from keyloom.functions.keys import norm_key
 
@@ -39,12 +39,18 @@ def locate(queries: DataFrame, keys: DataFrame) -> DataFrame:
     )
 
 
+def _groups(queries: DataFrame, keys: DataFrame) -> DataFrame:
+    """``query_id, basis, match_count, first_ordinal`` of the queries that match: one join, and one aggregation that begins before its shuffle."""
+    hits = queries.join(keys.select("ordinal", "key", "norm_key"), F.col("norm_query") == F.col("norm_key"))
+    raw = F.when(F.col("key") == F.col("query"), F.col("ordinal"))
+    found = hits.groupBy("query_id").agg(F.count(raw).alias("_raws"), F.min(raw).alias("_raw"), F.count("*").alias("_all"), F.min("ordinal").alias("_first"))
+    exact = F.col("_raws") > 0
+    return found.select("query_id", F.when(exact, RAW).otherwise(NORMALIZED).alias("basis"), F.when(exact, F.col("_raws")).otherwise(F.col("_all")).alias("match_count"), F.when(exact, F.col("_raw")).otherwise(F.col("_first")).alias("first_ordinal"))
+
+
 def matches(queries: DataFrame, keys: DataFrame) -> DataFrame:
-    """``query_id, query, basis, match_count, first_ordinal``: a row per query, nulls and 0 where nothing matches."""
-    found = locate(queries, keys).groupBy("query_id").agg(F.first("basis").alias("basis"), F.count("*").alias("match_count"), F.min("ordinal").alias("first_ordinal"))
-    return queries.select("query_id", "query").join(found, "query_id", "left").select(
-        "query_id", "query", "basis", F.coalesce("match_count", F.lit(0)).cast("long").alias("match_count"), "first_ordinal"
-    )
+    """``query_id, query, basis, match_count, first_ordinal``: a row per query, nulls and 0 where nothing matches. Query ids are distinct."""
+    return queries.select("query_id", "query").join(_groups(queries, keys), "query_id", "left").withColumn("match_count", F.coalesce("match_count", F.lit(0)).cast("long"))
 
 
 def match_lists(queries: DataFrame, keys: DataFrame) -> DataFrame:
@@ -59,8 +65,7 @@ def nth_match(lists: DataFrame, i: int) -> DataFrame:
 
 def lookup(queries: DataFrame, keys: DataFrame, records: DataFrame) -> DataFrame:
     """Each query's lowest match with its record's columns; queries without a match are absent."""
-    first = locate(queries, keys).groupBy("query_id").agg(F.min("ordinal").alias("ordinal"))
-    return first.join(records, "ordinal")
+    return _groups(queries, keys).select("query_id", F.col("first_ordinal").alias("ordinal")).join(records, "ordinal")
 
 
 def prefix_keys(keys: DataFrame, prefix: str, most: int, **flags: bool) -> DataFrame:
@@ -80,10 +85,13 @@ def at(table: DataFrame, ordinal: int) -> DataFrame:
     return table.where(F.col("ordinal") == ordinal)
 
 
+def block_at(probes: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``ordinal, block``: the key block of each probed ordinal (probes: ordinal; blocks: block, entry_start, entry_count); absent where out of range."""
+    from keyloom.operators.spans import block_of
+
+    return block_of(probes, blocks, "ordinal", "entry_start", "entry_count").select("ordinal", "block")
+
+
 def sample(table: DataFrame, entries: int) -> DataFrame:
     """First, middle and last row."""
     return table.where(F.col("ordinal").isin(0, entries // 2, entries - 1))
-
-
-def raw_equal(query: Column, key: Column) -> Column:
-    return query == key

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from keyloom.operators.stored import materialize
+
 BLOCK_ROWS = 65_536
 
 
@@ -43,14 +45,35 @@ def neighbour(df: DataFrame, value: str, out: str, ahead: bool = True, default:
     return cut.join(edges, [*by, "_block"]).withColumn(out, end).drop("_block", "_edge")
 
 
+def _spread(df: DataFrame, order: list[Column]) -> DataFrame:
+    """``df`` in range partitions of the order, with the number of each as ``_part``; written down, so that the number is a row's for good."""
+    return materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "spread")
+
+
 def numbered(df: DataFrame, order: list[Column], out: str = "position") -> DataFrame:
     """``df`` with its position from 0 in a global order.
 
     Range partitions are ordered among themselves, so a position is the rows of
     the partitions before plus the place within the partition.
     """
-    spread = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    spread = spread.withColumn("_at", F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1)
+    spread = _spread(df, order)
     sizes = spread.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return spread.join(sizes.select("_part", before.alias("_before")), "_part").withColumn(out, F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
+    placed = spread.withColumn("_at", F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1)
+    return placed.join(sizes.select("_part", before.alias("_before")), "_part").withColumn(out, F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
+
+
+def running_total(df: DataFrame, order: list[Column], value: str, by: tuple[str, ...] = (), out: str = "upto") -> DataFrame:
+    """``df`` with ``out``: the sum of ``value`` up to and including the row, in a global order within each ``by``.
+
+    A group may be all rows: a task sums the rows of one range partition only.
+    """
+    spread = _spread(df, [*map(F.col, by), *order])
+    totals = spread.groupBy(*by, "_part").agg(F.sum(value).alias("_t"))
+    before = F.coalesce(F.sum("_t").over(W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = totals.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_part").alias("_of"), before.alias("_before"))
+    own = F.sum(value).over(W.partitionBy("_part", *by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    same = F.col("_part") == F.col("_of")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    return spread.withColumn("_own", own).join(offsets, same).withColumn(out, F.col("_own") + F.col("_before")).drop("_part", "_own", "_before", "_of", *[f"_by{i}" for i in range(len(by))])

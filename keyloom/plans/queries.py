@@ -7,36 +7,17 @@ and CUST (customer: name -> segment). Ids from 0 are the ordinals.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from keyloom.functions import keys as K
 from keyloom.operators import audit, locate, spans
 from keyloom.operators.prefix import div
-from keyloom.plans import catalogue
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def register(sql: str | None):
-    def add(fn: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLE_SQL[fn.__name__] = sql
-        return fn
-
-    return add
-
-
-def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
+from keyloom.plans import catalogue, checks, containers  # noqa: F401  (they register queries)
+from keyloom.plans.registry import ORACLE_SQL, QUERIES, register, table  # noqa: F401
 
 def parts(spark: SparkSession, d: str) -> DataFrame:
     """PARTS with a third of its keys in capitals and a third capitalised, so that exact and normalized matches differ."""
-    p = _table(spark, d, "part")
+    p = table(spark, d, "part")
     key = F.when(F.col("p_partkey") % 3 == 0, F.upper("p_name")).when(F.col("p_partkey") % 3 == 1, F.initcap("p_name")).otherwise(F.col("p_name"))
     return p.select(F.col("p_partkey").alias("ordinal"), key.alias("key"), F.col("p_type").alias("text"))
 
@@ -45,7 +26,7 @@ _PARTS = "select p_partkey as ordinal, case p_partkey % 3 when 0 then upper(p_na
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    t = _table(spark, d, "documents")
+    t = table(spark, d, "documents")
     return t.select(F.col("doc_id").alias("ordinal"), F.concat_ws("/", "source", "lang").alias("key"), "text")
 
 
@@ -53,7 +34,7 @@ _DOCS = "select doc_id as ordinal, source || '/' || lang as key, text from docum
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
-    t = _table(spark, d, "pages")
+    t = table(spark, d, "pages")
     return t.select(F.col("page_id").alias("ordinal"), F.concat(F.lit("\\"), F.replace(F.regexp_replace("url", "^https?://", ""), F.lit("/"), F.lit("\\"))).alias("key"), F.col("html").alias("bytes"))
 
 
@@ -61,7 +42,7 @@ _PAGES = r"select page_id as ordinal, '\' || replace(regexp_replace(url, '^https
 
 
 def customers(spark: SparkSession, d: str) -> DataFrame:
-    t = _table(spark, d, "customer")
+    t = table(spark, d, "customer")
     return t.select(F.col("c_custkey").alias("ordinal"), F.col("c_name").alias("key"), F.col("c_mktsegment").alias("text"))
 
 
@@ -70,12 +51,12 @@ _CUST = "select c_custkey as ordinal, c_name as key, c_mktsegment as text from c
 
 def _part_queries(spark: SparkSession, d: str) -> DataFrame:
     """A query for each part name: as it is written for even part keys, in capitals for odd ones, and one that isn't there."""
-    p = _table(spark, d, "part").where("p_partkey % 7 = 0")
+    p = table(spark, d, "part")
     text = F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).when(F.col("p_partkey") % 5 == 0, F.concat("p_name", F.lit(" missing"))).otherwise(F.upper("p_name"))
     return locate.batch(p.select(F.col("p_partkey").alias("query_id"), text.alias("query")))
 
 
-_Q = "select p_partkey as query_id, case when p_partkey % 2 = 0 then p_name when p_partkey % 5 = 0 then p_name || ' missing' else upper(p_name) end as query from part where p_partkey % 7 = 0"
+_Q = "select p_partkey as query_id, case when p_partkey % 2 = 0 then p_name when p_partkey % 5 = 0 then p_name || ' missing' else upper(p_name) end as query from part"
 _LOCATE = f"with keys as ({_PARTS}), q as ({_Q}), m as (select query_id, query, ordinal, key = query as raw, text from q join keys on lower(query) = lower(key)), f as (select *, bool_or(raw) over (partition by query_id) as any_raw from m), hits as (select * from f where raw or not any_raw)"
 
 
@@ -100,7 +81,7 @@ def resource_scan(spark, d):
 @register("select 'part' as dict_id, count(*)::bigint as entries, count(*) = 0 as is_empty from part union all select 'documents', count(*)::bigint, count(*) = 0 from documents")
 def entry_count(spark, d):
     def one(name):
-        return _table(spark, d, name).agg(F.lit(name).alias("dict_id"), F.count("*").alias("entries"), (F.count("*") == 0).alias("is_empty")).select("dict_id", "entries", "is_empty")
+        return table(spark, d, name).agg(F.lit(name).alias("dict_id"), F.count("*").alias("entries"), (F.count("*") == 0).alias("is_empty")).select("dict_id", "entries", "is_empty")
 
     return one("part").union(one("documents"))
 
@@ -137,7 +118,7 @@ def keys_at(spark, d):
 
 @register(f"with k as ({_CUST}), p as (select o_orderkey as pos, o_custkey * 2 as ordinal from orders) select pos, p.ordinal, key from p left join k on k.ordinal = p.ordinal")
 def keys_at_batch(spark, d):
-    probes = _table(spark, d, "orders").select(F.col("o_orderkey").alias("pos"), (F.col("o_custkey") * 2).alias("ordinal"))
+    probes = table(spark, d, "orders").select(F.col("o_orderkey").alias("pos"), (F.col("o_custkey") * 2).alias("ordinal"))
     return locate.keys_at(probes, customers(spark, d))
 
 
@@ -171,19 +152,19 @@ def lookup_first(spark, d):
     return locate.lookup(_part_queries(spark, d), keys, keys.select("ordinal", "text")).select("query_id", "ordinal", "text")
 
 
-@register(rf"with k as ({_PAGES}), q as (select page_id as query_id, '/' || regexp_replace(url, '^https?://', '') as query from pages where page_id % 3 = 0) select query_id, query, 'HeaderNormalized' as basis, ordinal from q join k on replace(ltrim(query, '/\'), '/', '\') = replace(ltrim(key, '/\'), '/', '\')")
+@register(rf"with k as ({_PAGES}), q as (select page_id as query_id, '/' || regexp_replace(url, '^https?://', '') as query from pages) select query_id, query, 'HeaderNormalized' as basis, ordinal from q join k on replace(ltrim(query, '/\'), '/', '\') = replace(ltrim(key, '/\'), '/', '\')")
 def lookup_resource_path(spark, d):
     flags = {"case_sensitive": True, "resource_path": True}
-    p = _table(spark, d, "pages").where("page_id % 3 = 0")
+    p = table(spark, d, "pages")
     queries = p.select(F.col("page_id").alias("query_id"), F.concat(F.lit("/"), F.regexp_replace("url", "^https?://", "")).alias("query"))
     return locate.locate(locate.batch(queries, **flags), locate.with_norm(pages(spark, d), **flags))
 
 
-@register(f"with k as ({_PAGES}), s as (select *, sum(strlen(bytes)) over (order by ordinal) - strlen(bytes) as st from k) select page_id as query_id, ordinal, st::bigint as record_start, (st + strlen(bytes))::bigint as record_end from pages join s on s.ordinal = page_id where page_id % 4 = 0")
+@register(f"with k as ({_PAGES}), s as (select *, sum(strlen(bytes)) over (order by ordinal) - strlen(bytes) as st from k) select page_id as query_id, ordinal, st::bigint as record_start, (st + strlen(bytes))::bigint as record_end from pages join s on s.ordinal = page_id")
 def lookup_span(spark, d):
     flags = {"case_sensitive": True, "resource_path": True}
     keys = locate.with_norm(pages(spark, d), **flags)
-    queries = locate.batch(keys.where("ordinal % 4 = 0").select(F.col("ordinal").alias("query_id"), F.col("key").alias("query")), **flags)
+    queries = locate.batch(keys.select(F.col("ordinal").alias("query_id"), F.col("key").alias("query")), **flags)
     return locate.lookup(queries, keys, spans.record_spans(pages(spark, d), "bytes").select("ordinal", "record_start", "record_end")).select("query_id", "ordinal", "record_start", "record_end")
 
 
@@ -270,14 +251,16 @@ def first_of_group(spark, d):
     return audit.first_of_group(docs(spark, d))
 
 
-@register(f"select count_if(ordinal <> p + 1)::bigint as violations from (select ordinal, lag(ordinal, 1, -1) over (order by ordinal) as p from ({_PARTS}) where ordinal % 10 <> 4)")
+@register(f"select count_if(ordinal <> p + 1)::bigint as violations from (select ordinal, lag(ordinal, 1, -1) over (order by ordinal) as p from (select case when ordinal % 10 = 4 then ordinal * 1000 else ordinal end as ordinal from ({_PARTS})))")
 def contiguity_violations(spark, d):
-    return audit.contiguity_violations(parts(spark, d).where("ordinal % 10 <> 4"))
+    """A tenth of the ordinals is moved away."""
+    moved = F.when(F.col("ordinal") % 10 == 4, F.col("ordinal") * 1000).otherwise(F.col("ordinal"))
+    return audit.contiguity_violations(parts(spark, d).withColumn("ordinal", moved))
 
 
 @register("select count_if(v < p)::bigint as violations from (select value as v, lag(value) over (order by event_id) as p from events)")
 def monotonic_violations(spark, d):
-    rows = _table(spark, d, "events").select(F.col("event_id").alias("ordinal"), F.col("value").alias("record_start"))
+    rows = table(spark, d, "events").select(F.col("event_id").alias("ordinal"), F.col("value").alias("record_start"))
     return audit.monotonic_violations(rows)
 
 
@@ -288,7 +271,7 @@ def payload_bytes(spark, d):
 
 @register("select sha256(string_agg(l, chr(10) order by l) || chr(10)) as digest from (select c_custkey || chr(9) || c_name as l from customer)")
 def row_set_digest(spark, d):
-    return audit.set_digest(_table(spark, d, "customer"), F.concat_ws("\t", F.col("c_custkey").cast("string"), "c_name"))
+    return audit.set_digest(table(spark, d, "customer"), F.concat_ws("\t", F.col("c_custkey").cast("string"), "c_name"))
 
 
 @register("with a as (select row_number() over (order by doc_id) - 1 as i, doc_id || chr(9) || sha256(text) as l from documents), b as (select i // 4096 as leaf, sha256(string_agg(l, chr(10) order by i)) as s from a group by 1) select sha256(string_agg(s, '' order by leaf)) as digest from b")
@@ -297,26 +280,26 @@ def entry_tree_digest(spark, d):
     return audit.digest_tree(rows, [F.col("ordinal")], F.concat_ws("\t", F.col("ordinal").cast("string"), F.sha2("text", 256)))
 
 
-@register("select doc_id as ordinal, sha256(text) || chr(9) || replace(replace(replace(replace(source || '/' || lang || chr(9) || left(text, 40), '\\', '\\\\'), chr(9), '\\t'), chr(10), '\\n'), chr(13), '\\r') as line from documents")
+@register("select doc_id as ordinal, sha256(text) || chr(9) || replace(replace(replace(replace(source || '/' || lang || chr(9) || text, '\\', '\\\\'), chr(9), '\\t'), chr(10), '\\n'), chr(13), '\\r') as line from documents")
 def entry_digests(spark, d):
     rows = docs(spark, d)
-    key = F.concat("key", F.lit("\t"), F.left("text", F.lit(40)))
+    key = F.concat("key", F.lit("\t"), "text")
     return rows.select("ordinal", F.concat_ws("\t", F.sha2("text", 256), K.escape(key)).alias("line"))
 
 
 @register("with v as (select event_type, list(value order by value) as l, count(*) as n from events where value is not null group by 1) select event_type, n::bigint as n, l[(n - 1) * 50 // 100 + 1] as p50, l[(n - 1) * 95 // 100 + 1] as p95, l[(n - 1) * 99 // 100 + 1] as p99 from v")
 def latency_percentiles(spark, d):
-    return audit.percentiles(_table(spark, d, "events"), "value", ("event_type",))
+    return audit.percentiles(table(spark, d, "events"), "value", ("event_type",))
 
 
 @register("select source as value, count(*)::bigint as count from documents group by 1")
 def tally(spark, d):
-    return audit.tally(_table(spark, d, "documents"), "source")
+    return audit.tally(table(spark, d, "documents"), "source")
 
 
 @register("select count_if(quality = 1 and toxic = 1)::bigint as both, count_if(quality = 1 and toxic <> 1)::bigint as first_only, count_if(quality <> 1 and toxic = 1)::bigint as second_only, count_if(quality <> 1 and toxic <> 1)::bigint as neither from labels")
 def agreement_matrix(spark, d):
-    return audit.agreement(_table(spark, d, "labels"), F.col("quality") == 1, F.col("toxic") == 1)
+    return audit.agreement(table(spark, d, "labels"), F.col("quality") == 1, F.col("toxic") == 1)
 
 
 @register(f"with k as (select lower(key) as n from ({_PARTS})) select count(*)::bigint as entries, sum(strlen(n))::bigint as text_bytes, (4 * (count(*) + 1))::bigint as bounds_bytes, (4 * count(*))::bigint as order_bytes, (4 * count(*))::bigint as digest_bytes, (sum(strlen(n)) + 12 * count(*) + 4)::bigint as locator_bytes from k")
@@ -336,7 +319,7 @@ _FILES = "f as (select url as u, regexp_replace(url, '[?#].*$', '') as url, strl
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
-    p = _table(spark, d, "pages")
+    p = table(spark, d, "pages")
     url = F.regexp_replace("url", r"[?#].*$", "")
     path = F.regexp_replace(url, "^https?://[^/]*/", "")
     return p.select(path.alias("path"), F.when(F.col("page_id") % 2 == 0, "mdx").otherwise("mdd").alias("type"), F.octet_length("html").cast("long").alias("bytes"), url.alias("url"), F.regexp_replace(url, "[^/]*$", "").alias("parent"), "page_id")
@@ -361,7 +344,7 @@ def url_classification(spark, d):
 
 @register("select page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as href from pages")
 def page_links(spark, d):
-    return _table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("href=\"([^\"]*)\""), F.lit(1))).alias("href"))
+    return table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("href=\"([^\"]*)\""), F.lit(1))).alias("href"))
 
 
 @register(f"with {_FILES} select left(sha256(url), 24) as id, regexp_replace(url, '^https?://[^/]*/', '') as source_path, bytes as advertised_bytes, 'mdx' as kind, url, 'selected/mdx/' || left(sha256(url), 32) || '.mdx' as local_path from f where page_id % 2 = 0")
@@ -379,72 +362,82 @@ def listing_fingerprint(spark, d):
     return catalogue.listing_fingerprint(_files(spark, d).groupBy("url").agg(F.max("bytes").alias("bytes")))
 
 
-@register("select sha256(string_agg(sha256(text) || chr(9) || n_chars || chr(9) || source || '/' || doc_id, chr(10) order by source || '/' || doc_id) || chr(10)) as digest from documents where doc_id < 500")
+@register("select sha256(string_agg(sha256(text) || chr(9) || n_chars || chr(9) || source || '/' || doc_id, chr(10) order by source || '/' || doc_id) || chr(10)) as digest from documents")
 def denominator_digest(spark, d):
-    t = _table(spark, d, "documents").where("doc_id < 500")
+    t = table(spark, d, "documents")
     rows = t.select(F.sha2("text", 256).alias("sha256"), F.col("n_chars").alias("bytes"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("sourcePath"))
     return catalogue.denominator_digest(rows)
 
 
-@register("select doc_id, source, lang from documents d where doc_id % 3 = 1 and exists (select 1 from documents e where e.doc_id % 3 = 0 and e.doc_id < 40 and e.source = d.source and e.lang = d.lang)")
+@register("select d.doc_id, d.source, d.lang from documents d where exists (select 1 from labels l where l.doc_id % 50 = d.doc_id % 75 and l.quality = 0)")
 def companion_semi_join(spark, d):
-    t = _table(spark, d, "documents")
-    texts = t.where("doc_id % 3 = 0 and doc_id < 40").select(F.concat_ws("/", "source", F.concat("lang", F.lit(".mdx"))).alias("path"))
-    resources = t.where("doc_id % 3 = 1").select("doc_id", "source", "lang", F.concat_ws("/", "source", F.concat("lang", F.lit(".mdd"))).alias("path"), F.col("n_chars").alias("bytes"))
+    """Resources with a text of their directory and stem: documents by ``doc_id % 75``, rejected labels by ``doc_id % 50``."""
+    name = lambda n, end: F.concat(F.lit("x/"), (F.col("doc_id") % n).cast("string"), F.lit(end))
+    texts = table(spark, d, "labels").where("quality = 0").select(name(50, ".mdx").alias("path"))
+    resources = table(spark, d, "documents").select("doc_id", "source", "lang", name(75, ".mdd").alias("path"), F.col("n_chars").alias("bytes"))
     return catalogue.companions(resources, texts).select("doc_id", "source", "lang")
 
 
 @register("select lower(p_brand) as basename, count(*)::bigint as files from part group by 1 having count(*) > 1")
 def basename_collisions(spark, d):
-    return catalogue.basename_groups(_table(spark, d, "part").select(F.concat(F.lit("x/"), "p_brand").alias("path")))
+    return catalogue.basename_groups(table(spark, d, "part").select(F.concat(F.lit("x/"), "p_brand").alias("path")))
 
 
 @register("select d.doc_id from documents d anti join labels l on l.doc_id = d.doc_id")
 def unmatched_documents(spark, d):
-    return _table(spark, d, "documents").join(_table(spark, d, "labels"), "doc_id", "left_anti").select("doc_id")
+    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left_anti").select("doc_id")
 
 
 @register("select d.doc_id::varchar as path, case when l.doc_id is null then 'missing' when toxic = 1 then 'acquisition-error' when quality = 1 then 'promoted' else 'excluded' end as status from documents d left join labels l on l.doc_id = d.doc_id")
 def promote_outcomes(spark, d):
-    draft = _table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"))
-    outcomes = _table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("path"), (F.col("quality") == 1).alias("ok"), (F.col("toxic") != 1).alias("acquired"), F.lit(None).cast("string").alias("error"))
+    draft = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"))
+    outcomes = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("path"), (F.col("quality") == 1).alias("ok"), (F.col("toxic") != 1).alias("acquired"), F.lit(None).cast("string").alias("error"))
     return catalogue.promote(draft, outcomes).select("path", "status")
 
 
-@register("with a as (select doc_id::varchar as path, source, lang from documents where doc_id % 5 <> 0), b as (select doc_id::varchar as path, source, case when doc_id % 7 = 0 then 'xx' else lang end as lang from documents where doc_id % 3 <> 0) select coalesce(a.path, b.path) as path, case when a.path is null then 'outcomes only' when b.path is null then 'lock only' else 'differs' end as side from a full join b on a.path = b.path where a.path is null or b.path is null or a.source is distinct from b.source or a.lang is distinct from b.lang")
+_MOVED = "case when doc_id % 5 = 0 then 'moved/' || doc_id else doc_id::varchar end"
+
+
+@register(f"with a as (select doc_id::varchar as path, source, lang from documents), b as (select {_MOVED} as path, source, case when doc_id % 7 = 0 then 'xx' else lang end as lang from documents) select coalesce(a.path, b.path) as path, case when a.path is null then 'outcomes only' when b.path is null then 'lock only' else 'differs' end as side from a full join b on a.path = b.path where a.path is null or b.path is null or a.source is distinct from b.source or a.lang is distinct from b.lang")
 def promotion_pair_check(spark, d):
-    t = _table(spark, d, "documents").withColumn("path", F.col("doc_id").cast("string"))
-    other = t.where("doc_id % 3 <> 0").withColumn("lang", F.when(F.col("doc_id") % 7 == 0, "xx").otherwise(F.col("lang")))
-    return catalogue.pair_violations(t.where("doc_id % 5 <> 0"), other, ["source", "lang"])
+    """A fifth of the paths and a seventh of the languages are others on one side."""
+    t = table(spark, d, "documents").withColumn("path", F.col("doc_id").cast("string"))
+    other = t.withColumns({"lang": F.when(F.col("doc_id") % 7 == 0, "xx").otherwise(F.col("lang")), "path": _moved()})
+    return catalogue.pair_violations(t, other, ["source", "lang"])
+
+
+def _moved():
+    path = F.col("doc_id").cast("string")
+    return F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("moved/"), path)).otherwise(path)
 
 
-@register("with a as (select doc_id::varchar as path from documents where doc_id % 5 <> 0), b as (select doc_id::varchar as path from labels) select path, 'lock' as side from a where path not in (select path from b) union all select path, 'audit' from b where path not in (select path from a)")
+@register(f"with a as (select {_MOVED} as path from documents), b as (select doc_id::varchar as path from labels) select path, 'lock' as side from a where path not in (select path from b) union all select path, 'audit' from b where path not in (select path from a)")
 def baseline_differences(spark, d):
-    lock = _table(spark, d, "documents").where("doc_id % 5 <> 0").select(F.col("doc_id").cast("string").alias("path"), F.lit("").alias("keySha256"), F.lit("").alias("payloadSha256"))
-    found = _table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("path"), F.lit("").alias("key_sha256"), F.lit("").alias("payload_sha256"), F.lit(0).alias("entries"))
+    lock = table(spark, d, "documents").select(_moved().alias("path"), F.lit("").alias("keySha256"), F.lit("").alias("payloadSha256"))
+    found = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("path"), F.lit("").alias("key_sha256"), F.lit("").alias("payload_sha256"), F.lit(0).alias("entries"))
     return catalogue.baseline_merge(lock, found)[1]
 
 
 @register("select count_if(quality = 1)::bigint as passed, count_if(quality <> 1)::bigint as failed, coalesce(sum(doc_id) filter (quality = 1), 0)::bigint as entries, bool_and(quality = 1) as complete_success from labels")
 def audit_summary(spark, d):
-    rows = _table(spark, d, "labels").select(F.when(F.col("quality") == 1, "passed").otherwise("failed").alias("status"), F.col("doc_id").alias("entries"))
+    rows = table(spark, d, "labels").select(F.when(F.col("quality") == 1, "passed").otherwise("failed").alias("status"), F.col("doc_id").alias("entries"))
     return catalogue.audit_summary(rows)
 
 
 @register("with s as (select l_orderkey, string_agg(distinct l_returnflag, ',' order by l_returnflag) as tags from lineitem group by 1) select tags, count(*)::bigint as artifacts from s group by 1")
 def compression_strata(spark, d):
-    return catalogue.compression_strata(_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_returnflag").alias("tag")))
+    return catalogue.compression_strata(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_returnflag").alias("tag")))
 
 
 @register("with p as (select p_partkey, p_size::bigint as bytes, lpad(p_partkey::varchar, 9, '0') as path from part), r as (select *, sum(bytes) over (order by bytes, path rows unbounded preceding) - bytes as before from p) select path, bytes, before::bigint as before, before + bytes <= 20000 as fits from r")
 def acquisition_budget(spark, d):
-    rows = _table(spark, d, "part").select(F.col("p_size").cast("long").alias("bytes"), F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("path"))
+    rows = table(spark, d, "part").select(F.col("p_size").cast("long").alias("bytes"), F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("path"))
     return catalogue.within_budget(rows, 20000).select("path", "bytes", "before", "fits")
 
 
 @register("with e as (select p_name as title, 'https://x.example/' || (p_partkey % 40) as info, 'https://d.example/' || (p_partkey % 25) || '.mdx' as down from part), b as (select info as url, 'info' as role, title, info as i, down as w from e union all select down, 'download', title, info, down from e) select url, string_agg(distinct role, ',' order by role) as roles, case when url like '%.mdx' then 'mdx' else 'other' end as classification, left(sha256(url), 16) as id, count(distinct title || i || w)::bigint as candidates from b group by url")
 def url_references(spark, d):
-    p = _table(spark, d, "part")
+    p = table(spark, d, "part")
     down = F.concat(F.lit("https://D.example/"), (F.col("p_partkey") % 25).cast("string"), F.lit(".mdx#part"))
     rows = p.select(F.col("p_name").alias("title"), F.lit("MDX").alias("type"), F.concat(F.lit("https://x.example/"), (F.col("p_partkey") % 40).cast("string"), F.lit("#top")).alias("url"), F.lit(True).alias("downloadable"), F.array(down).alias("downloadUrls"))
     urls = catalogue.import_candidates(rows)[1]

@@ -5,21 +5,25 @@
 
 Options: ``columns`` (keys, spans, entries: nothing beyond what they need is
 read), ``table`` (rows, header, attributes, key_blocks, record_blocks,
-sections), ``passcode.regcode`` and ``passcode.userid``, ``limits`` (default,
-large), ``limit.<name>``, ``mode`` (FAILFAST, or PERMISSIVE: a damaged file
-gives its rows up to the damage and then one row with ``_error``, from one
-task), ``entriesperpartition``, ``pushdown`` (ordinal filters prune key blocks;
+sections, memory), ``passcode.regcode`` and ``passcode.userid``, ``limits`` (default,
+large), ``limit.<name>``, ``mode`` (FAILFAST, or PERMISSIVE: each range of key
+blocks gives its rows up to the damage and then one row with ``_error``; a file
+that doesn't open is one such row), ``locator`` (with ``table=memory``: build
+the lookup index first), ``entriesperpartition``, ``pushdown`` (ordinal filters prune key blocks;
 needs spark.sql.python.filterPushdown.enabled).
 
 A task reads a range of key blocks, one block to look back, and the record
-blocks that its rows cover. Paths must be reachable from every executor.
+blocks that its rows cover. Ranges are planned from the files' indexes, many
+files at a time. Paths must be reachable from every executor.
 """
 
 from __future__ import annotations
 
 import glob
 import os
+from bisect import bisect_left
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import astuple, dataclass
 
 import pyarrow as pa
@@ -37,9 +41,11 @@ TABLES = {
     "attributes": "dict_id string, position int, name string, value string",
     "key_blocks": "dict_id string, block long, entry_start long, entry_count long, first_key string, last_key string, comp_offset long, comp_size long, decomp_size long",
     "record_blocks": "dict_id string, block long, comp_offset long, comp_size long, decomp_offset long, decomp_size long",
+    "memory": "dict_id string, current_bytes long, peak_bytes long, metadata_bytes long, locator_bytes long, key_cache_bytes long, record_cache_bytes long",
     "sections": "dict_id string, position int, section string, start long, end long",
 }
 BATCH_ROWS, BATCH_BYTES = 8192, 8 << 20
+OPENED = 32  #: files whose indexes are read at once when ranges are planned
 
 
 @dataclass
@@ -60,7 +66,12 @@ def expand(path: str) -> list[str]:
     for p in path.split(","):
         p = p.strip().removeprefix("file://").removeprefix("file:")
         if "://" in p:
-            out.append(p)
+            from pyarrow import fs
+
+            files, inner = fs.FileSystem.from_uri(p)
+            scheme = p[: len(p) - len(inner)] if p.endswith(inner) else p.split("://")[0] + "://"
+            folder = files.get_file_info(inner).type == fs.FileType.Directory
+            out += sorted(scheme + x.path for x in files.get_file_info(fs.FileSelector(inner)) if x.path.endswith((".mdx", ".mdd"))) if folder else [p]
         elif os.path.isdir(p):
             out += sorted(os.path.join(p, x) for x in os.listdir(p) if x.endswith((".mdx", ".mdd")))
         else:
@@ -79,6 +90,7 @@ class Options:
         self.limits = Limits.of(low)
         self.rows = int(low.get("entriesperpartition", 250_000))
         self.pushdown = low.get("pushdown", "false").lower() == "true"
+        self.locator = low.get("locator", "false").lower() == "true"
         code = low.get("passcode.regcode")
         self.passcode = Passcode(code, low.get("passcode.userid", "")) if code else None
         if self.columns not in ("keys", "spans", "entries") or self.table not in ("rows", *TABLES):
@@ -102,27 +114,43 @@ class Reader(DataSourceReader):
     def __init__(self, options: Options) -> None:
         self.options = options
         self.low, self.high = 0, None
+        self.places: list[int] | None = None  # ascending ordinals, where a filter lists them
 
-    def partitions(self) -> list[Blocks]:
+    def _ranges(self, path: str) -> list[Blocks]:
+        """Ranges of a file's key blocks that hold wanted rows."""
         o, out = self.options, []
-        for path in o.paths:
-            if o.table != "rows" or o.permissive:
-                out.append(Blocks(path, 0, None))
-                continue
+        try:
             c = o.open(path)
-            blocks = c.layout.key_blocks
-            c.close()
-            wanted = (self.low, len(c) if self.high is None else min(self.high, len(c)))
-            use = [i for i, b in enumerate(blocks) if b.first < wanted[1] and b.first + b.count > wanted[0]]
-            first, held = None, 0
-            for i in use:
-                first = i if first is None else first
-                held += blocks[i].count
-                if held >= o.rows:
-                    out.append(Blocks(path, first, i + 1, wanted))
-                    first, held = None, 0
-            if first is not None:
-                out.append(Blocks(path, first, use[-1] + 1, wanted))
+        except ContainerError:
+            if not o.permissive:
+                raise
+            return [Blocks(path, 0, None)]
+        blocks = c.layout.key_blocks
+        c.close()
+        wanted = (self.low, len(c) if self.high is None else min(self.high, len(c)))
+        use = [i for i, b in enumerate(blocks) if b.first < wanted[1] and b.first + b.count > wanted[0]]
+        if self.places is not None:
+            use = [i for i in use if (k := bisect_left(self.places, blocks[i].first)) < len(self.places) and self.places[k] < blocks[i].first + blocks[i].count]
+        first, held, last = None, 0, None
+        for i in use:
+            if first is not None and i != last + 1:
+                out.append(Blocks(path, first, last + 1, wanted))
+                first, held = None, 0
+            first, last = i if first is None else first, i
+            held += blocks[i].count
+            if held >= o.rows:
+                out.append(Blocks(path, first, i + 1, wanted))
+                first, held = None, 0
+        if first is not None:
+            out.append(Blocks(path, first, last + 1, wanted))
+        return out
+
+    def partitions(self) -> list[Blocks]:
+        o = self.options
+        if o.table != "rows":
+            return [Blocks(path, 0, None) for path in o.paths] or [Blocks("", 0, 0)]
+        with ThreadPoolExecutor(OPENED) as pool:
+            out = [x for part in pool.map(self._ranges, o.paths) for x in part]
         return out or [Blocks("", 0, 0)]
 
     def read(self, partition: Blocks) -> Iterator:
@@ -141,6 +169,10 @@ class Reader(DataSourceReader):
             yield from ((path, i, *astuple(b)) for i, b in enumerate(layout.key_blocks))
         elif self.options.table == "record_blocks":
             yield from ((path, i, b.offset, b.size, b.start, b.content) for i, b in enumerate(layout.record_blocks))
+        elif self.options.table == "memory":
+            if self.options.locator:
+                c.locator()
+            yield (path, *astuple(c.memory_usage()))
         else:
             yield from ((path, i, *s) for i, s in enumerate(layout.sections))
         c.close()
@@ -198,8 +230,9 @@ class PruningReader(Reader):
                 self._narrow(0, f.value + 1)
             else:
                 if isinstance(f, In):
-                    values = [v for v in f.value if v is not None]
+                    values = sorted({v for v in f.value if v is not None})
                     self._narrow(min(values, default=0), max(values, default=-1) + 1)
+                    self.places = values if self.places is None else sorted(set(values).intersection(self.places))
                 yield f
 
     def _narrow(self, low: int, high: int | None) -> None:

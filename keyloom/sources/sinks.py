@@ -5,12 +5,16 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, functions as F
 
 from keyloom.functions.keys import escape
+from keyloom.operators.prefix import div
+from keyloom.sources.wire.writer import Style, Writer
 
 FACTS = ("kind", "path", "metric", "value", "unit")
 
@@ -54,6 +58,45 @@ def copy_resources(resources: DataFrame, folder: str, name: str = "key") -> Data
     return resources.select("ordinal", F.col(name), "bytes").mapInArrow(batches, "ordinal long, file string, bytes_written long")
 
 
+def write_containers(entries: DataFrame, folder: str, kind: str, rows: int = 250_000, style: Style | None = None) -> DataFrame:
+    """Write entries (ordinal from 0 without gaps, key, payload) as containers of ``rows`` entries each below ``folder``.
+
+    Gives (path, first, entries). A task streams the rows of a file; files are
+    written beside their place and moved, so a repeated task is harmless. Lazy:
+    write the result down before it is used twice.
+    """
+    style = style or Style()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        files, base = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        files.create_dir(base, recursive=True)
+        shard, writer, done = None, None, []
+
+        def close() -> None:
+            name, temporary = f"{base}/part-{shard:06d}.{kind}", f"{base}/.{uuid.uuid4().hex}"
+            with files.open_output_stream(temporary, compression=None) as sink:
+                n = writer.close(sink)
+            files.move(temporary, name)
+            done.append((name, shard * rows, n))
+
+        for b in batches:
+            for at, key, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if at // rows != shard:
+                    if writer:
+                        close()
+                    shard, writer = at // rows, Writer(kind, style)
+                writer.add(key, body)
+        if writer:
+            close()
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], ["path", "first", "entries"])
+
+    dealt = entries.select("ordinal", "key", "payload").withColumn("_file", div("ordinal", rows)).repartition("_file").sortWithinPartitions("_file", "ordinal")
+    return dealt.select("ordinal", "key", "payload").mapInArrow(run, "path string, first long, entries long")
+
+
 def for_each_chunk(chunks: DataFrame, sink: Callable[[Iterator[Row]], None]) -> None:
     """Hand chunks (ordinal, chunk, data) to a writer, a record's chunks in order in one task."""
     chunks.repartition("ordinal").sortWithinPartitions("ordinal", "chunk").foreachPartition(sink)

@@ -28,6 +28,12 @@ class Charset:
     def unit(self) -> int:
         return 2 if self.name == "utf-16-le" else 1
 
+    def most_decoded(self, size: int) -> int:
+        """Bytes of UTF-8 that ``size`` encoded bytes give at most: three for a unit of 16 bits, and for a byte of the others."""
+        if self.name == "utf-8":
+            return size
+        return (size + 1) // 2 * 3 if self.unit == 2 else 3 * size
+
     def decode(self, data: bytes, context: str) -> str:
         if self.name == "utf-16-le" and len(data) % 2:
             raise ContainerError("Decode", context, encoding=self.name)

@@ -107,3 +107,12 @@ def index_bytes(data: bytes, checksum: bytes) -> bytes:
         out[i] = ((c >> 4) | (c << 4) & 0xF0) ^ (i & 0xFF) ^ key[i % 16] ^ before
         before = c
     return bytes(out)
+
+
+def nibble_cipher(data: bytes, checksum: bytes) -> bytes:
+    """The inverse of :func:`index_bytes`."""
+    key, before, out = ripemd128(checksum + b"\x95\x36\x00\x00"), 0x36, bytearray(len(data))
+    for i, plain in enumerate(data):
+        c = plain ^ (i & 0xFF) ^ key[i % 16] ^ before
+        before = out[i] = (c >> 4) | (c << 4) & 0xF0
+    return bytes(out)

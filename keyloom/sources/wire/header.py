@@ -8,7 +8,7 @@ import zlib
 from dataclasses import dataclass
 
 from keyloom.sources.wire.errors import ContainerError, ensure, truncated
-from keyloom.sources.wire.limits import Limits
+from keyloom.sources.wire.limits import Budget, Limits
 
 TAGS = {"mdx": "Dictionary", "mdd": "Library_Data"}
 _WS = r"[ \t\n\r\x0c]*"
@@ -149,12 +149,17 @@ def interpret(kind: str, xml: str, size: int, limits: Limits) -> Header:
     )
 
 
-def read_header(read, kind: str, limits: Limits) -> Header:
+def read_header(read, kind: str, limits: Limits, budget: Budget | None = None) -> Header:
     """``read(offset, length, context)`` gives exactly those bytes or raises Truncated."""
     (size,) = struct.unpack(">I", read(0, 4, "header length"))
     limits.check("header_xml_bytes", size)
     if size % 2:
         raise _bad("odd header length")
+    with (budget or Budget(1 << 62)).held(4 * size, "header"):  # the bytes, and their text in attributes
+        return _decoded(read, kind, size, limits)
+
+
+def _decoded(read, kind: str, size: int, limits: Limits) -> Header:
     body = read(4, size, "header")
     expected, actual = int.from_bytes(read(4 + size, 4, "header checksum"), "little"), zlib.adler32(body)
     if expected != actual:

@@ -11,9 +11,12 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from bisect import bisect_right
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
+from threading import Lock
 
 from keyloom.functions.plain import normalize
 from keyloom.sources.wire.charset import Charset
@@ -21,9 +24,10 @@ from keyloom.sources.wire.codec import decode_block
 from keyloom.sources.wire.crypto import Passcode, index_bytes, salsa20_8
 from keyloom.sources.wire.errors import ContainerError, ensure, truncated
 from keyloom.sources.wire.header import Header, read_header
-from keyloom.sources.wire.limits import Limits
+from keyloom.sources.wire.limits import Budget, Limits, MemoryUsage
 
 BLOCK_BYTES = 64  #: accounted for a block's metadata, besides its summaries
+ROW_BYTES = 64  #: accounted for a decoded key, besides its text
 
 
 @dataclass(frozen=True)
@@ -82,8 +86,16 @@ class Layout:
     record_blocks: tuple[RecordBlock, ...]
     sections: tuple[tuple[str, int, int], ...] = field(default=())
 
+    @cached_property
+    def key_firsts(self) -> list[int]:
+        return [b.first for b in self.key_blocks]
+
+    @cached_property
+    def record_starts(self) -> list[int]:
+        return [b.start for b in self.record_blocks]
+
     def block_of(self, ordinal: int) -> int:
-        return bisect_right([b.first for b in self.key_blocks], ordinal) - 1
+        return bisect_right(self.key_firsts, ordinal) - 1
 
     @property
     def metadata_bytes(self) -> int:
@@ -96,12 +108,13 @@ class Layout:
 
 
 class File:
-    """Exact reads of a local file or of bytes."""
+    """Exact reads of a local file or of bytes; threads may share it."""
 
     def __init__(self, source: str | bytes) -> None:
         import io
         import os
 
+        self.lock = Lock()
         try:
             if isinstance(source, bytes):
                 self.file, self.size = io.BytesIO(source), len(source)
@@ -123,8 +136,9 @@ class File:
 
     def __call__(self, offset: int, length: int, context: str) -> bytes:
         self.has(offset, length, context)
-        self.file.seek(offset)
-        data = self.file.read(length)
+        with self.lock:
+            self.file.seek(offset)
+            data = self.file.read(length)
         if len(data) != length:
             raise truncated(context, length, len(data))
         return data
@@ -189,7 +203,7 @@ def _keyword_header(read: File, at: int, header: Header, passcode: Passcode | No
     return grammar, tuple(cursor.number("Q", "keyword section header") for _ in range(5)), 44
 
 
-def _keywords(read: File, header: Header, version: int, charset: Charset, passcode: Passcode | None, limits: Limits):
+def _keywords(read: File, header: Header, version: int, charset: Charset, passcode: Passcode | None, limits: Limits, budget: Budget):
     at = header.end
     if version == 2:
         grammar, (blocks, entries, content, size, stored), length = _keyword_header(read, at, header, passcode)
@@ -213,12 +227,13 @@ def _keywords(read: File, header: Header, version: int, charset: Charset, passco
     ensure(end < 1 << 63, "keyword section overflows", "InvalidFormat")
     read.has(index_at, size, "keyword index")
     read.has(blocks_at, stored, "keyword block section")
-    index = read(index_at, size, "keyword index")
-    if grammar.enveloped:
-        if header.encrypted & 2:
-            index = index[:8] + index_bytes(index[8:], index[4:8])
-        index = decode_block("keyword index block", index, content, limits)
-    found = _key_blocks(index, blocks, grammar, charset, blocks_at, limits)
+    with budget.held(size + content + blocks * BLOCK_BYTES, "keyword index"):
+        index = read(index_at, size, "keyword index")
+        if grammar.enveloped:
+            if header.encrypted & 2:
+                index = index[:8] + index_bytes(index[8:], index[4:8])
+            index = decode_block("keyword index block", index, content, limits)
+        found = _key_blocks(index, blocks, grammar, charset, blocks_at, limits)
     ensure(sum(b.count for b in found) == entries, "keyword entry counts differ", header=entries)
     ensure(sum(b.size for b in found) == stored, "keyword block lengths differ", header=stored)
     sections = (("keyword_header", at, index_at), ("keyword_index", index_at, blocks_at), ("keyword_blocks", blocks_at, end))
@@ -252,7 +267,7 @@ def _key_blocks(index: bytes, n: int, grammar: Grammar, charset: Charset, offset
     return tuple(out)
 
 
-def _records(read: File, at: int, grammar: Grammar, limits: Limits):
+def _records(read: File, at: int, grammar: Grammar, limits: Limits, budget: Budget):
     w = grammar.width
     cursor = Cursor(read(at, 4 * w, "record section header"))
     blocks, entries, size, stored = (cursor.number(grammar.word, "record section header") for _ in range(4))
@@ -263,7 +278,8 @@ def _records(read: File, at: int, grammar: Grammar, limits: Limits):
     offset = index_at + size
     read.has(index_at, size, "record block index")
     read.has(offset, stored, "record block section")
-    numbers = Cursor(read(index_at, size, "record block index"))
+    with budget.held(size + blocks * BLOCK_BYTES, "record block index"):
+        numbers = Cursor(read(index_at, size, "record block index"))
     sections = (("record_header", at, index_at), ("record_index", index_at, offset), ("record_blocks", offset, offset + stored))
     out, start = [], 0
     for _ in range(blocks):
@@ -278,27 +294,64 @@ def _records(read: File, at: int, grammar: Grammar, limits: Limits):
     return entries, start, tuple(out), sections
 
 
-def open_layout(read: File, kind: str, passcode: Passcode | None, limits: Limits) -> Layout:
-    header = read_header(read, kind, limits)
+def open_layout(read: File, kind: str, passcode: Passcode | None, limits: Limits, budget: Budget) -> Layout:
+    header = read_header(read, kind, limits, budget)
     version = wire_version(header)
     keys = Charset("utf-16-le") if kind == "mdd" else Charset.of(header.encoding_label)
     records = None if kind == "mdd" else keys
-    grammar, entries, key_blocks, end, sections = _keywords(read, header, version, keys, passcode, limits)
-    n, total, record_blocks, more = _records(read, end, grammar, limits)
+    grammar, entries, key_blocks, end, sections = _keywords(read, header, version, keys, passcode, limits, budget)
+    n, total, record_blocks, more = _records(read, end, grammar, limits, budget)
     ensure(n == entries, "entry counts of keys and records differ", keys=entries, records=n)
     sections = (("header", 0, header.end), *sections, *more)
     ensure(all(a[2] == b[1] for a, b in zip(sections, sections[1:], strict=False)), "sections aren't contiguous", "InvalidFormat")
     return Layout(kind, header, grammar, keys, records, entries, total, key_blocks, record_blocks, sections)
 
 
+class Locator:
+    """Normal forms of all keys in order, for lookups in one container: (normal form, ordinal) ascending."""
+
+    def __init__(self) -> None:
+        self.texts: list[str] = []
+        self.digests = array("I")  # of raw keys: what differs here is not equal
+        self.order: list[int] = []
+        self.bytes = 4  # of a compact form: text, and a bound, a place and a digest for each key
+
+    def add(self, text: str, key: str) -> int:
+        """Takes a key; the bytes it adds."""
+        self.texts.append(text)
+        self.digests.append(zlib.crc32(key.encode()))
+        n = len(text.encode()) + 12
+        self.bytes += n
+        return n
+
+    def close(self) -> None:
+        self.order = sorted(range(len(self.texts)), key=self.texts.__getitem__)  # stable, so ordinals ascend
+
+    def first(self, text: str) -> int:
+        return bisect_left(self.order, text, key=self.texts.__getitem__)
+
+    def equal(self, text: str) -> list[int]:
+        """Ascending ordinals of a normal form."""
+        return self.order[self.first(text) : bisect_right(self.order, text, key=self.texts.__getitem__)]
+
+
 class Container:
-    """An open container. Rows: (ordinal, key, start, end) with places in the decoded record stream."""
+    """An open container. Rows: (ordinal, key, start, end) with places in the decoded record stream.
+
+    A decoded key block and a decoded record block are kept; all that is held
+    is charged to the container's budget.
+    """
 
     def __init__(self, source: str | bytes, kind: str, passcode: Passcode | None = None, limits: Limits | None = None, layout: Layout | None = None) -> None:
         self.limits, self.read = limits or Limits(), File(source)
-        self.layout = layout or open_layout(self.read, kind, passcode, self.limits)
+        self.budget = Budget(self.limits.working_memory_bytes)
+        self.layout = layout or open_layout(self.read, kind, passcode, self.limits, self.budget)
+        self.budget.take(self.layout.metadata_bytes, "metadata")
         self._key: tuple[int, list[tuple[str, int]]] | None = None
         self._record: tuple[int, bytes] | None = None
+        self._key_bytes = self._record_bytes = 0
+        self._locator: Locator | None = None
+        self._lock = Lock()
 
     def __len__(self) -> int:
         return self.layout.entries
@@ -306,19 +359,24 @@ class Container:
     def close(self) -> None:
         self.read.close()
 
+    def memory_usage(self) -> MemoryUsage:
+        locator = self._locator.bytes if self._locator else 0
+        return MemoryUsage(self.budget.now, self.budget.peak, self.layout.metadata_bytes, locator, self._key_bytes, self._record_bytes)
+
     def _decoded(self, i: int) -> list[tuple[str, int]]:
         layout, b = self.layout, self.layout.key_blocks[i]
-        data = decode_block("keyword block", self.read(b.offset, b.size, "keyword block"), b.content, self.limits)
-        rows, cursor, before = [], Cursor(data), 0
-        while cursor.at < len(data):
-            ensure(len(rows) < b.count, "keyword block has data after its entries", entries=b.count)
-            start = cursor.number(layout.grammar.word, "record offset")
-            ensure(start <= layout.total, "record start is beyond the records", start=start, total=layout.total)
-            ensure(start >= before, "record starts decrease", before=before, start=start)
-            before = start
-            at = cursor.at
-            end, cursor.at = layout.keys.terminated(data, at, "key")
-            rows.append((layout.keys.decode(data[at:end], "key"), start))
+        with self.budget.held(b.size + b.content, "keyword block"):
+            data = decode_block("keyword block", self.read(b.offset, b.size, "keyword block"), b.content, self.limits)
+            rows, cursor, before = [], Cursor(data), 0
+            while cursor.at < len(data):
+                ensure(len(rows) < b.count, "keyword block has data after its entries", entries=b.count)
+                start = cursor.number(layout.grammar.word, "record offset")
+                ensure(start <= layout.total, "record start is beyond the records", start=start, total=layout.total)
+                ensure(start >= before, "record starts decrease", before=before, start=start)
+                before = start
+                at = cursor.at
+                end, cursor.at = layout.keys.terminated(data, at, "key")
+                rows.append((layout.keys.decode(data[at:end], "key"), start))
         ensure(len(rows) == b.count, "keyword block entry counts differ", expected=b.count, actual=len(rows))
         for key, summary in ((rows[0][0], b.first_key), (rows[-1][0], b.last_key)):
             ensure(normalize(key, **layout.flags) == normalize(summary, **layout.flags), "keyword summary doesn't match its block", "InvalidFormat")
@@ -333,9 +391,25 @@ class Container:
         rows = self._decoded(i)
         if i:
             ensure(last <= rows[0][1], "record starts decrease across key blocks", before=last, start=rows[0][1])
-        self._key = (i, rows)
+        b = self.layout.key_blocks[i]
+        size = self.layout.keys.most_decoded(b.content) + ROW_BYTES * b.count
+        self.budget.give(self._key_bytes)
+        self._key, self._key_bytes = None, 0
+        self.budget.take(size, "decoded keys")
+        self._key, self._key_bytes = (i, rows), size
         return rows
 
+    def _record_block(self, i: int) -> bytes:
+        if not self._record or self._record[0] != i:
+            b = self.layout.record_blocks[i]
+            self.budget.give(self._record_bytes)
+            self._record, self._record_bytes = None, 0
+            with self.budget.held(b.size, "record block"):
+                self.budget.take(b.content, "decoded records")
+                self._record_bytes = b.content
+                self._record = (i, decode_block("record block", self.read(b.offset, b.size, "record block"), b.content, self.limits))
+        return self._record[1]
+
     def rows(self, first_block: int = 0, last_block: int | None = None, spans: bool = True) -> Iterator[tuple[int, str, int, int | None]]:
         """Rows of blocks [first, last); without ``spans`` nothing beyond them is read, and ends are None."""
         blocks = self.layout.key_blocks
@@ -367,23 +441,23 @@ class Container:
         """A record's bytes, a chunk for every block that it crosses."""
         ensure(0 <= start <= end <= self.layout.total, "record span is out of range", start=start, end=end, total=self.layout.total)
         blocks = self.layout.record_blocks
-        i = bisect_right([b.start for b in blocks], start) - 1 if start < end else len(blocks)
+        i = bisect_right(self.layout.record_starts, start) - 1 if start < end else len(blocks)
         while i < len(blocks) and blocks[i].start < end:
             b = blocks[i]
             if b.content and b.start + b.content > start:
-                if not self._record or self._record[0] != i:
-                    self._record = (i, decode_block("record block", self.read(b.offset, b.size, "record block"), b.content, self.limits))
-                yield self._record[1][max(0, start - b.start) : end - b.start]
+                yield self._record_block(i)[max(0, start - b.start) : end - b.start]
             i += 1
 
     def payload(self, start: int, end: int) -> bytes:
         self.limits.check("materialized_record_bytes", end - start)
-        return b"".join(self.chunks(start, end))
+        with self.budget.held(max(0, end - start), "record"):
+            return b"".join(self.chunks(start, end))
 
     def text(self, start: int, end: int) -> str:
         """A text record, without its closing NULs."""
         ensure(self.layout.records is not None, "resources aren't text", "InvalidFormat")
-        return self.layout.records.decode(self.payload(start, end), "record").rstrip("\0")
+        with self.budget.held(self.layout.records.most_decoded(max(0, end - start)), "text"):
+            return self.layout.records.decode(self.payload(start, end), "record").rstrip("\0")
 
     def copy_to(self, start: int, end: int, sink) -> int:
         """Write a record chunk by chunk; the materialization ceiling doesn't hold here."""
@@ -393,16 +467,45 @@ class Container:
             n += len(chunk)
         return n
 
+    def locator(self) -> Locator:
+        """The index of all keys, built at the first lookup; threads that come meanwhile wait for it."""
+        with self._lock:
+            if self._locator is None:
+                self.limits.check("locator_entries", self.layout.entries)
+                fixed, flags, made = 12 * self.layout.entries + 4, self.layout.flags, Locator()
+                self.limits.check("locator_bytes", fixed)
+                self.budget.take(fixed, "locator")
+                try:
+                    held = fixed
+                    for _, key, _, _ in self.rows(spans=False):
+                        text = normalize(key, **flags)
+                        n = made.add(text, key) - 12
+                        self.limits.check("locator_bytes", held + n)
+                        self.budget.take(n, "locator")
+                        held += n
+                except BaseException:
+                    self.budget.give(held)
+                    raise
+                made.close()
+                self._locator = made
+        return self._locator
+
     def locate(self, query: str) -> tuple[str, list[int]] | None:
-        """Basis and ascending ordinals of a query, by one scan; tables use the join in operators.locate."""
-        self.limits.check("locator_entries", self.layout.entries)
-        flags = self.layout.flags
-        want, exact, same = normalize(query, **flags), [], []
-        for ordinal, key, _, _ in self.rows(spans=False):
-            if key == query:
-                exact.append(ordinal)
-            elif normalize(key, **flags) == want:
-                same.append(ordinal)
+        """Basis and ascending ordinals of a query; tables use the join in operators.locate."""
+        found, want = self.locator(), normalize(query, **self.layout.flags)
+        same = found.equal(want)
+        digest = zlib.crc32(query.encode())
+        with self._lock:
+            exact = [i for i in same if found.digests[i] == digest and self.row(i, spans=False)[1] == query]
         if exact:
             return "RawExact", exact
         return ("HeaderNormalized", same) if same else None
+
+    def prefix_keys(self, prefix: str, most: int) -> list[int]:
+        """Ordinals of the first ``most`` keys whose normal form starts with the prefix's, by (normal form, ordinal)."""
+        found, want, out = self.locator(), normalize(prefix, **self.layout.flags), []
+        for i in range(found.first(want), len(found.order)):
+            if len(out) == most or not found.texts[found.order[i]].startswith(want):
+                break
+            out.append(found.order[i])
+        return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, fields, replace
 
 from keyloom.sources.wire.errors import ContainerError
@@ -53,7 +55,10 @@ class Limits:
 
 
 class Budget:
-    """Bytes that a reader holds at once, against ``working_memory_bytes``; remembers the peak."""
+    """Bytes that a reader holds at once, against ``working_memory_bytes``; remembers the peak.
+
+    What is read or decoded is charged before it is, by a bound of its size.
+    """
 
     def __init__(self, most: int) -> None:
         self.most, self.now, self.peak = most, 0, 0
@@ -66,3 +71,24 @@ class Budget:
 
     def give(self, n: int) -> None:
         self.now -= n
+
+    @contextmanager
+    def held(self, n: int, what: str) -> Iterator[None]:
+        """The bytes taken for as long as the block runs."""
+        self.take(n, what)
+        try:
+            yield
+        finally:
+            self.give(n)
+
+
+@dataclass(frozen=True)
+class MemoryUsage:
+    """What an open container is charged with, in bytes."""
+
+    current_bytes: int
+    peak_bytes: int
+    metadata_bytes: int
+    locator_bytes: int
+    key_cache_bytes: int
+    record_cache_bytes: int

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import random
 
@@ -57,6 +58,23 @@ def test_percentiles_and_functions(spark):
     df = spark.createDataFrame([(x,) for x in [5, 1, 9, 9, 3, None]], "v long")
     r = audit.percentiles(df, "v").first()
     assert (r.n, r.p50, r.p95, r.p99) == (5, 5, 9, 9)
+    random.seed(3)
+    many = [("ab"[i % 2], random.choice([None, random.randrange(50)])) for i in range(400)]
+    for by in ((), ("k",)):
+        got = {tuple(r[c] for c in by): (r.n, r.p50, r.p95, r.p99) for r in audit.percentiles(spark.createDataFrame(many, "k string, v long").repartition(7), "v", by).collect()}
+        for key in got:
+            own = sorted(v for k, v in many if v is not None and (not by or k == key[0]))
+            assert got[key] == (len(own), *(own[(len(own) - 1) * p // 100] for p in (50, 95, 99)))
+    lines = spark.createDataFrame([(f"l{i % 70}",) for i in range(300)], "x string").repartition(5)
+    assert audit.set_digest(lines, F.col("x")).first().digest == hashlib.sha256("".join(f"{x}\n" for x in sorted(f"l{i % 70}" for i in range(300))).encode()).hexdigest()
+    assert audit.set_digest(lines.limit(0), F.col("x")).first().digest == hashlib.sha256(b"").hexdigest()
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    nodes = [sha("\n".join(str(i) for i in range(a, min(a + 3, 40)))) for a in range(0, 40, 3)]
+    while True:
+        nodes = [sha("".join(nodes[a : a + 3])) for a in range(0, len(nodes), 3)]
+        if len(nodes) == 1:
+            break
+    assert audit.digest_tree(spark.range(40), [F.col("id")], F.col("id").cast("string"), 3).first().digest == nodes[0]
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     assert one(K.escape(F.lit("a\\b\tc\nd"))) == "a\\\\b\\tc\\nd"
     assert one(K.sanitize(F.lit("a\nb\x01"))) == "a b�"
@@ -84,7 +102,7 @@ def test_catalogue(spark):
     assert sorted(r.occurrences for r in candidates.collect()) == [1, 2]
     assert {r.url: (r.classification, len(r.references)) for r in urls.collect()} == {"https://i/": ("other", 2), "https://d/x.zip": ("archive", 1), "https://d/y.mdx": ("mdx", 1)}
     reviews = spark.sql("select 'e' as entry_id, named_struct('status','approved','testingAllowed',false,'redistributionAllowed',true,'license','MIT','licenseUrl',null,'reviewedBy','x','reviewedAt','nope','notes','') as review")
-    assert sorted(r.violation for r in catalogue.review_violations(reviews).collect()) == ["approved without testing", "bad review time", "redistribution without license"]
+    assert sorted(r.violation for r in catalogue.review_violations(reviews).collect()) == ["approved without reviewer, time or notes", "approved without testing", "bad review time", "redistribution without license"]
     a = spark.createDataFrame([("p", 1), ("q", 2)], "path string, x long")
     b = spark.createDataFrame([("p", 1), ("q", 3), ("r", 1)], "path string, x long")
     assert {r.path: r.side for r in catalogue.pair_violations(a, b, ["x"]).collect()} == {"q": "differs", "r": "outcomes only"}
@@ -92,8 +110,10 @@ def test_catalogue(spark):
 
 
 def test_manifest(spark, tmp_path):
-    (tmp_path / "f").mkdir()
-    (tmp_path / "f/a.mdx").write_bytes(b"abc")
+    (tmp_path / "f/x").mkdir(parents=True)
+    (tmp_path / "f/y").mkdir()
+    (tmp_path / "f/x/a.mdx").write_bytes(b"abc")
+    (tmp_path / "f/y/b.mdx").write_bytes(b"abcd")  # not x/b.mdx
     sha = "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"
     (tmp_path / "m.tsv").write_text(f"# note\npath\tkind\tbytes\tsha256\tentries\nx/a.mdx\tmdx\t3\t{sha}\t1\nx/b.mdx\tmdx\t4\t{sha}\t1\n")
     m = catalogue.read_manifest(spark, str(tmp_path / "m.tsv"), 5)

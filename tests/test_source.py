@@ -105,7 +105,7 @@ def test_artifact_audit(spark, files):
     assert (g.entries, g.distinct_keys, g.duplicate_groups) == (6, 5, 1)
     assert [r.text for r in artifacts.preview(entries, 2, 1).collect()] == ["A", "1"]
     low = catalogue.error_category(F.lit("Unsupported"), F.lit("required engine version"))
-    assert spark.range(1).select(low.alias("x")).first().x == "version"
+    assert spark.range(1).select(low.alias("x")).first().x == "unsupported-version"
 
 
 def test_arriving_files(spark, files, tmp_path):
@@ -115,3 +115,43 @@ def test_arriving_files(spark, files, tmp_path):
     query.awaitTermination(60)
     got = spark.table("arrived").groupBy("dict_id").count().collect()
     assert sorted(r["count"] for r in got) == [2, 5, 6]
+
+
+def test_command_line(spark, files, tmp_path, capsys):
+    from keyloom.__main__ import main
+
+    assert main(["inspect", f"{files}/a.mdx", "--rows", "2"]) == 0 and "alpha" in capsys.readouterr().out
+    assert main(["audit", str(tmp_path / "a.tsv"), f"{files}/a.mdx", f"{files}/c.mdd"]) == 0 and (tmp_path / "a.tsv").read_text().count("\n") == 3
+    assert main(["audit", str(tmp_path / "b.tsv"), f"{files}/bad.mdx"]) == 1 and not (tmp_path / "b.tsv").exists()
+    sha = hashlib.sha256((files / "a.mdx").read_bytes()).hexdigest()
+    (tmp_path / "m.tsv").write_text(f"path\tkind\tbytes\tsha256\tentries\na.mdx\tmdx\t{(files / 'a.mdx').stat().st_size}\t{sha}\t6\n")
+    assert main(["verify", str(tmp_path / "m.tsv"), str(files), "--columns", "5"]) == 0
+    (tmp_path / "m.tsv").write_text((tmp_path / "m.tsv").read_text().replace(sha, "b" * 64))
+    assert main(["verify", str(tmp_path / "m.tsv"), str(files), "--columns", "5"]) == 1
+    row = '<tr class="file"><td><a href="x.mdx">x</a></td><td data-order="10"></td></tr>'
+    spark.createDataFrame([("https://h/r/", row)], "url string, html string").write.parquet(str(tmp_path / "pages"))
+    capsys.readouterr()
+    assert main(["inventory", str(tmp_path / "pages"), "https://h/r/", "--snapshot", "2026-01-01T00:00:00Z"]) == 0
+    assert '"fileCount": 1' in capsys.readouterr().out
+
+
+def test_permissive_ranges(spark, files):
+    """Of a damaged file every range of key blocks gives what it can; a file that doesn't open is one row."""
+    rows = [(f"k{i}", f"v{i}") for i in range(12)]
+    (files / "part.mdx").write_bytes(container("mdx", rows, key_blocks=[3] * 4, spoil_key=1))
+    (files / "none.mdx").write_bytes(b"\0\0\0\4nope")
+    read = lambda name: spark.read.format("mdx").options(mode="PERMISSIVE", columns="keys", entriesPerPartition="3").load(f"{files}/{name}").collect()
+    found = read("part.mdx")
+    assert sorted(r.ordinal for r in found if r._error is None) == [0, 1, 2, 9, 10, 11] and sum(r._error is not None for r in found) == 2
+    assert [(r.ordinal, r._error is not None) for r in read("none.mdx")] == [(None, True)]
+    (files / "part.mdx").unlink()
+    (files / "none.mdx").unlink()
+
+
+def test_blocks_of_listed_ordinals(spark, files):
+    from keyloom.sources.dictionary import Options, PruningReader
+    from pyspark.sql.datasource import In
+
+    reader = PruningReader(Options("mdx", {"path": f"{files}/a.mdx", "columns": "keys", "entriesperpartition": "100"}))
+    left = list(reader.pushFilters([In(("ordinal",), (0, 5, 99))]))
+    assert len(left) == 1 and [(p.first, p.last) for p in reader.partitions()] == [(0, 1), (2, 3)]

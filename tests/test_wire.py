@@ -184,3 +184,88 @@ def test_errors_pickle():
     e = ContainerError("Truncated", "x", needed=3)
     again = pickle.loads(pickle.dumps(e))
     assert (again.kind, again.fields, str(again)) == ("Truncated", {"needed": 3}, str(e))
+
+
+@pytest.mark.parametrize("version", [1, 2])
+@pytest.mark.parametrize("encoding", ["UTF-8", "UTF-16", "GB18030", "Big5"])
+def test_written_containers(version, encoding):
+    from keyloom.sources.wire.writer import Style, Writer
+
+    rows = [(f"詞{i // 3}", f"第{i}" * (i % 7)) for i in range(50)]
+    for more in ({}, {"codec": "none"}, {"encrypted": 2}, {"encrypted": 3, "passcode": Passcode("0123456789abcdef" * 2, "user")}):
+        if version == 1 and "encrypted" in more:
+            fails("Unsupported", lambda m=more: Writer("mdx", Style(1, **m)))
+            continue
+        w, sink = Writer("mdx", Style(version, encoding, keys=7, record_bytes=40, attributes={"Title": "a \"b\" & 'c' <d>"}, **more)), io.BytesIO()
+        for row in rows:
+            w.add(*row)
+        assert w.close(sink) == 50
+        c = Container(sink.getvalue(), "mdx", more.get("passcode"))
+        assert text_rows(c) == [(i, k, v) for i, (k, v) in enumerate(rows)]
+        assert c.layout.header.title == "a \"b\" & 'c' <d>" and len(c.layout.key_blocks) == 8 and c.locate("詞1") == ("RawExact", [3, 4, 5])
+        assert c.prefix_keys("詞1", 4) == [3, 4, 5, 30]
+    w, sink = Writer("mdd", Style(version, keys=2, record_bytes=3)), io.BytesIO()
+    for key, body in (("\\a.bin", b"12345"), ("\\b", b""), ("\\c", b"\0\0")):
+        w.add(key, body)
+    w.close(sink)
+    assert [c.payload(s, e) for c in [Container(sink.getvalue(), "mdd")] for _, _, s, e in c.rows()] == [b"12345", b"", b"\0\0"]
+    sink = io.BytesIO()
+    assert Writer("mdx").close(sink) == 0 and len(Container(sink.getvalue(), "mdx")) == 0
+    fails("InvalidData", lambda: Writer("mdx").add("a\0b", ""))
+
+
+def test_memory_is_charged():
+    data = container("mdx", G15 * 50, key_blocks=[100] * 3, record_blocks=[100] * 6, codecs=("zlib", "zlib", "zlib"))
+    c = Container(data, "mdx")
+    opened = c.memory_usage()
+    assert opened.metadata_bytes == c.layout.metadata_bytes == opened.current_bytes and opened.peak_bytes >= opened.current_bytes and not opened.locator_bytes
+    rows = list(c.rows())
+    assert c.text(*rows[7][2:]) == "111"
+    c.locate("alpha")
+    used = c.memory_usage()
+    assert used.key_cache_bytes and used.record_cache_bytes == 100 and used.locator_bytes == 4 + sum(12 + len(k) for k, _ in G15 * 50)
+    assert used.current_bytes == used.metadata_bytes + used.locator_bytes + used.key_cache_bytes + used.record_cache_bytes
+    for low in range(0, used.peak_bytes, used.peak_bytes // 40):
+        def attempt(low=low):
+            small = Container(data, "mdx", limits=Limits(working_memory_bytes=low))
+            list(small.rows())
+            small.text(*rows[7][2:])
+            small.locate("alpha")
+
+        fails("LimitExceeded", attempt)
+    assert Container(data, "mdx", limits=Limits(working_memory_bytes=used.peak_bytes)).locate("alpha") == c.locate("alpha")
+    fails("LimitExceeded", lambda: Container(data, "mdx", limits=Limits(locator_bytes=used.locator_bytes - 1)).locate("x"))
+    again = Container(data, "mdx", limits=Limits(locator_bytes=used.locator_bytes - 1))
+    fails("LimitExceeded", lambda: again.locate("x"))
+    assert again.memory_usage().locator_bytes == 0 and again.memory_usage().current_bytes == again.memory_usage().metadata_bytes + again.memory_usage().key_cache_bytes
+
+
+def test_first_lookup_from_many_threads():
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    c, start = Container(container("mdx", [(f"k{i}", "x") for i in range(3000)], key_blocks=[100] * 30), "mdx"), Barrier(8)
+
+    def look(i):
+        start.wait()
+        return c.locate(f"k{i * 300}")
+
+    with ThreadPoolExecutor(8) as pool:
+        assert list(pool.map(look, range(8))) == [("RawExact", [i * 300]) for i in range(8)]
+
+
+def test_random_input_never_escapes():
+    import random
+
+    from keyloom.sources.wire.codec import decode_block
+    from keyloom.sources.wire.header import parse_tag
+
+    rng = random.Random(7)
+    for _ in range(3000):
+        text = "".join(rng.choices("<>/=\"' abDictionary&;#x\n\0é", k=rng.randrange(40)))
+        data = bytes([rng.choice([0, 1, 2, rng.randrange(256)]), 0, 0, 0]) + rng.randbytes(rng.randrange(60))
+        for attempt in (lambda t=text: parse_tag("<D " + t, Limits()), lambda d=data: decode_block("x", d, rng.randrange(80), Limits()), lambda d=data: Container(d, "mdx"), lambda d=data: lzo1x(d, 100)):
+            try:
+                attempt()
+            except ContainerError:
+                pass
