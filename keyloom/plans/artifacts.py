@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import hashlib
 import time
+import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -158,6 +160,46 @@ def streamed(artifacts: DataFrame, options: dict[str, str] | None = None) -> Dat
     return _each(artifacts, ("path",), "path string, resources long, bytes long, agree boolean", facts, None)
 
 
+EXPORTED = "path string, ordinal long, file string, bytes_written long, error string"
+
+
+def export(artifacts: DataFrame, folder: str, options: dict[str, str] | None = None) -> DataFrame:
+    """Every resource of ``artifacts`` (path) as a file below ``folder``, which all executors share; see EXPORTED.
+
+    Resources are copied by chunks, so one may be larger than memory. A name
+    that leaves the folder is an error and no file. Files are written beside
+    their place and moved there, so a repeated task is harmless.
+    """
+    limits = Limits.of(options or {})
+    names = [x.split()[0] for x in EXPORTED.split(", ")]
+    types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = Path(folder).resolve()
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                rows, c = [], Container(path, "mdd", limits=limits)
+                for ordinal, key, start, end in c.rows():
+                    target = (base / key.replace("\\", "/").lstrip("/")).resolve()
+                    if base not in target.parents:
+                        rows.append((path, ordinal, None, None, "the name leaves the folder"))
+                    else:
+                        target.parent.mkdir(parents=True, exist_ok=True)
+                        temporary = target.with_name(f".{uuid.uuid4().hex}")
+                        with temporary.open("wb") as sink:
+                            n = c.copy_to(start, end, sink)
+                        temporary.replace(target)
+                        rows.append((path, ordinal, str(target), n, None))
+                    if len(rows) == 4096:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                        rows = []
+                c.close()
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    return artifacts.select("path").repartition("path").mapInArrow(run, EXPORTED)
+
+
 class _Sha:
     """A sink that keeps a digest of what is written."""
 

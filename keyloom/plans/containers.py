@@ -307,11 +307,36 @@ def mdx_limit_errors(spark, d):
 # audits
 
 
-@register(f"select ordinal // {ROWS} as file, 'passed' as status, count(*)::bigint as entries, sum(strlen(text))::bigint as payload_bytes, 'zlib' as tags from ({_CUST}) group by 1")
+_ORDERED = "select ordinal // {rows} as file, printf('%016x%016x', ordinal % {rows}, strlen(key)) || hex(encode(key)) as k, printf('%016x', strlen(body)) || hex(encode(body)) as b, ordinal, strlen(body) as size from ({table})"
+_DIGESTS = "select file, 'passed' as status, count(*)::bigint as entries, sum(size)::bigint as payload_bytes, 'zlib' as tags, sha256(unhex(string_agg(k, '' order by ordinal))) as key_sha256, sha256(unhex(string_agg(k || b, '' order by ordinal))) as payload_sha256 from ({rows}) group by 1"
+
+
+def _audited(spark: SparkSession, d: str, kind: str, style: str, protocol: str) -> DataFrame:
+    listed = files(spark, d, kind, style).select("path", F.lit(kind).alias("kind"))
+    done = artifacts.audit(listed, protocol=protocol)
+    return done.select(F.regexp_extract("path", r"part-(\d+)\.", 1).cast("long").alias("file"), "status", "entries", "payload_bytes", "tags", "key_sha256", "payload_sha256")
+
+
+@register(_DIGESTS.format(rows=_ORDERED.format(rows=ROWS, table=f"select ordinal, key, text as body from ({_CUST})")))
 def mdx_audit(spark, d):
-    """Every key and record read, looked up and compared, a file to a task."""
-    listed = files(spark, d, "mdx").select("path", F.lit("mdx").alias("kind"))
-    return artifacts.audit(listed).select(F.regexp_extract("path", r"part-(\d+)\.", 1).cast("long").alias("file"), "status", "entries", "payload_bytes", "tags")
+    """Every key and record read, looked up, compared and digested, a file to a task."""
+    return _audited(spark, d, "mdx", "v2", "ordered")
+
+
+@register(_DIGESTS.format(rows=_ORDERED.format(rows=ROWS, table=_PAGES)))
+def mdd_audit(spark, d):
+    return _audited(spark, d, "mdd", "v2", "ordered")
+
+
+@register(f"select ordinal // {ROWS} as file, 'passed' as status, count(*)::bigint as entries, sum(strlen(text))::bigint as payload_bytes, 'none' as tags, sha256(string_agg(key || chr(10), '' order by ordinal)) as key_sha256, sha256(string_agg(text || chr(10), '' order by ordinal)) as payload_sha256 from ({_CUST}) group by 1")
+def mdx_audit_version_1(spark, d):
+    """The older protocol of digests, over containers of the older version."""
+    return _audited(spark, d, "mdx", "v1", "lines")
+
+
+@register(f"select ordinal // {ROWS} as file, 'passed' as status, count(*)::bigint as entries, sum(strlen(body))::bigint as payload_bytes, 'none' as tags, sha256(string_agg(key || chr(10), '' order by ordinal)) as key_sha256, sha256(unhex(string_agg(sha256(body), '' order by ordinal))) as payload_sha256 from ({_PAGES}) group by 1")
+def mdd_audit_version_1(spark, d):
+    return _audited(spark, d, "mdd", "v1", "lines")
 
 
 @register(f"select ordinal // {ROWS} as file, count(*)::bigint as resources, sum(strlen(body))::bigint as bytes, true as agree from ({_PAGES}) group by 1")

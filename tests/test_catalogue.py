@@ -172,6 +172,15 @@ def test_files_and_audits(spark, tmp_path):
         catalogue.read_audit(spark, str(tmp_path / "twice.tsv"))
 
 
+def test_export(spark, tmp_path):
+    rows = [("\\a\\b.bin", bytes(range(256)) * 40), ("\\c.css", b""), ("\\..\\..\\evil", b"!")]
+    (tmp_path / "x.mdd").write_bytes(container("mdd", rows, record_blocks=[1000] * 10 + [241]))
+    listed = spark.createDataFrame([(str(tmp_path / "x.mdd"),)], "path string")
+    done = artifacts.export(listed, str(tmp_path / "out"), {"limit.materialized_record_bytes": "0"}).collect()  # nothing is materialized
+    assert [(r.ordinal, r.bytes_written, r.error is None) for r in sorted(done, key=lambda r: r.ordinal)] == [(0, 10240, True), (1, 0, True), (2, None, False)]
+    assert (tmp_path / "out/a/b.bin").read_bytes() == rows[0][1] and sorted(p.name for p in (tmp_path / "out").rglob("*") if p.is_file()) == ["b.bin", "c.css"]
+
+
 def test_version_1_report(spark, tmp_path):
     data = {"a.mdx": container("mdx", G15, 1, key_blocks=[3, 3], codecs=("none", "zlib", "lzo")), "b.mdx": container("mdx", G15, 1) + b"tail", "c.mdx": container("mdx", G15, 1)[:-3], "d.mdx": container("mdx", G15, 1, count_off=1), "e.mdx": container("mdx", [], 1), "f.mdx": b"\0\0"}
     for name, body in data.items():
