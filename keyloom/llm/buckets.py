@@ -16,11 +16,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from keyloom.llm.common import Batches, binary_rows, free, materialize, quoted, slim
+from keyloom.llm.common import Batches, binary_rows, free, mapped, materialize, quoted, slim
 
 BITS_APART = 15  #: of the 60 bits of two sketches, at most; a pair at 0.8 is further apart with probability 0.0001
 BLOCK = 16_384  #: rows of a block
-PART = 1024  #: ids of a part; a larger one is dealt out as pairs of halves of this size
+PART = 512  #: ids of a part; a larger one is dealt out as pairs of halves of this size
 WINDOW = 1 << 20  #: keys over which a task counts
 OFTEN = 32  #: times that a key is met in a window before it is reported
 ROWS_OUT = 1 << 16  #: of an Arrow batch of dealt rows
@@ -246,10 +246,8 @@ def candidates(signed: DataFrame, bands: int, tag: str, block: int = BLOCK, ofte
     def deal(batches: Batches) -> Batches:
         yield from _dealt(bands, sent.value)(batches)
 
-    def gathered(rows: DataFrame) -> DataFrame:
-        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_near(most, 2 * block), FOUND)
-
-    found = materialize(gathered(signed.mapInArrow(deal, schema)), f"{tag}-bands")
+    gathered = signed.mapInArrow(deal, schema).repartition("key").sortWithinPartitions("key")
+    found = mapped(gathered, _near(most, 2 * block), FOUND, f"{tag}-bands")
     crowded = found.where("part is null").select("key", "id", "sketch", "block")
     # a pair of their blocks is what a task holds at once, so nothing is left crowded
     rest = _pairs_of_blocks(crowded).repartition("key").sortWithinPartitions("key").mapInArrow(_near(most), FOUND)
@@ -264,7 +262,7 @@ def _bit(column: str) -> tuple[Column, Column]:
 def bloom(df: DataFrame, column: str) -> DataFrame:
     """A bit set that holds the column's hashes: ``w, b``, BLOOM_WORDS rows at most."""
     word, bit = _bit(column)
-    return materialize(df.select(word.alias("w"), bit.alias("bit")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("b")), "bloom")
+    return df.select(word.alias("w"), bit.alias("bit")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("b"))
 
 
 def as_array(bits: DataFrame) -> np.ndarray:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import tempfile
@@ -14,6 +13,10 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
+
+from keyloom.operators.stored import fresh_path, release  # noqa: F401
 
 #: Arrow batches handed to Python hold at most this many bytes and rows, so a
 #: batch of very long texts stays small whatever the row count.
@@ -21,7 +24,8 @@ BATCH_BYTES = 4 << 20
 BATCH_ROWS = 4096
 
 _shipped: set[str] = set()
-_written: dict[str, list[str]] = {}
+
+Batches = Iterator[pa.RecordBatch]
 
 
 def ship(spark: SparkSession) -> None:
@@ -50,66 +54,92 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+class _Table:
+    """Files that tasks write, of which the driver keeps those of attempts that succeeded."""
 
-    Where it is unset, a local master gets a temporary folder of its own and a
-    cluster uses a folder beside its warehouse.
-    """
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = sc._jsc.getCheckpointDir().orElse(None) if sc._jsc.getCheckpointDir().isPresent() else None
-    if not base:
-        if sc.master.startswith("local[") or sc.master == "local":
-            base = "file://" + tempfile.mkdtemp(prefix="keyloom-")
-        else:
-            base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_keyloom"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    def __init__(self, path: str) -> None:
+        self.path = path
 
+    def open(self):
+        """pyarrow's file system of the folder, and the folder's path in it."""
+        from pyarrow import fs
 
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder, deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/keyloom-{uuid.uuid4().hex[:12]}-{tag}"
-    if not _written:
-        atexit.register(_clean, spark)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return path
+        return fs.FileSystem.from_uri(self.path)
 
+    def written(self, batches: Batches) -> Batches:
+        """Write a task's batches as one file under a name of its own; gives the name and the rows."""
+        import pyarrow.parquet as pq
 
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        files, base = self.open()
+        name, writer, held, size, rows = f"part-{uuid.uuid4().hex}.parquet", None, [], 0, 0
+        try:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                if writer is None:
+                    writer = pq.ParquetWriter(f"{base}/_attempts/{name}", b.schema, filesystem=files, compression="snappy")
+                held.append(b)
+                size, rows = size + b.nbytes, rows + b.num_rows
+                if size >= GROUP_BYTES:
+                    writer.write_table(pa.Table.from_batches(held), row_group_size=1 << 30)
+                    held, size = [], 0
+            if held:
+                writer.write_table(pa.Table.from_batches(held), row_group_size=1 << 30)
+        finally:
+            if writer is not None:
+                writer.close()
+            give_back()
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([rows])], ["name", "rows"])
 
+    def keep(self, names: list[str]) -> None:
+        files, base = self.open()
+        for name in names:
+            files.move(f"{base}/_attempts/{name}", f"{base}/{name}")
+        files.delete_dir(f"{base}/_attempts")
 
-def _clean(spark: SparkSession) -> None:
-    with contextlib.suppress(Exception):  # the context may have ended already
-        for path in _written.pop(spark.sparkContext.applicationId, []):
-            _delete(spark, path)
 
+GROUP_BYTES = 8 << 20  #: of a row group
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
 
-    This cuts the lineage, survives lost executors, and leaves joins on the
-    result free to insert exchanges that adaptive execution can split.
-    """
+def _stored(df: DataFrame, tag: str, fn: Callable[[Batches], Batches] | None, schema: StructType) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, tag)
-    df.write.parquet(path)
-    found = spark.read.schema(df.schema).parquet(path)
+    table = _Table(path)
+    try:
+        files, base = table.open()
+        files.create_dir(f"{base}/_attempts", recursive=True)
+    except (pa.ArrowException, OSError):  # only Spark's own writers reach the folder
+        (df if fn is None else df.mapInArrow(slim(fn), schema)).write.parquet(path)
+    else:
+        ship(spark)
+        kinds = to_arrow_schema(schema)
+
+        def run(batches: Batches) -> Batches:
+            made = batches if fn is None else fn(batches)
+            yield from table.written(b if b.schema.equals(kinds) else b.rename_columns(kinds.names).cast(kinds) for b in made)
+
+        table.keep([r["name"] for r in df.mapInArrow(run, "name string, rows long").collect()])
+    found = spark.read.schema(schema).parquet(path)
     found._written_to = path
     return found
 
 
-def release(*tables: DataFrame) -> None:
-    """Delete tables of :func:`materialize` that nothing reads any more."""
-    for t in tables:
-        path, own = t._written_to, _written.get(t.sparkSession.sparkContext.applicationId, [])
-        if path in own:
-            own.remove(path)
-            _delete(t.sparkSession, path)
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    This cuts the lineage, survives lost executors, and leaves joins on the
+    result free to insert exchanges that adaptive execution can split. Tasks
+    write their files themselves, as most tables come out of Python anyway, and
+    the driver keeps the files of the attempts that succeeded.
+    """
+    return _stored(df, tag, None, df.schema)
+
+
+def mapped(df: DataFrame, fn: Callable[[Batches], Batches], schema: str | StructType, tag: str) -> DataFrame:
+    """``materialize(df.mapInArrow(fn, schema), tag)``, where the rows don't leave Python between the two."""
+    kind = schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
+    return _stored(df, tag, fn, kind)
 
 
 def free(columns: Iterable[str], *names: str) -> list[str]:
@@ -128,9 +158,6 @@ def quoted(columns: Iterable[str]) -> list[str]:
     return ["`" + c.replace("`", "``") + "`" for c in columns]
 
 
-Batches = Iterator[pa.RecordBatch]
-
-
 def slim(fn: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     """``fn`` as the body of ``mapInArrow``; when its task ends, the worker, which Spark keeps, gives free memory back."""
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from keyloom.llm import buckets
-from keyloom.llm.common import Batches, binary_column, free, materialize, quoted, release, slim
+from keyloom.llm.common import Batches, binary_column, free, mapped, materialize, quoted, release, slim
 from keyloom.llm.graph import EDGES, Forest, components
 
 SHINGLE = 5
@@ -340,9 +340,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, block: int = bucket
     names. An empty table gives no rows.
     """
     text = F.col("text").cast("string")
-    met = materialize(
-        docs.select(*_place(text), text).mapInArrow(_sign(min_chars), "_id long, _doc long, _th long, _no int, _sketch long, _bands binary"), "met"
-    )
+    met = mapped(docs.select(*_place(text), text), _sign(min_chars), "_id long, _doc long, _th long, _no int, _sketch long, _bands binary", "met")
     place = F.struct("_doc", "_th", "_no")
     again = materialize(met.select("_id", "_doc", "_th", "_no").join(line_roots(docs, met, min_chars, block, often, most), "_id").select("_root", "_doc", "_th", "_no"), "again")
     first = materialize(again.groupBy("_root").agg(F.min(place).alias("_keep")), "keep")

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from keyloom.llm.common import materialize, release, slim, text_hash, without
+from keyloom.llm.common import mapped, materialize, release, slim, text_hash, without
 from keyloom.llm.buckets import groups
 from keyloom.llm.graph import EDGES, Forest, components
 
@@ -56,7 +56,7 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, *keep, fp`` of every row; fp: the fingerprint's bits as a signed long."""
+    """A table of ``doc_id, *keep, fp`` of every row; fp: the fingerprint's bits as a signed long."""
     names, out = ["doc_id", *keep, "fp"], docs.select("doc_id", *keep).schema.add("fp", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, keep: tuple[str, ...] = ())
             fp = np.array([fingerprint(t, shingle) for t in b.column(b.num_columns - 1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp.view(np.int64))], names)
 
-    return docs.select("doc_id", *keep, F.col("text").cast("string")).mapInArrow(slim(run), out)
+    return mapped(docs.select("doc_id", *keep, F.col("text").cast("string")), run, out, "fps")
 
 
 def _pairs(x: np.ndarray, y: np.ndarray, limit: int, links: Forest) -> None:
@@ -221,7 +221,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, keep: tuple[str, ...] = (
     without doc_id get the component of their fingerprint (null if no member
     has a doc_id). An empty table gives no rows. Other columns are not read.
     """
-    fps = materialize(fingerprints(docs, shingle, keep), "fps")
+    fps = fingerprints(docs, shingle, keep)
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     roots = components(links(distinct), "simhash")
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
