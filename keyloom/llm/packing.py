@@ -27,7 +27,7 @@ from keyloom.llm.common import Batches, free, materialize, slim
 
 CAPACITY = 2048
 BUCKETS = 20_000  #: of ranks in all, besides one for each length
-BUCKET_ROWS = 500  #: least rows of a full bucket
+BUCKET_ROWS = 200  #: least rows of a full bucket
 VOCABULARY = "word_bpe_49k.json"
 _CACHED = 56 << 20  #: bytes of words and ids that a worker remembers, in each of two generations
 _ENTRY = 150  #: bytes of an entry besides its characters and ids
