@@ -916,6 +916,57 @@ def test_band_recall():
     assert sum(met) >= 0.97 * len(met)
 
 
+# the registered queries ----------------------------------------------------------
+
+
+def registered(spark, sf, n):
+    from keyloom.llm import queries
+
+    return rows(next(fn for name, fn in queries.QUERIES.items() if name.startswith(f"op{n}_"))(spark, sf))
+
+
+def test_registered_queries(spark, sf, docs):
+    """Each query's rows, columns and values against plain versions of the contract, over the whole table."""
+    from tokenizers import Tokenizer
+
+    own = {r["doc_id"]: r for r in rows(docs)}
+    texts = {i: r["text"] for i, r in own.items()}
+    held = lambda i, n, k: zlib.crc32(str(i).encode()) % n == k
+    tokenizer = Tokenizer.from_file(packing.vocabulary_path())
+    tokenizer.encode_special_tokens = True
+    want = {(i, p, at, len(ids[at : at + 2048]), zlib.crc32(ids[at : at + 2048].tobytes())) for i, t in texts.items() for ids in [whole(t, tokenizer)] for p, at in enumerate(range(0, len(ids), 2048))}
+    assert {(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in registered(spark, sf, 1)} == want
+    index = decontaminate.Index([x for r in rows(spark.read.parquet(f"{sf}/benchmark.parquet")) if (x := decontaminate.item_of(r["item_id"], r["text"]))])
+    want = {(i, item, round(a, 9), round(b, 9)) for i, t in texts.items() for item, a, b in index.match(decontaminate.template(t))}
+    assert want and {(r["doc_id"], r["item_id"], round(r["coverage"], 9), round(r["consistency"], 9)) for r in registered(spark, sf, 2)} == want
+    for r in registered(spark, sf, 4):
+        spans = pii.detect(texts[r["doc_id"]])
+        assert (r["n_entities"], r["kinds"]) == (len(spans), ",".join(sorted({k for _, _, k in spans}))) and (r["text"] == texts[r["doc_id"]]) == (not spans)
+    for r in registered(spark, sf, 5):
+        words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), texts[r["doc_id"]] or ""))
+        at = {label: [i for i in range(len(words)) if words[i : i + len(p.split())] == p.split()] for p, label in licenses.PHRASES.items() if p.split()[0] in words}
+        hits = sorted(i for x in at.values() for i in x)
+        base = {label for label, x in at.items() if x}
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (len(words), len(hits), min(hits, default=None), max(hits, default=None), ",".join(sorted(base)))
+        assert base <= set(r["labels"].split(",")) | {""} and list(filter(None, r["labels"].split(","))) == sorted(set(filter(None, r["labels"].split(",")))) and 0 <= r["score"] <= 1
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    for r in registered(spark, sf, 6):
+        score = model.score(plain_evidence(model, texts[r["doc_id"]]))
+        assert r["score"] == pytest.approx(score) and r["predicted"] == int(r["score"] >= 0.5) and r["held_out"] == held(r["doc_id"], 5, 0)
+    fps = {i: brute_fingerprint(t) for i, t in texts.items()}
+    roots = brute_components(fps, [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 3])
+    assert {(r["doc_id"], r["fingerprint"], r["component_id"]) for r in registered(spark, sf, 7)} == {(i, f"{fps[i]:016x}", roots[i]) for i in fps}
+    taught = [(r["lang"], r["text"]) for i, r in own.items() if r["lang"] is not None and r["text"] is not None and not held(i, 4, 2)]
+    got = {r["doc_id"]: r for r in registered(spark, sf, 8)}
+    want = dict(zip(own, plain_language(texts.values(), taught), strict=True))
+    assert set(got) == set(own) and sum(got[i]["lang_pred"] == want[i] for i in want) >= 0.99 * len(want) and all(r["held_out"] == held(i, 4, 2) and 0 <= r["score"] <= 1 for i, r in got.items())
+    for r in registered(spark, sf, 9):
+        n, chars, symbols, lines_, repeats = brute_quality(texts[r["doc_id"]])
+        failed = n < 20 or 100 * repeats > 30 * n
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == (n, chars, symbols, lines_, repeats, failed) and not (failed and r["kept"])
+    assert {r["doc_id"]: r["text"] for r in registered(spark, sf, 10)} == brute_lines(docs)
+
+
 # pipeline ----------------------------------------------------------------------
 
 
