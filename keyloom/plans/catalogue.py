@@ -32,16 +32,10 @@ AUDIT = "path string, kind string, entries long, key_sha256 string, payload_sha2
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON document by a strict schema; unknown or malformed fields fail."""
+    """A JSON document by a strict schema; malformed fields fail, and ``rules.unknown_fields`` names unknown ones."""
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
-def unknown_keys(spark: SparkSession, path: str, allowed: set[str]) -> DataFrame:
-    """Top-level keys of the JSON documents at ``path`` that the schema doesn't have."""
-    keys = spark.read.text(path, wholetext=True).select(F.explode(F.json_object_keys("value")).alias("key"))
-    return keys.where(~F.col("key").isin(sorted(allowed)))
-
-
 def read_manifest(spark: SparkSession, path: str, columns: int = 7) -> DataFrame:
     """A manifest by tabs; comments and blank lines are skipped; columns: 5 (version 1) or 7."""
     schema = ", ".join(MANIFEST.split(", ")[:columns])
@@ -318,8 +312,8 @@ def pair_violations(lock: DataFrame, outcomes: DataFrame, fields: list[str]) ->
 
 
 def major_version_exclusions(results: DataFrame) -> DataFrame:
-    """Excluded results whose error names a major version."""
-    return results.where((F.col("status") == "excluded") & F.coalesce(F.col("error"), F.lit("")).rlike("(?i)major version"))
+    """Excluded results whose error is about the version of the format."""
+    return results.where((F.col("status") == "excluded") & F.coalesce(F.col("error"), F.lit("")).rlike("(?i)(major|engine) version"))
 
 
 # baselines and audits --------------------------------------------------------
@@ -424,8 +418,9 @@ def manifest_lines(manifest: DataFrame) -> DataFrame:
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:
-    """The manifest as one file, ordered by path. A catalogue is a file's worth of rows by contract."""
-    manifest.orderBy("path").coalesce(1).write.mode("overwrite").csv(path, sep="\t", header=True, emptyValue="")
+    """The manifest as one file, ordered by path, replaced as a whole. A catalogue is a file's worth of rows by contract."""
+    head = "\t".join(c.split()[0] for c in MANIFEST.split(", "))
+    sinks.write_atomic(path, "".join(f"{x}\n" for x in [head, *(r["value"] for r in manifest_lines(manifest).toLocalIterator())]))
 
 
 def audit_lines(outcomes: DataFrame) -> DataFrame:

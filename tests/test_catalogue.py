@@ -112,6 +112,44 @@ def test_draft_rules(spark):
         catalogue.promoted(spark.createDataFrame([("p",)], "path string"), spark.createDataFrame([], "path string, ok boolean, acquired boolean, error string"))
 
 
+def test_binding_rules(spark):
+    source = {"kind": rules.SOURCE_KIND, "inventorySha256": SHA, "root": "https://a.example/", "snapshotAt": "2026-01-01T00:00:00Z", "selectedType": "mdx", "selectedCount": 2, "selectedAdvertisedBytes": 6, "selectedSetSha256": SHA}
+    bound = {"advertisedBytes": 6, "artifactCount": 2, "entryCount": 2, "artifactSetSha256": SHA, "selectionSha256": SHA, "source": source}
+    schema = "b struct<advertisedBytes:long,artifactCount:long,entryCount:long,artifactSetSha256:string,selectionSha256:string,source:struct<kind:string,inventorySha256:string,root:string,snapshotAt:string,selectedType:string,selectedCount:long,selectedAdvertisedBytes:long,selectedSetSha256:string>>"
+    check = lambda b: violations(rules.broken(frame(spark, [{"b": b}], schema), rules.binding(F.col("b"))))
+    assert check(bound) == []
+    assert check(bound | {"advertisedBytes": 7, "entryCount": 3}) == ["bound bytes differ", "entries aren't artifacts"]
+    assert check(bound | {"selectionSha256": "x", "artifactCount": 0}) == ["bound count differs", "bound counts out of range", "entries aren't artifacts", "malformed bound digest"]
+    assert check(changed(bound, ("source", "snapshotAt"), "then")) == ["bad snapshot time"]
+
+
+def test_manifest_is_written_whole(spark, tmp_path):
+    rows = [("b/x.mdx", "mdx", 3, SHA, 1, SHA, None), ("a/x.mdx", "mdx", 4, SHA, 2, None, None)]
+    path = tmp_path / "manifest.tsv"
+    catalogue.write_manifest(spark.createDataFrame(rows, catalogue.MANIFEST), str(path))
+    assert path.read_text().split("\n")[1].startswith("a/x.mdx\tmdx\t4\t") and len(list(tmp_path.iterdir())) == 1
+    assert [(r.path, r.entries, r.key_sha256) for r in catalogue.read_manifest(spark, str(path)).orderBy("path").collect()] == [("a/x.mdx", 2, None), ("b/x.mdx", 1, SHA)]
+    results = spark.createDataFrame([("excluded", "Unsupported: required engine version (major=3)"), ("excluded", "other"), ("promoted", "engine version")], "status string, error string")
+    assert catalogue.major_version_exclusions(results).count() == 1
+
+
+def test_chunks_reach_a_writer_in_order(spark, tmp_path):
+    from keyloom.sources import sinks
+
+    folder = str(tmp_path)
+
+    def write(rows):
+        for r in rows:
+            with open(f"{folder}/{r['ordinal']}", "ab") as f:
+                f.write(r["data"].encode())
+
+    pieces = spark.createDataFrame([(o, c, f"{o}:{c};") for o in range(5) for c in range(7)], "ordinal long, chunk int, data string").repartition(6)
+    sinks.for_each_chunk(pieces, write)
+    assert {p.name: p.read_text() for p in tmp_path.iterdir()} == {str(o): "".join(f"{o}:{c};" for c in range(7)) for o in range(5)}
+    line = sinks.outcome_json(spark.createDataFrame([("p", 1)], "path string, entries long")).first().value
+    assert json.loads(line) == {"path": "p", "entries": 1}
+
+
 def test_unknown_fields(spark, tmp_path):
     (tmp_path / "x.json").write_text(json.dumps({"schemaVersion": 1, "more": 2, "entries": [{"id": "x", "review": {"status": "x", "mood": "y"}}]}))
     assert rules.unknown_fields(spark, str(tmp_path / "x.json"), _parse_datatype_string(catalogue.LOCK)) == ["entries.review.mood", "more"]
