@@ -30,11 +30,11 @@ def bind(value: Column, then) -> Column:
 def once(value: Column) -> Column:
     """``value``, computed once for each row.
 
-    The optimizer neither copies an expression that draws a number into every
-    place that uses it, nor moves a filter on it below it. The draw is always
-    from 0 to 1, so it changes no value.
+    The optimizer neither copies an expression that numbers rows into every
+    place that uses it, nor moves a filter on it below it. Numbers are never
+    negative, so they change no value.
     """
-    return F.when(F.rand(0) >= 0, value)
+    return F.when(F.monotonically_increasing_id() >= 0, value)
 
 
 def _covered(words: Column) -> Column:
