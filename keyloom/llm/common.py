@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from keyloom.operators.stored import fresh_path, release  # noqa: F401
 
@@ -119,7 +119,8 @@ def _stored(df: DataFrame, tag: str, fn: Callable[[Batches], Batches] | None, sc
             made = batches if fn is None else fn(batches)
             yield from table.written(b if b.schema.equals(kinds) else b.rename_columns(kinds.names).cast(kinds) for b in made)
 
-        table.keep([r["name"] for r in df.mapInArrow(run, "name string, rows long").collect()])
+        safe = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # mapInArrow takes no names with dots or backticks
+        table.keep([r["name"] for r in safe.mapInArrow(run, "name string, rows long").collect()])
     found = spark.read.schema(schema).parquet(path)
     found._written_to = path
     return found
@@ -142,6 +143,17 @@ def mapped(df: DataFrame, fn: Callable[[Batches], Batches], schema: str | Struct
     return _stored(df, tag, fn, kind)
 
 
+def map_named(df: DataFrame, fn: Callable[[Batches], Batches], schema: StructType) -> DataFrame:
+    """``df.mapInArrow(fn, schema)`` for columns of any name, which ``mapInArrow`` itself can't take: ``fn`` sees and gives columns by place."""
+    safe = StructType([StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(schema)])
+
+    def run(batches: Batches) -> Batches:
+        for b in fn(batches):
+            yield b.rename_columns(safe.names)
+
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(slim(run), safe).toDF(*schema.names)
+
+
 def free(columns: Iterable[str], *names: str) -> list[str]:
     """``names``, each with as many underscores before it as none of ``columns`` clashes with (Spark's names have no case)."""
     taken, out = {c.lower() for c in columns}, []
@@ -195,16 +207,27 @@ def text_hash():
     return F.xxhash64(F.col("text").cast("string"))
 
 
-def without(docs: DataFrame, gone: DataFrame, once: bool = False) -> DataFrame:
-    """Rows of ``docs`` but those of a document in ``gone`` (doc: a doc_id, th: :func:`text_hash`); ``once``: one row of each doc_id and text.
+def without(docs: DataFrame, gone: DataFrame, met: DataFrame | None = None) -> DataFrame:
+    """Rows of ``docs`` but those of a document in ``gone`` (doc: a doc_id, th: :func:`text_hash`).
 
-    One shuffle serves both, and none is needed where ``gone`` turns out small.
+    With ``met`` (doc and th of every row) one row of each doc_id and text
+    stays. Only rows that are repeated are shuffled for that, and none is
+    for ``gone`` where it turns out small.
     """
     key, th, gone_key, gone_th = free(docs.columns, "_key", "_th", "_gone_key", "_gone_th")
-    hashed = docs.withColumns({key: F.xxhash64("doc_id"), th: text_hash()})
-    out = gone.select(F.xxhash64("doc").alias(gone_key), F.col("th").alias(gone_th)).distinct()
-    kept = hashed.join(out, (F.col(key) == F.col(gone_key)) & (F.col(th) == F.col(gone_th)), "left_anti")
-    return (kept.dropDuplicates([key, th]) if once else kept).select(*quoted(docs.columns))
+    same = (F.col(key) == F.col(gone_key)) & (F.col(th) == F.col(gone_th))
+
+    def named(rows: DataFrame) -> DataFrame:
+        return rows.select(F.xxhash64("doc").alias(gone_key), F.col("th").alias(gone_th))
+
+    kept = docs.withColumns({key: F.xxhash64("doc_id"), th: text_hash()}).join(named(gone).distinct(), same, "left_anti")
+    if met is not None:
+        twice = materialize(named(met).groupBy(gone_key, gone_th).count().where("count > 1").select(gone_key, gone_th), "twice")
+        if twice.isEmpty():
+            release(twice)
+        else:
+            kept = kept.join(twice, same, "left_anti").union(kept.join(twice, same, "left_semi").dropDuplicates([key, th]))
+    return kept.select(*quoted(docs.columns))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -280,9 +280,6 @@ def _item_windows(batches: Batches) -> Batches:
                     yield pa.RecordBatch.from_arrays(columns, names)
 
 
-HITS = T.ArrayType(T.StructType().add("p", "integer").add("q", "integer").add("slots", T.ArrayType(T.StringType())))
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, *keep, item_id, coverage, consistency``: a row for each document and benchmark item that it holds.
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from keyloom.llm import buckets
-from keyloom.llm.common import Batches, binary_column, free, mapped, materialize, quoted, release, slim
+from keyloom.llm.common import Batches, binary_column, free, map_named, mapped, materialize, quoted, release, slim
 from keyloom.llm.graph import EDGES, Forest, components
 
 SHINGLE = 5
@@ -370,7 +370,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, block: int = bucket
             own = [*b.columns[:at], pa.array(texts, pa.string()), *b.columns[at + 1 : -1]]
             yield pa.RecordBatch.from_arrays([*own, pa.array(counts, pa.int64()), pa.array(lost, pa.int64())], columns)
 
-    return whole.union(joined.mapInArrow(slim(cut), whole.schema))
+    return whole.union(map_named(joined, cut, whole.schema))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

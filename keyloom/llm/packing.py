@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from keyloom.llm.common import Batches, free, materialize, slim
+from keyloom.llm.common import Batches, free, map_named, materialize, quoted, slim
 
 CAPACITY = 2048
 BUCKETS = 20_000  #: of ranks in all, besides one for each length
@@ -283,7 +283,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     given = spark.sparkContext.broadcast((places, ahead))
     w = W.partitionBy("length", bucket).orderBy("doc_id", "piece", "start", "ids_crc32", salt)
     ranked = cut.withColumn(rank, F.row_number().over(w).cast("long") - 1)
-    out = cut.select(*columns).schema.add("sequence_id", "long").add("offset", "long")
+    out = cut.select(*quoted(columns)).schema.add("sequence_id", "long").add("offset", "long")
     names = out.fieldNames()
 
     def run(batches: Batches) -> Batches:
@@ -294,7 +294,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             sequence, offset = places(length, base + rank)
             yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array(sequence), pa.array(offset)], names)
 
-    return ranked.select(*columns, F.col(size), bucket, rank).mapInArrow(slim(run), out)
+    return map_named(ranked.select(*quoted(columns), F.col(size), bucket, rank), run, out)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from keyloom.llm.common import Batches, free, materialize, quoted, slim
+from keyloom.llm.common import Batches, free, map_named, materialize, quoted, slim
 
 KEY_SETTING = "spark.keyloom.pii.key"  #: the registered query's key, in hexadecimal
 LOCAL = 10  #: last digits of a phone number, by which it is known; those before, a country's code, stay
@@ -457,7 +457,7 @@ def pseudonymize(docs: DataFrame, key: bytes, draws: DataFrame | None = None) ->
             log = [[dict(zip(("start", "end", "kind", "surrogate"), x, strict=True)) for x in r[1]] for r in rows]
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array([r[0] for r in rows], pa.string()), pa.array(log, spans)], names)
 
-    done = texts.select(*quoted([*others, original, own])).mapInArrow(slim(run), out.add(entities, T.ArrayType(SPAN)))
+    done = map_named(texts.select(*quoted([*others, original, own])), run, out.add(entities, T.ArrayType(SPAN)))
     return done.select(*quoted([*docs.columns, entities]))
 
 

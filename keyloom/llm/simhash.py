@@ -240,9 +240,10 @@ def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
     Repeats of the same doc_id and text count as one document. Other columns
     stay, whatever their names.
     """
-    found = near_duplicates(docs.select("doc_id", "text", text_hash().alias("th")), shingle, keep=("th",))
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("doc"), "th")
-    return without(docs, materialize(gone, "gone"), once=True)
+    found = materialize(near_duplicates(docs.select("doc_id", "text", text_hash().alias("th")), shingle, keep=("th",)), "found")
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    met = found.select(F.col("doc_id").alias("doc"), "th")
+    return without(docs, gone.select(F.col("doc_id").alias("doc"), "th"), met)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
