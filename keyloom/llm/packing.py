@@ -29,7 +29,7 @@ CAPACITY = 2048
 BUCKETS = 20_000  #: of ranks in all, besides one for each length
 BUCKET_ROWS = 200  #: least rows of a full bucket
 VOCABULARY = "word_bpe_49k.json"
-_CACHED = 56 << 20  #: bytes of words and ids that a worker remembers, in each of two generations
+_CACHED = 96 << 20  #: bytes of words and ids that a worker remembers, in each of two generations
 _ENTRY = 150  #: bytes of an entry besides its characters and ids
 _STEP = 20_000  #: words of a text that are looked up at once
 _LETTERS = re.compile("[a-zß-öø-ÿ]+")
@@ -52,23 +52,26 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
+        tokens = self.model.get_vocab()
+        self.ends = np.zeros(max(tokens.values(), default=0) + 1, bool)  #: tokens that end a word
+        self.ends[[i for token, i in tokens.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         self.held = 0
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.model.encode_batch_fast(texts, add_special_tokens=False)
+        found = self.model.encode_batch_fast(texts, add_special_tokens=False) if texts else []
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
     def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of lower-case words of letters, many to a call."""
+        """Ids of lower-case words of letters, many to a call; they are told apart by the tokens that end a word."""
         out: list[bytes] = []
         groups = [words[i : i + 256] for i in range(0, len(words), 256)]
-        found = self.model.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
+        found = self.model.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False) if groups else []
         for group, x in zip(groups, found, strict=True):
-            data, word = np.array(x.ids, "<u4").tobytes(), np.array(x.word_ids)
-            cut = [0, *(4 * (np.flatnonzero(word[1:] != word[:-1]) + 1)).tolist(), len(data)]
-            if len(cut) == len(group) + 1:
+            ids = np.array(x.ids, "<u4")
+            data, cut = ids.tobytes(), [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            if len(cut) == len(group) + 1 and cut[-1] == len(data):
                 out.extend([data[a:b] for a, b in zip(cut, cut[1:], strict=False)])
             else:
                 out.extend(self._ids(group))
