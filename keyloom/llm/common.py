@@ -20,8 +20,8 @@ from keyloom.operators.stored import fresh_path, release  # noqa: F401
 
 #: Arrow batches handed to Python hold at most this many bytes and rows, so a
 #: batch of very long texts stays small whatever the row count.
-BATCH_BYTES = 4 << 20
-BATCH_ROWS = 4096
+BATCH_BYTES = 2 << 20
+BATCH_ROWS = 8192
 
 _shipped: set[str] = set()
 
@@ -50,8 +50,7 @@ def bound_batches(spark: SparkSession) -> None:
     """
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 class _Table:

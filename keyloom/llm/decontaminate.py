@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from keyloom.llm import buckets
-from keyloom.llm.common import Batches, free, materialize, slim, text_hash, without
+from keyloom.llm.common import Batches, free, mapped, materialize, slim, text_hash, without
 
 WINDOW = 8  #: template words of a window; a shorter item is one window
 LEAST = 0.6  #: share of an item's template words that must stand in matched windows
@@ -291,7 +291,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
     """
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("item_text")).distinct()
     items = materialize(items.withColumn("item", F.xxhash64("item_id", "item_text")), "items")
-    theirs = materialize(items.select("item", "item_text").mapInArrow(slim(_item_windows), "h long, item long, plain int, place int, size int, words int"), "windows")
+    theirs = mapped(items.select("item", "item_text"), _item_windows, "h long, item long, plain int, place int, size int, words int", "windows")
     sizes = sorted(r[0] for r in theirs.select("size").distinct().collect())  # WINDOW values at most
     given = docs.sparkSession.sparkContext.broadcast((sizes, buckets.as_array(buckets.bloom(theirs, "h"))))
     # columns by place: a caller's names may be anything
@@ -318,7 +318,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
                 values = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int64())) for c in b.columns[:-1]), *values], out.fieldNames())
 
-    ours = materialize(texts.mapInArrow(slim(found), out), "hits").distinct()
+    ours = mapped(texts, found, out, "hits").distinct()
     met = ours.join(theirs, ["h", "size"])
     by = [*columns, "th", "item", "plain"]  # th tells texts apart that share a doc_id
     covering = F.size(F.collect_set("place")) * F.first("size") >= LEAST * F.first("words")

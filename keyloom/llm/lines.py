@@ -14,7 +14,7 @@ task returns a forest, never its pairs.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -86,18 +86,17 @@ def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return sketches, bands
 
 
-def comparable(text: str | None, least: int = MIN_CHARS) -> Iterator[tuple[int, str]]:
-    """(number, line) of a text's lines that are compared: without outer spaces, in lower case, ``least`` characters or more, not blank."""
-    for no, line in enumerate(text.split("\n") if text else ()):
-        line = line.strip(" ").lower()
-        if len(line) >= least and line and not line.isspace():
-            yield no, line
+def comparable(text: str | None, least: int = MIN_CHARS) -> tuple[list[int], list[str]]:
+    """Numbers and texts of a text's lines that are compared: without outer spaces, in lower case, ``least`` characters or more, not blank."""
+    own = [x.strip(" ") for x in text.lower().split("\n")] if text else []
+    nos = [i for i, x in enumerate(own) if len(x) >= least and x and not x.isspace()]
+    return nos, own if len(nos) == len(own) else [own[i] for i in nos]
 
 
-def line_id(line: str) -> int:
-    """A line's id, a signed 64-bit hash of it."""
-    h = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"))
-    return h - (1 << 64) if h >> 63 else h
+def line_ids(own: list[str]) -> np.ndarray:
+    """The lines' ids, signed 64-bit hashes of them."""
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(x.encode("utf-8", "surrogatepass")) for x in own], np.uint64).view(np.int64)
 
 
 def _sign(least: int) -> Callable[[Batches], Batches]:
@@ -108,29 +107,29 @@ def _sign(least: int) -> Callable[[Batches], Batches]:
         seen: set[int] = set()
 
         def made(b: pa.RecordBatch, rows: list[int], nos: list[int], own: list[str]) -> pa.RecordBatch:
-            ids = list(map(line_id, own))
+            ids = line_ids(own)
             if len(seen) > SEEN:
                 seen.clear()
-            new, place = [], []
-            for i, ident in enumerate(ids):
-                if ident in seen:
-                    place.append(None)
-                else:
+            new, place = [], np.full(len(own), -1)
+            for i, ident in enumerate(ids.tolist()):
+                if ident not in seen:
                     seen.add(ident)
-                    place.append(len(new))
+                    place[i] = len(new)
                     new.append(own[i])
             sketches, bands = signatures(new)
-            at, index = pa.array(rows, pa.int64()), pa.array(place, pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), b.column(0).take(at), b.column(1).take(at), pa.array(nos, pa.int32()), pa.array(sketches).take(index), binary_column(bands).take(index)], names)
+            at, index = pa.array(rows, pa.int64()), pa.array(place, mask=place < 0)
+            return pa.RecordBatch.from_arrays([pa.array(ids), b.column(0).take(at), b.column(1).take(at), pa.array(nos, pa.int32()), pa.array(sketches).take(index), binary_column(bands).take(index)], names)
 
         for b in batches:
             rows, nos, own = [], [], []
             for row, text in enumerate(b.column(2).to_pylist()):
-                for no, line in comparable(text, least):
-                    rows.append(row)
-                    nos.append(no)
-                    own.append(line)
-                    if len(own) == SLICE:
+                more, found = comparable(text, least)
+                for i in range(0, len(found), SLICE):
+                    part = found[i : i + SLICE]
+                    rows += [row] * len(part)
+                    nos += more[i : i + SLICE]
+                    own += part
+                    if len(own) >= SLICE:
                         yield made(b, rows, nos, own)
                         rows, nos, own = [], [], []
             if own:
@@ -144,11 +143,12 @@ def _wanted(least: int, bits: np.ndarray) -> Callable[[Batches], Batches]:
 
     def run(batches: Batches) -> Batches:
         for b in batches:
-            own = {line_id(line): line for text in b.column(0).to_pylist() for _, line in comparable(text, least)}
-            ids = np.fromiter(own, np.int64, len(own))
-            hit = buckets.holds(bits, ids)
-            if hit.any():
-                yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array([x for x, y in zip(own.values(), hit.tolist(), strict=True) if y], pa.string())], ["id", "line"])
+            own = [line for text in b.column(0).to_pylist() for line in comparable(text, least)[1]]
+            ids = line_ids(own)
+            hit = np.flatnonzero(buckets.holds(bits, ids))
+            if len(hit):
+                ids, first = np.unique(ids[hit], return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([own[i] for i in hit[first].tolist()], pa.string())], ["id", "line"])
 
     return run
 

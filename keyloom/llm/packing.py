@@ -17,19 +17,20 @@ import os
 import re
 import zlib
 from bisect import bisect_left, insort
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from keyloom.llm.common import Batches, free, map_named, materialize, quoted, slim
+from keyloom.llm.common import Batches, free, map_named, mapped, materialize, quoted, slim
 
 CAPACITY = 2048
 BUCKETS = 20_000  #: of ranks in all, besides one for each length
 BUCKET_ROWS = 200  #: least rows of a full bucket
 VOCABULARY = "word_bpe_49k.json"
-_CACHED = 96 << 20  #: bytes of words and ids that a worker remembers, in each of two generations
+_CACHED = 48 << 20  #: bytes of words and ids that a worker remembers, in each of two generations
 _ENTRY = 150  #: bytes of an entry besides its characters and ids
 _STEP = 20_000  #: words of a text that are looked up at once
 _LETTERS = re.compile("[a-zß-öø-ÿ]+")
@@ -123,25 +124,17 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return str(public_tokenizers.path(name))
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32[, ids]``: every document's ids and a closing 0, cut where longer than ``capacity``.
-
-    A null or empty text is the closing 0 alone; repeated rows and null doc_ids
-    give their own pieces. ``vocabulary``: a tokenizers file, by default the
-    public word-level one, found on each executor.
-    """
-    kind = docs.schema["doc_id"].dataType
-    out = T.StructType().add("doc_id", kind).add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long")
-    out = out.add("ids", T.ArrayType(T.IntegerType())) if with_ids else out
-    names = list(out.fieldNames())
+def _cut(schema: T.StructType, capacity: int, vocabulary: str | None) -> Callable[[Batches], Batches]:
+    """Rows (doc_id, text) as the pieces of :func:`pieces`; a column more than its own is a random number."""
+    names = schema.fieldNames()
     step = 4 * capacity
 
     def run(batches: Batches) -> Batches:
-        encode = encoder(vocabulary or vocabulary_path()).encode
+        own, draw = encoder(vocabulary or vocabulary_path()), np.random.default_rng()
         for batch in batches:
             at, piece, start, length, crc, ids = [], [], [], [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
-                data = encode(text) + b"\0\0\0\0"
+                data = own.encode(text) + b"\0\0\0\0"
                 for k, i in enumerate(range(0, len(data), step)):
                     part = data[i : i + step]
                     at.append(row)
@@ -149,12 +142,31 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
                     start.append(i // 4)
                     length.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
-                    if with_ids:
+                    if "ids" in names:
                         ids.append(np.frombuffer(part, "<u4").astype(np.int32))
             columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), names)
+            columns += [pa.array(ids, pa.list_(pa.int32()))] if "ids" in names else []
+            columns += [pa.array(draw.integers(0, 1 << 30, len(at)), pa.int32())] if len(columns) < len(names) else []
+            yield pa.RecordBatch.from_arrays(columns, names)
+        own.before = {}  # the worker stays for other tasks
+
+    return slim(run)
+
+
+def _pieces(docs: DataFrame, with_ids: bool = False) -> tuple[DataFrame, T.StructType]:
+    out = T.StructType().add("doc_id", docs.schema["doc_id"].dataType).add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long")
+    return docs.select("doc_id", F.col("text").cast("string")), out.add("ids", T.ArrayType(T.IntegerType())) if with_ids else out
+
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(slim(run), out)
+def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
+    """``doc_id, piece, start, length, ids_crc32[, ids]``: every document's ids and a closing 0, cut where longer than ``capacity``.
+
+    A null or empty text is the closing 0 alone; repeated rows and null doc_ids
+    give their own pieces. ``vocabulary``: a tokenizers file, by default the
+    public word-level one, found on each executor.
+    """
+    texts, out = _pieces(docs, with_ids)
+    return texts.mapInArrow(_cut(out, capacity, vocabulary), out)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int, int]]]]:
@@ -268,11 +280,16 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     by piece, start and checksum. An empty table gives no rows; other columns of
     ``cut`` are passed on.
     """
-    spark = cut.sparkSession
-    salt, split, bucket, rank, size = free([*cut.columns, "sequence_id", "offset"], "_salt", "_split", "_bucket", "_rank", "_length")
-    columns = cut.columns
+    salt = free([*cut.columns, "sequence_id", "offset"], "_salt")[0]
     # pieces alike in every column are told apart by a number that is written down with them
-    cut = materialize(cut.withColumn(salt, (F.rand(7) * (1 << 30)).cast("int")), "pieces")
+    return _packed(materialize(cut.withColumn(salt, (F.rand(7) * (1 << 30)).cast("int")), "pieces"), salt, capacity)
+
+
+def _packed(cut: DataFrame, salt: str, capacity: int) -> DataFrame:
+    """A written table of pieces, each with a number in the column ``salt``, with their places."""
+    spark = cut.sparkSession
+    columns = [c for c in cut.columns if c != salt]
+    split, bucket, rank, size = free([*cut.columns, "sequence_id", "offset"], "_split", "_bucket", "_rank", "_length")
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
     places = Places(counts, capacity)
     rows = max(BUCKET_ROWS, -(-sum(counts.values()) // BUCKETS))
@@ -309,5 +326,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
     """Pieces of all documents with their places. Null and empty texts are a closing 0 each; other columns are not read."""
-    packed = pack(pieces(docs, capacity, vocabulary), capacity)
+    texts, out = _pieces(docs)
+    kind = T.StructType([*out]).add("_salt", "integer")
+    packed = _packed(mapped(texts, _cut(kind, capacity, vocabulary), kind, "pieces"), "_salt", capacity)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

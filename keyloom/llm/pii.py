@@ -24,7 +24,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from keyloom.llm.common import Batches, free, map_named, materialize, quoted, slim
+from keyloom.llm.common import Batches, free, map_named, mapped, materialize, quoted, slim
 
 KEY_SETTING = "spark.keyloom.pii.key"  #: the registered query's key, in hexadecimal
 LOCAL = 10  #: last digits of a phone number, by which it is known; those before, a country's code, stay
@@ -392,7 +392,7 @@ def collisions(docs: DataFrame, key: bytes) -> DataFrame:
         "entities",
     )
     schema = "kind string, value string, draw int, new string"
-    settled = materialize(entities.mapInArrow(_drawn(key), schema), "drawn")
+    settled = mapped(entities, _drawn(key), schema, "drawn")
     group = F.when(F.col("kind").startswith("given"), "given").otherwise(F.col("kind"))
     before, stalled = 0, 0
     while True:
@@ -410,10 +410,8 @@ def collisions(docs: DataFrame, key: bytes) -> DataFrame:
         if not n or stalled == STALLED:
             break
         before = n
-        settled = materialize(
-            settled.drop("new").join(bad, ["kind", "value"], "left").select("kind", "value", (F.col("draw") + F.coalesce("bad", F.lit(0))).alias("draw")).mapInArrow(_drawn(key), schema),
-            "drawn",
-        )
+        again = settled.drop("new").join(bad, ["kind", "value"], "left").select("kind", "value", (F.col("draw") + F.coalesce("bad", F.lit(0))).alias("draw"))
+        settled = mapped(again, _drawn(key), schema, "drawn")
     return settled.where("draw != 0").select("kind", "value", "draw", F.when(F.col("draw") < 0, F.col("new")).alias("new"))
 
 
