@@ -76,7 +76,7 @@ class _Table:
                 if not b.num_rows:
                     continue
                 if writer is None:
-                    writer = pq.ParquetWriter(f"{base}/_attempts/{name}", b.schema, filesystem=files, compression="snappy")
+                    writer = pq.ParquetWriter(f"{base}/_attempts/{name}", b.schema, filesystem=files, compression="snappy", use_dictionary=False, write_statistics=False)
                 held.append(b)
                 size, rows = size + b.nbytes, rows + b.num_rows
                 if size >= GROUP_BYTES:

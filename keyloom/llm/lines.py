@@ -342,7 +342,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, block: int = bucket
     text = F.col("text").cast("string")
     met = mapped(docs.select(*_place(text), text), _sign(min_chars), "_id long, _doc long, _th long, _no int, _sketch long, _bands binary", "met")
     place = F.struct("_doc", "_th", "_no")
-    again = materialize(met.select("_id", "_doc", "_th", "_no").join(line_roots(docs, met, min_chars, block, often, most), "_id").select("_root", "_doc", "_th", "_no"), "again")
+    roots = line_roots(docs, met, min_chars, block, often, most)
+    places = buckets.filtered(met.select("_id", "_doc", "_th", "_no"), "_id", buckets.bloom(roots, "_id"), True)  # most lines stand alone
+    again = materialize(places.join(roots, "_id").select("_root", "_doc", "_th", "_no"), "again")
     first = materialize(again.groupBy("_root").agg(F.min(place).alias("_keep")), "keep")
     gone = again.join(first, "_root").where(place != F.col("_keep")).groupBy("_doc", "_th").agg(F.collect_set("_no").alias("_nos"))
     names = added(docs.columns)
