@@ -63,6 +63,11 @@ def nth_match(lists: DataFrame, i: int) -> DataFrame:
     return lists.select("query_id", F.try_element_at("ordinals", F.lit(i + 1)).alias("ordinal"))
 
 
+def records(queries: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` (ordinal, ...) for queries (query_id, ordinal); absent where there is no such record."""
+    return queries.join(found, "ordinal").select("query_id", "ordinal", *[c for c in found.columns if c != "ordinal"])
+
+
 def lookup(queries: DataFrame, keys: DataFrame, records: DataFrame) -> DataFrame:
     """Each query's lowest match with its record's columns; queries without a match are absent."""
     return _groups(queries, keys).select("query_id", F.col("first_ordinal").alias("ordinal")).join(records, "ordinal")

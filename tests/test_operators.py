@@ -134,3 +134,24 @@ def test_queries_against_sql(spark, sf):
         names = [x[0] for x in found.description]
         want = sorted((tuple(r[names.index(c)] for c in cols) for r in found.fetchall()), key=repr)
         assert got == want, name
+
+
+def held_against_sql(spark, d, name):
+    duckdb = pytest.importorskip("duckdb")
+    db = duckdb.connect()
+    for t in os.listdir(d):
+        db.execute(f"create view {t.split('.')[0]} as select * from read_parquet('{d}/{t}/*.parquet')")
+    df = QUERIES[name](spark, str(d))
+    found = db.execute(ORACLE_SQL[name])
+    want = [dict(zip((x[0] for x in found.description), r, strict=True)) for r in found.fetchall()]
+    got = [r.asDict() for r in df.collect()]
+    key = lambda r: repr([r[c] for c in sorted(df.columns)])
+    assert sorted(map(key, got)) == sorted(map(key, want)) and got
+    return df
+
+
+def test_lookup_span_of_shared_keys(spark, tmp_path):
+    """Pages with one URL, with none, without html, and of one id."""
+    rows = [(0, "https://a/x", "ab"), (1, "http://a/x", "cde"), (2, None, "f"), (3, "https://a/x", None), (4, "https://b", "\u00e9"), (70_000, "https://b", "gh"), (70_000, "https://c", "i"), (70_001, "https://b", "jkl"), (None, "https://d", "mn")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    held_against_sql(spark, tmp_path, "lookup_span")
