@@ -7,7 +7,7 @@ on the normal form, where adaptive execution splits hot groups.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from keyloom.functions.keys import norm_key
 
@@ -63,6 +63,25 @@ def nth_match(lists: DataFrame, i: int) -> DataFrame:
     return lists.select("query_id", F.try_element_at("ordinals", F.lit(i + 1)).alias("ordinal"))
 
 
+def _firsts(keys: DataFrame, by: str, most: int, out: str) -> DataFrame:
+    """``by, out``: the lowest ``most`` ordinals of each value, cut before their shuffle."""
+    place = F.row_number().over(W.partitionBy(by).orderBy(F.asc_nulls_last("ordinal")))
+    ranked = keys.where(F.col(by).isNotNull()).select(by, "ordinal").withColumn("_at", place).where(F.col("_at") <= most)
+    return ranked.groupBy(by).agg(F.collect_list("ordinal").alias(out))
+
+
+def nth(queries: DataFrame, keys: DataFrame, i: int) -> DataFrame:
+    """``nth_match(match_lists(queries, keys), i)`` for groups of any size.
+
+    A query meets only the lowest i + 1 ordinals of its text and of its normal
+    form, so nothing grows with the queries times the keys of a group. Rows that
+    repeat a query_id are one query.
+    """
+    found = queries.join(_firsts(keys, "key", i + 1, "_raw"), F.col("query") == F.col("key"), "left").join(_firsts(keys, "norm_key", i + 1, "_all"), F.col("norm_query") == F.col("norm_key"), "left")
+    lists = found.where("_raw is not null or _all is not null").groupBy("query_id").agg(F.count("_raw").alias("_raws"), F.flatten(F.collect_list("_raw")).alias("_raw"), F.flatten(F.collect_list("_all")).alias("_all"))
+    return nth_match(lists.select("query_id", F.sort_array(F.when(F.col("_raws") > 0, F.col("_raw")).otherwise(F.col("_all"))).alias("ordinals")), i)
+
+
 def records(queries: DataFrame, found: DataFrame) -> DataFrame:
     """``found`` (ordinal, ...) for queries (query_id, ordinal); absent where there is no such record."""
     return queries.join(found, "ordinal").select("query_id", "ordinal", *[c for c in found.columns if c != "ordinal"])

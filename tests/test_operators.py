@@ -155,3 +155,29 @@ def test_lookup_span_of_shared_keys(spark, tmp_path):
     rows = [(0, "https://a/x", "ab"), (1, "http://a/x", "cde"), (2, None, "f"), (3, "https://a/x", None), (4, "https://b", "\u00e9"), (70_000, "https://b", "gh"), (70_000, "https://c", "i"), (70_001, "https://b", "jkl"), (None, "https://d", "mn")]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     held_against_sql(spark, tmp_path, "lookup_span")
+
+
+def most_rows(df):
+    """The most rows that a node of the plan gave, of all that count them."""
+    df.collect()
+    most, left = 0, [df._jdf.queryExecution().executedPlan()]
+    while left:
+        node = left.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            left.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            left.append(node.plan())
+        metric = node.metrics().get("numOutputRows")
+        if metric.isDefined():
+            most = max(most, metric.get().value())
+        left.extend(node.children().apply(i) for i in range(node.children().size()))
+    return most
+
+
+def test_nth_match_of_large_groups(spark, tmp_path):
+    """A thousand parts of one name: the queries don't meet all of its keys; against SQL, with repeated and missing ids too."""
+    n = 1000
+    rows = [(i, "same name", "t") for i in range(n)] + [(n + i, f"few {i // 2}", "t") for i in range(12)] + [(n + 50, "Few \u03a3", "t"), (n + 50, "few 1", "t"), (None, "few 2", "t"), (n + 51, None, "t")]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string").write.parquet(str(tmp_path / "part.parquet"))
+    assert most_rows(held_against_sql(spark, tmp_path, "nth_match")) <= 3 * len(rows)
