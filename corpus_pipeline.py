@@ -40,7 +40,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked at a Jaccard similarity of 0.8 or more of five-word shingles: the smallest doc_id.
 
-    Null and wordless texts are one group; rows that repeat a doc_id and text are one document.
+    Candidates are what SimHash fingerprints find by deletion variants, and what
+    MinHash bands add where linked texts differ in more bits than those reach;
+    both are verified. Null and wordless texts are one group; rows that repeat a
+    doc_id and text are one document.
     """
     bound_batches(spark)
     return neardocs.keep_one(docs, shingle=5)

@@ -147,14 +147,14 @@ def groups(batches: Batches, keys: int, most: int) -> Iterator[tuple[list[np.nda
         yield taken()
 
 
-def _connected(ids: np.ndarray, sketches: np.ndarray) -> list[np.ndarray]:
+def _connected(ids: np.ndarray, sketches: np.ndarray, apart: int = BITS_APART) -> list[np.ndarray]:
     """Ascending ids of what the sketches connect, two or more each."""
     out, left = [], np.arange(len(ids))
     while len(left) > 1:
         members, left = [int(left[0])], left[1:]
         at = 0
         while at < len(members) and len(left):
-            hit = np.bitwise_count(sketches[left] ^ sketches[members[at]]) <= BITS_APART
+            hit = np.bitwise_count((sketches[left] ^ sketches[members[at]]).view(np.uint64)) <= apart
             members.extend(left[hit].tolist())
             left = left[~hit]
             at += 1
@@ -175,7 +175,7 @@ def cut_part(members: np.ndarray, most: int) -> Iterator[np.ndarray]:
             yield np.concatenate((a, b))
 
 
-def _parts(ids: np.ndarray, sketches: np.ndarray, first: np.ndarray, last: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def _parts(ids: np.ndarray, sketches: np.ndarray, first: np.ndarray, last: np.ndarray, most: int, apart: int = BITS_APART) -> tuple[np.ndarray, np.ndarray]:
     """(part, id) of the rows that have a partner by sketch within their group.
 
     A part is what may be linked within one bucket. Its number depends on its
@@ -183,14 +183,14 @@ def _parts(ids: np.ndarray, sketches: np.ndarray, first: np.ndarray, last: np.nd
     """
     parts, members = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     two = first[last - first == 2]
-    two = two[(np.bitwise_count(sketches[two] ^ sketches[two + 1]) <= BITS_APART) & (ids[two] != ids[two + 1])]
+    two = two[(np.bitwise_count((sketches[two] ^ sketches[two + 1]).view(np.uint64)) <= apart) & (ids[two] != ids[two + 1])]
     if len(two):
         pairs = np.sort(np.stack([ids[two], ids[two + 1]], axis=1), axis=1)
         parts.append(np.repeat(_number(pairs), 2))
         members.append(pairs.ravel())
     for a, b in zip(*(x[last - first > 2].tolist() for x in (first, last)), strict=True):
         own, at = np.unique(ids[a:b], return_index=True)
-        for found in _connected(own, sketches[a:b][at]):
+        for found in _connected(own, sketches[a:b][at], apart):
             for part in cut_part(found, most):
                 parts.append(np.repeat(_number(part[None, :]), len(part)))
                 members.append(part)
@@ -200,7 +200,7 @@ def _parts(ids: np.ndarray, sketches: np.ndarray, first: np.ndarray, last: np.nd
 FOUND = "part long, id long, key long, sketch long, block int"
 
 
-def _near(most: int, limit: int | None = None) -> Callable[[Batches], Batches]:
+def _near(most: int, limit: int | None = None, apart: int = BITS_APART) -> Callable[[Batches], Batches]:
     """Rows (key, id, sketch), sorted by key, as FOUND.
 
     A bucket gives the (part, id) of its rows with a partner; one of more than
@@ -219,7 +219,7 @@ def _near(most: int, limit: int | None = None) -> Callable[[Batches], Batches]:
                 n = len(own)
                 yield made(n, id=own, key=np.full(n, keys[0]), sketch=sketches[at], block=np.full(n, piece, np.int32))
                 continue
-            parts, members = _parts(ids, sketches, first, last, most)
+            parts, members = _parts(ids, sketches, first, last, most, apart)
             if len(parts):
                 yield made(len(parts), part=parts, id=members)
 
@@ -234,10 +234,11 @@ def _pairs_of_blocks(rows: DataFrame) -> DataFrame:
     return rows.join(sizes, "key").withColumn("other", other).select(pair.alias("key"), "id", "sketch")
 
 
-def candidates(signed: DataFrame, bands: int, tag: str, block: int = BLOCK, often: int = OFTEN, most: int = PART) -> DataFrame:
+def candidates(signed: DataFrame, bands: int, tag: str, block: int = BLOCK, often: int = OFTEN, most: int = PART, apart: int = BITS_APART) -> DataFrame:
     """Distinct ``part, id`` of what must be verified; ``signed``: id, sketch and the bands' 32-bit hashes as bytes.
 
-    ``signed`` is read twice. Rows that repeat an id are one.
+    Sketches are near that differ in ``apart`` bits at most. ``signed`` is read
+    twice. Rows that repeat an id are one.
     """
     schema = "key long, id long, sketch long"
     hot = hot_keys(signed, bands, block, often)
@@ -247,10 +248,10 @@ def candidates(signed: DataFrame, bands: int, tag: str, block: int = BLOCK, ofte
         yield from _dealt(bands, sent.value)(batches)
 
     gathered = signed.mapInArrow(deal, schema).repartition("key").sortWithinPartitions("key")
-    found = mapped(gathered, _near(most, 2 * block), FOUND, f"{tag}-bands")
+    found = mapped(gathered, _near(most, 2 * block, apart), FOUND, f"{tag}-bands")
     crowded = found.where("part is null").select("key", "id", "sketch", "block")
     # a pair of their blocks is what a task holds at once, so nothing is left crowded
-    rest = _pairs_of_blocks(crowded).repartition("key").sortWithinPartitions("key").mapInArrow(_near(most), FOUND)
+    rest = _pairs_of_blocks(crowded).repartition("key").sortWithinPartitions("key").mapInArrow(_near(most, apart=apart), FOUND)
     return materialize(found.where("part is not null").select("part", "id").union(rest.select("part", "id")).distinct(), f"{tag}-near")
 
 

@@ -1,13 +1,16 @@
 """Near-duplicate documents at an exact Jaccard similarity of word shingles.
 
-Distinct shingle sets are signed by MinHash and cut into bands; sets that share
-a band and have a near sketch are read again and verified by exact Jaccard
+Distinct shingle sets get a SimHash fingerprint, and its deletion variants
+(:mod:`keyloom.llm.simhash`) find all that differ in three bits or fewer. Sets
+at 0.8 mostly differ in more, so the sets are signed by MinHash too, and cut
+into bands; those that share a band and have a near sketch are candidates as
+well. Candidates of either kind are read again and verified by exact Jaccard
 similarity, and union-find makes components of the links. Buckets are dealt out
 by :mod:`keyloom.llm.buckets`, and what several buckets hold alike is verified
 once.
 
-Only ids, sketches and bands are shuffled; texts are read again for the sets
-that have a partner.
+Only ids, fingerprints, sketches and bands are shuffled; texts are read again
+for the sets that have a partner.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from keyloom.llm import buckets
+from keyloom.llm import buckets, simhash
 from keyloom.llm.common import Batches, binary_column, mapped, materialize, release, slim, text_hash, without
 from keyloom.llm.decontaminate import windows
 from keyloom.llm.graph import EDGES, Forest, components
@@ -72,8 +75,11 @@ def node_of(own: np.ndarray) -> int:
 
 
 def _signed(docs: DataFrame, shingle: int) -> DataFrame:
-    """A table of ``doc, th, node, sketch, bands`` of rows (doc, th, text); sketch and bands are null for the empty set."""
-    out = docs.select("doc", "th").schema.add("node", "long").add("sketch", "long").add("bands", "binary")
+    """A table of ``doc, th, node, fp, sketch, bands`` of rows (doc, th, text); sketch and bands are null for the empty set.
+
+    fp: the SimHash fingerprint's bits as a signed long.
+    """
+    out = docs.select("doc", "th").schema.add("node", "long").add("fp", "long").add("sketch", "long").add("bands", "binary")
     names = out.fieldNames()
 
     def run(batches: Batches) -> Batches:
@@ -84,7 +90,8 @@ def _signed(docs: DataFrame, shingle: int) -> DataFrame:
             place = np.full(len(sets), -1)
             place[full] = np.arange(len(full))
             index = pa.array(place, mask=place < 0)
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([node_of(x) for x in sets], pa.int64()), pa.array(sketches).take(index), binary_column(bands).take(index)], names)
+            fps = np.array([simhash.majority(x) for x in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([node_of(x) for x in sets], pa.int64()), pa.array(fps), pa.array(sketches).take(index), binary_column(bands).take(index)], names)
 
     return mapped(docs, run, out, "doc-signed")
 
@@ -112,8 +119,12 @@ def _sets(shingle: int):
 
 
 def _roots(texts: DataFrame, nodes: DataFrame, shingle: int, block: int, often: int, most: int) -> DataFrame:
-    """``node, root`` of the sets that are linked to another; ``texts``: th, text; ``nodes``: node, th (of one of its texts), sketch, bands."""
-    near = buckets.candidates(nodes.where("bands is not null").select("node", "sketch", "bands"), BANDS, "doc", block, often, most)
+    """``node, root`` of the sets that are linked to another; ``texts``: th, text; ``nodes``: node, th (of one of its texts), fp, sketch, bands."""
+    full = nodes.where("bands is not null")
+    close = simhash.candidates(full.select("node", "fp"), "doc-simhash", block, often, most)
+    far = buckets.candidates(full.select("node", "sketch", "bands"), BANDS, "doc", block, often, most)
+    near = materialize(close.union(far).distinct(), "doc-both")
+    release(close, far)
     wanted = materialize(nodes.join(near.select(F.col("id").alias("node")).distinct(), "node", "left_semi").select("th"), "doc-wanted")
     found = buckets.filtered(texts.select("text", "th"), "th", buckets.bloom(wanted, "th"), True)
     found = found.join(wanted, "th", "left_semi").dropDuplicates(["th"]).select("text")
@@ -135,7 +146,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, block: int = buckets.BLOCK
     text = F.col("text").cast("string")
     texts = docs.select(F.col("doc_id").alias("doc"), text_hash().alias("th"), text.alias("text"))
     met = _signed(texts, shingle)
-    nodes = materialize(met.groupBy("node").agg(F.min("doc").alias("rep"), F.min("th").alias("th"), F.min("sketch").alias("sketch"), F.min("bands").alias("bands")), "doc-nodes")
+    nodes = materialize(met.groupBy("node").agg(F.min("doc").alias("rep"), F.min("th").alias("th"), F.min("fp").alias("fp"), F.min("sketch").alias("sketch"), F.min("bands").alias("bands")), "doc-nodes")
     roots = _roots(texts, nodes, shingle, block, often, most)
     rooted = materialize(nodes.select("node", "rep").join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root")), "doc-rooted")
     least = materialize(rooted.groupBy("root").agg(F.min("rep").alias("first")), "doc-least")

@@ -21,11 +21,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from keyloom.llm.common import mapped, materialize, release, slim, text_hash, without
+from keyloom.llm import buckets
+from keyloom.llm.common import binary_column, mapped, materialize, release, slim, text_hash, without
 from keyloom.llm.buckets import groups
 from keyloom.llm.graph import EDGES, Forest, components
 
 HALF = 32
+VARIANTS = 2 + 2 * HALF  #: keys of a fingerprint: its halves, and each with one bit left out
+LIMIT = 3  #: bits in which linked fingerprints differ at most
 DIRECT = 2048  #: buckets up to this size are compared directly
 CROWDED = 65_536  #: fingerprints of a bucket from which it is cut by its free bits before the shuffle
 _CHUNK = 1 << 16
@@ -55,6 +58,14 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * counts > m).tobytes(), "big")
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Unsigned 64-bit fingerprint of a set of 64-bit hashes; 0 of the empty set."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), _CHUNK):
+        counts += np.unpackbits(hashes[i : i + _CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
     """A table of ``doc_id, *keep, fp`` of every row; fp: the fingerprint's bits as a signed long."""
     names, out = ["doc_id", *keep, "fp"], docs.select("doc_id", *keep).schema.add("fp", "long")
@@ -180,6 +191,30 @@ def index(distinct: DataFrame) -> DataFrame:
     return rows.select(key.alias("key"), "fp")
 
 
+def variants(fps: np.ndarray) -> np.ndarray:
+    """The 32-bit keys of unsigned fingerprints, a row each, in the order of :func:`index`."""
+    halves = (fps >> np.uint64(HALF)).astype(np.uint32)[:, None], fps.astype(np.uint32)[:, None]
+    but_one = ~(np.uint32(1) << np.arange(HALF, dtype=np.uint32))
+    return np.concatenate((*halves, *(x & but_one for x in halves)), axis=1)
+
+
+def candidates(rows: DataFrame, tag: str = "simhash", block: int = buckets.BLOCK, often: int = buckets.OFTEN, most: int = buckets.PART) -> DataFrame:
+    """Distinct ``part, id``: rows (id, fp) whose fingerprints differ in LIMIT or fewer bits share a part, to be verified.
+
+    The index of deletion variants, dealt out by :mod:`keyloom.llm.buckets`;
+    what a chain of such links connects within a bucket is one part.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                fps = b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+                yield pa.RecordBatch.from_arrays([*b.columns, binary_column(variants(fps))], ["id", "sketch", "bands"])
+
+    signed = rows.toDF("id", "fp").mapInArrow(slim(run), "id long, sketch long, bands binary")
+    return buckets.candidates(signed, VARIANTS, tag, block, often, most, LIMIT)
+
+
 def cut_by_free_bits(rows: DataFrame) -> DataFrame:
     """``(key, part, fp)``: the rows of crowded buckets, a row for each eighth of the other half's 32 bits.
 

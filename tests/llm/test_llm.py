@@ -1105,3 +1105,39 @@ def test_near_dedup_is_jaccard(spark, sf):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert len(far) > 20 and {r["doc_id"] for r in rows(corpus_pipeline.near_dedup(spark, df, sf))} == want
     assert {r["doc_id"] for r in rows(neardocs.keep_one(df, block=4))} == want
+
+
+def test_simhash_candidates(spark):
+    """Every pair of fingerprints at three or fewer bits shares a part, in one block and in many."""
+    random.seed(13)
+    fps = [random.getrandbits(64) for _ in range(40)]
+    fps += [x ^ sum(1 << b for b in random.sample(range(64), k)) for x in fps for k in (1, 2, 3, 4)] + fps[:2]
+    signed = [(i, x - (1 << 64) if x >> 63 else x) for i, x in enumerate(fps)]
+    assert simhash.variants(np.array(fps[:9], np.uint64)).tolist() == [
+        [r["key"] & 0xFFFFFFFF for r in sorted(rows(simhash.index(spark.createDataFrame([(x,)], "fp long"))), key=lambda r: r["key"] >> 32)] for _, x in signed[:9]
+    ]
+    for options in ({}, {"block": 2, "often": 1, "most": 2}):
+        parts = {}
+        for r in rows(simhash.candidates(spark.createDataFrame(signed, "node long, fp long"), **options)):
+            parts.setdefault(r["part"], set()).add(r["id"])
+        met = {(a, b) for x in parts.values() for a in x for b in x if a < b}
+        assert {(a, b) for a in range(len(fps)) for b in range(a + 1, len(fps)) if (fps[a] ^ fps[b]).bit_count() <= 3} <= met
+
+
+def test_near_dedup_by_simhash(spark, sf, monkeypatch):
+    """Copies at three or fewer bits are found where MinHash finds nothing; a pair below 0.8 is never linked."""
+    import corpus_pipeline
+
+    random.seed(14)
+    texts = []
+    for _ in range(20):
+        base = [f"w{random.randrange(3000)}" for _ in range(random.randint(800, 1500))]
+        texts += [base] + [[*base[:i], "x", *base[i + 1 :]] for i in random.sample(range(800), 3)]
+    texts = dict(enumerate(" ".join(x) for x in texts))
+    fps = {i: simhash.majority(neardocs.shingle_set(t)) for i, t in texts.items()}
+    linked = [(a, b) for a in texts for b in range(a) if jaccard(texts[a], texts[b]) >= 0.8]
+    close = [(a, b) for a, b in linked if (fps[a] ^ fps[b]).bit_count() <= 3]
+    real = buckets.candidates
+    monkeypatch.setattr(buckets, "candidates", lambda signed, bands, tag, *more: corpus_pipeline.materialize(real(signed, bands, tag, *more).limit(0), "none") if tag == "doc" else real(signed, bands, tag, *more))
+    kept = {r["doc_id"] for r in rows(corpus_pipeline.near_dedup(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string"), sf))}
+    assert len(close) > 40 and set(brute_components(texts, linked).values()) <= kept <= set(brute_components(texts, close).values())
