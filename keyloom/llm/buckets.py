@@ -20,7 +20,7 @@ from keyloom.llm.common import Batches, binary_rows, free, mapped, materialize,
 
 BITS_APART = 15  #: of the 60 bits of two sketches, at most; a pair at 0.8 is further apart with probability 0.0001
 BLOCK = 16_384  #: rows of a block
-PART = 512  #: ids of a part; a larger one is dealt out as pairs of halves of this size
+PART = 2048  #: ids of a part; a larger one is dealt out as pairs of halves of this size
 WINDOW = 1 << 20  #: keys over which a task counts
 OFTEN = 32  #: times that a key is met in a window before it is reported
 ROWS_OUT = 1 << 16  #: of an Arrow batch of dealt rows

@@ -30,6 +30,9 @@ SIMILARITY = 0.8
 ROWS, BANDS = 5, 12  #: a pair at 0.8 shares a band with probability 0.991, at 0.85 with 0.999
 MIN_CHARS = 1  #: shorter lines always stay; blank ones do so whatever this says
 FEW = 5  #: lines of a part that are compared pair by pair
+MANY = 32  #: sets of a part whose parities are compared first
+CHUNK = 1 << 20  #: numbers of sets that are compared at once
+KEPT = 1 << 22  #: numbers of a part's sets that are held
 SEEN = 200_000  #: lines that a task remembers to have signed
 SLICE = 8192  #: lines that are handed on at once
 _LAST = (1 << 63) - 1
@@ -246,29 +249,74 @@ def _numbers(line: str) -> np.ndarray:
     return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
+def _parities(own: np.ndarray, bits: int) -> np.ndarray:
+    """``bits`` bits of a set, each the parity of how many numbers fall on it: two sets' bits differ in no more places than the sets in numbers."""
+    at = (own.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - bits.bit_length())
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(bool)).view(np.uint64)
+
+
 def link_sets(rows: list[tuple[int, np.ndarray]], links: Forest, least: float = SIMILARITY) -> None:
-    """Link the sets (ascending, not empty) of exact Jaccard similarity ``least`` or more: a search from set to set over those not reached yet."""
-    size = np.array([len(x) for _, x in rows])
-    left = np.arange(len(rows))
+    """Link the sets (ascending, not empty) of exact Jaccard similarity ``least`` or more."""
+    link_made([i for i, _ in rows], lambda k: rows[k][1], links, least)
+
+
+def link_made(idents: list[int], given: Callable[[int], np.ndarray], links: Forest, least: float = SIMILARITY) -> None:
+    """:func:`link_sets` of sets that ``given`` gives by number: a search from set to set over those not reached yet.
+
+    Of MANY sets or more the parities are compared first, which rule out most
+    pairs that aren't similar and none that is. Sets of KEPT numbers in all are
+    held; others are made again when they are needed, CHUNK numbers at once, so
+    a part of very long ones is never held whole.
+    """
+    n, held, kept, size = len(idents), 0, {}, np.zeros(len(idents), np.int64)
+    for k in range(n):
+        own = given(k)
+        size[k] = len(own)
+        held += len(own)
+        if held <= KEPT:
+            kept[k] = own
+
+    def made(k: int) -> np.ndarray:
+        return kept[k] if k in kept else given(k)
+
+    bits = 1 << min(15, max(9, int(4 * size.max(initial=1) - 1).bit_length()))
+    parity = np.stack([_parities(made(k), bits) for k in range(n)]) if n >= MANY else None
+    left = np.arange(n)
     while len(left) > 1:
         reached, left = [int(left[0])], left[1:]
         while reached and len(left):
             x = reached.pop()
-            own = rows[x][1]
             near = left[np.minimum(size[left], size[x]) >= least * np.maximum(size[left], size[x]) - 1e-9]
+            if parity is not None and len(near):
+                apart = np.concatenate([np.bitwise_count(parity[near[i : i + 256]] ^ parity[x]).sum(axis=1, dtype=np.int64) for i in range(0, len(near), 256)])
+                near = near[apart <= (1 - least) / (1 + least) * (size[near] + size[x]) + 1e-6]
             if not len(near):
                 continue
-            flat = np.concatenate([rows[i][1] for i in near])
-            at = np.searchsorted(own, flat)
-            same = own[np.minimum(at, len(own) - 1)] == flat
-            both = np.add.reduceat(same, np.concatenate(([0], np.cumsum(size[near])[:-1])), dtype=np.int64)
-            found = near[both >= least * (size[x] + size[near] - both) - 1e-9]
+            own, upto, at, found = made(x), np.cumsum(size[near]), 0, []
+            while at < len(near):
+                end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CHUNK, "right")))
+                some = near[at:end]
+                flat = np.concatenate([made(k) for k in some.tolist()])
+                place = np.searchsorted(own, flat)
+                same = own[np.minimum(place, len(own) - 1)] == flat
+                both = np.add.reduceat(same, np.concatenate(([0], np.cumsum(size[some])[:-1])), dtype=np.int64)
+                found.append(some[both >= least * (size[x] + size[some] - both) - 1e-9])
+                at = end
+            found = np.concatenate(found)
             for y in found.tolist():
-                links.union(rows[x][0], rows[y][0])
+                links.union(idents[x], idents[y])
             reached.extend(found.tolist())
             left = np.setdiff1d(left, found, assume_unique=True)
 
 
+def _numbered(lines: list[str]) -> Callable[[int], np.ndarray]:
+    """The shingles of each of ``lines`` as ascending numbers, exactly, for lines of any length and characters."""
+    if all(len(x) >= SHINGLE and (x.isascii() or max(x) < "\u1000") for x in lines):
+        return lambda k: _numbers(lines[k])
+    known: dict[str, int] = {}
+    return lambda k: np.sort(np.array([known.setdefault(x, len(known)) for x in shingles(lines[k])], np.int64))
+
+
 def verify(batches: Batches) -> Batches:
     """Links of one task's parts; rows (part, id, line) sorted by part."""
     links, held, rows = Forest(), None, {}
@@ -276,12 +324,13 @@ def verify(batches: Batches) -> Batches:
 
     def close() -> None:
         own = list(rows.items())
-        if not all(len(x) >= SHINGLE and (x.isascii() or max(x) < "\u1000") for _, x in own):
-            link_lines(own, links)
-        elif len(own) <= FEW:
+        plain = all(len(x) >= SHINGLE and (x.isascii() or max(x) < "\u1000") for _, x in own)
+        if len(own) > FEW:
+            link_made([i for i, _ in own], _numbered([x for _, x in own]), links)
+        elif plain:
             pairs.extend((a[0], b[0], a[1], b[1]) for i, a in enumerate(own) for b in own[:i])
         else:
-            link_sets([(i, _numbers(x)) for i, x in own], links)
+            link_lines(own, links)
 
     def settle() -> None:
         for (a, b, _, _), yes in zip(pairs, similar_pairs([p[2:] for p in pairs]).tolist(), strict=True):

@@ -1141,3 +1141,34 @@ def test_near_dedup_by_simhash(spark, sf, monkeypatch):
     monkeypatch.setattr(buckets, "candidates", lambda signed, bands, tag, *more: corpus_pipeline.materialize(real(signed, bands, tag, *more).limit(0), "none") if tag == "doc" else real(signed, bands, tag, *more))
     kept = {r["doc_id"] for r in rows(corpus_pipeline.near_dedup(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string"), sf))}
     assert len(close) > 40 and set(brute_components(texts, linked).values()) <= kept <= set(brute_components(texts, close).values())
+
+
+@pytest.mark.parametrize("alphabet", ["abcdefgh ", "ab\u3042\U0001f600 "])
+def test_link_sets_of_many_near_lines(alphabet):
+    """A few hundred edited copies of one line, of which many aren't similar to any, against brute force."""
+    random.seed(15)
+    base = [random.choice(alphabet) for _ in range(150)]
+    own = ["".join(random.choice(alphabet) if random.random() < share else c for c in base) for share in (0.01, 0.02, 0.03, 0.05, 0.1) for _ in range(50)]
+    own = dict(enumerate(sorted({*own, "abc", "abcd"})))
+    sets = {i: lines.shingles(x) for i, x in own.items()}
+    want = brute_components(own, [(a, b) for a in own for b in range(a) if lines.similar(sets[a], sets[b])])
+    links = graph.Forest()
+    lines.link_made(list(own), lines._numbered(list(own.values())), links)
+    assert {i: links.find(i) for i in own} == want and 10 < len(set(want.values())) < len(own) - 10
+
+
+def test_near_lines_cost_little(monkeypatch):
+    """A large part of near copies and of lines at some 0.6 of them: few sets are compared whole, and few rows deal the part out."""
+    random.seed(16)
+    rows_ = []
+    for share in [0.004] * 400 + [0.04] * 100:
+        line = "".join(random.choice("abcdefgh ") if random.random() < share else c for c in LONG_LINE)
+        rows_.append((len(rows_), lines._numbers(line)))
+    compared, real = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *more: compared.append(np.size(v)) or real(a, v, *more))
+    lines.link_sets(rows_, graph.Forest())
+    assert sum(compared) < 8 * sum(len(x) for _, x in rows_)
+    assert sum(map(len, buckets.cut_part(np.arange(6000), buckets.PART))) <= 6 * 6000
+
+
+LONG_LINE = "".join(random.Random(17).choice("abcdefgh ") for _ in range(600))
